@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from shelfspark.llm import exact_dedup, sharding
+from shelfspark.llm import byte_bpe, exact_dedup, pii, sharding, url_filter
 
 QUERIES = {
+    "op1_url_filter": url_filter.query,
+    "op3_byte_bpe": byte_bpe.query,
     "op4_exact_dedup": exact_dedup.query,
     "op5_sharding": sharding.query,
+    "op7_pii": pii.query,
 }
 
 ORACLES = {
+    "op1_url_filter": url_filter.ORACLE_SQL,
     "op4_exact_dedup": exact_dedup.ORACLE_SQL,
     "op5_sharding": sharding.ORACLE_SQL,
 }
