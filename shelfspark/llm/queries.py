@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfspark.llm import byte_bpe, exact_dedup, pii, sharding, url_filter
+from shelfspark.llm import byte_bpe, decontaminate, exact_dedup, pii, sharding, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
@@ -10,10 +10,12 @@ QUERIES = {
     "op4_exact_dedup": exact_dedup.query,
     "op5_sharding": sharding.query,
     "op7_pii": pii.query,
+    "op8_decontaminate": decontaminate.query,
 }
 
 ORACLES = {
     "op1_url_filter": url_filter.ORACLE_SQL,
     "op4_exact_dedup": exact_dedup.ORACLE_SQL,
     "op5_sharding": sharding.ORACLE_SQL,
+    "op8_decontaminate": decontaminate.ORACLE_SQL,
 }
