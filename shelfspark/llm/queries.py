@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfspark.llm import byte_bpe, decontaminate, exact_dedup, pii, sharding, url_filter
+from shelfspark.llm import byte_bpe, decontaminate, exact_dedup, pii, quality_cnn, sharding, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_sharding": sharding.query,
     "op7_pii": pii.query,
     "op8_decontaminate": decontaminate.query,
+    "op10_quality_cnn": quality_cnn.query,
 }
 
 ORACLES = {
