@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from shelfspark.llm import byte_bpe, decontaminate, exact_dedup, pii, quality_cnn, sharding, url_filter
+from shelfspark.llm import byte_bpe, decontaminate, exact_dedup, pii, quality_cnn, sharding, url_filter, warc_zip
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
+    "op2_warc_zip": warc_zip.query,
     "op3_byte_bpe": byte_bpe.query,
     "op4_exact_dedup": exact_dedup.query,
     "op5_sharding": sharding.query,
