@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfspark.llm import byte_bpe, decontaminate, exact_dedup, pii, quality_cnn, sharding, url_filter, warc_zip
+from shelfspark.llm import byte_bpe, decontaminate, exact_dedup, pii, quality_cnn, secret_scan, sharding, url_filter, warc_zip
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_sharding": sharding.query,
     "op7_pii": pii.query,
     "op8_decontaminate": decontaminate.query,
+    "op9_secret_scan": secret_scan.query,
     "op10_quality_cnn": quality_cnn.query,
 }
 
@@ -20,4 +21,5 @@ ORACLES = {
     "op4_exact_dedup": exact_dedup.ORACLE_SQL,
     "op5_sharding": sharding.ORACLE_SQL,
     "op8_decontaminate": decontaminate.ORACLE_SQL,
+    "op9_secret_scan": secret_scan.ORACLE_SQL,
 }
