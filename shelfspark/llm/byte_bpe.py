@@ -192,24 +192,29 @@ def decode(encoded: DataFrame, spec: str, keep: list[str]) -> DataFrame:
     return map_arrow(rows, run, f"{kinds}, bytes binary, text string")
 
 
-def digests(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 per row: encode, then decode the ids, in one pass. Cases as in encode."""
+def digests(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 per row, and on wish ids: encode, then decode the ids, in one pass. Cases as in encode."""
     shared = docs.sparkSession.sparkContext.broadcast(spec)
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                n, ids_sha, out_sha = [], [], []
+                n, ids_sha, out_sha, all_ids = [], [], [], []
                 for ids, _ in encode_texts(shared.value, part.column(1).to_pylist(), False):
                     n.append(len(ids))
                     ids_sha.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                     out_sha.append(hashlib.sha256(decode_ids(shared.value, ids.tolist())).hexdigest())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(out_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                    if with_ids:
+                        all_ids.append(ids.astype(np.int32))
+                columns = [part.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(out_sha, pa.string())]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(np.concatenate(all_ids))))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return map_arrow(rows, run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(rows, run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def public_spec() -> str:

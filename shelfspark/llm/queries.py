@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfspark.llm import byte_bpe, decontaminate, exact_dedup, pii, quality_cnn, secret_scan, sharding, url_filter, warc_zip
+from shelfspark.llm import byte_bpe, decontaminate, exact_dedup, ngram_join, pii, quality_cnn, secret_scan, sharding, url_filter, warc_zip
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_byte_bpe": byte_bpe.query,
     "op4_exact_dedup": exact_dedup.query,
     "op5_sharding": sharding.query,
+    "op6_ngram_join": ngram_join.query,
     "op7_pii": pii.query,
     "op8_decontaminate": decontaminate.query,
     "op9_secret_scan": secret_scan.query,
@@ -20,6 +21,7 @@ ORACLES = {
     "op1_url_filter": url_filter.ORACLE_SQL,
     "op4_exact_dedup": exact_dedup.ORACLE_SQL,
     "op5_sharding": sharding.ORACLE_SQL,
+    "op6_ngram_join": ngram_join.ORACLE_SQL,
     "op8_decontaminate": decontaminate.ORACLE_SQL,
     "op9_secret_scan": secret_scan.ORACLE_SQL,
 }
