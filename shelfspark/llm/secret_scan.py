@@ -47,8 +47,6 @@ RULES = (
 BASE_KINDS = ("assign", "access", "hex")
 #: Strings that one part of a pattern may stand for before it counts as open.
 MOST_STRINGS = 16
-#: Matches per block of running lengths.
-BLOCK = 128
 
 # --- from a pattern to a Boolean trigram query ---------------------------------
 
@@ -133,23 +131,21 @@ def candidates(index: DataFrame, queries: dict[str, list]) -> DataFrame:
 
 
 def _starts(gaps: Column, matches: Column) -> Column:
-    """The offset of each match from the lengths of gaps and matches; running sums go block by block, so long lists stay cheap."""
-    # step i: the gap before match i and the match before it
-    steps = F.transform(matches, lambda m, i: F.length(F.get(gaps, i)) + F.when(i > 0, F.length(F.get(matches, i - 1))).otherwise(F.lit(0)))
-    total = lambda part: F.aggregate(part, F.lit(0), lambda a, b: a + b)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / BLOCK).cast("int")), lambda j: total(F.slice(steps, j * BLOCK + 1, F.lit(BLOCK))))
-    return F.transform(steps, lambda _, i: total(F.slice(blocks, F.lit(1), F.floor(i / BLOCK).cast("int"))) + total(F.slice(steps, (F.floor(i / BLOCK) * BLOCK).cast("int") + 1, (i % BLOCK) + 1)))
+    """The offset of each match: running lengths of gaps and matches. Lambdas see their own arguments only, so nothing is evaluated per match twice."""
+    before = F.concat(F.array(F.lit("")), F.slice(matches, F.lit(1), F.size(matches) - 1))
+    steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(gaps) - 1), before, lambda g, m: F.length(g) + F.length(m))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+    return F.aggregate(steps, none, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["all"], F.array(acc["at"] + n)).alias("all")))["all"]
 
 
 def _spans(rule: Rule, order: int, text: Column, may: Column) -> Column:
     """Spans of one rule: array<struct<start, order, kind, end>>."""
     pattern, none = F.lit(rule.pattern), F.array().cast("array<struct<start:int,order:int,kind:string,end:int>>")
     matches = F.regexp_extract_all(text, pattern, F.lit(0))
-    starts = _starts(F.split(text, rule.pattern, -1), matches)
-    lengths = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), lambda m: F.length(m)) if rule.least > 1 else None
-    made = F.transform(matches, lambda m, i: F.struct(F.get(starts, i).alias("start"), F.lit(order).alias("order"), F.lit(rule.kind).alias("kind"), (F.get(starts, i) + F.length(m)).alias("end")))
-    if lengths is not None:
-        made = F.filter(made, lambda _, i: F.get(lengths, i) >= rule.least)
+    made = F.zip_with(_starts(F.split(text, rule.pattern, -1), matches), matches, lambda s, m: F.struct(s.alias("start"), F.lit(order).alias("order"), F.lit(rule.kind).alias("kind"), (s + F.length(m)).alias("end")))
+    if rule.least > 1:
+        counted = F.regexp_extract_all(text, pattern, F.lit(rule.group))
+        made = F.filter(F.zip_with(made, counted, lambda x, m: F.when(F.length(m) >= rule.least, x)), lambda x: x.isNotNull())
     return F.when(may & text.rlike(rule.pattern), made).otherwise(none)
 
 
