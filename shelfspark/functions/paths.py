@@ -52,11 +52,9 @@ def volume_of(path: Column) -> Column:
 def volume_key(path: Column, sidecar: str = layout.SIDECAR) -> Column:
     """Key of a volume or of a file that belongs to one; null for other paths. The stem keeps its case, and a volume its ending."""
     clean = stripped(path)
-    low = F.lower(clean)
-    out = F.when(low.endswith(layout.VOLUME), clean)
-    for end in sorted(layout.sidecars(sidecar), key=len, reverse=True):
-        out = out.when(low.endswith(end), F.concat(F.substring(clean, F.lit(1), F.length(clean) - len(end)), F.lit(layout.VOLUME)))
-    return out
+    ends = "|".join(e.replace(".", r"\.") for e in sorted(layout.sidecars(sidecar), key=len, reverse=True))
+    side = rf"(?i)({ends})\z"
+    return F.when(clean.rlike(r"(?i)\.cbz\z"), clean).when(clean.rlike(side), F.regexp_replace(clean, side, layout.VOLUME))
 
 
 def series_title(path: Column) -> Column:

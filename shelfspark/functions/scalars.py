@@ -91,10 +91,11 @@ def progress_metrics(done: Column, total: Column, elapsed: Column) -> Column:
     percent = F.least(F.lit(99).cast("long"), ((done.cast("double") / total) * 100).cast("long"))
     rate = done.cast("double") / F.greatest(elapsed.cast("double"), F.lit(1e-6))
     eta = F.when(done > 0, ((total - done) / rate).cast("long"))
-    return (
-        F.when(total <= 0, F.struct(F.lit(None).cast("long").alias("percent"), F.lit(None).cast("long").alias("eta_seconds"), F.lit("running").alias("status")))
-        .when(done >= total, F.struct(F.lit(100).cast("long"), F.lit(0).cast("long"), F.lit("finalizing")))
-        .otherwise(F.struct(percent, eta, F.lit("running")))
+    known, done_all = total > 0, (total > 0) & (done >= total)
+    return F.struct(
+        F.when(done_all, F.lit(100).cast("long")).when(known, percent).alias("percent"),
+        F.when(done_all, F.lit(0).cast("long")).when(known, eta).alias("eta_seconds"),
+        F.when(done_all, "finalizing").otherwise("running").alias("status"),
     )
 
 
