@@ -471,10 +471,10 @@ query("t2_debounced_refresh", ("file_events",), "SELECT library, max(ts) + INTER
 query("t3_login_limiter")(lambda t: access.replay_limiter(t.attempts(), 3, 172800, 86400))
 
 
-@query("t4_stalled_jobs", ("progress",), "WITH p AS (SELECT job, done * 400.0 AS sec, done - done % 3 AS d, total FROM progress), m AS (SELECT *, max(sec) FILTER (mv) OVER w AS moved_at FROM (SELECT *, d IS DISTINCT FROM lag(d) OVER (PARTITION BY job ORDER BY sec) AS mv FROM p) WINDOW w AS (PARTITION BY job ORDER BY sec)), c AS (SELECT *, min(sec) FILTER (d >= total) OVER (PARTITION BY job ORDER BY sec) AS since FROM m), v AS (SELECT job, sec, CASE WHEN sec > 3600 THEN 'hard' WHEN d >= total AND sec - since > 300 THEN 'finalizing' WHEN sec - moved_at > 600 THEN 'idle' END AS verdict FROM c) SELECT job, coalesce(arg_min(verdict, sec) FILTER (verdict IS NOT NULL), 'running') AS verdict, min(sec) FILTER (verdict IS NOT NULL) AS "at" FROM v GROUP BY job")
+@query("t4_stalled_jobs", ("progress",), "WITH p AS (SELECT job, done * 400.0 AS sec, done - done % 3 AS d, total FROM progress), m AS (SELECT *, max(sec) FILTER (mv) OVER w AS moved_at FROM (SELECT *, d IS DISTINCT FROM lag(d) OVER (PARTITION BY job ORDER BY sec) AS mv FROM p) WINDOW w AS (PARTITION BY job ORDER BY sec)), c AS (SELECT *, min(sec) FILTER (d >= total) OVER (PARTITION BY job ORDER BY sec) AS since FROM m), v AS (SELECT job, sec, CASE WHEN sec > 3600 THEN 'hard' WHEN d >= total AND sec - since > 300 THEN 'finalizing' WHEN sec - moved_at > 600 THEN 'idle' END AS verdict FROM c) SELECT job, coalesce(arg_min(verdict, sec) FILTER (verdict IS NOT NULL), 'running') AS verdict, min(sec) FILTER (verdict IS NOT NULL) AS ended_at FROM v GROUP BY job")
 def _(t):
     polls = t.progress().select("job", F.expr("done * 400D").alias("at"), F.expr("done - done % 3").alias("done"), "total", F.lit(False).alias("valid_sidecar"))
-    return progress.stalled_jobs(polls, finalizing=300)
+    return progress.stalled_jobs(polls, finalizing=300).withColumnRenamed("at", "ended_at")
 
 
 query("t5_once_per_path", ("file_events",), "SELECT DISTINCT path FROM file_events")(lambda t: t.file_events().dropDuplicates(["path"]).select("path"))
