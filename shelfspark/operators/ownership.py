@@ -59,7 +59,7 @@ def forget_prefix(uploads: DataFrame, prefixes: DataFrame, prefix_match: str = "
     """
     folders = prefixes.select(paths.stripped(F.col("prefix")).alias("folder")).where("folder <> ''").distinct()
     if prefix_match == "like":
-        return uploads.join(folders, F.lower("volume_key").like(F.concat(F.lower("folder"), F.lit("/%"))), "left_anti")
+        return uploads.join(folders, F.like(F.lower("volume_key"), F.concat(F.lower("folder"), F.lit("/%"))), "left_anti")
     hit = uploads.select("volume_key", F.explode(ancestors(F.col("volume_key"))).alias("folder")).join(folders, "folder", "left_semi").select("volume_key").distinct()
     return uploads.join(hit, "volume_key", "left_anti")
 
