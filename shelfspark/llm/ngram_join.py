@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm.components import connected_components
+from shelfspark.llm.components import connected_components, forest
 from shelfspark.llm.shared import stored, table
 from shelfspark.llm.words import SPACES, chunks, mix, word_hashes
 from shelfspark.shipping import map_arrow
@@ -39,9 +39,13 @@ from shelfspark.shipping import map_arrow
 #: Points of a candidate group that one task joins, and of a block where there are more.
 BLOCK = 256
 #: Keys that a task holds before it writes them, and that a partition gets.
-HELD_KEYS, PARTITION_KEYS = 2_000_000, 1_500_000
+HELD_KEYS, PARTITION_KEYS = 1_000_000, 1_000_000
+#: Slots of the bitmap that keeps documents without candidates out of a shuffle.
+FILTER_BITS = 2**26
 #: Hash attempts of a set that leaves too many groups empty.
 SALTS = 4
+#: Counts beyond this do not matter when the fullest groups are chosen.
+FULLEST = 6
 
 _ODD = np.random.default_rng(20240202).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -79,11 +83,16 @@ def _bands(num: int, den: int, top: int) -> tuple[np.ndarray, np.ndarray, np.nda
     last = np.array(lows[1:]) - 1
     high = last * den // num
     most = (last + high) * (den - num) // (den + num)
-    return np.array(lows[:-1]), high, most, np.where(most == 0, 1, most + 3 + most // 8)
+    return np.array(lows[:-1]), high, most, np.where(most == 0, 1, most + 2 + most * 2 // 5)
 
 
-def group_keys(tokens: np.ndarray, first: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, text): the candidate keys of every non-empty set, and the number of its text."""
+def group_keys(tokens: np.ndarray, first: np.ndarray, num: int, den: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, text): the candidate keys of every non-empty set, and the number of its text.
+
+    Of its groups a set names the fullest, down to the largest count that more than ``most`` groups have. Of two linked
+    sets, take the one that stops at the larger count: one of its named groups is the same in the other set, which
+    names it too. So no link is missed, and groups of one or two common tokens are rarely keys.
+    """
     sizes = np.diff(first)
     if not len(tokens):
         return np.empty(0, np.uint64), np.empty(0, np.int64)
@@ -104,17 +113,21 @@ def group_keys(tokens: np.ndarray, first: np.ndarray, num: int, den: int) -> tup
             n = sizes[at]
             pick = np.repeat(first[at] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
             of = np.repeat(np.arange(len(at)), n)
-            h = mix(tokens[pick] ^ _ODD[20 + salt])
+            h = mix(tokens[pick] ^ (_ODD[20 + salt] + np.uint64(seed) * _ODD[34]))
             slot = base[of] + (((h >> np.uint64(32)) * m[of].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
             content = np.zeros(base[-1], np.uint64)
             np.add.at(content, slot, mix(h ^ _ODD[30]))
-            full = np.bincount(slot, minlength=base[-1]) > 0
+            counts = np.bincount(slot, minlength=base[-1])
             owner = np.repeat(np.arange(len(at)), m)
+            least = np.zeros(len(at), np.int64)
+            for count in range(1, FULLEST + 1):
+                least[np.bincount(owner, counts >= count, minlength=len(at)) > most[own]] = count
+            full = (counts >= np.maximum(least, 1)[owner])
             name = (own[owner] * 8 + salt).astype(np.uint64) * _ODD[31] + (np.arange(base[-1]) - base[owner]).astype(np.uint64) * _ODD[32]
             keys.append(mix(content[full] + name[full]))
             texts.append(at[owner[full]])
-            # all of one set's full groups could differ from the other's: such sets also meet by another hash, at last all together
-            weak = np.bincount(owner, full, minlength=len(at)) <= most[own]
+            # with too few full groups, all could differ from the other's: such sets also meet by another hash, at last all together
+            weak = least == 0
             if salt == SALTS - 1 and weak.any():
                 keys.append(mix(own[weak].astype(np.uint64) * _ODD[33]))
                 texts.append(at[weak])
@@ -213,31 +226,28 @@ def join_sets(sets: list[np.ndarray], num: int, den: int, known: np.ndarray | No
 
 # --- the job -------------------------------------------------------------------------
 
-_SKETCH = "kind byte, doc_id long, n long, key_a long, key_b long, other long, bucket int, keys binary, ids binary"
-_SKETCH_ARROW = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("n", pa.int64()), ("key_a", pa.int64()), ("key_b", pa.int64()), ("other", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary())])
 
+def _planes(numbers: np.ndarray, skip: int = 0) -> bytes:
+    """64-bit numbers byte place by byte place, highest first, without the ``skip`` lowest: sorted keys and small ids pack well so."""
+    return numbers.view(np.uint8).reshape(-1, 8)[:, skip:][:, ::-1].T.tobytes()
 
-def _batch(**columns) -> pa.RecordBatch:
-    n = len(next(iter(columns.values())))
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _SKETCH_ARROW], schema=_SKETCH_ARROW)
 
+def _from_planes(data: bytes, kind, skip: int = 0) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(8 - skip, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, skip:] = planes[::-1].T
+    return out.view(kind).ravel()
 
-def _sketch(docs: DataFrame, width: int, num: int, den: int, buckets: int) -> DataFrame:
-    """Rows of three kinds: 0 a document with its set size and fingerprint, 1 a bucket of keys with ids, 2 an edge between ids that share a key."""
 
-    def run(batches):
-        keys, ids, held = [], [], 0
+def _edges(a, b) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-        def flush():
-            k, i, a, b = stars(np.concatenate(keys), np.concatenate(ids))
-            if len(a):
-                yield _batch(kind=np.full(len(a), 2, np.int8), doc_id=a, other=b)
-            bucket = (((k >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32)
-            cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(k) else []
-            ends = np.r_[cut[1:], len(k)] if len(k) else []
-            if len(k):
-                yield _batch(kind=np.ones(len(cut), np.int8), bucket=bucket[cut], keys=[k[x:y].tobytes() for x, y in zip(cut, ends, strict=True)], ids=[i[x:y].tobytes() for x, y in zip(cut, ends, strict=True)])
 
+def _prints(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, n, key_a, key_b: the size and the fingerprint of every document's token set."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key_a", pa.int64()), ("key_b", pa.int64())])
+
+    def run(batches):
         for batch in batches:
             for part in chunks(batch, 1):
                 tokens, first = token_sets(part.column(1), width)
@@ -247,44 +257,92 @@ def _sketch(docs: DataFrame, width: int, num: int, den: int, buckets: int) -> Da
                     full = np.flatnonzero(sizes)
                     if len(full):
                         out[full] = np.add.reduceat(mix(tokens ^ _ODD[50 + k]), first[full])
-                yield _batch(kind=np.zeros(len(sizes), np.int8), doc_id=part.column(0), n=sizes, key_a=prints[0].view(np.int64), key_b=prints[1].view(np.int64))
-                own, text = group_keys(tokens, first, num, den)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64))], schema=schema)
+
+    return stored(map_arrow(docs, run, "doc_id long, n long, key_a long, key_b long"), "ngram-prints")
+
+
+def _shared_keys(docs: DataFrame, width: int, num: int, den: int, buckets: int, seed: int = 0) -> DataFrame:
+    """Edges (a, b) between ids of docs(doc_id, text, group) whose sets share a candidate key and whose groups are the same.
+
+    A task folds the keys that it holds to one id each and passes edges for the others on; keys then meet by bucket.
+    """
+    schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary())])
+
+    def spread(batches):
+        keys, ids, held = [], [], 0
+
+        def flush():
+            k, i, a, b = stars(np.concatenate(keys), np.concatenate(ids))
+            a, b = forest(a, b)
+            # keys name the smallest id of what is connected here already, so a group of copies sends few ids on
+            at = np.minimum(np.searchsorted(a, i), max(len(a) - 1, 0))
+            if len(a):
+                i = np.where(a[at] == i, b[at], i)
+            # edges travel as keys of their own: one that both ends have
+            edge = mix(mix(a.view(np.uint64)) ^ b.view(np.uint64) * _ODD[60])
+            k, i = np.concatenate([k, edge, edge]), np.concatenate([i, a, b])
+            bucket = (((k >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            bucket, k, i = bucket[order], k[order], i[order]
+            cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(k) else np.empty(0, np.int64)
+            ends = np.r_[cut[1:], len(k)]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array([_planes(k[x:y], 1) for x, y in zip(cut, ends, strict=False)], pa.binary()), pa.array([_planes(i[x:y]) for x, y in zip(cut, ends, strict=False)], pa.binary())], schema=schema)
+
+        for batch in batches:
+            for part in chunks(batch, 1):
+                tokens, first = token_sets(part.column(1), width)
+                own, text = group_keys(tokens, first, num, den, seed)
+                own = own ^ mix(part.column(2).to_numpy(zero_copy_only=False)[text].view(np.uint64))
                 named = part.column(0).is_valid().to_numpy(zero_copy_only=False)[text]
                 keys.append(own[named])
                 ids.append(part.column(0).fill_null(0).to_numpy(zero_copy_only=False)[text[named]])
                 held += len(keys[-1])
                 if held >= HELD_KEYS:
-                    yield from flush()
+                    yield flush()
                     keys, ids, held = [], [], 0
         if held:
-            yield from flush()
-
-    return stored(map_arrow(docs, run, _SKETCH), "ngram-sketch")
-
-
-def _shared_keys(sketch: DataFrame, buckets: int) -> DataFrame:
-    """Edges (a, b) between ids that share a key; every partition holds the keys of a few buckets."""
+            yield flush()
 
-    def run(batches):
+    def meet(batches):
         keys, ids = [], []
         for batch in batches:
-            keys += [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
-            ids += [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
+            keys += [_from_planes(x, np.uint64, 1) for x in batch.column(1).to_pylist()]
+            ids += [_from_planes(x, np.int64) for x in batch.column(2).to_pylist()]
         if keys:
             _, _, a, b = stars(np.concatenate(keys), np.concatenate(ids))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            yield _edges(*forest(a, b))
+
+    return map_arrow(map_arrow(docs, spread, "bucket int, keys binary, ids binary").repartition(buckets, "bucket"), meet, "a long, b long")
+
 
-    return map_arrow(sketch.where("kind = 1").select("bucket", "keys", "ids").repartition(buckets, "bucket"), run, "a long, b long")
+def _of_ids(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rows(doc_id, text) whose id is in wanted(id), and a few more: a bitmap of hashed ids, 8 MB at most whatever the corpus, spares the others the shuffle."""
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    bitmap = wanted.select(slot(F.col("id")).alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    at = rows.withColumn("slot", slot(F.col("doc_id"))).withColumns({"part": F.bitmap_bucket_number("slot"), "bit": F.bitmap_bit_position("slot")})
+    byte = F.conv(F.hex(F.substring("bits", F.floor(F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return at.join(F.broadcast(bitmap), "part").where((F.shiftright(byte, 0).bitwiseAND(F.pow(F.lit(2), F.col("bit") % 8).cast("int"))) != 0).select("doc_id", "text")
 
 
-def _by_group(rows: DataFrame, name: str, run_group) -> DataFrame:
-    """run_group(ids, sets, known) -> [(i, j)] for every value of ``unit`` in rows(unit, id, tokens, known); edges (a, b) of ids."""
+def _by_group(rows: DataFrame, name: str, run_group, width: int = 0) -> DataFrame:
+    """run_group(ids, sets, known) -> [(i, j)] for every value of ``unit`` in rows(unit, id, tokens, known); edges (a, b) of ids.
+
+    With a width, tokens are texts yet, which travel smaller than token sets.
+    """
 
     def run(batches):
         unit, held = None, []
 
         def close():
-            links = run_group([h[0] for h in held], [np.frombuffer(h[1], np.uint64) for h in held], np.array([h[2] for h in held], bool)) if len(held) > 1 else []
+            if len(held) < 2:
+                return []
+            if width:
+                flat, first = token_sets(pa.array([h[1] for h in held], pa.string()), width)
+                sets = [flat[x:y] for x, y in zip(first[:-1], first[1:], strict=True)]
+            else:
+                sets = [np.frombuffer(h[1], np.uint64) for h in held]
+            links = run_group([h[0] for h in held], sets, np.array([h[2] for h in held], bool))
             return [(held[i][0], held[j][0]) for i, j in links]
 
         for batch in batches:
@@ -295,9 +353,9 @@ def _by_group(rows: DataFrame, name: str, run_group) -> DataFrame:
                     unit, held = u, []
                 held.append((i, tokens, known))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+                yield _edges([x[0] for x in out], [x[1] for x in out])
         if out := close():
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            yield _edges([x[0] for x in out], [x[1] for x in out])
 
     return stored(map_arrow(rows.select("unit", "id", "tokens", "known").repartition("unit").sortWithinPartitions("unit", "id"), run, "a long, b long"), name)
 
@@ -336,12 +394,11 @@ def _large_links(sets: DataFrame, num: int, den: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["group", "tokens"])
 
     centres = map_arrow(sample.groupBy("group").agg(F.collect_list("tokens").alias("many")), centre, "group long, tokens binary")
-    hubs = stored(_overlap_with(sets, centres).groupBy("group").agg(F.max_by("id", F.struct("similarity", -F.col("id"))).alias("hub")), "ngram-hubs")
+    hubs = stored(_overlap_with(sets, centres).groupBy("group").agg(F.max_by("id", F.struct("similarity", -F.col("id"))).alias("hub"), F.count(F.lit(1)).alias("members")), "ngram-hubs")
     hub_tokens = sets.join(hubs, (sets["group"] == hubs["group"]) & (sets["id"] == hubs["hub"])).select(sets["group"], "tokens").dropDuplicates(["group"])
     tested = _overlap_with(sets, hub_tokens).withColumn("known", F.col("overlap") * (num + den) >= num * (F.col("size") + F.col("other_size")))
-    tested = stored(tested.join(hubs, "group").join(sets.groupBy("group").agg(F.count(F.lit(1)).alias("members")), "group").select("group", "id", "tokens", "known", "hub", "members"), "ngram-tested")
+    tested = stored(tested.join(hubs, "group").select("group", "id", "tokens", "known", "hub", "members"), "ngram-tested")
     to_hub = tested.where(F.col("known") & (F.col("id") != F.col("hub"))).select(F.col("id").alias("a"), F.col("hub").alias("b"))
-    # blocks by size, so that block pairs too far apart in size need not meet
     blocked = tested.withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / BLOCK)))
     rest = blocked.where(~F.col("known"))
     meet = rest.select("group", F.col("block").alias("rest_block")).distinct().join(blocked.select("group", "block").distinct(), "group").select("group", "rest_block", F.col("block"), F.xxhash64("group", "rest_block", "block").alias("unit"))
@@ -355,38 +412,51 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5,
     """doc_id, n_shingles, component_id for every row of docs; sets link when their Jaccard similarity is num / den or more.
 
     A text with fewer words than width is one shingle; null text and text without words are empty sets, linked with nothing.
-    A null id links with nothing and has a null component. Rows that repeat an id share its component. Other columns are
-    ignored; an empty table gives an empty result. Ids are integers.
+    A null id links with nothing and has a null component. Ids are integers and name documents: rows that repeat one with
+    the same text get the same result. Other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (20 * PARTITION_KEYS)))
-    sketch = _sketch(rows, width, num, den, buckets)
-    own = sketch.where("kind = 0").select("doc_id", "n", "key_a", "key_b")
-    edges = _shared_keys(sketch, buckets).unionByName(sketch.where("kind = 2").select(F.col("doc_id").alias("a"), F.col("other").alias("b")))
-    groups = connected_components(edges, "ngram-groups").withColumnRenamed("component", "group")
-    # one point for each distinct set of a group
-    points = stored(own.join(groups, own["doc_id"] == groups["id"]).groupBy("group", "key_a", "key_b", "n").agg(F.min("doc_id").alias("id")), "ngram-points")
-    several = points.groupBy("group").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    wanted = points.join(several, "group").select("group", "members", "id", "key_a", "key_b")
+    own = _prints(rows, width)
+    keys = ["key_a", "key_b", "n"]
+    groups = connected_components(_shared_keys(rows.withColumn("group", F.lit(0).cast("long")), width, num, den, buckets), "ngram-groups").withColumnRenamed("component", "group")
+    # one point for each distinct set; equal sets have equal keys, so they are always in one group
+    points = stored(own.join(groups, own["doc_id"] == groups["id"]).groupBy(*keys).agg(F.min("doc_id").alias("id"), F.min("group").alias("group")), "ngram-points")
+
+    def several(members: DataFrame) -> DataFrame:
+        counts = members.groupBy("group").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+        return members.select("group", "id").join(counts, "group").select("group", "members", "id")
+
+    wanted = stored(several(points), "ngram-wanted")
+    found = _of_ids(rows, wanted)
+    texts = stored(found.join(wanted, found["doc_id"] == wanted["id"]).select("group", "members", "id", "text"), "ngram-texts")
+
+    def links_of(fits: DataFrame, name: str) -> DataFrame:
+        return _by_group(fits.select(F.col("group").alias("unit"), "id", F.col("text").alias("tokens"), F.lit(False).alias("known")), name, lambda ids, sets, known: join_sets(sets, num, den), width)
 
     def tokens(batches):
         for batch in batches:
-            for part in chunks(batch, 1):
-                flat, first = token_sets(part.column(1), width)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([flat[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary()), part.column(2), part.column(3)], names=["id", "tokens", "group", "members"])
+            for part in chunks(batch, 3):
+                flat, first = token_sets(part.column(3), width)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array([flat[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], names=["group", "members", "id", "tokens"])
 
-    texts = rows.join(wanted, rows["doc_id"] == wanted["id"]).select("doc_id", "text", "group", "members")
-    sets = stored(map_arrow(texts, tokens, "id long, tokens binary, group long, members long").where(F.octet_length("tokens") > 0), "ngram-sets")
-    links = _by_group(sets.where(F.col("members") <= BLOCK).select(F.col("group").alias("unit"), "id", "tokens", F.lit(False).alias("known")), "ngram-links", lambda ids, s, known: join_sets(s, num, den))
-    large = sets.where(F.col("members") > BLOCK)
+    links = links_of(texts.where(F.col("members") <= BLOCK), "ngram-links")
+    large = texts.where(F.col("members") > BLOCK)
     if large.limit(1).count():
-        links = links.unionByName(_large_links(large, num, den))
+        # common passages can chain unlike sets; those that link share keys under every hash
+        again = large.select(F.col("id").alias("doc_id"), "text", "group")
+        split = several(connected_components(_shared_keys(again, width, num, den, buckets, 1), "ngram-split").withColumnRenamed("component", "group"))
+        parts = stored(split.join(large.select("id", "text"), "id").select("group", "members", "id", "text"), "ngram-parts")
+        links = links.unionByName(links_of(parts.where(F.col("members") <= BLOCK), "ngram-part-links"))
+        large = parts.where(F.col("members") > BLOCK)
+        if large.limit(1).count():
+            links = links.unionByName(_large_links(stored(map_arrow(large, tokens, "group long, members long, id long, tokens binary"), "ngram-sets"), num, den))
     final = connected_components(links, "ngram-final").withColumnRenamed("id", "point")
-    member = own.join(groups, own["doc_id"] == groups["id"]).join(points.select(F.col("group").alias("g"), F.col("key_a").alias("ka"), F.col("key_b").alias("kb"), F.col("id").alias("point")), (F.col("group") == F.col("g")) & (F.col("key_a") == F.col("ka")) & (F.col("key_b") == F.col("kb")))
-    named = member.select("doc_id", "point").join(final, "point", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "point")).alias("component_id"))
-    return own.join(named, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = points.join(final, points["id"] == final["point"], "left").select(*keys, F.coalesce("component", "id").alias("component"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return own.join(named, keys, "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

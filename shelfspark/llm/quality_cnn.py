@@ -27,6 +27,8 @@ LEAST_STEPS = 900
 #: Texts longer than this are left out of training (never of scoring), which bounds the sample in bytes.
 LONGEST_SAMPLE = 65536
 THRESHOLD = 0.7
+#: Bytes of text that a task scores at once; a byte takes about 100 bytes of memory meanwhile.
+SCORED_BYTES = 250_000
 STEP, EMBED, FILTERS, HIDDEN, HALF = 4, 8, 24, 16, 32
 
 
@@ -173,7 +175,7 @@ def score(docs: DataFrame, weights: dict[str, np.ndarray], id_col: str = "doc_id
 
     def run(batches):
         for batch in batches:
-            for part in chunks(batch, 1):
+            for part in chunks(batch, 1, SCORED_BYTES):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(probabilities(sent.value, part.column(1)), pa.float64())], names=["doc_id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -194,7 +196,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
 
     def run(batches):
         for batch in batches:
-            for part in chunks(batch, at):
+            for part in chunks(batch, at, SCORED_BYTES):
                 texts = part.column(at).fill_null("")
                 yield part.filter(pa.array(probabilities(weights.value, texts) >= THRESHOLD))
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are taken together; a longer text is taken alone.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _UNBASE = np.uint64(pow(int(_BASE), -1, 2**64))
@@ -40,12 +40,12 @@ def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def chunks(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of at most CHUNK_BYTES of text in that column, or of one row."""
+def chunks(batch: pa.RecordBatch, column: int, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``most`` bytes of text in that column, or of one row."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     lo, held = 0, 0
     for i, n in enumerate(sizes):
-        if i > lo and held + n > CHUNK_BYTES:
+        if i > lo and held + n > most:
             yield batch.slice(lo, i - lo)
             lo, held = i, 0
         held += n
