@@ -7,7 +7,6 @@ import zipfile
 from collections import defaultdict
 
 import numpy as np
-import pyarrow as pa
 import pytest
 
 from shelfspark.llm import components, ngram_join, url_filter, warc_zip
