@@ -300,6 +300,34 @@ def _(t):
 
 query("a12_corrupt_count", ("sidecars",), "SELECT count(*) FILTER (NOT json_valid(json)) AS corrupt FROM sidecars")(lambda t: library.corrupt_count(t.sidecars(), library.valid_sidecar(F.col("json"))))
 
+
+
+def _members(t: Tables) -> DataFrame:
+    return t.progress().select(F.expr("'job' || job || '.cbz'").alias("rel_path"), F.expr("if(done % 4 = 0, 'info.txt', 'p/' || lpad(cast(done as string), 3, '0') || if(done % 2 = 0, '.JPG', '.png'))").alias("member"))
+
+
+@query("a8_image_counts", ("progress",), "SELECT 'job' || job || '.cbz' AS rel_path, count(*) FILTER (done % 4 <> 0) AS images FROM progress GROUP BY job")
+def _(t):
+    return library.image_counts(_members(t).select("rel_path").distinct(), _members(t))
+
+
+query("w2_cover_member", ("progress",), "SELECT 'job' || job || '.cbz' AS rel_path, min('p/' || lpad(CAST(done AS VARCHAR), 3, '0') || CASE WHEN done % 2 = 0 THEN '.JPG' ELSE '.png' END) AS cover_member FROM progress WHERE done % 4 <> 0 GROUP BY job")(lambda t: library.cover_member(_members(t)))
+
+
+@query("f29_check_sidecars", ("sidecars",), "SELECT rel_path, json, json_valid(json) AS valid FROM sidecars")
+def _(t):
+    from shelfspark.sources.files import check_sidecars
+
+    return check_sidecars(t.sidecars())
+
+
+@query("x13_normalize_sidecars", ("sidecars",), "SELECT rel_path, CASE WHEN json_valid(json) THEN '{\"k\":' || json_extract_string(json, '$.k') || ',\"title\":\"s\",\"volume\":\"' || regexp_extract(rel_path, '/(.*)[.]ocr$', 1) || '\",\"title_uuid\":\"d37882d6-56df-58a8-a3ab-26bd84250631\"}' ELSE json END AS json FROM sidecars")
+def _(t):
+    from shelfspark.sources.files import normalize_sidecars
+
+    return normalize_sidecars(t.sidecars())
+
+
 # --- windows, top-k, sets ------------------------------------------------------------------
 
 query("w1_pending_queue", ("waiting",), "SELECT split_part(series, '/', 1) AS library, series, name, mtime, row_number() OVER (PARTITION BY split_part(series, '/', 1) ORDER BY mtime, series, name) AS position FROM waiting")(lambda t: library.pending_queue(_volumes(t)))
