@@ -118,7 +118,7 @@ def search(windows: Windows, words: np.ndarray, first: np.ndarray) -> tuple[list
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, ranges array<struct<start, end>> of hit words, items array<struct<item_id string, longest int>>.
 
-    One row per row of docs. Null text has no words, in documents and items alike; items without words match
+    One row per row of docs (with several blocks of items, one per id). Null text has no words, in documents and items alike; items without words match
     nothing; items that repeat an id are one item. An empty benchmark hits nothing. Other columns are ignored.
     """
     spark = docs.sparkSession

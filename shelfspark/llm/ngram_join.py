@@ -6,7 +6,8 @@ into groups twice:
 * For finding candidates, sets of a size band get k + 1 or more groups, k being the most
   tokens by which two linked sets of the band differ. At least one group is then
   the same in both, so sets that can link share a (group, content) key. Sets that
-  share keys form candidate groups. This stands in front of the R-tree because no
+  share keys form candidate groups. Tokens that many documents share stay out of
+  the keys as long as enough groups remain. This stands in front of the R-tree because no
   order of so many dimensions keeps distant points apart: a tree over all
   documents would compare nearly every leaf with every other.
 * For the join inside a candidate group, group counts are points of an R-tree.
@@ -44,6 +45,9 @@ HELD_KEYS, PARTITION_KEYS = 1_000_000, 1_000_000
 FILTER_BITS = 2**26
 #: Hash attempts of a set that leaves too many groups empty.
 SALTS = 4
+#: Tokens that so many documents of a task, and of the corpus, have count as common; no more than MOST_COMMON of them, the
+#: most frequent. Which tokens these are decides how many candidates there are, never which links are found.
+COMMON_IN_TASK, COMMON, MOST_COMMON = 4, 24, 65536
 #: Counts beyond this do not matter when the fullest groups are chosen.
 FULLEST = 6
 
@@ -86,18 +90,24 @@ def _bands(num: int, den: int, top: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return np.array(lows[:-1]), high, most, np.where(most == 0, 1, most + 2 + most * 2 // 5)
 
 
-def group_keys(tokens: np.ndarray, first: np.ndarray, num: int, den: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def group_keys(tokens: np.ndarray, first: np.ndarray, num: int, den: int, seed: int = 0, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(keys, text): the candidate keys of every non-empty set, and the number of its text.
 
     Of its groups a set names the fullest, down to the largest count that more than ``most`` groups have. Of two linked
     sets, take the one that stops at the larger count: one of its named groups is the same in the other set, which
-    names it too. So no link is missed, and groups of one or two common tokens are rarely keys.
+    names it too. So no link is missed, and groups of one or two tokens are rarely keys.
+
+    Without the tokens in ``common`` (sorted) two sets differ in no more, so the same holds; keys then skip passages that
+    many documents share. A set that has too few groups left names all of them and is also taken whole.
     """
     sizes = np.diff(first)
     if not len(tokens):
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     low, high, most, groups = _bands(num, den, 1 << int(sizes.max()).bit_length())
     band = np.searchsorted(low, sizes, "right") - 1
+    rare = np.ones(len(tokens), bool)
+    if common is not None and len(common):
+        rare = common[np.minimum(np.searchsorted(common, tokens), len(common) - 1)] != tokens
     keys, texts = [], []
     for back in range(len(low)):  # the set's own band, and those below from which a link can reach it
         at = np.flatnonzero((sizes > 0) & (band - back >= 0))
@@ -113,6 +123,8 @@ def group_keys(tokens: np.ndarray, first: np.ndarray, num: int, den: int, seed:
             n = sizes[at]
             pick = np.repeat(first[at] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
             of = np.repeat(np.arange(len(at)), n)
+            if salt < SALTS // 2:
+                pick, of = pick[rare[pick]], of[rare[pick]]
             h = mix(tokens[pick] ^ (_ODD[20 + salt] + np.uint64(seed) * _ODD[34]))
             slot = base[of] + (((h >> np.uint64(32)) * m[of].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
             content = np.zeros(base[-1], np.uint64)
@@ -244,10 +256,19 @@ def _edges(a, b) -> pa.RecordBatch:
 
 
 def _prints(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n, key_a, key_b: the size and the fingerprint of every document's token set."""
+    """doc_id, n, key_a, key_b: the size and the fingerprint of every document's token set. Rows with a null n hold a token
+    (key_a) that documents of one task share, and in how many (key_b)."""
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key_a", pa.int64()), ("key_b", pa.int64())])
 
     def run(batches):
+        seen, held = [], 0
+
+        def shared():
+            tokens, often = np.unique(np.concatenate(seen), return_counts=True)
+            take = often >= COMMON_IN_TASK
+            none = pa.nulls(int(take.sum()), pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, pa.array(tokens[take].view(np.int64)), pa.array(often[take], pa.int64())], schema=schema)
+
         for batch in batches:
             for part in chunks(batch, 1):
                 tokens, first = token_sets(part.column(1), width)
@@ -258,16 +279,31 @@ def _prints(docs: DataFrame, width: int) -> DataFrame:
                     if len(full):
                         out[full] = np.add.reduceat(mix(tokens ^ _ODD[50 + k]), first[full])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64))], schema=schema)
+                seen.append(tokens)
+                held += len(tokens)
+                if held >= 2 * HELD_KEYS:
+                    yield shared()
+                    seen, held = [], 0
+        if held:
+            yield shared()
 
     return stored(map_arrow(docs, run, "doc_id long, n long, key_a long, key_b long"), "ngram-prints")
 
 
-def _shared_keys(docs: DataFrame, width: int, num: int, den: int, buckets: int, seed: int = 0) -> DataFrame:
+def _common_tokens(prints: DataFrame) -> np.ndarray:
+    """The common tokens, sorted: MOST_COMMON numbers at most."""
+    counts = prints.where("n is null").groupBy("key_a").agg(F.sum("key_b").alias("documents")).where(F.col("documents") >= COMMON)
+    top = counts.orderBy(F.desc("documents"), "key_a").limit(MOST_COMMON).select("key_a").collect()
+    return np.sort(np.array([r["key_a"] for r in top], np.int64).view(np.uint64))
+
+
+def _shared_keys(docs: DataFrame, width: int, num: int, den: int, buckets: int, common: np.ndarray, seed: int = 0) -> DataFrame:
     """Edges (a, b) between ids of docs(doc_id, text, group) whose sets share a candidate key and whose groups are the same.
 
     A task folds the keys that it holds to one id each and passes edges for the others on; keys then meet by bucket.
     """
     schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary())])
+    sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def spread(batches):
         keys, ids, held = [], [], 0
@@ -292,7 +328,7 @@ def _shared_keys(docs: DataFrame, width: int, num: int, den: int, buckets: int,
         for batch in batches:
             for part in chunks(batch, 1):
                 tokens, first = token_sets(part.column(1), width)
-                own, text = group_keys(tokens, first, num, den, seed)
+                own, text = group_keys(tokens, first, num, den, seed, sent.value)
                 own = own ^ mix(part.column(2).to_numpy(zero_copy_only=False)[text].view(np.uint64))
                 named = part.column(0).is_valid().to_numpy(zero_copy_only=False)[text]
                 keys.append(own[named])
@@ -419,9 +455,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5,
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (20 * PARTITION_KEYS)))
-    own = _prints(rows, width)
+    prints = _prints(rows, width)
+    own, common = prints.where("n is not null"), _common_tokens(prints)
     keys = ["key_a", "key_b", "n"]
-    groups = connected_components(_shared_keys(rows.withColumn("group", F.lit(0).cast("long")), width, num, den, buckets), "ngram-groups").withColumnRenamed("component", "group")
+    groups = connected_components(_shared_keys(rows.withColumn("group", F.lit(0).cast("long")), width, num, den, buckets, common), "ngram-groups").withColumnRenamed("component", "group")
     # one point for each distinct set; equal sets have equal keys, so they are always in one group
     points = stored(own.join(groups, own["doc_id"] == groups["id"]).groupBy(*keys).agg(F.min("doc_id").alias("id"), F.min("group").alias("group")), "ngram-points")
 
@@ -447,7 +484,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5,
     if large.limit(1).count():
         # common passages can chain unlike sets; those that link share keys under every hash
         again = large.select(F.col("id").alias("doc_id"), "text", "group")
-        split = several(connected_components(_shared_keys(again, width, num, den, buckets, 1), "ngram-split").withColumnRenamed("component", "group"))
+        split = several(connected_components(_shared_keys(again, width, num, den, buckets, common, 1), "ngram-split").withColumnRenamed("component", "group"))
         parts = stored(split.join(large.select("id", "text"), "id").select("group", "members", "id", "text"), "ngram-parts")
         links = links.unionByName(links_of(parts.where(F.col("members") <= BLOCK), "ngram-part-links"))
         large = parts.where(F.col("members") > BLOCK)

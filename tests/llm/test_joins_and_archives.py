@@ -88,8 +88,10 @@ def test_every_link_shares_a_key():
                 if den * both < num * (len(other) + n - both):
                     continue
                 flat = np.concatenate([tokens, np.array(sorted(other), np.uint64)])
-                keys, text = ngram_join.group_keys(flat, np.array([0, n, len(flat)]), num, den)
-                assert {*keys[text == 0].tolist()} & {*keys[text == 1].tolist()}
+                for share in (0, 0.5, 0.9, 1):
+                    common = np.unique(r.sample(flat.tolist(), int(share * len(flat)))).astype(np.uint64)
+                    keys, text = ngram_join.group_keys(flat, np.array([0, n, len(flat)]), num, den, 0, common)
+                    assert {*keys[text == 0].tolist()} & {*keys[text == 1].tolist()}
 
 
 def test_tree_bound_never_loses_a_pair():
