@@ -18,9 +18,8 @@ import hashlib
 import json
 import os
 import re
-from collections import ChainMap
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +31,11 @@ from shelfspark.llm.shared import table
 from shelfspark.shipping import map_arrow
 
 #: Characters that one call of the library gets, which bounds its memory; longer texts are cut where no match can cross.
-CALL_CHARS = 400_000
+CALL_CHARS = 1_000_000
 #: Up to here (Latin Extended-B) the regex package agrees with the library on letters, digits and spaces; beyond, Unicode versions differ, and the library splits.
 LATIN_END = "\u024f"
 #: Distinct matches that a worker remembers.
-KEPT_MATCHES = 300_000
+KEPT_MATCHES = 50_000
 _CUT = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
 
 
@@ -53,9 +52,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def tokenizer_json(ranks: dict[bytes, int], pattern: str) -> str:
-    """A tokenizer of the library that merges by these ranks inside one match, and the pattern of the matches, as text."""
-    from tokenizers import Tokenizer, models, pre_tokenizers
-
+    """What a tokenizer of the library needs to merge by these ranks inside one match, and the pattern of the matches, as text."""
     chars = byte_characters()
     written = {token: "".join(chars[b] for b in token) for token in ranks}
     merges = [
@@ -64,20 +61,22 @@ def tokenizer_json(ranks: dict[bytes, int], pattern: str) -> str:
         for i in range(1, len(token))
         if token[:i] in ranks and token[i:] in ranks
     ]
-    made = Tokenizer(models.BPE(vocab={written[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
-    made.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-    return json.dumps([pattern, made.to_str()])
+    return json.dumps([pattern, {written[t]: r for t, r in ranks.items()}, merges])
 
 
 @functools.lru_cache(maxsize=2)
 def _loaded(spec: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores belong to Spark's tasks
-    from tokenizers import Regex, Tokenizer, pre_tokenizers
+    from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
-    pattern, made = json.loads(spec)
-    made = Tokenizer.from_str(made)
+    pattern, vocab, merges = json.loads(spec)
     of = {c: b for b, c in enumerate(byte_characters())}
-    table = {i: bytes(of[c] for c in token) for token, i in made.get_vocab().items()}
+    table = [b""] * (max(vocab.values()) + 1)
+    for token, i in vocab.items():
+        table[i] = bytes(of[c] for c in token)
+    # matches come once each, so the library's own cache would only cost time
+    made = Tokenizer(models.BPE(vocab=vocab, merges=[tuple(m) for m in merges], ignore_merges=True, cache_capacity=0))
+    made.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
     simple, split = regex.compile(pattern), pre_tokenizers.Split(Regex(pattern), "isolated")
 
     def matches(text: str) -> list[str]:
@@ -85,7 +84,7 @@ def _loaded(spec: str):
             return simple.findall(text)
         return [piece for piece, _ in split.pre_tokenize_str(text)]
 
-    return made, [table.get(i, b"") for i in range(max(table) + 1)], matches, ({}, {})
+    return made, table, matches, ({}, {}), np.array([len(t) for t in table])
 
 
 def _pieces(text: str) -> list[str]:
@@ -106,31 +105,44 @@ def encode_texts(spec: str, texts: list[str], offsets: bool) -> Iterator[tuple[n
     Matches are encoded separately, so each distinct match of about CALL_CHARS characters goes to the library once;
     short ones are remembered for later calls, up to KEPT_MATCHES of them.
     """
-    tokenizer, _, matches, caches = _loaded(spec)
+    tokenizer, _, matches, caches, lengths = _loaded(spec)
     kept = caches[offsets]
-    call = tokenizer.encode_batch if offsets else tokenizer.encode_batch_fast
 
-    def flush(held: list[list[list[str]]]):
-        if len(kept) > KEPT_MATCHES:
+    def flush(held: list[list[str]]):
+        distinct = set(chain.from_iterable(held))
+        if len(kept) > KEPT_MATCHES:  # what this call needs again stays
+            used = {w: kept[w] for w in distinct if w in kept}
             kept.clear()
-        new = [w for w in {w for pieces in held for words in pieces for w in words} if w not in kept]
-        got = [(tuple(e.ids), e.offsets if offsets else None) for e in call(new, add_special_tokens=False)]
-        known = ChainMap(dict(zip(new, got, strict=True)), kept) if any(len(w) > 64 for w in new) else kept
-        kept.update((w, g) for w, g in zip(new, got, strict=True) if len(w) <= 64)
-        for pieces in held:
-            words = list(chain.from_iterable(pieces))
-            found = list(map(known.__getitem__, words))
-            ids = np.fromiter(chain.from_iterable([f[0] for f in found]), dtype=np.uint32)
-            spans, at = [], 0
+            kept.update(used)
+        new = list(distinct.difference(kept))
+        if new:
+            # one sequence with a word for each match
             if offsets:
-                for word, (_, inner) in zip(words, found, strict=True):
-                    spans += [(a + at, b + at) for a, b in inner]
-                    at += len(word)
-            yield ids, spans
+                made = tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
+                ids, spans = made.ids, made.offsets
+            else:
+                ids, spans = tokenizer.encode_batch_fast([new], is_pretokenized=True, add_special_tokens=False)[0].ids, None
+            # the tokens of a match have its bytes
+            done = np.cumsum(lengths[ids])
+            ends = [0, *(np.searchsorted(done, np.cumsum([len(w.encode()) for w in new])) + 1).tolist()]
+            kept.update(zip(new, [(tuple(ids[x:y]), spans[x:y]) if offsets else tuple(ids[x:y]) for x, y in pairwise(ends)], strict=True))
+        for words in held:
+            found = map(kept.__getitem__, words)
+            if not offsets:
+                yield np.fromiter(chain.from_iterable(found), dtype=np.uint32), []
+                continue
+            ids, spans, at = [], [], 0
+            for word, (own, inner) in zip(words, found, strict=True):
+                ids += own
+                spans += [(a + at, b + at) for a, b in inner]
+                at += len(word)
+            yield np.array(ids, dtype=np.uint32), spans
+        for long in [w for w in new if len(w) > 64]:
+            del kept[long]
 
     held, chars = [], 0
     for text in texts:
-        held.append([matches(piece) for piece in _pieces(text)])
+        held.append(list(chain.from_iterable(map(matches, _pieces(text)))))
         chars += len(text)
         if chars >= CALL_CHARS:
             yield from flush(held)
@@ -139,9 +151,15 @@ def encode_texts(spec: str, texts: list[str], offsets: bool) -> Iterator[tuple[n
         yield from flush(held)
 
 
+def forget(spec: str) -> None:
+    """Drops the remembered matches; called when a task ends, as Spark keeps the worker."""
+    for kept in _loaded(spec)[3]:
+        kept.clear()
+
+
 def decode_ids(spec: str, ids) -> bytes:
     byte_of = _loaded(spec)[1]
-    return b"".join([byte_of[i] for i in ids])
+    return b"".join(map(byte_of.__getitem__, ids))
 
 
 def encode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = True) -> DataFrame:
@@ -161,6 +179,7 @@ def encode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "
                 if offsets:
                     columns += [pa.array([[s[k] for s in spans] for _, spans in got], pa.list_(pa.int32())) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "n_tokens", "starts", "ends"][: len(columns)])
+        forget(shared.value)
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -211,6 +230,7 @@ def digests(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str =
                 if with_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(np.concatenate(all_ids))))
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
+        forget(shared.value)
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
