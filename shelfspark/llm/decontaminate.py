@@ -9,7 +9,8 @@ matches, and the matched places become word ranges of the document.
 A window is 10 consecutive words of an item; an item with fewer words is one
 window. The benchmark is the stated query set: its size is measured, and it is
 searched in blocks of at most BLOCK_BYTES, each sent to the executors by
-broadcast. Map-only for one block; the documents are never shuffled.
+broadcast. Map-only for one block; for several the rows are stored once with a
+key of their own, and only what the blocks find is shuffled, by that key.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm.shared import table
+from shelfspark.llm.shared import stored, table
 from shelfspark.llm.words import NOT_ALNUM, chunks, word_hashes
 from shelfspark.shipping import map_arrow
 
@@ -118,7 +119,7 @@ def search(windows: Windows, words: np.ndarray, first: np.ndarray) -> tuple[list
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, ranges array<struct<start, end>> of hit words, items array<struct<item_id string, longest int>>.
 
-    One row per row of docs (with several blocks of items, one per id). Null text has no words, in documents and items alike; items without words match
+    One row per row of docs, whatever its id. Null text has no words, in documents and items alike; items without words match
     nothing; items that repeat an id are one item. An empty benchmark hits nothing. Other columns are ignored.
     """
     spark = docs.sparkSession
@@ -126,8 +127,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-size // block_bytes))
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    schema = f"doc_id {kind}, n_words long, ranges array<struct<start:int,end:int>>, items array<struct<item_id:string,longest:int>>"
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (F.lit(0).cast("long") if blocks == 1 else F.monotonically_increasing_id()).alias("row"))
+    if blocks > 1:
+        rows = stored(rows, "contamination-rows")  # ids may repeat; every block must see the same key of a row
+    schema = f"row long, doc_id {kind}, n_words long, ranges array<struct<start:int,end:int>>, items array<struct<item_id:string,longest:int>>"
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     named = pa.list_(pa.struct([("item_id", pa.string()), ("longest", pa.int32())]))
 
@@ -148,25 +151,28 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
                             name = windows.items[item]
                             merged[name] = max(merged.get(name, 0), length)
                         best.append([{"item_id": k, "longest": v} for k, v in merged.items()])
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(first), pa.int64()), pa.array([[{"start": a, "end": b} for a, b in r] for r in ranges], spans), pa.array(best, named)], names=["doc_id", "n_words", "ranges", "items"])
+                    found = pa.RecordBatch.from_arrays([part.column(2), part.column(0), pa.array(np.diff(first), pa.int64()), pa.array([[{"start": a, "end": b} for a, b in r] for r in ranges], spans), pa.array(best, named)], names=["row", "doc_id", "n_words", "ranges", "items"])
+                    yield found if b == 0 else found.filter(pa.array([bool(r) for r in ranges], pa.bool_()))  # the first block brings every row
 
         return map_arrow(rows, run, schema)
 
     if blocks == 1:
-        return block(0)
+        return block(0).drop("row")
     return _merged(reduce(DataFrame.unionAll, [block(b) for b in range(blocks)]))
 
 
 def _merged(parts: DataFrame) -> DataFrame:
-    """Results of several blocks of items as one row per id; the parts of a document are as many as the blocks. Rows that repeat an id become one."""
+    """Results of several blocks of items as one row per row of docs; its parts are at most as many as the blocks."""
 
     def merge(acc, r):
         last = F.try_element_at(acc, F.lit(-1))
         longer = F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], r["end"]).alias("end")))
         return F.when((F.size(acc) > 0) & (last["end"] >= r["start"]), F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), longer)).otherwise(F.concat(acc, F.array(r)))
 
-    once = parts.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_set("ranges"))).alias("ranges"), F.flatten(F.collect_set("items")).alias("items"))
-    return once.select("doc_id", "n_words", F.aggregate("ranges", F.array().cast("array<struct<start:int,end:int>>"), merge).alias("ranges"), "items")
+    once = parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("ranges"))).alias("ranges"), F.array_sort(F.flatten(F.collect_list("items"))).alias("items"))
+    # texts of one item may be in several blocks: of its entries, sorted by length, the last
+    longest = F.filter("items", lambda x, i: (i == F.size("items") - 1) | ~F.get("items", i + 1)["item_id"].eqNullSafe(x["item_id"]))
+    return once.select("doc_id", "n_words", F.aggregate("ranges", F.array().cast("array<struct<start:int,end:int>>"), merge).alias("ranges"), longest.alias("items"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

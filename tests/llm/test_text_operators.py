@@ -175,6 +175,23 @@ def test_contamination_equals_brute_force(spark, make, block_bytes):
     assert {row["doc_id"] for row in kept.collect()} == {i for i, t in pairs if not brute_hits(t, items)[1]}
 
 
+@pytest.mark.parametrize("block_bytes", [16_000_000, 60])
+def test_contamination_decides_each_row(spark, make, block_bytes):
+    r = random.Random(12)
+    items = [(i, " ".join(r.choice("abc") for _ in range(r.choice([2, 5, 11, 30])))) for i in range(8)]
+    items += [(i, " ".join(r.choice("abc") for _ in range(12))) for i in (0, 1, 2, 3, None, None)]
+    pairs = [(r.choice([None, 1, 2, 3]), " ".join(r.choice("abcd") for _ in range(r.randrange(60)))) for _ in range(40)]
+    pairs += pairs[:3] + [(7, items[0][1] + " x " + items[8][1]), (None, None), (None, ""), (None, "none of it")]
+    bench = spark.createDataFrame(items, "item_id int, text string")
+    found = decontaminate.find_contamination(make(*pairs), bench, block_bytes=block_bytes).collect()
+    ordered = lambda ids: sorted(ids, key=str)
+    got = [(row["doc_id"], row["n_words"], [x for s in row["ranges"] for x in range(s["start"], s["end"])], ordered(x["item_id"] for x in row["items"])) for row in found]
+    wanted = [(i, *brute_hits(t, items)) for i, t in pairs]
+    assert sorted(map(str, got)) == sorted(str((i, n, hit, ordered(None if x is None else str(x) for x in names))) for i, n, hit, names in wanted)
+    best = {x["item_id"]: x["longest"] for row in found if row["doc_id"] == 7 for x in row["items"]}
+    assert best["0"] == max(len(t.split()) for i, t in items if i == 0)
+
+
 def test_longest_matches(spark, make):
     bench = spark.createDataFrame([("q", " ".join(f"w{i}" for i in range(40)))], "item_id string, text string")
     text = "x " + " ".join(f"w{i}" for i in range(5, 30)) + " y " + " ".join(f"w{i}" for i in range(12))
