@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm.shared import stored, table
+from shelfspark.llm.shared import numbered, stored, table
 from shelfspark.llm.words import NOT_ALNUM, chunks, word_hashes
 from shelfspark.shipping import map_arrow
 
@@ -175,10 +175,11 @@ def _merged(parts: DataFrame) -> DataFrame:
     return once.select("doc_id", "n_words", F.aggregate("ranges", F.array().cast("array<struct<start:int,end:int>>"), merge).alias("ranges"), longest.alias("items"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without any benchmark window; all columns stay."""
-    hit = find_contamination(docs, benchmark, id_col, text_col).where(F.size("ranges") > 0).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hit, docs[id_col].eqNullSafe(hit["__hit"]), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs without any benchmark window; all columns stay. Rows are decided one by one, whatever their ids."""
+    rows = numbered(docs, "contamination-docs")
+    hit = find_contamination(rows, benchmark, "__row", text_col, block_bytes=block_bytes).where(F.size("ranges") > 0).select(F.col("doc_id").alias("__row"))
+    return rows.join(hit, "__row", "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

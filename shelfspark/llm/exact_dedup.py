@@ -17,11 +17,13 @@ the shuffle, and the probe is a plain equi-join that Spark splits when skewed.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from shelfspark.llm.shared import stored, table
+from shelfspark.llm.shared import numbered, stored, table
 
 #: Deepest directory: at most 2**MAX_DEPTH slots, whatever the corpus, so that the directory may be broadcast.
 MAX_DEPTH = 16
@@ -53,15 +55,15 @@ def build_directory(keys: DataFrame, capacity: int = 4096) -> tuple[DataFrame, i
     return slots, depth
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, also: Sequence[str] = ()) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, bucket, chain_pos.
 
     Null text counts as empty, empty texts are copies of each other; a null id sorts last and is never kept
     while another id of its group exists. Rows that repeat an id with the same text count in group_size and
-    get the same decision. Other columns are ignored; an empty table gives an empty result.
+    get the same decision. Columns named in ``also`` come last, other ones are ignored; an empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
-    slim = stored(rows.select("doc_id", F.xxhash64("norm").alias("h"), F.unhex(F.sha2("norm", 256)).alias("sha")), "dedup-keys")
+    rows = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"), *also)
+    slim = stored(rows.select("doc_id", F.xxhash64("norm").alias("h"), F.unhex(F.sha2("norm", 256)).alias("sha"), *also), "dedup-keys")
     slots, depth = build_directory(slim, capacity)
     slot = F.shiftrightunsigned("h", 64 - depth) if depth else F.lit(0).cast("long")
     owned = rows.groupBy(F.xxhash64("norm").alias("h"), "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
@@ -69,13 +71,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     chained = entries.withColumn("chain_pos", F.row_number().over(Window.partitionBy("bucket", "h").orderBy(F.col("keep_id").asc_nulls_last())))
     index = stored(chained.select("bucket", "h", "sha", "keep_id", "group_size", "chain_pos").repartitionByRange("bucket", "h").sortWithinPartitions("bucket", "h"), "dedup-index")
     found = slim.join(index, ["h", "sha"])
-    return found.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "bucket", "chain_pos")
+    return found.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "bucket", "chain_pos", *also)
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose text has no copy with a smaller id; all columns stay."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__keep"]), "left_semi")
+    """One row of docs for each text, of those with its smallest id; all columns stay. Rows are decided one by one, so an id may repeat or be null."""
+    rows = numbered(docs, "dedup-rows")
+    kept = exact_groups(rows, id_col, text_col, also=["__row"]).where("kept").groupBy("text_sha256").agg(F.min("__row").alias("__row"))
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

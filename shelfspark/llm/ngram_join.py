@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.llm.components import connected_components, forest
-from shelfspark.llm.shared import stored, table
+from shelfspark.llm.shared import numbered, stored, table
 from shelfspark.llm.words import SPACES, chunks, mix, word_hashes
 from shelfspark.shipping import map_arrow
 
@@ -497,9 +497,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5,
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that have the smallest id of their component; all columns stay."""
-    gone = near_duplicates(docs, width, num, den, id_col, text_col).where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    """One row of docs for each component, of those with its smallest id; all columns stay.
+
+    Rows are compared one by one, so an id may repeat. Rows without an id or without words link with nothing and stay.
+    """
+    rows = numbered(docs, "ngram-rows")
+    named = near_duplicates(rows.where(F.col(id_col).isNotNull()), width, num, den, "__row", text_col).where("component_id is not null").select(F.col("doc_id").alias("__row"), "component_id")
+    members = stored(named.join(rows.select("__row", F.col(id_col).cast("long").alias("id")), "__row"), "ngram-members")
+    kept = members.groupBy("component_id").agg(F.min(F.struct("id", "__row")).alias("least")).select(F.col("least.__row").alias("__row"))
+    return rows.join(members.select("__row").join(kept, "__row", "left_anti"), "__row", "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,6 +40,11 @@ def test_empty_repeated_and_null_ids(make):
     assert left.columns == make().columns and {r["doc_id"] for r in left.collect()} == {k[1] for k in brute(PAIRS)}
 
 
+def test_one_row_of_each_text_stays(make):
+    left = exact_dedup.drop_copies(make((1, "a"), (1, "a"), (2, "b"), (3, "b"), (3, "c"), (None, "a"), (None, "d"), (None, "d"), (None, None))).collect()
+    assert sorted(str((r["doc_id"], r["text"])) for r in left) == sorted(map(str, [(1, "a"), (2, "b"), (3, "c"), (None, "d"), (None, None)]))
+
+
 def test_shards_follow_the_key_law(make):
     pairs = [(i, "t" * (i % 7)) for i in range(600)] + [(None, None), (5, "again")]
     got = sharding.assign_shards(make(*pairs), [1.0] * 24, [1.0] * 25).collect()

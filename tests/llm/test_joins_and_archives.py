@@ -76,6 +76,12 @@ def test_repeats_nulls_and_no_rows(make):
     assert sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, 2, 9] and kept.columns == make().columns
 
 
+def test_one_row_of_each_component_stays(make):
+    one, near, other = "a b c d e f g h i j k l m n o p", "a b c d e f g h i j k l m n o q", "r s t u v w x"
+    left = ngram_join.drop_near_copies(make((4, one), (4, one), (3, near), (5, other), (3, other), (3, None), (3, None), (None, other))).collect()
+    assert sorted(str((r["doc_id"], r["text"])) for r in left) == sorted(map(str, [(3, near), (3, other), (3, None), (3, None), (None, other)]))
+
+
 def test_every_link_shares_a_key():
     r = random.Random(8)
     for num, den in ((85, 100), (4, 5)):

@@ -192,6 +192,15 @@ def test_contamination_decides_each_row(spark, make, block_bytes):
     assert best["0"] == max(len(t.split()) for i, t in items if i == 0)
 
 
+@pytest.mark.parametrize("block_bytes", [16_000_000, 4])
+def test_clean_rows_stay_beside_contaminated_ones_of_their_id(spark, make, block_bytes):
+    bench = spark.createDataFrame([(1, "zz yy"), (2, "qq")], "item_id int, text string")
+    docs = make((1, "a zz yy"), (1, "a"), (1, "a"), (None, "qq"), (None, "b"), (None, None))
+    kept = decontaminate.drop_contaminated(docs, bench, block_bytes=block_bytes)
+    assert kept.columns == docs.columns
+    assert sorted(str((r["doc_id"], r["text"])) for r in kept.collect()) == sorted(map(str, [(1, "a"), (1, "a"), (None, "b"), (None, None)]))
+
+
 def test_longest_matches(spark, make):
     bench = spark.createDataFrame([("q", " ".join(f"w{i}" for i in range(40)))], "item_id string, text string")
     text = "x " + " ".join(f"w{i}" for i in range(5, 30)) + " y " + " ".join(f"w{i}" for i in range(12))
