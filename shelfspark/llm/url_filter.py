@@ -42,13 +42,18 @@ def list_keys(url: Column) -> Column:
     return F.when(host.isNull(), F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(domains, F.when(path == "", F.array().cast("array<string>")).otherwise(prefixes))))
 
 
+def entry_key(key: Column) -> Column:
+    """The key of a list entry as ``list_keys`` writes it: in a prefix, runs of slashes are one and none is at its end."""
+    return F.when(F.startswith(key, F.lit("p:")), F.regexp_replace(F.regexp_replace(key, "/+", "/"), r"/\z", "")).otherwise(key)
+
+
 def validity_intervals(entries: DataFrame) -> DataFrame:
     """(list_name, key, valid_from, valid_to) from (list_name, key, action, effective): active from an add until the next entry.
 
     Times are epoch seconds; an open end is null. Of entries with one time, a remove wins. Rows with a null key,
-    list, time or another action are ignored; repeated rows count once.
+    list, time or another action are ignored; repeated rows count once. Keys come out as ``list_keys`` writes them.
     """
-    clean = entries.where(F.col("action").isin("add", "remove") & F.col("key").isNotNull() & F.col("list_name").isNotNull() & F.col("effective").isNotNull())
+    clean = entries.where(F.col("action").isin("add", "remove") & F.col("key").isNotNull() & F.col("list_name").isNotNull() & F.col("effective").isNotNull()).withColumn("key", entry_key(F.col("key")))
     one = clean.groupBy("list_name", "key", "effective").agg(F.max("action").alias("action"))
     after = F.lead("effective").over(Window.partitionBy("list_name", "key").orderBy("effective"))
     return one.select("list_name", "key", "action", F.col("effective").alias("valid_from"), after.alias("valid_to")).where(F.col("action") == "add").drop("action")

@@ -226,6 +226,13 @@ def test_url_lists_equal_brute_force(spark):
     assert not any(x["blocked"] for x in url_filter.evaluate(c, e.limit(0)).collect())
 
 
+def test_entries_with_several_slashes_match(spark):
+    c = spark.createDataFrame([(1, "http://h.org/a//b/c", 50), (2, "http://h.org/a/b", 50), (3, "http://h.org/ab", 50)], "capture_id long, url string, fetched long")
+    e = spark.createDataFrame([("l", "p:h.org/a//b/", "add", 10)], "list_name string, key string, action string, effective long")
+    got = {r["capture_id"]: (r["blocked"], r["rules"]) for r in url_filter.evaluate(c, e).collect()}
+    assert got == {1: (True, "l/p:h.org/a/b"), 2: (True, "l/p:h.org/a/b"), 3: (False, "")}
+
+
 # --- pipeline ------------------------------------------------------------------------------------
 
 
