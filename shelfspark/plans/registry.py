@@ -417,7 +417,7 @@ def _(t):
 
 @query("x18_audit_target", ("requests",), f"SELECT request_id, CASE {_TYPE} WHEN 'library' THEN 'library' WHEN 'progress' THEN 'progress' ELSE 'webdav' END AS target_type, path AS target_path FROM requests")
 def _(t):
-    relative = F.when(paths.is_library_path(F.col("path")), F.substring("path", 9, 10000))
+    relative = F.when(paths.is_library_path(F.col("path")), F.substring("path", 9, 2**31 - 1))
     return t.requests().select("request_id", audit.audit_target(relative, F.col("path")).alias("a")).select("request_id", "a.*")
 
 

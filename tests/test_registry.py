@@ -41,3 +41,10 @@ def test_entry(spark):
     queries, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(queries) and set(registry.QUERIES) <= set(queries)
     assert entry.entry(spark).count() > 0
+
+
+def test_long_library_paths_stay_whole(spark, monkeypatch):
+    path = "/reader/" + "a" * 12_000 + ".cbz"
+    rows = spark.createDataFrame([(1, path)], "request_id long, path string")
+    monkeypatch.setattr(registry.Tables, "requests", lambda self: rows)
+    assert registry.QUERIES["x18_audit_target"](spark, SMALL).collect()[0]["target_path"] == path
