@@ -1,4 +1,7 @@
 import os
+import shutil
+import subprocess
+import sys
 
 import pytest
 
@@ -48,3 +51,14 @@ def test_long_library_paths_stay_whole(spark, monkeypatch):
     rows = spark.createDataFrame([(1, path)], "request_id long, path string")
     monkeypatch.setattr(registry.Tables, "requests", lambda self: rows)
     assert registry.QUERIES["x18_audit_target"](spark, SMALL).collect()[0]["target_path"] == path
+
+
+@pytest.mark.parametrize("gone", [["shelfspark/llm"], ["shelfspark/llm", "corpus_pipeline.py"]])
+def test_the_rest_works_without_the_llm_subpackage(tmp_path, gone):
+    top = os.path.dirname(os.path.abspath(entry.__file__))
+    shutil.copytree(f"{top}/shelfspark", tmp_path / "shelfspark", ignore=lambda folder, names: [n for n in names if n == "__pycache__" or os.path.relpath(f"{folder}/{n}", top) in gone])
+    for name in {"__spark_entry__.py", "corpus_pipeline.py"} - set(gone):
+        if os.path.exists(f"{top}/{name}"):
+            shutil.copy(f"{top}/{name}", tmp_path)
+    code = "import __spark_entry__ as e; print(sorted(e.queries()) == sorted(e.registry.QUERIES), len(e.oracle_sql()) == len(e.registry.ORACLES))"
+    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True).stdout.split() == ["True", "True"]
