@@ -28,14 +28,7 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
-#: Rows of an Arrow batch; rows may be whole texts, and workers hold a batch in memory.
-BATCH_ROWS = "2000"
-
-
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:
-    """df.mapInArrow with this package at hand in the workers, and smaller batches unless the session has its own size."""
+    """df.mapInArrow with this package at hand in the workers. Batches have the session's size in rows and bytes (Spark's own limit is 64 MB)."""
     ship(df.sparkSession)
-    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if df.sparkSession.conf.get(size, "10000") == "10000":
-        df.sparkSession.conf.set(size, BATCH_ROWS)
     return df.mapInArrow(function, schema)
