@@ -1,20 +1,19 @@
 """Benchmark decontamination by suffix arrays of the training text.
 
-Every chunk of documents is a shard. Its suffix array holds the word positions
-that can start a window of some test item (a bitmap of the first words of all
-windows tells), sorted by the words that follow. Every test suffix is found by
-binary search; its matches are chained along the text into longest verbatim
-matches, and the matched places become word ranges of the document.
-
-A window is 10 consecutive words of an item; an item with fewer words is one
-window. The benchmark is the stated query set: its size is measured, and it is
-searched in blocks of at most BLOCK_BYTES, each sent to the executors by
-broadcast. Map-only for one block; for several the rows are stored once with a
-key of their own, and only what the blocks find is shuffled, by that key.
+The documents are dealt into shards of about SHARD_WORDS words. For every shard the suffix array of all its words is
+built (prefix doubling in numpy) and stored, with the words, in the shared folder. Every suffix of every test item is
+then looked up in every shard: its range of the array is narrowed word by word by binary search. A suffix whose range
+is not empty after a window's words occurs there; its range is narrowed on until the longest verbatim match with each
+document is known. Matched places become word ranges of the document, and affected documents can be dropped.
+
+A window is 10 consecutive words of an item; an item with fewer words is one window. The benchmark is the stated query
+set: its size is measured, and it is searched in blocks of at most BLOCK_BYTES, each sent to the executors by broadcast.
+Building and searching are map-only; only what is found is shuffled, by the row's own number.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -27,152 +26,322 @@ from shelfspark.llm.words import NOT_ALNUM, chunks, word_hashes
 from shelfspark.shipping import map_arrow
 
 WINDOW = 10
-BLOCK_BYTES = 16_000_000
-_BITS = 20
-_HEAD = 3
-_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+#: Text of test items that is broadcast at once; a word of it takes 10 to 20 bytes there.
+BLOCK_BYTES = 8_000_000
+#: Words of a shard. A document with more is cut into segments, which overlap by a window less one word.
+SHARD_WORDS = 2**19
+#: Places of matches that are listed at once.
+PLACES = 2**20
 
 
-def _heads(words: np.ndarray, at: np.ndarray | slice, q: int, n: int) -> np.ndarray:
-    """A slot of 2**_BITS for the q words from each of n positions."""
-    slot = np.zeros(n, np.uint64)
-    for k in range(q):
-        slot += (words[k : k + n] if isinstance(at, slice) else words[at + k]) * _MIX[k]
-    return (slot >> np.uint64(64 - _BITS)).astype(np.int64)
+# --- the suffix array of a shard ---------------------------------------------------
 
 
-class Windows:
-    """The distinct windows of a block of items, by length, and where each occurs in the items."""
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """The places of the words of text (numbers from 1; 0 ends a segment, and the text), ordered by the words from there to the segment's end; ties by place.
+
+    Prefix doubling: a round orders suffixes by twice as many words as the one before, and takes only those that are not
+    alone in their group yet.
+    """
+    stops = np.flatnonzero(text == 0)
+    places = np.flatnonzero(text)
+    left = np.zeros(len(text), np.int64)
+    left[places] = stops[np.searchsorted(stops, places)] - places
+    rank = np.zeros(len(text) + 1, np.int64)  # one more than the first place of the group in the order
+    live, base, key, depth = places, np.ones(len(places), np.int64), text[places].astype(np.int64), 0
+    while len(live):
+        order = np.argsort(key)
+        live, base, key = live[order], base[order], key[order]
+        begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        sizes = np.diff(np.r_[begin, len(live)])
+        old = np.flatnonzero(np.r_[True, base[1:] != base[:-1]])
+        own_old = old[np.searchsorted(old, begin, "right") - 1]
+        rank[live] = np.repeat(base[begin] + begin - own_old, sizes)
+        depth = 2 * depth or 1
+        more = np.logical_or.reduceat(left[live] > depth, begin)
+        live = live[np.repeat((sizes > 1) & more, sizes)]
+        base = rank[live]
+        key = (base << 32) | np.where(left[live] > depth, rank[np.minimum(live + depth, len(text))], 0)
+    return places[np.argsort(rank[places], kind="stable")]
+
+
+class Shard:
+    """The words of some segments, numbered within the shard, and their suffix array."""
+
+    def __init__(self, rows, starts, bounds, vocabulary, text, suffixes):
+        #: For each segment the row that it is of, its first word in the row's text, and its place in ``text``.
+        self.rows, self.starts, self.bounds = rows, starts, bounds
+        self.vocabulary, self.text, self.suffixes = vocabulary, text, suffixes
+
+    KINDS = (("rows", np.int64), ("starts", np.int64), ("bounds", np.int64), ("vocabulary", np.uint64), ("text", np.int32), ("suffixes", np.int32))
+
+    @classmethod
+    def of(cls, segments: list[tuple[int, int, np.ndarray]]) -> Shard:
+        """The shard of segments (row, first word, hashes of the words)."""
+        sizes = np.array([len(w) for _, _, w in segments])
+        vocabulary, number = np.unique(np.concatenate([w for _, _, w in segments]), return_inverse=True)
+        text = np.zeros(len(number) + len(segments), np.int32)
+        text[np.arange(len(number)) + np.repeat(np.arange(len(segments)), sizes)] = number + 1
+        bounds = np.r_[0, np.cumsum(sizes + 1)[:-1]]
+        return cls(np.array([r for r, _, _ in segments]), np.array([s for _, s, _ in segments]), bounds, vocabulary, text, suffix_array(text).astype(np.int32))
+
+    def packed(self) -> list[bytes]:
+        return [np.ascontiguousarray(getattr(self, name), kind).tobytes() for name, kind in self.KINDS]
+
+    @classmethod
+    def unpacked(cls, parts) -> Shard:
+        return cls(*[np.frombuffer(part, kind) for part, (_, kind) in zip(parts, cls.KINDS, strict=True)])
+
+    def narrow(self, lo: np.ndarray, hi: np.ndarray, depth, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each range [lo, hi) of suffixes that agree in ``depth`` words the part whose next word is this one."""
+        depth = np.broadcast_to(depth, lo.shape)
+        out = []
+        for right in (False, True):
+            a, b = (lo if not right else out[0]).copy(), hi.copy()
+            open_ = np.flatnonzero(a < b)
+            while len(open_):
+                middle = (a[open_] + b[open_]) >> 1
+                there = self.text[self.suffixes[middle] + depth[open_]]
+                before = there <= word[open_] if right else there < word[open_]
+                a[open_[before]] = middle[before] + 1
+                b[open_[~before]] = middle[~before]
+                open_ = open_[a[open_] < b[open_]]
+            out.append(a)
+        return out[0], out[1]
+
+
+# --- looking test suffixes up ---------------------------------------------------------
+
+
+class TestSuffixes:
+    """The suffixes of a block of test items; a suffix counts if a window begins with it."""
+
+    __test__ = False
 
     def __init__(self, item_ids: list, texts: list[str], window: int = WINDOW):
         words, first = word_hashes(pa.array(texts, pa.string()), NOT_ALNUM)
-        self.items, self.by_length = item_ids, []
-        starts: dict[int, list[np.ndarray]] = {}
-        owners: dict[int, list[np.ndarray]] = {}
-        for k in range(len(item_ids)):
-            n = first[k + 1] - first[k]
-            if n:
-                w = min(window, int(n))
-                at = np.arange(first[k], first[k + 1] - w + 1)
-                starts.setdefault(w, []).append(at)
-                owners.setdefault(w, []).append(np.full(len(at), k))
-        for w in starts:
-            at, owner = np.concatenate(starts[w]), np.concatenate(owners[w])
-            rows, which = np.unique(_rows(words, at, w), return_inverse=True)
-            order = np.argsort(which, kind="stable")
-            bitmap = np.zeros(2**_BITS, bool)
-            bitmap[_heads(words, at, min(w, _HEAD), len(at))] = True
-            self.by_length.append((w, rows, np.searchsorted(which[order], np.arange(len(rows) + 1)), owner[order], (at - first[owner])[order], bitmap))
-
-
-def _rows(words: np.ndarray, at: np.ndarray, w: int) -> np.ndarray:
-    """The w words from each position as one sortable byte string."""
-    return np.ascontiguousarray(words[at[:, None] + np.arange(w)].astype(">u8")).view(f"S{8 * w}").ravel()
-
-
-def search(windows: Windows, words: np.ndarray, first: np.ndarray) -> tuple[list[list[tuple[int, int]]], list[dict[int, int]]]:
-    """For each document its hit word ranges, merged, and the longest match (in words) with each item that has a window in it."""
-    docs = len(first) - 1
-    ranges: list[list[tuple[int, int]]] = [[] for _ in range(docs)]
-    longest: list[dict[int, int]] = [{} for _ in range(docs)]
-    left = np.repeat(first[1:], np.diff(first)) - np.arange(len(words)) if len(words) else np.empty(0, np.int64)
-    cover = np.zeros(len(words) + 1, np.int64)
-    for w, rows, occurs, owner, within, bitmap in windows.by_length:
-        q = min(w, _HEAD)
-        n = len(words) - w + 1
-        if n <= 0:
-            continue
-        suffixes = np.flatnonzero(bitmap[_heads(words, slice(None), q, n)] & (left[:n] >= w))
-        if not len(suffixes):
-            continue
-        keys = _rows(words, suffixes, w)
-        order = np.argsort(keys, kind="stable")
-        suffixes, keys = suffixes[order], keys[order]
-        lo, hi = np.searchsorted(keys, rows, "left"), np.searchsorted(keys, rows, "right")
-        pairs: dict[int, list[np.ndarray]] = {}
-        for u in np.flatnonzero(hi > lo):
-            at = suffixes[lo[u] : hi[u]]
-            np.add.at(cover, at, 1)
-            np.add.at(cover, at + w, -1)
-            for k in range(occurs[u], occurs[u + 1]):
-                pairs.setdefault(int(owner[k]), []).append(np.stack([at - within[k], at]))
-        for item, found in pairs.items():
-            diagonal, at = np.concatenate(found, axis=1)
-            order = np.lexsort((at, diagonal))
-            diagonal, at = diagonal[order], at[order]
-            doc = np.searchsorted(first, at, "right") - 1
-            new = np.flatnonzero(np.r_[True, (np.diff(diagonal) != 0) | (np.diff(at) != 1) | (np.diff(doc) != 0)])
-            runs = np.diff(np.r_[new, len(at)]) + w - 1
-            for d, length in zip(doc[new].tolist(), runs.tolist(), strict=True):
-                longest[d][item] = max(longest[d].get(item, 0), length)
-    hit = np.cumsum(cover)[:-1] > 0
-    if hit.any():
-        edge = np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8)))
-        cuts = np.unique(np.concatenate([edge, first[(first > edge[0]) & (first < edge[-1])]]))
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            if hit[a]:
-                d = int(np.searchsorted(first, a, "right")) - 1
-                ranges[d].append((a - int(first[d]), b - int(first[d])))
-    return ranges, longest
-
-
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, ranges array<struct<start, end>> of hit words, items array<struct<item_id string, longest int>>.
-
-    One row per row of docs, whatever its id. Null text has no words, in documents and items alike; items without words match
-    nothing; items that repeat an id are one item. An empty benchmark hits nothing. Other columns are ignored.
-    """
-    spark = docs.sparkSession
+        sizes = np.diff(first)
+        self.items = item_ids
+        self.distinct, number = np.unique(words, return_inverse=True)
+        self.number = number.astype(np.int32)
+        self.owner = np.repeat(np.arange(len(item_ids), dtype=np.int32), sizes)
+        self.end = first[1:].astype(np.int32)
+        self.need = np.minimum(window, sizes).astype(np.int32)
+
+
+def _expand(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which, at): all numbers of the ranges [lo, hi), and which range each is of."""
+    n = hi - lo
+    which = np.repeat(np.arange(len(lo)), n)
+    return which, np.arange(n.sum()) + np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) if len(lo) else which
+
+
+def _agree(a: np.ndarray, b: np.ndarray) -> int:
+    """How many words at the beginning are the same."""
+    at, step, n = 0, 64, min(len(a), len(b))
+    while at < n:
+        other = np.flatnonzero(a[at : min(n, at + step)] != b[at : min(n, at + step)])
+        if len(other):
+            return at + int(other[0])
+        at, step = at + step, 4 * step
+    return n
+
+
+class _Longest:
+    """The longest match, and its first place, for each (segment, item)."""
+
+    def __init__(self, items: int):
+        self.items, self.held, self.n = items, [], 0
+
+    def add(self, segment, item, length, place) -> None:
+        self.held.append(np.stack([segment.astype(np.int64) * self.items + item, -np.broadcast_to(length, segment.shape).astype(np.int64), place.astype(np.int64)]))
+        self.n += len(segment)
+        if self.n > 4 * PLACES:
+            self.held = [self.reduced()]
+            self.n = self.held[0].shape[1]
+
+    def reduced(self) -> np.ndarray:
+        if not self.held:
+            return np.empty((3, 0), np.int64)
+        rows = np.concatenate(self.held, axis=1)
+        rows = rows[:, np.lexsort((rows[2], rows[1], rows[0]))]
+        return rows[:, np.r_[True, rows[0, 1:] != rows[0, :-1]]]
+
+
+def search(shard: Shard, tests: TestSuffixes) -> tuple[np.ndarray, np.ndarray]:
+    """(ranges, matches) of one shard: columns (segment, start, end) of merged hit words, and columns (segment, item, longest, start)."""
+    none = np.empty((3, 0), np.int64), np.empty((4, 0), np.int64)
+    if not len(shard.suffixes) or not len(tests.number):
+        return none
+    at = np.minimum(np.searchsorted(shard.vocabulary, tests.distinct), len(shard.vocabulary) - 1)
+    words = np.where(shard.vocabulary[at] == tests.distinct, at + 1, -1).astype(np.int32)[tests.number]
+    place = np.arange(len(words))
+    end, need = tests.end[tests.owner], tests.need[tests.owner]
+    missing = np.r_[0, np.cumsum(words < 0)]
+    j = place[(end - place >= need)]
+    j = j[missing[j + need[j]] == missing[j]]
+    edge = np.r_[0, np.cumsum(np.bincount(shard.text[shard.suffixes], minlength=len(shard.vocabulary) + 1))]
+    lo, hi = edge[words[j]], edge[words[j] + 1]
+    for depth in range(1, int(tests.need.max())):
+        more = np.flatnonzero(need[j] > depth)
+        if len(more):
+            lo[more], hi[more] = shard.narrow(lo[more], hi[more], depth, words[j[more] + depth])
+        keep = lo < hi
+        j, lo, hi = j[keep], lo[keep], hi[keep]
+    if not len(j):
+        return none
+    # a window that many items share is one range
+    _, one = np.unique(lo * (int(need.max()) + 1) + need[j], return_index=True)
+    cover = np.zeros(len(shard.text) + 1, np.int64)
+    for k in range(0, len(one), 4096):
+        part = one[k : k + 4096]
+        which, at = _expand(lo[part], hi[part])
+        begins = shard.suffixes[at]
+        cover += np.bincount(begins, minlength=len(cover)) - np.bincount(begins + need[j[part]][which], minlength=len(cover))
+    hit = np.r_[False, np.cumsum(cover[:-1]) > 0, False]
+    turn = np.flatnonzero(hit[1:] != hit[:-1])
+    begin, stop = turn[::2], turn[1::2]
+    segment = np.searchsorted(shard.bounds, begin, "right") - 1
+    ranges = np.stack([segment, begin - shard.bounds[segment], stop - shard.bounds[segment]])
+
+    longest = _Longest(len(tests.items))
+
+    def record(j, lo, hi, depth):
+        cut = np.r_[0, np.flatnonzero(np.diff(np.cumsum(hi - lo) // PLACES)) + 1, len(lo)]
+        for x, y in zip(cut[:-1], cut[1:], strict=True):
+            for a in range(0, int((hi[x:y] - lo[x:y]).max(initial=0)), PLACES):
+                which, at = _expand(np.minimum(lo[x:y] + a, hi[x:y]), np.minimum(lo[x:y] + a + PLACES, hi[x:y]))
+                found = shard.suffixes[at]
+                longest.add(np.searchsorted(shard.bounds, found, "right") - 1, tests.owner[j[x:y]][which], depth[x:y][which], found)
+
+    depth, first = need[j].astype(np.int64), True
+    while len(j):
+        inside = np.flatnonzero(j + depth < end[j])
+        below, above = lo.copy(), lo.copy()
+        below[inside], above[inside] = shard.narrow(lo[inside], hi[inside], depth[inside], words[(j + depth)[inside]])
+        # where the suffix before this one, one word longer, occurs as often, its matches hold those of this one
+        held = np.r_[False, (j[1:] == j[:-1] + 1) & (tests.owner[j[1:]] == tests.owner[j[:-1]]) & ((above - below)[:-1] == (hi - lo)[1:])]
+        keep = ~held
+        j, lo, hi, below, above, depth = j[keep], lo[keep], hi[keep], below[keep], above[keep], depth[keep]
+        record(np.r_[j, j], np.r_[lo, above], np.r_[below, hi], np.r_[depth, depth])
+        keep = below < above
+        j, lo, hi, depth = j[keep], below[keep], above[keep], depth[keep] + 1
+        if not first:
+            alone = hi - lo == 1
+            for k in np.flatnonzero(alone).tolist():
+                depth[k] += _agree(words[j[k] + depth[k] : end[j[k]]], shard.text[shard.suffixes[lo[k]] + depth[k] :])
+            record(j[alone], lo[alone], hi[alone], depth[alone])
+            j, lo, hi, depth = j[~alone], lo[~alone], hi[~alone], depth[~alone]
+        first = False
+    key, length, found = longest.reduced()
+    segment = key // len(tests.items)
+    return ranges, np.stack([segment, key % len(tests.items), -length, found - shard.bounds[segment]])
+
+
+# --- the job ----------------------------------------------------------------------------
+
+
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_words: int = SHARD_WORDS, window: int = WINDOW) -> DataFrame:
+    """The stored index of docs: a row (row, doc_id, n_words) for each row of docs, and the shards (rows to suffixes, packed) with null there."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+    def run(batches):
+        held, n = [], 0
+        id_type = None
+
+        def flush() -> pa.RecordBatch:
+            parts = Shard.of(held).packed()
+            return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, id_type), pa.nulls(1, pa.int64()), *[pa.array([p], pa.binary()) for p in parts]], names=names)
+
+        for batch in batches:
+            id_type = batch.column(1).type
+            for part in chunks(batch, 2):
+                words, first = word_hashes(part.column(2), NOT_ALNUM)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(first), pa.int64()), *[pa.nulls(len(part), pa.binary()) for _ in Shard.KINDS]], names=names)
+                for row, lo, hi in zip(part.column(0).to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
+                    at = lo
+                    while at < hi:
+                        stop = min(hi, at + shard_words)
+                        held.append((row, at - lo, words[at:stop]))
+                        n += stop - at
+                        if n >= shard_words:
+                            yield flush()
+                            held, n = [], 0
+                        at = stop if stop == hi else max(at + 1, stop - window + 1)
+        if held:
+            yield flush()
+
+    names = ["row", "doc_id", "n_words", *[name for name, _ in Shard.KINDS]]
+    return stored(map_arrow(rows, run, f"row long, doc_id {kind}, n_words long, " + ", ".join(f"{name} binary" for name, _ in Shard.KINDS)), "suffix-index")
+
+
+def search_index(index: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """row, ranges, items for the rows of an index with a window of the benchmark; window is at most that of the index."""
+    spark = index.sparkSession
     items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-size // block_bytes))
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (F.lit(0).cast("long") if blocks == 1 else F.monotonically_increasing_id()).alias("row"))
-    if blocks > 1:
-        rows = stored(rows, "contamination-rows")  # ids may repeat; every block must see the same key of a row
-    schema = f"row long, doc_id {kind}, n_words long, ranges array<struct<start:int,end:int>>, items array<struct<item_id:string,longest:int>>"
-    spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    named = pa.list_(pa.struct([("item_id", pa.string()), ("longest", pa.int32())]))
+    shards = index.where("text is not null").select(*[name for name, _ in Shard.KINDS])
+    spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    named = pa.list_(pa.struct([("item_id", pa.string()), ("longest", pa.int64()), ("start", pa.int64())]))
+
+    def found(shard: Shard, tests: TestSuffixes) -> Iterator[pa.RecordBatch]:
+        ranges, matches = search(shard, tests)
+        rows: dict[int, tuple[list, list]] = {}
+        for segment, start, end in ranges.T.tolist():
+            rows.setdefault(segment, ([], []))[0].append({"start": start + int(shard.starts[segment]), "end": end + int(shard.starts[segment])})
+        for segment, item, length, start in matches.T.tolist():
+            rows[segment][1].append({"item_id": tests.items[item], "longest": length, "start": start + int(shard.starts[segment])})
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(shard.rows[list(rows)]), pa.array([r for r, _ in rows.values()], spans), pa.array([i for _, i in rows.values()], named)], names=["row", "ranges", "items"])
 
     def block(b: int) -> DataFrame:
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()  # at most a block of the query set
-        sent = spark.sparkContext.broadcast(Windows([r["item_id"] for r in own], [r["text"] for r in own], window))
+        sent = spark.sparkContext.broadcast(TestSuffixes([r["item_id"] for r in own], [r["text"] for r in own], window))
 
         def run(batches):
-            windows = sent.value
             for batch in batches:
-                for part in chunks(batch, 1):
-                    words, first = word_hashes(part.column(1), NOT_ALNUM)
-                    ranges, longest = search(windows, words, first)
-                    best = []
-                    for found in longest:
-                        merged: dict[str, int] = {}
-                        for item, length in found.items():
-                            name = windows.items[item]
-                            merged[name] = max(merged.get(name, 0), length)
-                        best.append([{"item_id": k, "longest": v} for k, v in merged.items()])
-                    found = pa.RecordBatch.from_arrays([part.column(2), part.column(0), pa.array(np.diff(first), pa.int64()), pa.array([[{"start": a, "end": b} for a, b in r] for r in ranges], spans), pa.array(best, named)], names=["row", "doc_id", "n_words", "ranges", "items"])
-                    yield found if b == 0 else found.filter(pa.array([bool(r) for r in ranges], pa.bool_()))  # the first block brings every row
-
-        return map_arrow(rows, run, schema)
+                for k in range(batch.num_rows):
+                    yield from found(Shard.unpacked([column[k].as_buffer() for column in batch.columns]), sent.value)
 
-    if blocks == 1:
-        return block(0).drop("row")
-    return _merged(reduce(DataFrame.unionAll, [block(b) for b in range(blocks)]))
-
-
-def _merged(parts: DataFrame) -> DataFrame:
-    """Results of several blocks of items as one row per row of docs; its parts are at most as many as the blocks."""
+        return map_arrow(shards, run, "row long, ranges array<struct<start:long,end:long>>, items array<struct<item_id:string,longest:long,start:long>>")
 
     def merge(acc, r):
         last = F.try_element_at(acc, F.lit(-1))
         longer = F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], r["end"]).alias("end")))
         return F.when((F.size(acc) > 0) & (last["end"] >= r["start"]), F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), longer)).otherwise(F.concat(acc, F.array(r)))
 
-    once = parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("ranges"))).alias("ranges"), F.array_sort(F.flatten(F.collect_list("items"))).alias("items"))
-    # texts of one item may be in several blocks: of its entries, sorted by length, the last
+    # segments of one row, texts of one item and blocks of items meet here: as many parts as a row has of them
+    parts = reduce(DataFrame.unionAll, [block(b) for b in range(blocks)])
+    once = parts.groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.flatten(F.collect_list("ranges"))).alias("ranges"), F.array_sort(F.flatten(F.collect_list("items"))).alias("items"))
+    one_range = F.when(F.col("n") == 1, F.col("ranges")).otherwise(F.aggregate("ranges", F.array().cast("array<struct<start:bigint,end:bigint>>"), merge))
+    # of the entries of an item, sorted by length, the last
     longest = F.filter("items", lambda x, i: (i == F.size("items") - 1) | ~F.get("items", i + 1)["item_id"].eqNullSafe(x["item_id"]))
-    return once.select("doc_id", "n_words", F.aggregate("ranges", F.array().cast("array<struct<start:int,end:int>>"), merge).alias("ranges"), longest.alias("items"))
+    return once.select("row", one_range.alias("ranges"), longest.alias("items"))
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """doc_id, n_words, ranges array<struct<start, end>> of hit words, items array<struct<item_id string, longest, start>>.
+
+    One row per row of docs, whatever its id. Null text has no words, in documents and items alike; items without words match
+    nothing; items that repeat an id are one item. An empty benchmark hits nothing. Other columns are ignored. ``longest`` is
+    the longest verbatim match in words, ``start`` its first word in the document (one of them where several are as long).
+    A text of more than shard_words words is taken whole, in segments: no hit is lost, but a match that crosses a segment's
+    end counts as its parts in ``longest``.
+    """
+    index = build_index(docs, id_col, text_col, shard_words, window)
+    found = search_index(index, benchmark, item_col, item_text, window, block_bytes)
+    rows = index.where("row is not null").select("row", "doc_id", "n_words")
+    none = lambda c: F.coalesce(c, F.array().cast(found.schema[c].dataType)).alias(c)
+    return rows.join(found, "row", "left").select("doc_id", "n_words", none("ranges"), none("items"))
+
+
+def longest_matches(found: DataFrame) -> DataFrame:
+    """item_id, longest, doc_id, start: for every item of find_contamination's result its longest match in the corpus and where it is; ties to the smallest id."""
+    each = found.select("doc_id", F.explode("items").alias("i")).select("i.*", "doc_id")
+    best = each.groupBy("item_id").agg(F.min(F.struct((-F.col("longest")).alias("less"), "doc_id", "start")).alias("b"))
+    return best.select("item_id", (-F.col("b.less")).alias("longest"), "b.doc_id", "b.start")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:

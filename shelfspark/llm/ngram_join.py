@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.llm.components import connected_components, forest
-from shelfspark.llm.shared import numbered, stored, table
+from shelfspark.llm.shared import flagged, numbered, stored, table
 from shelfspark.llm.words import SPACES, chunks, mix, word_hashes
 from shelfspark.shipping import map_arrow
 
@@ -41,8 +41,6 @@ from shelfspark.shipping import map_arrow
 BLOCK = 256
 #: Keys that a task holds before it writes them, and that a partition gets.
 HELD_KEYS, PARTITION_KEYS = 1_000_000, 1_000_000
-#: Slots of the bitmap that keeps documents without candidates out of a shuffle.
-FILTER_BITS = 2**26
 #: Hash attempts of a set that leaves too many groups empty.
 SALTS = 4
 #: Tokens that so many documents of a task, and of the corpus, have count as common; no more than MOST_COMMON of them, the
@@ -352,15 +350,6 @@ def _shared_keys(docs: DataFrame, width: int, num: int, den: int, buckets: int,
     return map_arrow(map_arrow(docs, spread, "bucket int, keys binary, ids binary").repartition(buckets, "bucket"), meet, "a long, b long")
 
 
-def _of_ids(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """rows(doc_id, text) whose id is in wanted(id), and a few more: a bitmap of hashed ids, 8 MB at most whatever the corpus, spares the others the shuffle."""
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    bitmap = wanted.select(slot(F.col("id")).alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
-    at = rows.withColumn("slot", slot(F.col("doc_id"))).withColumns({"part": F.bitmap_bucket_number("slot"), "bit": F.bitmap_bit_position("slot")})
-    byte = F.conv(F.hex(F.substring("bits", F.floor(F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return at.join(F.broadcast(bitmap), "part").where((F.shiftright(byte, 0).bitwiseAND(F.pow(F.lit(2), F.col("bit") % 8).cast("int"))) != 0).select("doc_id", "text")
-
-
 def _by_group(rows: DataFrame, name: str, run_group, width: int = 0) -> DataFrame:
     """run_group(ids, sets, known) -> [(i, j)] for every value of ``unit`` in rows(unit, id, tokens, known); edges (a, b) of ids.
 
@@ -467,7 +456,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5,
         return members.select("group", "id").join(counts, "group").select("group", "members", "id")
 
     wanted = stored(several(points), "ngram-wanted")
-    found = _of_ids(rows, wanted)
+    found = flagged(rows, "doc_id", wanted, "id", "__may").where("__may").drop("__may")
     texts = stored(found.join(wanted, found["doc_id"] == wanted["id"]).select("group", "members", "id", "text"), "ngram-texts")
 
     def links_of(fits: DataFrame, name: str) -> DataFrame:

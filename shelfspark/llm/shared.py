@@ -13,10 +13,13 @@ _own: dict[str, str] = {}
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; where that is unset (tests on one machine) below a temporary folder of this application."""
+    """A new path below ``spark.checkpoint.dir``. Where that is unset: below a temporary folder of this application if the
+    master is local, else an error, for executors of a cluster would write to disks of their own."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = _own.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="spark-shelf-")
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _own.get(spark.sparkContext.applicationId) or tempfile.mkdtemp(prefix="spark-shelf-")
         _own[spark.sparkContext.applicationId] = base
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -33,5 +36,22 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return stored(df.withColumn("__row", F.monotonically_increasing_id()), name)
 
 
+#: Slots of the bitmap of ``flagged``.
+FILTER_BITS = 2**26
+
+
+def flagged(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str, flag: str) -> DataFrame:
+    """rows with boolean column ``flag``: true where the key, null too, is among those of wanted, and for a few others.
+
+    A bitmap of hashed keys, 8 MB at most whatever the corpus, is broadcast; it spares rows that cannot match a shuffle.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    bits = wanted.select(slot(F.col(wanted_key)).alias("__slot")).groupBy(F.bitmap_bucket_number("__slot").alias("__part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__slot")).alias("__bits"))
+    at = rows.withColumn("__slot", slot(F.col(key))).withColumns({"__part": F.bitmap_bucket_number("__slot"), "__bit": F.bitmap_bit_position("__slot")})
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(F.col("__bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = byte.bitwiseAND(F.pow(F.lit(2), F.col("__bit") % 8).cast("int")) != 0
+    return at.join(F.broadcast(bits), "__part", "left").withColumn(flag, F.coalesce(hit, F.lit(False))).select(*rows.columns, flag)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -6,7 +6,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from shelfspark.llm import byte_bpe, decontaminate, pii, quality_cnn, secret_scan
+from shelfspark.llm import byte_bpe, decontaminate, ngram_join, pii, quality_cnn, secret_scan
+from shelfspark.llm import words as words_module
 from shelfspark.llm.words import NOT_ALNUM, SPACES, word_hashes
 
 # --- words -------------------------------------------------------------------------
@@ -156,14 +157,14 @@ def brute_hits(text, items, window=10):
     return len(own), sorted(hit), found
 
 
-@pytest.mark.parametrize("block_bytes", [16_000_000, 60])
-def test_contamination_equals_brute_force(spark, make, block_bytes):
+@pytest.mark.parametrize("block_bytes, shard_words", [(8_000_000, 2**19), (60, 12), (8_000_000, 40)])
+def test_contamination_equals_brute_force(spark, make, block_bytes, shard_words):
     r = random.Random(11)
     vocabulary = ["a", "B", "cc", "dé", "7", "Ee"]
     items = [(i, " ".join(r.choice(vocabulary) for _ in range(r.choice([0, 1, 2, 9, 10, 11, 30])))) for i in range(12)] + [(50, None), (51, "a a a a a a a a a a a a"), (9, "zz yy")]
     pairs = [(i, "".join(r.choice(vocabulary) + r.choice([" ", "-", "\n\n"]) for _ in range(r.randrange(90)))) for i in range(60)] + [(100, None), (101, ""), (102, "a " * 500), (103, (items[0][1] or "x") + " " + "zz yy")]
     bench = spark.createDataFrame(items, "item_id int, text string")
-    got = {row["doc_id"]: row for row in decontaminate.find_contamination(make(*pairs), bench, block_bytes=block_bytes).collect()}
+    got = {row["doc_id"]: row for row in decontaminate.find_contamination(make(*pairs), bench, block_bytes=block_bytes, shard_words=shard_words).collect()}
     for i, text in pairs:
         n, hit, found = brute_hits(text, items)
         row = got[i]
@@ -175,7 +176,7 @@ def test_contamination_equals_brute_force(spark, make, block_bytes):
     assert {row["doc_id"] for row in kept.collect()} == {i for i, t in pairs if not brute_hits(t, items)[1]}
 
 
-@pytest.mark.parametrize("block_bytes", [16_000_000, 60])
+@pytest.mark.parametrize("block_bytes", [8_000_000, 60])
 def test_contamination_decides_each_row(spark, make, block_bytes):
     r = random.Random(12)
     items = [(i, " ".join(r.choice("abc") for _ in range(r.choice([2, 5, 11, 30])))) for i in range(8)]
@@ -192,7 +193,7 @@ def test_contamination_decides_each_row(spark, make, block_bytes):
     assert best["0"] == max(len(t.split()) for i, t in items if i == 0)
 
 
-@pytest.mark.parametrize("block_bytes", [16_000_000, 4])
+@pytest.mark.parametrize("block_bytes", [8_000_000, 4])
 def test_clean_rows_stay_beside_contaminated_ones_of_their_id(spark, make, block_bytes):
     bench = spark.createDataFrame([(1, "zz yy"), (2, "qq")], "item_id int, text string")
     docs = make((1, "a zz yy"), (1, "a"), (1, "a"), (None, "qq"), (None, "b"), (None, None))
@@ -204,8 +205,61 @@ def test_clean_rows_stay_beside_contaminated_ones_of_their_id(spark, make, block
 def test_longest_matches(spark, make):
     bench = spark.createDataFrame([("q", " ".join(f"w{i}" for i in range(40)))], "item_id string, text string")
     text = "x " + " ".join(f"w{i}" for i in range(5, 30)) + " y " + " ".join(f"w{i}" for i in range(12))
-    row = decontaminate.find_contamination(make((1, text)), bench).collect()[0]
-    assert [(s["start"], s["end"]) for s in row["ranges"]] == [(1, 26), (27, 39)] and row["items"][0]["longest"] == 25
+    found = decontaminate.find_contamination(make((1, text), (2, "w0 w1 w2 w3 w4 w5 w6 w7 w8 w9 w10")), bench)
+    row = found.where("doc_id = 1").collect()[0]
+    assert [(s["start"], s["end"]) for s in row["ranges"]] == [(1, 26), (27, 39)] and tuple(row["items"][0]) == ("q", 25, 1)
+    assert [tuple(r) for r in decontaminate.longest_matches(found).collect()] == [("q", 25, 1, 1)]
+
+
+def test_suffix_arrays_are_sorted():
+    r = random.Random(2)
+    for _ in range(200):
+        text = np.array([x for _ in range(r.randrange(1, 5)) for x in [*(r.randrange(1, 1 + r.choice([1, 2, 5])) for _ in range(r.randrange(12))), 0]], np.int32)
+        own = lambda p: text[p : p + int(np.flatnonzero(text[p:] == 0)[0])].tolist()
+        assert decontaminate.suffix_array(text).tolist() == sorted(np.flatnonzero(text).tolist(), key=lambda p: (own(p), p))
+
+
+def test_search_finds_every_longest_match(monkeypatch):
+    r = random.Random(3)
+    for _ in range(200):
+        monkeypatch.setattr(decontaminate, "PLACES", r.choice([3, 2**20]))
+        letters = ["a", "b", "c", "dd"][: r.choice([1, 2, 4])]
+        docs = [[r.choice(letters) for _ in range(r.randrange(1, 40))] for _ in range(r.randrange(1, 6))]
+        items = [[r.choice([*letters, "zz"]) for _ in range(r.randrange(25))] for _ in range(r.randrange(1, 6))]
+        words, first = word_hashes(pa.array([" ".join(d) for d in docs]), NOT_ALNUM)
+        shard = decontaminate.Shard.unpacked(decontaminate.Shard.of([(i, 0, words[first[i] : first[i + 1]]) for i in range(len(docs))]).packed())
+        _, matches = decontaminate.search(shard, decontaminate.TestSuffixes(list(range(len(items))), [" ".join(x) for x in items]))
+        wanted = {}
+        for d, own in enumerate(docs):
+            for i, item in enumerate(items):
+                for a in range(len(own)):
+                    for b in range(len(item)):
+                        n = next((k for k in range(min(len(own) - a, len(item) - b)) if own[a + k] != item[b + k]), min(len(own) - a, len(item) - b))
+                        if n >= min(10, len(item)):
+                            wanted[d, i] = max(wanted.get((d, i), 0), n)
+        assert {(s, i): n for s, i, n, _ in matches.T.tolist()} == wanted
+
+
+def test_words_of_structured_texts_differ():
+    # hashes that are polynomials modulo 2**64 are equal for these two
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    b = a.translate(str.maketrans("ab", "ba"))
+    words, _ = word_hashes(pa.array([a, b, a + "c", b + "c", a[:40], b[:40]]), SPACES)
+    assert len(set(words.tolist())) == 6
+    for texts, shingle in (([" ".join(a), " ".join(b)], 4), ([a[i : i + 16] + " " + b[i : i + 16] for i in (0, 64, 96)], 2)):
+        assert len(np.unique(ngram_join.token_sets(pa.array(texts), shingle)[0])) == len({tuple(t.split()[k : k + shingle]) for t in texts for k in range(len(t.split()) - shingle + 1)})
+
+
+@pytest.mark.parametrize("piece", [1, 7, 50])
+def test_word_hashes_do_not_depend_on_pieces(monkeypatch, piece):
+    r = random.Random(piece)
+    texts = ["".join(r.choice("ab CdÉ-9\n\tx") * (r.randrange(30) if r.random() < 0.1 else 1) for _ in range(r.randrange(60))) for _ in range(60)]
+    for separators in (SPACES, NOT_ALNUM):
+        whole = word_hashes(pa.array(texts), separators)
+        monkeypatch.setattr(words_module, "PIECE_BYTES", piece)
+        again = word_hashes(pa.array(texts), separators)
+        monkeypatch.undo()
+        assert all((x == y).all() for x, y in zip(whole, again, strict=True))
 
 
 # --- quality classifier -----------------------------------------------------------------------------
