@@ -2,13 +2,18 @@
 
 From each rule's regular expression a Boolean query over trigrams is derived: the
 strings that every match must contain, as an AND of ORs of trigram sets. The
-index holds the postings (trigram, doc_id) of the trigrams that some query names;
-it is written to the shared folder. Intersecting the postings of a document gives
-the rules it can match, and only these are verified on the whole text. A rule
-without mandatory trigrams has no query and scans every text.
+index holds the posting lists (trigram, doc_id) of the trigrams that some query
+names; it is written to the shared folder, in the order of the trigrams. A rule's
+query selects its posting lists by trigram; documents that are on all lists of a
+set satisfy it, and those that satisfy every clause are candidates of the rule.
+
+Only texts of candidates are shuffled, to meet their rules; a bitmap of their ids
+tells the others. A rule without mandatory trigrams has no query and scans every
+text, candidate or not, where it is read.
 
 Places come from the text between the matches: the pieces that split() leaves and
 the matches themselves alternate, so running lengths give code point offsets.
+The running sums are taken in blocks, so a text with many matches stays linear.
 """
 
 from __future__ import annotations
@@ -16,13 +21,11 @@ from __future__ import annotations
 import re._constants as sre
 import re._parser
 from dataclasses import dataclass
-from functools import reduce
-from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm.shared import stored, table
+from shelfspark.llm.shared import flagged, stored, table
 
 
 @dataclass(frozen=True)
@@ -120,29 +123,59 @@ def build_index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
 
 
 def candidates(index: DataFrame, queries: dict[str, list]) -> DataFrame:
-    """(doc_id, rules): the rules whose query the postings of a document satisfy."""
-    own = index.groupBy("doc_id").agg(F.collect_set("trigram").alias("own"))
-    holds = lambda grams: reduce(and_, [F.array_contains("own", g) for g in sorted(grams)])
-    named = [F.when(reduce(and_, [reduce(or_, map(holds, clause)) for clause in query]), kind) for kind, query in queries.items()]
-    return own.select("doc_id", F.filter(F.array(*named), lambda k: k.isNotNull()).alias("rules")).where(F.size("rules") > 0)
+    """(doc_id, rules): the rules whose Boolean query the posting lists satisfy.
+
+    A query is rows (rule, clause, set, trigram), as many as the rules name. They select posting lists by trigram; a
+    document that is on as many lists as a set has trigrams satisfies the set, one set satisfies its clause, and all
+    clauses the rule.
+    """
+    spark = index.sparkSession
+    asked = [(kind, c, k, len(grams), len(query), g) for kind, query in queries.items() for c, clause in enumerate(query) for k, grams in enumerate(clause) for g in sorted(grams)]
+    wanted = spark.createDataFrame(asked, "rule string, clause int, alternative int, trigrams int, clauses int, trigram string")
+    postings = index.join(F.broadcast(wanted), "trigram")  # the rules' own trigrams, whatever the corpus
+    held = postings.groupBy("doc_id", "rule", "clauses", "clause", "alternative", "trigrams").agg(F.count_distinct("trigram").alias("n")).where("n = trigrams")
+    fits = held.groupBy("doc_id", "rule", "clauses").agg(F.count_distinct("clause").alias("n")).where("n = clauses")
+    return fits.groupBy("doc_id").agg(F.collect_set("rule").alias("rules"))
 
 
 # --- verification ------------------------------------------------------------------
 
 
+#: Numbers of a block of a running sum.
+_RUN = 128
+
+
+def _running(numbers: Column, begin: Column) -> Column:
+    """begin plus the running sums of a short array."""
+    return F.slice(F.aggregate(numbers, F.array(begin), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n))), F.lit(2), F.size(numbers))
+
+
+def running_sums(numbers: Column) -> Column:
+    """The running sums of an array<int>: within blocks, and over the blocks' totals, so that no long array is copied for each number.
+
+    Values that are needed twice go through an array of one, whose lambda sees them evaluated.
+    """
+    cut = lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(x), F.lit(1)) - 1) / _RUN).cast("int")), lambda b: F.slice(x, b * _RUN + 1, F.lit(_RUN)))
+    totals = lambda blocks: _running(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda acc, n: acc + n)), F.lit(0))
+    summed = lambda blocks: F.flatten(F.zip_with(blocks, totals(blocks), lambda b, after: _running(b, after - F.aggregate(b, F.lit(0), lambda acc, n: acc + n))))
+    blocks = F.element_at(F.transform(F.array(numbers), cut), 1)
+    return F.element_at(F.transform(F.array(blocks), summed), 1)
+
+
 def _starts(gaps: Column, matches: Column) -> Column:
     """The offset of each match: running lengths of gaps and matches. Lambdas see their own arguments only, so nothing is evaluated per match twice."""
     before = F.concat(F.array(F.lit("")), F.slice(matches, F.lit(1), F.size(matches) - 1))
-    steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(gaps) - 1), before, lambda g, m: F.length(g) + F.length(m))
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
-    return F.aggregate(steps, none, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["all"], F.array(acc["at"] + n)).alias("all")))["all"]
+    return running_sums(F.zip_with(F.slice(gaps, F.lit(1), F.size(gaps) - 1), before, lambda g, m: F.length(g) + F.length(m)))
+
+
+_NONE = "array<struct<start:int,order:int,kind:string,end:int,value:string>>"
 
 
 def _spans(rule: Rule, order: int, text: Column, may: Column) -> Column:
-    """Spans of one rule: array<struct<start, order, kind, end>>."""
-    pattern, none = F.lit(rule.pattern), F.array().cast("array<struct<start:int,order:int,kind:string,end:int>>")
+    """Spans of one rule: array<struct<start, order, kind, end, value>>."""
+    pattern, none = F.lit(rule.pattern), F.array().cast(_NONE)
     matches = F.regexp_extract_all(text, pattern, F.lit(0))
-    made = F.zip_with(_starts(F.split(text, rule.pattern, -1), matches), matches, lambda s, m: F.struct(s.alias("start"), F.lit(order).alias("order"), F.lit(rule.kind).alias("kind"), (s + F.length(m)).alias("end")))
+    made = F.zip_with(_starts(F.split(text, rule.pattern, -1), matches), matches, lambda s, m: F.struct(s.alias("start"), F.lit(order).alias("order"), F.lit(rule.kind).alias("kind"), (s + F.length(m)).alias("end"), m.alias("value")))
     if rule.least > 1:
         counted = F.regexp_extract_all(text, pattern, F.lit(rule.group))
         made = F.filter(F.zip_with(made, counted, lambda x, m: F.when(F.length(m) >= rule.least, x)), lambda x: x.isNotNull())
@@ -153,18 +186,28 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
     """doc_id and spans array<struct<kind, start, end, value>>, by start, then rule order; one row per row of docs.
 
     Null text counts as empty: no spans. Null and repeated ids stay as they are (ids that repeat share their candidate
-    rules, and each text is verified); other columns are ignored; an empty table gives an empty result.
+    rules, and each text is verified); other columns are ignored; an empty table gives an empty result. Spans of different
+    rules may overlap, and all are given. Very long texts are taken whole; the work grows with the text and its matches.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
     trigrams = sorted({g for q in queries.values() for clause in q for grams in clause for g in grams})
-    found = rows.withColumn("rules", F.array().cast("array<string>"))
+    always = lambda r: F.lit(r.kind not in queries)
+    text = F.col("text")
+
+    def placed(found: DataFrame, may, of: list[tuple[int, Rule]]) -> DataFrame:
+        each = [_spans(r, k, text, may(r)) for k, r in of] or [F.array().cast(_NONE)]
+        return found.select("doc_id", F.array_sort(F.concat(*each)).alias("spans"))
+
+    open_rules = [(k, r) for k, r in enumerate(rules) if r.kind not in queries]
     if queries:
-        may = candidates(build_index(rows, trigrams), queries).withColumnRenamed("doc_id", "__id")
-        found = rows.join(may, rows["doc_id"].eqNullSafe(may["__id"]), "left").select("doc_id", "text", F.coalesce("rules", F.array().cast("array<string>")).alias("rules"))
-    each = [_spans(r, k, F.col("text"), F.array_contains("rules", r.kind) if r.kind in queries else F.lit(True)) for k, r in enumerate(rules)]
-    placed = found.select("doc_id", "text", F.array_sort(F.concat(*each)).alias("spans"))
-    return placed.select("doc_id", F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.substring("text", s["start"] + 1, s["end"] - s["start"]).alias("value"))).alias("spans"))
+        may = stored(candidates(build_index(rows, trigrams), queries), "secret-candidates").withColumnRenamed("doc_id", "__id")
+        near = flagged(rows, "doc_id", may, "__id", "may")
+        met = near.where("may").join(may, F.col("doc_id").eqNullSafe(F.col("__id")), "left").withColumn("rules", F.coalesce("rules", F.array().cast("array<string>")))
+        made = placed(near.where("not may"), always, open_rules).unionAll(placed(met, lambda r: F.array_contains("rules", r.kind) if r.kind in queries else F.lit(True), list(enumerate(rules))))
+    else:
+        made = placed(rows, always, open_rules)
+    return made.select("doc_id", F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))).alias("spans"))
 
 
 def joined(spans: Column) -> Column:

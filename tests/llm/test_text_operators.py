@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from shelfspark.llm import byte_bpe, decontaminate, ngram_join, pii, quality_cnn, secret_scan
 from shelfspark.llm import words as words_module
@@ -130,6 +131,28 @@ def test_secrets_equal_the_plain_patterns(make):
     assert secret_scan.scan(make()).count() == 0
 
 
+def test_many_matches_stay_linear(make):
+    import time
+
+    many = "deadbeef" * 4 + " "
+    begin = time.time()
+    rows = secret_scan.scan(make((1, many * 16_000), (2, many * 200_000), (3, "token=abcdefgh " * 100_000))).select("doc_id", F.size("spans").alias("n"), F.element_at("spans", -1).alias("last")).orderBy("doc_id").collect()
+    assert [(r["n"], r["last"]["start"], r["last"]["value"]) for r in rows] == [(16_000, 33 * 15_999, "deadbeef" * 4), (200_000, 33 * 199_999, "deadbeef" * 4), (100_000, 15 * 99_999, "token=abcdefgh")]
+    assert time.time() - begin < 60
+
+
+def test_running_sums(spark):
+    rows = [(i, [(i * 7 + k) % 5 - 1 for k in range(i)]) for i in (0, 1, 2, 127, 128, 129, 256, 1000)]
+    for r in spark.createDataFrame(rows, "i int, a array<int>").withColumn("s", secret_scan.running_sums(F.col("a"))).collect():
+        assert r["s"] == np.cumsum(r["a"]).astype(int).tolist()
+
+
+def test_posting_lists_are_intersected(spark, make):
+    index = secret_scan.build_index(make((1, "abc bcd"), (2, "abc"), (3, "xyz bcd"), (None, "ABC BCD xyz"), (None, "xyz")).select("doc_id", "text"), ["abc", "bcd", "xyz"])
+    queries = {"both": [[frozenset({"abc", "bcd"})]], "either": [[frozenset({"abc"}), frozenset({"xyz"})], [frozenset({"bcd"})]]}
+    assert {r["doc_id"]: set(r["rules"]) for r in secret_scan.candidates(index, queries).collect()} == {1: {"both", "either"}, 3: {"either"}, None: {"both", "either"}}
+
+
 def test_trigram_queries_hold_for_matches():
     samples = {"assign": ["TOKEN=abc", "api_key:x", "PassWD = y"], "access": ["AKIA1"], "private_key": ["-----BEGIN EC PRIVATE KEY-----"], "jwt": ["eyJ" + "a" * 10 + ".eyJ" + "b" * 10 + ".c"]}
     for rule in secret_scan.RULES:
