@@ -6,18 +6,20 @@ capacity is split on the next bit, which doubles the directory where the bucket
 was already as deep as the directory. The final directory depends only on the
 keys, so it is computed level by level from key counts, not key by key.
 
-Owner tasks take the keys of their range and compare whole texts: texts with
-equal keys but different bytes become separate entries of one chain. The index
-(key, digest of the bytes, chain position, first id, group size) is written to
-the shared folder in key ranges, and every document probes it.
+Every row goes through the directory to its bucket. There whole texts are
+compared: texts with equal keys but different bytes are separate entries of one
+chain. Owner tasks, each with a range of buckets and keys, number the chains and
+write the index (bucket, depth, key, chain position, digest of the bytes, first id,
+group size) to the shared folder. A document then looks its bucket and key up and
+walks that chain to the entry with its bytes.
 
 Copies never meet in one task: they are folded into one entry per text before
-the shuffle, and the probe is a plain equi-join that Spark splits when skewed.
+the shuffle, and the lookup is a plain equi-join that Spark splits when skewed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,23 +57,42 @@ def build_directory(keys: DataFrame, capacity: int = 4096) -> tuple[DataFrame, i
     return slots, depth
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, also: Sequence[str] = ()) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, bucket, chain_pos.
+def default_key(norm: Column) -> Column:
+    return F.xxhash64(norm)
+
+
+def build_index(rows: DataFrame, slots: DataFrame, depth: int) -> DataFrame:
+    """The stored index of rows(doc_id, norm, h): bucket, local_depth, h, chain_pos, sha, keep_id, group_size, in ranges of (bucket, h).
+
+    One entry for each text of a key; the entries of a key are its chain, in the order of their first ids.
+    """
+    entries = in_bucket(rows, slots, depth).groupBy("bucket", "local_depth", "h", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    # without texts, and stored, for range partitioning reads its rows twice
+    slim = stored(entries.select("bucket", "local_depth", "h", F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size"), "dedup-entries")
+    chained = slim.repartitionByRange("bucket", "h").withColumn("chain_pos", F.row_number().over(Window.partitionBy("bucket", "h").orderBy(F.col("keep_id").asc_nulls_last(), "sha")))
+    return stored(chained, "dedup-index")
+
+
+def in_bucket(rows: DataFrame, slots: DataFrame, depth: int) -> DataFrame:
+    """rows(h) with bucket and local_depth, by the slot that the leading bits of h name. The directory has at most 2**MAX_DEPTH slots."""
+    slot = F.shiftrightunsigned("h", 64 - depth) if depth else F.lit(0).cast("long")
+    return rows.withColumn("slot", slot).join(F.broadcast(slots), "slot").drop("slot")
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, also: Sequence[str] = (), key: Callable[[Column], Column] = default_key) -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, bucket, local_depth, chain_pos.
 
     Null text counts as empty, empty texts are copies of each other; a null id sorts last and is never kept
     while another id of its group exists. Rows that repeat an id with the same text count in group_size and
     get the same decision. Columns named in ``also`` come last, other ones are ignored; an empty table gives an empty result.
+    Texts are compared whole, whatever their length. ``key`` gives the 64-bit key of a text; a poor one makes longer chains, not other groups.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"), *also)
-    slim = stored(rows.select("doc_id", F.xxhash64("norm").alias("h"), F.unhex(F.sha2("norm", 256)).alias("sha"), *also), "dedup-keys")
+    rows = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"), *also).withColumn("h", key(F.col("norm")))
+    slim = stored(rows.select("doc_id", "h", F.unhex(F.sha2("norm", 256)).alias("sha"), *also), "dedup-keys")
     slots, depth = build_directory(slim, capacity)
-    slot = F.shiftrightunsigned("h", 64 - depth) if depth else F.lit(0).cast("long")
-    owned = rows.groupBy(F.xxhash64("norm").alias("h"), "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    entries = owned.select("h", F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size").withColumn("slot", slot).join(F.broadcast(slots), "slot")
-    chained = entries.withColumn("chain_pos", F.row_number().over(Window.partitionBy("bucket", "h").orderBy(F.col("keep_id").asc_nulls_last())))
-    index = stored(chained.select("bucket", "h", "sha", "keep_id", "group_size", "chain_pos").repartitionByRange("bucket", "h").sortWithinPartitions("bucket", "h"), "dedup-index")
-    found = slim.join(index, ["h", "sha"])
-    return found.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "bucket", "chain_pos", *also)
+    index = build_index(rows.select("doc_id", "norm", "h"), slots, depth)
+    found = in_bucket(slim, slots, depth).join(index.drop("local_depth"), ["bucket", "h", "sha"])
+    return found.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "bucket", "local_depth", "chain_pos", *also)
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -32,6 +32,26 @@ def test_directory_splits_overfull_buckets(spark, make):
     assert {tuple(r)[:5] for r in exact_dedup.exact_groups(make(*PAIRS), capacity=1).collect()} == brute(PAIRS)
 
 
+def test_colliding_keys_chain_and_compare_bytes(make):
+    pairs = [*PAIRS, *((100 + i, f"text {i % 9}") for i in range(40))]
+    got = exact_dedup.exact_groups(make(*pairs), capacity=1, key=lambda norm: (F.length(norm) % 3).cast("long")).collect()
+    assert {tuple(r)[:5] for r in got} == brute(pairs)
+    chains = defaultdict(set)
+    for r in got:
+        chains[r["bucket"], len(r["text_sha256"])].add((r["chain_pos"], r["text_sha256"]))
+    assert max(map(len, chains.values())) > 3 and len({r["bucket"] for r in got}) == 1  # leading bits are all zero
+    index = exact_dedup.exact_groups(make(*pairs), capacity=4).select("bucket", "local_depth", "text_sha256", "chain_pos").distinct().collect()
+    assert len({r["bucket"] for r in index}) > 1 and {r["chain_pos"] for r in index} == {1} and len(index) == len(brute(pairs) and {t for *_, t in brute(pairs)})
+
+
+def test_a_directory_that_misses_a_bucket_loses_its_documents(make):
+    docs = make(*PAIRS)
+    rows = docs.select("doc_id", exact_dedup.normalised(F.col("text")).alias("norm")).withColumn("h", exact_dedup.default_key(F.col("norm")))
+    slots, depth = exact_dedup.build_directory(rows, capacity=1)
+    some = slots.where(F.col("bucket") > slots.agg(F.min("bucket")).first()[0])
+    assert 0 < exact_dedup.build_index(rows, some, depth).count() < exact_dedup.build_index(rows, slots, depth).count()
+
+
 def test_empty_repeated_and_null_ids(make):
     assert exact_dedup.exact_groups(make()).count() == 0
     got = exact_dedup.exact_groups(make((1, "a"), (1, "a"), (None, "a"), (None, "b"))).collect()
