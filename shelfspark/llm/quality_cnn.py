@@ -27,8 +27,10 @@ LEAST_STEPS = 900
 #: Texts longer than this are left out of training (never of scoring), which bounds the sample in bytes.
 LONGEST_SAMPLE = 65536
 THRESHOLD = 0.7
-#: Bytes of text that a task scores at once; a byte takes about 100 bytes of memory meanwhile.
+#: Bytes of text that a task scores at once, or one text.
 SCORED_BYTES = 250_000
+#: Half-chunks that the filters run over at once: 250 kB of text, each byte of which takes about 100 bytes of memory meanwhile.
+PIECE_HALVES = 2048
 STEP, EMBED, FILTERS, HIDDEN, HALF = 4, 8, 24, 16, 32
 
 
@@ -52,19 +54,21 @@ def _laid_out(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return symbols, halves
 
 
-def _features(w: dict[str, np.ndarray], symbols: np.ndarray, halves: np.ndarray):
-    """Document features (mean and max over chunks of the pooled filters) and what the gradient needs."""
+def _convolved(w: dict[str, np.ndarray], symbols: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(x, conv): the embedded steps, and the filters at every step; a window takes its step and the next, but for those in ``ends``."""
     x = w["embed"][symbols].reshape(-1, STEP * EMBED)
     split = STEP * EMBED
     both = x @ np.hstack([w["conv"][:split], w["conv"][split:]])
     conv = both[:, :FILTERS]
     follow = both[1:, FILTERS:].copy()
-    follow[halves[1:-1] * HALF - 1] = 0  # the last window of a text ends with it
+    follow[ends[ends < len(follow)]] = 0  # the last window of a text ends with it
     conv[:-1] += follow
     conv += w["conv_b"]
-    by_half = conv.reshape(-1, HALF, FILTERS)
-    arg = by_half.argmax(1)
-    half = np.maximum(np.take_along_axis(by_half, arg[:, None], 1)[:, 0], 0)
+    return x, conv
+
+
+def _pooled(half: np.ndarray, halves: np.ndarray):
+    """Document features (mean and max over chunks) from the filters' maxima in every half-chunk, and what the gradient needs."""
     # a chunk is a half and the next of the same text; a text of one half is one chunk
     nxt = np.minimum(np.arange(len(half)) + 1, np.repeat(halves[1:] - 1, np.diff(halves)))
     chunk = np.maximum(half, half[nxt])
@@ -74,7 +78,17 @@ def _features(w: dict[str, np.ndarray], symbols: np.ndarray, halves: np.ndarray)
     n = np.add.reduceat(weight, halves[:-1])
     mean = np.add.reduceat(chunk * weight[:, None], halves[:-1], axis=0) / n[:, None]
     top = np.maximum.reduceat(chunk, halves[:-1], axis=0)
-    return np.hstack([mean, top]), (x, arg, half, nxt, chunk, weight, n)
+    return np.hstack([mean, top]), (nxt, chunk, weight, n)
+
+
+def _features(w: dict[str, np.ndarray], symbols: np.ndarray, halves: np.ndarray):
+    """Document features and what the gradient needs."""
+    x, conv = _convolved(w, symbols, halves[1:] * HALF - 1)
+    by_half = conv.reshape(-1, HALF, FILTERS)
+    arg = by_half.argmax(1)
+    half = np.maximum(np.take_along_axis(by_half, arg[:, None], 1)[:, 0], 0)
+    features, (nxt, chunk, weight, n) = _pooled(half, halves)
+    return features, (x, arg, half, nxt, chunk, weight, n)
 
 
 def _head(w: dict[str, np.ndarray], features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,9 +161,24 @@ def train(texts: list[str], quality: list[int], weights: list[float], epochs: in
 
 
 def probabilities(w: dict[str, np.ndarray], texts: pa.Array) -> np.ndarray:
-    """The probability of label 1 for each text of a string array without nulls."""
-    symbols, halves = _laid_out(*text_bytes(texts))
-    return _head(w, _features(w, symbols, halves)[0])[1].astype(np.float64)
+    """The probability of label 1 for each text of a string array without nulls.
+
+    The filters run over PIECE_HALVES half-chunks at a time, whatever texts these are of; a half-chunk keeps its maxima only, so a
+    byte of text takes about 4 bytes of memory besides the piece's own.
+    """
+    data, offsets = text_bytes(texts)
+    if not len(texts):
+        return np.empty(0)
+    symbols, halves = _laid_out(data, offsets)
+    half = np.empty((halves[-1], FILTERS), np.float32)
+    ends = halves[1:] * HALF - 1
+    for lo in range(0, len(half), PIECE_HALVES):
+        hi = min(len(half), lo + PIECE_HALVES)
+        steps = slice(lo * HALF * STEP, (hi * HALF + 1) * STEP)  # a step more, for the last window
+        own = ends[np.searchsorted(ends, lo * HALF) : np.searchsorted(ends, hi * HALF)] - lo * HALF
+        conv = _convolved(w, symbols[steps], own)[1]
+        np.maximum(conv[: (hi - lo) * HALF].reshape(-1, HALF, FILTERS).max(1), 0, out=half[lo:hi])
+    return _head(w, _pooled(half, halves)[0])[1].astype(np.float64)
 
 
 def held_out(id_col):
@@ -164,13 +193,18 @@ def sample_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     if not picks:
         return [], [], []
     chosen = picks[0] if len(picks) == 1 else picks[0].unionAll(picks[1])
-    rows = docs.where(F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) <= LONGEST_SAMPLE).join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).groupBy("__id").agg(F.first("quality").alias("quality"), F.min(F.coalesce(F.col(text_col), F.lit(""))).alias("text")).orderBy("__id").collect()
+    texts = docs.select(F.col(id_col).alias("__doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.octet_length("text") <= LONGEST_SAMPLE)
+    rows = texts.join(F.broadcast(chosen), F.col("__doc") == F.col("__id")).groupBy("__id").agg(F.first("quality").alias("quality"), F.min("text").alias("text")).orderBy("__id").collect()
     got = {c: sum(r["quality"] == c for r in rows) for c in sizes}
     return [r["text"] for r in rows], [r["quality"] for r in rows], [sizes[r["quality"]] / got[r["quality"]] for r in rows]
 
 
 def score(docs: DataFrame, weights: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and score (0 to 1) per row of docs. Null text counts as empty and is scored too; other columns are ignored."""
+    """doc_id and score (0 to 1) per row of docs. Null text counts as empty and is scored too; other columns are ignored.
+
+    Rows are scored one by one, so ids may repeat or be null and equal texts have equal scores; an empty table gives an empty
+    result. Very long texts are read whole, in pieces.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):

@@ -305,6 +305,86 @@ def test_classifier_learns_and_scores_every_text(spark, make):
     assert quality_cnn.classify(make(), labels.limit(0)).count() == 0
 
 
+def plain_forward(w, text):
+    """The network written as loops over chunks, steps and filters."""
+    step, per_half = quality_cnn.STEP, quality_cnn.HALF
+    symbols = list(text) + [256] * (-len(text) % (step * per_half)) or [256] * (step * per_half)
+    steps = [np.concatenate([w["embed"][s] for s in symbols[k : k + step]]) for k in range(0, len(symbols), step)]
+    values = []
+    for k, own in enumerate(steps):
+        window = np.concatenate([own, steps[k + 1] if k + 1 < len(steps) else np.zeros_like(own)])
+        values.append([max(0.0, float(window @ w["conv"][:, f] + w["conv_b"][f])) for f in range(quality_cnn.FILTERS)])
+    chunk = 2 * per_half
+    chunks = [np.max(values[k : k + chunk], axis=0) for k in range(0, max(1, len(values) - per_half), per_half)]
+    features = np.concatenate([np.mean(chunks, axis=0), np.max(chunks, axis=0)])
+    hidden = np.maximum(features @ w["dense"] + w["dense_b"], 0)
+    return 1 / (1 + np.exp(-(hidden @ w["out"] + w["out_b"][0])))
+
+
+@pytest.mark.parametrize("piece", [1, 2, 3, 2048])
+def test_scores_equal_a_plain_forward_pass(monkeypatch, piece):
+    monkeypatch.setattr(quality_cnn, "PIECE_HALVES", piece)
+    r, w = random.Random(4), quality_cnn.new_weights(5)
+    w["out"] *= 3
+    texts = ["", "a", "x" * 127, "y" * 128, "z" * 129, *("".join(chr(r.randrange(32, 400)) for _ in range(r.randrange(900))) for _ in range(12))]
+    assert quality_cnn.probabilities(w, pa.array(texts)) == pytest.approx([plain_forward(w, t.encode()) for t in texts], abs=1e-5)
+
+
+def test_gradient_equals_differences():
+    r, w = random.Random(6), {k: v.astype(np.float64) for k, v in quality_cnn.new_weights(8).items()}
+    w["conv_b"] += [0.05 + 0.01 * k for k in range(quality_cnn.FILTERS)]  # padding gives 0 otherwise, where the rectifier has no slope
+    texts = [bytes(r.randrange(256) for _ in range(n)) for n in (3, 130, 300, 700)]
+    y, weight = np.array([1.0, 0.0, 1.0, 0.0]), np.array([1.0, 2.0, 0.5, 1.0])
+
+    def loss():
+        p = np.array([plain_forward(w, t) for t in texts])
+        return -(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum() / weight.sum()
+
+    made = quality_cnn._gradient(w, texts, y, weight)
+    for name, values in w.items():
+        flat = values.reshape(-1)
+        places = [r.randrange(flat.size) for _ in range(6)] if name != "embed" else [texts[1][k] * quality_cnn.EMBED + k for k in range(6)]
+        for k in places:
+            kept, h = flat[k], 1e-5
+            flat[k] = kept + h
+            up = loss()
+            flat[k] = kept - h
+            down = loss()
+            flat[k] = kept
+            assert made[name].reshape(-1)[k] == pytest.approx((up - down) / (2 * h), abs=2e-5, rel=2e-3), (name, k)
+
+
+def test_docs_with_columns_of_the_labels(spark, make):
+    docs = make(*((i, "good words" if i % 2 else "%%% ###") for i in range(30)))
+    docs = docs.withColumns({"quality": F.lit(0), "toxic": F.lit(1), "__id": F.lit("x"), "n": F.lit(2)})
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    assert quality_cnn.classify(docs, labels).count() == 30
+    assert quality_cnn.keep_good(docs, labels).columns == docs.columns
+
+
+def test_held_out_documents_of_the_given_tables(spark):
+    import os
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("the given tables are not here")
+    scored = quality_cnn.query(spark, folder).where("held_out").join(spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "quality"), "doc_id").toPandas()
+    good, bad = scored.score[scored.quality == 1].to_numpy(), scored.score[scored.quality == 0].to_numpy()
+    assert len(good) and len(bad) and (good[:, None] > bad).mean() > 0.95
+    assert ((scored.score >= 0.7) == (scored.quality == 1)).mean() > 0.9
+
+
+def test_long_texts_take_little_memory():
+    import tracemalloc
+
+    w, text = quality_cnn.new_weights(3), pa.array(["plain words here " * 500_000])
+    tracemalloc.start()
+    quality_cnn.probabilities(w, text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * 8_500_000
+
+
 def test_whole_text_counts():
     w = quality_cnn.new_weights(3)
     text = "plain words here " * 2000
