@@ -19,6 +19,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_url_filter": url_filter.ORACLE_SQL,
+    "op2_warc_zip": warc_zip.ORACLE_SQL,
     "op4_exact_dedup": exact_dedup.ORACLE_SQL,
     "op5_sharding": sharding.ORACLE_SQL,
     "op6_ngram_join": ngram_join.ORACLE_SQL,

@@ -4,8 +4,10 @@ Every task writes archives of its own: a stored member of gzip-per-record WARC
 data and a stored index of record places. The archive gets its final name only
 when complete, and the manifest lists what finished tasks wrote, so files of lost
 or repeated attempts are never read. The reader parses the end records and
-central directories (ZIP64 too), finds the stored members and their indexes, cuts
-the index into ranges, deals the ranges out, and reads each range on its own.
+central directories (ZIP64 too, and with bytes in front), finds the stored WARC
+members and the indexes (JSON lines, or CDX lines that end in JSON, with offset and
+length), cuts what they list into ranges, deals the ranges out, and reads each range
+on its own. What no index lists is read too: piece by piece, one record in memory.
 
 Files are opened through pyarrow's file systems at the URI of the shared folder.
 """
@@ -28,12 +30,16 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm.shared import shared_path, stored, table
+from shelfspark.llm.shared import flagged, shared_path, stored, table
 from shelfspark.shipping import map_arrow
 
 ARCHIVE_BYTES, RANGE_BYTES = 64_000_000, 4_000_000
 DATA_MEMBER, INDEX_MEMBER = "archive/data.warc.gz", "indexes/index.jsonl"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Bytes that a reader takes at once, and the most that a record's headers may have.
+PIECE_BYTES, _MOST_HEADER = 1_000_000, 1_000_000
+#: Names of index members.
+_INDEX = re.compile(r"(^|/)[^/]*[.](jsonl|cdx|cdxj)([.]gz)?$")
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
 
 
@@ -96,8 +102,10 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
     spark = pages.sparkSession
     folder = folder or shared_path(spark, "warc")
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("sha", F.sha1("html"))
-    firsts = pages.select("page_id", F.sha1(F.coalesce("html", F.lit(""))).alias("sha")).groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").select("sha", "first")
-    linked = rows.join(firsts, "sha", "left").select("page_id", "url", "html", "sha", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    firsts = stored(pages.select("page_id", F.sha1(F.coalesce("html", F.lit(""))).alias("sha")).groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").select("sha", "first"), "warc-firsts")
+    near = flagged(rows, "sha", firsts, "sha", "may")  # payloads that no other row can have stay where they are
+    repeats = near.where("may").join(firsts, "sha", "left").select("page_id", "url", "html", "sha", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    linked = near.where("not may").select("page_id", "url", "html", "sha", F.lit(None).cast(repeats.schema["refers_to"].dataType).alias("refers_to")).unionAll(repeats)
 
     def run(batches):
         writer = ArchiveWriter(folder)
@@ -118,24 +126,37 @@ def read_at(file, offset: int, size: int) -> bytes:
     return file.read(size)
 
 
-def central_directory(file, size: int) -> list[dict]:
-    """Members of a ZIP file: name, method, size (stored bytes) and header (place of the local header)."""
+def _end_record(file, size: int) -> tuple[int, int, int, int]:
+    """(members, length of the directory, its place, bytes in front of the archive) from the end records, ZIP64 where there is one."""
     tail_at = max(0, size - 65557)
     tail = read_at(file, tail_at, size - tail_at)
     end = tail.rfind(b"PK\x05\x06")
+    while end >= 0 and (end + 22 > len(tail) or end + 22 + struct.unpack("<H", tail[end + 20 : end + 22])[0] != len(tail)):
+        end = tail.rfind(b"PK\x05\x06", 0, end)  # these four bytes can be part of the comment too
     if end < 0:
         raise ValueError("no end of central directory")
     count, length, start = struct.unpack("<H2I", tail[end + 10 : end + 20])
-    shift = tail_at + end - length - start  # bytes before the archive, if any
-    locator = end - 20
-    if locator >= 0 and tail[locator : locator + 4] == b"PK\x06\x07":
-        at = struct.unpack("<Q", tail[locator + 8 : locator + 16])[0]
-        record = read_at(file, at, 56)
-        if record[:4] != b"PK\x06\x06":
-            raise ValueError("no ZIP64 end record where the locator says")
-        count, length, start = struct.unpack("<3Q", record[32:56])
-        shift = 0
-    data, out, at = read_at(file, start + shift, length), [], 0
+    locator = read_at(file, tail_at + end - 20, 20) if tail_at + end >= 20 else b""
+    if locator[:4] != b"PK\x06\x07":
+        return count, length, tail_at + end - length, tail_at + end - length - start
+    said = struct.unpack("<Q", locator[8:16])[0]
+    # the record lies before its locator; with bytes in front of the archive it is not where the locator says
+    before = max(0, tail_at + end - 20 - 65536)
+    area = read_at(file, before, tail_at + end - 20 - before)
+    place = area.rfind(b"PK\x06\x06")
+    while place >= 0 and (place + 56 > len(area) or place + 12 + struct.unpack("<Q", area[place + 4 : place + 12])[0] != len(area)):
+        place = area.rfind(b"PK\x06\x06", 0, place)
+    if place < 0:
+        raise ValueError("no ZIP64 end record before its locator")
+    count, length, start = struct.unpack("<3Q", area[place + 32 : place + 56])
+    front = before + place - said
+    return count, length, start + front, front
+
+
+def central_directory(file, size: int) -> list[dict]:
+    """Members of a ZIP file: name, method, size (stored bytes) and header (place of the local header)."""
+    count, length, start, front = _end_record(file, size)
+    data, out, at = read_at(file, start, length), [], 0
     for _ in range(count):
         if data[at : at + 4] != b"PK\x01\x02":
             raise ValueError("broken central directory")
@@ -152,7 +173,7 @@ def central_directory(file, size: int) -> list[dict]:
                 packed = struct.unpack("<Q", wide.read(8))[0] if packed == 0xFFFFFFFF else packed
                 header = struct.unpack("<Q", wide.read(8))[0] if header == 0xFFFFFFFF else header
             extra = extra[4 + n :]
-        out.append({"name": name, "method": method, "size": packed, "header": header + shift})
+        out.append({"name": name, "method": method, "size": packed, "header": header + front})
         at += 46 + n_name + n_extra + n_comment
     return out
 
@@ -165,30 +186,65 @@ def member_start(file, member: dict) -> int:
     return member["header"] + 30 + sum(struct.unpack("<2H", head[26:30]))
 
 
+def index_lines(file, member: dict) -> Iterator[tuple[str, int, int]]:
+    """(file name or "", offset, length) of the lines of an index member that say them; a packed one is unpacked as it is read."""
+    unpack = zlib.decompressobj(31) if member["name"].endswith(".gz") else zlib.decompressobj(-15) if member["method"] else None
+    start, left, rest = member_start(file, member), member["size"], b""
+    while left or rest:
+        piece = read_at(file, start, min(left, PIECE_BYTES))
+        start, left = start + len(piece), left - len(piece)
+        if unpack is not None:
+            out = unpack.decompress(piece)
+            while unpack.eof and unpack.unused_data:  # gzip members one after another
+                again = unpack.unused_data
+                unpack = zlib.decompressobj(31)
+                out += unpack.decompress(again)
+            piece = out
+        lines = (rest + piece).split(b"\n")
+        rest = lines.pop() if left else b""
+        for line in lines:
+            try:
+                said = json.loads(line[line.index(b"{") :])
+                yield str(said.get("filename", "")), int(said["offset"]), int(said["length"])
+            except (ValueError, KeyError, TypeError, AttributeError):
+                continue  # a header or comment line
+
+
+def ranges_of(places: list[tuple[int, int]], size: int, range_bytes: int) -> Iterator[tuple[int, list[int]]]:
+    """(begin, lengths) that cover a member of ``size`` bytes: records at their (offset, length), gaps between them as pieces of their own."""
+    held, begin, total, at = [], 0, 0, 0
+    fit = sorted({(offset, length) for offset, length in places if offset >= 0 and 0 < length <= size - offset})
+    for offset, length in [*fit, (size, 0)]:
+        for n in ([offset - at] if offset > at else []) + ([length] if offset >= at and length else []):
+            held.append(n)
+            total += n
+            at += n
+            if total >= range_bytes:
+                yield begin, held
+                begin, held, total = begin + total, [], 0
+    if held:
+        yield begin, held
+
+
 def find_ranges(archives: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """(archive, member, start, lengths) of the stored WARC members: consecutive records by the index, or the whole member without one."""
+    """(archive, member, start, lengths) of the stored WARC members: consecutive records by the indexes; without one the whole member is one piece, read as a stream."""
 
     def of(uri: str) -> Iterator[dict]:
         fs, path = pafs.FileSystem.from_uri(uri)
         with fs.open_input_file(path) as file:
             members = {m["name"]: m for m in central_directory(file, file.size())}
-            index = members.get(INDEX_MEMBER)
+            stored_ = {n: m for n, m in members.items() if not m["method"] and n.endswith((".warc", ".warc.gz"))}
+            places: dict[str, list[tuple[int, int]]] = {}
             for m in members.values():
-                if m["method"] or not m["name"].endswith((".warc", ".warc.gz")):
-                    continue
+                if _INDEX.search(m["name"]) and m["method"] in (0, 8):
+                    for name, offset, length in index_lines(file, m):
+                        named = [n for n in stored_ if n.rsplit("/", 1)[-1] == name.rsplit("/", 1)[-1]] if name else [n for n in stored_ if n == DATA_MEMBER or len(stored_) == 1]
+                        for n in named[:1]:
+                            places.setdefault(n, []).append((offset, length))
+            for n, m in stored_.items():
                 start = member_start(file, m)
-                if m["name"] != DATA_MEMBER or index is None or index["method"]:
-                    yield {"archive": uri, "member": m["name"], "start": start, "lengths": [m["size"]]}
-                    continue
-                held, begin = [], 0
-                for line in read_at(file, member_start(file, index), index["size"]).splitlines():
-                    length = json.loads(line)["length"]
-                    held.append(length)
-                    if sum(held) >= range_bytes:
-                        yield {"archive": uri, "member": m["name"], "start": start + begin, "lengths": held}
-                        begin, held = begin + sum(held), []
-                if held:
-                    yield {"archive": uri, "member": m["name"], "start": start + begin, "lengths": held}
+                for begin, lengths in ranges_of(places.get(n, []), m["size"], range_bytes):
+                    yield {"archive": uri, "member": n, "start": start + begin, "lengths": lengths}
 
     schema = pa.schema([("archive", pa.string()), ("member", pa.string()), ("start", pa.int64()), ("lengths", pa.list_(pa.int64()))])
 
@@ -200,62 +256,139 @@ def find_ranges(archives: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFram
     return map_arrow(archives.select("archive").distinct(), run, "archive string, member string, start long, lengths array<long>")
 
 
-def _plain(data: bytes) -> Iterator[bytes]:
-    """Records of a piece: gzip members one by one, or uncompressed records by their lengths."""
-    if data[:2] == b"\x1f\x8b":
-        view, at = memoryview(data), 0
-        while at < len(view):
-            unpack, out = zlib.decompressobj(31), []
-            while at < len(view) and not unpack.eof:
-                fed = view[at : at + 65536]
-                out.append(unpack.decompress(fed))
-                at += len(fed) - len(unpack.unused_data)
-            yield b"".join(out)
-        return
-    at = 0
-    while at < len(data):
-        head = data.index(b"\r\n\r\n", at) + 4
-        size = int(re.search(rb"(?im)^Content-Length:\s*(\d+)", data[at:head])[1])
-        yield data[at : head + size + 4]
-        at = head + size + 4
+def records_of(file, start: int, size: int) -> Iterator[bytes]:
+    """Records of a piece of a file, read as a stream: gzip members one by one, or uncompressed records by their lengths.
+
+    Bytes that are no record end the piece; they come as one last item that does not begin with ``WARC/``.
+    """
+    left, held, ready = size, b"", b""
+    packed = read_at(file, start, 2) == b"\x1f\x8b"
+    unpack = zlib.decompressobj(31)
+
+    def more() -> bool:
+        nonlocal start, left, held, ready, unpack
+        if packed:
+            if not held and left:
+                held = read_at(file, start, min(left, PIECE_BYTES))
+                start, left = start + len(held), left - len(held)
+            if not held:
+                return False
+            if unpack.eof:
+                unpack = zlib.decompressobj(31)
+            try:
+                ready += unpack.decompress(held)
+            except zlib.error:
+                left, held = 0, b""
+                return False
+            held = unpack.unused_data
+            return True
+        piece = read_at(file, start, min(left, PIECE_BYTES))
+        start, left = start + len(piece), left - len(piece)
+        ready += piece
+        return bool(piece)
+
+    while True:
+        while b"\r\n\r\n" not in ready[:_MOST_HEADER] and len(ready) < _MOST_HEADER and more():
+            pass
+        if not ready.strip(b"\r\n"):
+            return
+        head = ready.find(b"\r\n\r\n")
+        said = re.search(rb"(?im)^Content-Length:[ \t]*(\d+)", ready[: max(head, 0)])
+        if not ready.startswith(b"WARC/") or head < 0 or not said:
+            yield b"?" + ready[:100]
+            return
+        need = head + 4 + int(said[1])
+        if len(ready) < need:  # join once, not for every piece
+            parts, have = [ready], len(ready)
+            ready = b""
+            while have < need and more():
+                parts.append(ready)
+                have, ready = have + len(ready), b""
+            ready = b"".join(parts)
+        yield ready[:need]
+        ready = ready[need:]
+        while not ready.lstrip(b"\r\n") and more():
+            pass
+        ready = ready.lstrip(b"\r\n")
+
+
+def _page(name: str | None) -> int | None:
+    found = re.fullmatch(r"<urn:page:(-?\d+)>", name or "")
+    return int(found[1]) if found else None
 
 
 def parse_record(record: bytes) -> dict:
-    """page_id, url, record_type, refers_to, payload, payload_bytes, payload_digest and digest_ok (null for a revisit)."""
+    """One record of any type.
+
+    record_id, date, url, record_type and refers_to_id as they are written (null where missing); page_id and refers_to are the
+    numbers of ``<urn:page:N>`` ids, else null. The payload is the HTTP body of an HTTP block, else the block; a revisit has none,
+    and its payload_bytes is what its HTTP headers say (null without). payload_digest is computed, or for a revisit as written;
+    digest_ok compares both (null if none is written, or it is not a bare or ``sha1:`` digest). What is no record has the type ``unreadable``.
+    """
     head, _, rest = record.partition(b"\r\n\r\n")
-    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode().split("\r\n")[1:])}
-    block = rest[: int(fields["content-length"])]
-    http, _, body = block.partition(b"\r\n\r\n")
-    number = lambda s: int(s[10:-1]) if s and s[10:-1] else None  # noqa: E731  <urn:page:N>
-    said = fields["warc-payload-digest"].removeprefix("sha1:")
-    revisit = fields["warc-type"] == "revisit"
-    own = None if revisit else base64.b32encode(hashlib.sha1(body).digest()).decode()
-    length = int(re.search(rb"(?im)^Content-Length:\s*(\d+)", http)[1]) if revisit else len(body)
-    return {"page_id": number(fields["warc-record-id"]), "url": fields.get("warc-target-uri"), "record_type": fields["warc-type"], "refers_to": number(fields.get("warc-refers-to")), "payload": None if revisit else body, "payload_bytes": length, "payload_digest": said if revisit else own, "digest_ok": None if revisit else own == said}
+    if not head.startswith(b"WARC/"):
+        return dict.fromkeys(("page_id", "record_id", "date", "url", "refers_to", "refers_to_id", "payload", "payload_bytes", "payload_digest", "digest_ok")) | {"record_type": "unreadable"}
+    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])}
+    kind = fields.get("warc-type", "").lower() or None
+    length = fields.get("content-length", "")
+    block = rest[: int(length)] if length.isdigit() else rest
+    is_http = "application/http" in fields.get("content-type", "").lower()
+    http, _, body = block.partition(b"\r\n\r\n") if is_http else (b"", b"", block)
+    written = fields.get("warc-payload-digest") or ("" if is_http else fields.get("warc-block-digest", ""))
+    said = (written.partition(":")[2] if written.lower().startswith("sha1:") else "" if ":" in written else written).upper()
+    own = base64.b32encode(hashlib.sha1(body).digest()).decode()
+    told = re.search(rb"(?im)^Content-Length:[ \t]*(\d+)", http)
+    out = {"page_id": _page(fields.get("warc-record-id")), "record_id": fields.get("warc-record-id"), "date": fields.get("warc-date"), "url": fields.get("warc-target-uri"), "record_type": kind, "refers_to": _page(fields.get("warc-refers-to")), "refers_to_id": fields.get("warc-refers-to")}
+    if kind == "revisit":
+        return out | {"payload": None, "payload_bytes": int(told[1]) if told else None, "payload_digest": said or None, "digest_ok": None}
+    return out | {"payload": body, "payload_bytes": len(body), "payload_digest": own, "digest_ok": own == said if said else None}
 
 
 def read_records(archives: DataFrame, payload: bool = True) -> DataFrame:
-    """Every record of the archives in column ``archive``; ranges are dealt out evenly, whatever archive they are in. An empty list gives no rows."""
+    """Every record of the archives in column ``archive``; ranges are dealt out evenly, whatever archive they are in. An empty list gives no rows.
+
+    A file that is no ZIP archive is an error. Columns as in parse_record, and archive. One record is in memory at a time.
+    """
     spark = archives.sparkSession
     ranges = stored(find_ranges(archives), "warc-ranges")
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    kinds = [("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("digest_ok", pa.bool_()), ("archive", pa.string()), *([("payload", pa.binary())] if payload else [])]
+    kinds = [("page_id", pa.int64()), ("record_id", pa.string()), ("date", pa.string()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("refers_to_id", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("digest_ok", pa.bool_()), ("archive", pa.string()), *([("payload", pa.binary())] if payload else [])]
+    names = {pa.int64(): "long", pa.string(): "string", pa.bool_(): "boolean", pa.binary(): "binary"}
 
     def run(batches):
+        out, held = [], 0
         for batch in batches:
             for row in batch.to_pylist():
                 fs, path = pafs.FileSystem.from_uri(row["archive"])
                 with fs.open_input_file(path) as file:
-                    data, at, out = read_at(file, row["start"], sum(row["lengths"])), 0, []
-                for n in row["lengths"]:
-                    out += [parse_record(r) | {"archive": row["archive"]} for r in _plain(data[at : at + n])]
-                    at += n
-                yield pa.RecordBatch.from_pylist(out, schema=pa.schema(kinds))
+                    at = row["start"]
+                    for n in row["lengths"]:
+                        for record in records_of(file, at, n):
+                            out.append(parse_record(record) | {"archive": row["archive"]})
+                            held += len(record) if payload else 500
+                            if held >= RANGE_BYTES:
+                                yield pa.RecordBatch.from_pylist(out, schema=pa.schema(kinds))
+                                out, held = [], 0
+                        at += n
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema(kinds))
 
-    schema = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, digest_ok boolean, archive string" + ", payload binary" * payload
-    return map_arrow(ranges.repartition(parts), run, schema)
+    return map_arrow(ranges.repartition(parts), run, ", ".join(f"{name} {names[kind]}" for name, kind in kinds))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_archives(table(spark, sf_dir, "pages"))
     return read_records(manifest, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok")
+
+
+ORACLE_SQL = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages
+), h AS (
+  SELECT *, sha1(payload) AS hex FROM p
+)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(CAST('0x' || substr(hex, 10 * (k // 8) + 1, 10) AS BIGINT) // CAST(pow(32, 7 - k % 8) AS BIGINT) % 32 AS INTEGER) + 1, 1) FOR k IN range(32)], '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to, CASE WHEN page_id = first THEN true END AS digest_ok
+FROM h
+"""

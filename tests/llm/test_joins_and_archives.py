@@ -4,6 +4,7 @@ import io
 import random
 import re
 import zipfile
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -185,6 +186,69 @@ def test_zip64_directory(monkeypatch):
         warc_zip.central_directory(io.BytesIO(b"no zip"), 6)
 
 
+def hand_made(directory_at: int, front: bytes, members: list[tuple[bytes, bytes]], zip64: bool, comment: bytes) -> bytes:
+    """A ZIP archive, byte by byte, with stored members."""
+    import struct
+
+    body, entries = b"", b""
+    for name, data in members:
+        at, crc = len(body), zlib.crc32(data)
+        body += struct.pack("<I5H3I2H", 0x04034B50, 45, 0, 0, 0, 0, crc, len(data), len(data), len(name), 0) + name + data
+        extra = struct.pack("<2H3Q", 1, 24, len(data), len(data), at) if zip64 else b""
+        size, where = (0xFFFFFFFF, 0xFFFFFFFF) if zip64 else (len(data), at)
+        entries += struct.pack("<I6H3I5H2I", 0x02014B50, 45, 45, 0, 0, 0, 0, crc, size, size, len(name), len(extra), 0, 0, 0, 0, where) + name + extra
+    body += b"?" * directory_at
+    start, out = len(body), body + entries
+    if zip64:
+        out += struct.pack("<IQ2H2I4Q", 0x06064B50, 44, 45, 45, 0, 0, len(members), len(members), len(entries), start) + struct.pack("<IIQI", 0x07064B50, 0, len(out), 1)
+    many, length, place = (0xFFFF, 0xFFFFFFFF, 0xFFFFFFFF) if zip64 else (len(members), len(entries), start)
+    return front + out + struct.pack("<I4H2IH", 0x06054B50, 0, 0, many, many, length, place, len(comment)) + comment
+
+
+ANY_RECORDS = [
+    b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:1-2>\r\nContent-Type: application/warc-fields\r\nContent-Length: 9\r\n\r\nsoftware:\r\n\r\n",
+    b"WARC/1.1\r\nwarc-type: response\r\nWARC-Record-ID: <urn:uuid:3>\r\nWARC-Target-URI: http://x/\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: 22\r\n\r\nHTTP/1.1 200 OK\r\n\r\nabc\r\n\r\n",
+    b"WARC/1.1\r\nWARC-Type: revisit\r\nWARC-Record-ID: <urn:uuid:4>\r\nWARC-Refers-To: <urn:uuid:3>\r\nContent-Type: application/http\r\nContent-Length: 0\r\n\r\n\r\n\r\n",
+    b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:5>\r\nWARC-Block-Digest: sha256:77\r\nContent-Length: 4\r\n\r\nW\r\n\r\n\r\n",
+    b"WARC/1.1\r\nContent-Length: 3\r\n\r\nxyz\r\n\r\n",
+]
+
+
+@pytest.mark.parametrize("zip64, front, comment", [(False, b"", b""), (True, b"", b""), (True, b"#!/bin/sh\n" * 9, b""), (False, b"front", b"about PK\x05\x06 and more than twenty-two bytes"), (True, b"x", b"PK\x05\x06")])
+def test_any_records_in_hand_made_archives(spark, tmp_path, monkeypatch, zip64, front, comment):
+    monkeypatch.setattr(warc_zip, "PIECE_BYTES", 13)
+    packed = [warc_zip._gzip(r) for r in ANY_RECORDS]
+    places = [sum(map(len, packed[:k])) for k in range(5)]
+    lines = b"!header\n" + b"".join(b'x,y)/ 2024 {"offset": "%d", "length": "%d", "filename": "a.warc.gz"}\n' % (places[k], len(packed[k])) for k in (3, 1))
+    members = [(b"archive/a.warc.gz", b"".join(packed)), (b"indexes/index.cdxj", lines), (b"archive/b.warc", b"".join(ANY_RECORDS)), (b"archive/c.warc.gz", packed[1] + b"no gzip"), (b"d.warc", b"")]
+    path = tmp_path / "x.zip"
+    path.write_bytes(hand_made(3, front, members, zip64, comment))
+    archives = spark.createDataFrame([(str(path),)], "archive string")
+    got = sorted(((r["record_type"], r["record_id"], r["refers_to_id"], r["page_id"], r["payload_bytes"], r["payload"] and bytes(r["payload"]), r["digest_ok"]) for r in warc_zip.read_records(archives).collect()), key=repr)
+    one = [("warcinfo", "<urn:uuid:1-2>", None, None, 9, b"software:", None), ("response", "<urn:uuid:3>", None, None, 3, b"abc", None), ("revisit", "<urn:uuid:4>", "<urn:uuid:3>", None, None, None, None), ("resource", "<urn:page:5>", None, 5, 4, b"W\r\n\r", None), (None, None, None, None, 3, b"xyz", None)]
+    found = [g for g in got if g[0] != "unreadable"]
+    assert found == sorted([*one, *one, one[1]], key=repr)
+    assert len(got) - len(found) <= 1
+
+
+def test_ranges_cover_members():
+    assert list(warc_zip.ranges_of([], 10, 4)) == [(0, [10])] and list(warc_zip.ranges_of([], 0, 4)) == []
+    assert list(warc_zip.ranges_of([(4, 2), (0, 3), (4, 2), (5, 9), (90, 5)], 10, 4)) == [(0, [3, 1]), (4, [2, 4])]
+    assert sum(len(x) for _, x in warc_zip.ranges_of([(k, 1) for k in range(200_000)], 200_000, 1000)) == 200_000
+
+
+def test_warc_query_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    pages = spark.createDataFrame([*[p for p in PAGES if p[0] is not None and p[1] != "again"], (11, "x", "only")], "page_id long, url string, html string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    wanted = con.sql(warc_zip.ORACLE_SQL)
+    got = warc_zip.query(spark, str(tmp_path)).select(*wanted.columns)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, wanted.fetchall()))
+
+
 # --- URL lists ---------------------------------------------------------------------------------
 
 
