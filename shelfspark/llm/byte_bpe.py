@@ -2,10 +2,10 @@
 
 A rank file gives every token as bytes. Bytes are written as printable
 characters (the usual byte-level table), the merges are derived from the ranks,
-and the library encodes the distinct matches of each batch. Offsets of a token are code points of the
-text; a token that holds part of a character covers that character. Decoding
-looks the bytes of each id up and joins them before any UTF-8 decoding, so a
-character that is split over tokens comes back whole.
+and the library encodes the distinct matches of each batch. Offsets of a token are
+code points of the text, from the bytes that its tokens have; a token that holds part
+of a character covers that character. Decoding looks the bytes of each id up and joins
+them before any UTF-8 decoding, so a character that is split over tokens comes back whole.
 
 Map-only: rows stay in their partition and nothing is shuffled.
 """
@@ -34,8 +34,8 @@ from shelfspark.shipping import map_arrow
 CALL_CHARS = 1_000_000
 #: Up to here (Latin Extended-B) the regex package agrees with the library on letters, digits and spaces; beyond, Unicode versions differ, and the library splits.
 LATIN_END = "\u024f"
-#: Distinct matches that a worker remembers.
-KEPT_MATCHES = 50_000
+#: Characters of distinct matches that a worker remembers.
+KEPT_CHARS = 3_000_000
 _CUT = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
 
 
@@ -64,6 +64,22 @@ def tokenizer_json(ranks: dict[bytes, int], pattern: str) -> str:
     return json.dumps([pattern, {written[t]: r for t, r in ranks.items()}, merges])
 
 
+class _Kept:
+    """Matches that are encoded already: the number of each, and the ids of number k from starts[k] to starts[k + 1]."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.number, self.ids, self.starts, self.chars = {}, np.empty(0, np.uint32), np.zeros(1, np.int64), 0
+
+    def add(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words)), strict=True))
+        self.starts = np.concatenate([self.starts, ends + len(self.ids)])
+        self.ids = np.concatenate([self.ids, ids])
+        self.chars += sum(map(len, words))
+
+
 @functools.lru_cache(maxsize=2)
 def _loaded(spec: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores belong to Spark's tasks
@@ -84,7 +100,7 @@ def _loaded(spec: str):
             return simple.findall(text)
         return [piece for piece, _ in split.pre_tokenize_str(text)]
 
-    return made, table, matches, ({}, {}), np.array([len(t) for t in table])
+    return made, table, matches, _Kept(), np.array([len(t) for t in table])
 
 
 def _pieces(text: str) -> list[str]:
@@ -99,46 +115,34 @@ def _pieces(text: str) -> list[str]:
     return [*out, text[at:]]
 
 
-def encode_texts(spec: str, texts: list[str], offsets: bool) -> Iterator[tuple[np.ndarray, list]]:
-    """(ids, offsets) of each text, in order.
+def encode_texts(spec: str, texts: list[str]) -> Iterator[np.ndarray]:
+    """The ids of each text, in order.
 
     Matches are encoded separately, so each distinct match of about CALL_CHARS characters goes to the library once;
-    short ones are remembered for later calls, up to KEPT_MATCHES of them.
+    they are remembered for later calls, up to KEPT_CHARS characters of them.
     """
-    tokenizer, _, matches, caches, lengths = _loaded(spec)
-    kept = caches[offsets]
+    tokenizer, _, matches, kept, lengths = _loaded(spec)
 
-    def flush(held: list[list[str]]):
-        distinct = set(chain.from_iterable(held))
-        if len(kept) > KEPT_MATCHES:  # what this call needs again stays
-            used = {w: kept[w] for w in distinct if w in kept}
+    def flush(held: list[list[str]]) -> Iterator[np.ndarray]:
+        words = list(chain.from_iterable(held))
+        if kept.chars > KEPT_CHARS:
             kept.clear()
-            kept.update(used)
-        new = list(distinct.difference(kept))
+        known = list(map(kept.number.get, words))
+        new = list({w for w, k in zip(words, known, strict=True) if k is None})
         if new:
-            # one sequence with a word for each match
-            if offsets:
-                made = tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
-                ids, spans = made.ids, made.offsets
-            else:
-                ids, spans = tokenizer.encode_batch_fast([new], is_pretokenized=True, add_special_tokens=False)[0].ids, None
-            # the tokens of a match have its bytes
-            done = np.cumsum(lengths[ids])
-            ends = [0, *(np.searchsorted(done, np.cumsum([len(w.encode()) for w in new])) + 1).tolist()]
-            kept.update(zip(new, [(tuple(ids[x:y]), spans[x:y]) if offsets else tuple(ids[x:y]) for x, y in pairwise(ends)], strict=True))
-        for words in held:
-            found = map(kept.__getitem__, words)
-            if not offsets:
-                yield np.fromiter(chain.from_iterable(found), dtype=np.uint32), []
-                continue
-            ids, spans, at = [], [], 0
-            for word, (own, inner) in zip(words, found, strict=True):
-                ids += own
-                spans += [(a + at, b + at) for a, b in inner]
-                at += len(word)
-            yield np.array(ids, dtype=np.uint32), spans
-        for long in [w for w in new if len(w) > 64]:
-            del kept[long]
+            # one sequence with a word for each match; the tokens of a match have its bytes
+            ids = np.array(tokenizer.encode_batch_fast([new], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint32)
+            sizes = list(map(len, new)) if "".join(new).isascii() else [len(w.encode()) for w in new]
+            kept.add(new, ids, np.searchsorted(np.cumsum(lengths[ids]), np.cumsum(sizes)) + 1)
+            known = list(map(kept.number.__getitem__, words))
+        which = np.array(known, np.int64)
+        begin = kept.starts[which]
+        n = kept.starts[which + 1] - begin
+        after = np.cumsum(n)
+        ids = kept.ids[np.repeat(begin - after + n, n) + np.arange(after[-1] if len(after) else 0)]
+        cuts = np.r_[0, after][np.cumsum([0, *map(len, held)])]
+        for a, b in pairwise(cuts.tolist()):
+            yield ids[a:b]
 
     held, chars = [], 0
     for text in texts:
@@ -151,10 +155,19 @@ def encode_texts(spec: str, texts: list[str], offsets: bool) -> Iterator[tuple[n
         yield from flush(held)
 
 
+def token_offsets(spec: str, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) in code points: a token covers every character that it holds a byte of."""
+    ends = np.cumsum(_loaded(spec)[4][ids])
+    starts = np.r_[0, ends[:-1]] if len(ends) else ends
+    if text.isascii():
+        return starts, ends
+    character = np.cumsum((np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80) - 1  # of each byte
+    return character[starts], character[ends - 1] + 1
+
+
 def forget(spec: str) -> None:
     """Drops the remembered matches; called when a task ends, as Spark keeps the worker."""
-    for kept in _loaded(spec)[3]:
-        kept.clear()
+    _loaded(spec)[3].clear()
 
 
 def decode_ids(spec: str, ids) -> bytes:
@@ -166,7 +179,8 @@ def encode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "
     """doc_id, ids array<int>, n_tokens, and with offsets starts and ends array<int> (code points).
 
     Null text counts as empty and gives no tokens. Rows are taken one by one, so repeated and null ids are
-    kept as they are; other columns are ignored; an empty table gives an empty result.
+    kept as they are; other columns are ignored; an empty table gives an empty result. Very long texts are encoded
+    whole; where they go to the library in pieces, these end where a match must end.
     """
     shared = docs.sparkSession.sparkContext.broadcast(spec)
 
@@ -174,10 +188,12 @@ def encode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                got = list(encode_texts(shared.value, part.column(1).to_pylist(), offsets))
-                columns = [part.column(0), pa.array([i.astype(np.int32) for i, _ in got], pa.list_(pa.int32())), pa.array([len(i) for i, _ in got], pa.int64())]
+                texts = part.column(1).to_pylist()
+                got = list(encode_texts(shared.value, texts))
+                columns = [part.column(0), pa.array([i.astype(np.int32) for i in got], pa.list_(pa.int32())), pa.array(list(map(len, got)), pa.int64())]
                 if offsets:
-                    columns += [pa.array([[s[k] for s in spans] for _, spans in got], pa.list_(pa.int32())) for k in (0, 1)]
+                    spans = [token_offsets(shared.value, t, i) for t, i in zip(texts, got, strict=True)]
+                    columns += [pa.array([s[k].astype(np.int32) for s in spans], pa.list_(pa.int32())) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "n_tokens", "starts", "ends"][: len(columns)])
         forget(shared.value)
 
@@ -212,29 +228,32 @@ def decode(encoded: DataFrame, spec: str, keep: list[str]) -> DataFrame:
 
 
 def digests(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 per row, and on wish ids: encode, then decode the ids, in one pass. Cases as in encode."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, offsets_sha256 per row, and on wish ids: encode, then decode the ids, in one pass.
+
+    offsets_sha256 is of the start and end of every token, as little-endian unsigned 32-bit integers. Cases as in encode.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(spec)
 
     def run(batches):
+        sha = lambda data: hashlib.sha256(data).hexdigest()
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                n, ids_sha, out_sha, all_ids = [], [], [], []
-                for ids, _ in encode_texts(shared.value, part.column(1).to_pylist(), False):
-                    n.append(len(ids))
-                    ids_sha.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-                    out_sha.append(hashlib.sha256(decode_ids(shared.value, ids.tolist())).hexdigest())
+                texts, rows, all_ids = part.column(1).to_pylist(), [], []
+                for text, ids in zip(texts, encode_texts(shared.value, texts), strict=True):
+                    spans = np.stack(token_offsets(shared.value, text, ids), axis=1)
+                    rows.append((len(ids), sha(ids.astype("<u4").tobytes()), sha(decode_ids(shared.value, ids.tolist())), sha(spans.astype("<u4").tobytes())))
                     if with_ids:
                         all_ids.append(ids.astype(np.int32))
-                columns = [part.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(out_sha, pa.string())]
+                columns = [part.column(0), *[pa.array([r[k] for r in rows], pa.string() if k else pa.int64()) for k in range(4)]]
                 if with_ids:
-                    columns.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(np.concatenate(all_ids))))
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, all_ids)]).astype(np.int32)), pa.array(np.concatenate(all_ids))))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "offsets_sha256", "ids"][: len(columns)])
         forget(shared.value)
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return map_arrow(rows, run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    return map_arrow(rows, run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, offsets_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def public_spec() -> str:

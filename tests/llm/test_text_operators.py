@@ -50,6 +50,8 @@ def test_ids_equal_tiktoken_and_decode_back(bpe, make):
     assert all(back[i]["text"] == t and bytes(back[i]["bytes"]) == t.encode() for i, t in enumerate(TEXTS))
     digest = {r["doc_id"]: r for r in byte_bpe.digests(docs, spec).collect()}
     ids = np.array(reference.encode_ordinary(TEXTS[4]), "<u4")
+    starts, ends = byte_bpe.token_offsets(spec, TEXTS[4], ids)
+    assert digest[4]["offsets_sha256"] == hashlib.sha256(np.stack([starts, ends], 1).astype("<u4").tobytes()).hexdigest() and (starts.tolist(), ends.tolist()) == (got[4]["starts"], got[4]["ends"])
     assert digest[4]["ids_sha256"] == hashlib.sha256(ids.tobytes()).hexdigest() and digest[4]["decoded_sha256"] == hashlib.sha256(TEXTS[4].encode()).hexdigest()
     assert byte_bpe.encode(make(), spec).count() == 0
 
@@ -65,7 +67,22 @@ def test_random_texts_and_cuts_equal_tiktoken(bpe, monkeypatch):
     r = random.Random(3)
     texts = ["".join(r.choice(" \n\taeinrst'.,019éßİͅ中\U0001f600") if r.random() < 0.9 else chr(r.randrange(0x20, 0xD800)) for _ in range(r.randrange(120))) for _ in range(400)]
     monkeypatch.setattr(byte_bpe, "CALL_CHARS", 40)
-    for text, (ids, _) in zip(texts, byte_bpe.encode_texts(spec, texts, False), strict=True):
+    for text, ids in zip(texts, byte_bpe.encode_texts(spec, texts), strict=True):
+        assert ids.tolist() == reference.encode_ordinary(text)
+        at = 0
+        for token, a, b in zip(ids.tolist(), *byte_bpe.token_offsets(spec, text, ids), strict=True):
+            own = reference.decode_single_token_bytes(token)
+            low, high = (len(text.encode()[:k].decode(errors="ignore")) for k in (at, at + len(own)))
+            assert (a, b) == (low, high + (len(text[:high].encode()) < at + len(own))), (text, at)
+            at += len(own)
+
+
+def test_matches_of_every_character_equal_tiktoken(bpe, monkeypatch):
+    # up to the last character that the regex package splits, and beyond, alone and between others
+    spec, reference = bpe
+    monkeypatch.setattr(byte_bpe, "KEPT_CHARS", 500)
+    texts = [f"{c}{c} a{c}1{c} {c}\n{c}'s{c}" for c in map(chr, range(0x300))]
+    for text, ids in zip(texts, byte_bpe.encode_texts(spec, texts), strict=True):
         assert ids.tolist() == reference.encode_ordinary(text)
 
 
