@@ -12,8 +12,8 @@ into groups twice:
   documents would compare nearly every leaf with every other.
 * For the join inside a candidate group, group counts are points of an R-tree.
   Sum of coordinate minima bounds the overlap of two points, and of a point and
-  a node (by the node's maxima). Only pairs that pass both bounds are verified on
-  the token sets.
+  a node of any level (by the node's maxima and sizes). Only pairs that pass all
+  bounds are verified on the token sets.
 
 Sets that are equal are one point, so copies cost nothing. A candidate group with
 more points than one task takes is first linked to its most central set; pairs
@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from shelfspark.llm.components import connected_components, forest
 from shelfspark.llm.shared import flagged, numbered, stored, table
@@ -161,20 +162,33 @@ def stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 class PointTree:
-    """An R-tree of count vectors, packed by size and first coordinates: leaves of 16 points with the maxima of their coordinates."""
+    """An R-tree of count vectors, packed by size and first coordinates. A node has the maxima of the coordinates below it, and
+    the smallest and largest size; ``levels`` go from the leaves' nodes to the root."""
 
-    def __init__(self, counts: np.ndarray, sizes: np.ndarray, leaf: int = 16):
+    def __init__(self, counts: np.ndarray, sizes: np.ndarray, fan: int = 16):
         self.order = np.lexsort((counts[:, 1], counts[:, 0], sizes))
-        self.counts, self.sizes, self.leaf = counts[self.order], sizes[self.order], leaf
-        cuts = np.arange(0, len(sizes), leaf)
-        self.most, self.least_size = np.maximum.reduceat(self.counts, cuts, axis=0), self.sizes[cuts]
+        self.counts, self.sizes, self.fan = counts[self.order], sizes[self.order], fan
+        most, least, largest = self.counts, self.sizes, self.sizes
+        self.levels = []
+        while len(most) > 1 or not self.levels:
+            cuts = np.arange(0, len(most), fan)
+            most, least, largest = np.maximum.reduceat(most, cuts, axis=0), least[cuts], np.maximum.reduceat(largest, cuts)
+            self.levels.append((most, least, largest))
+        #: Points and nodes whose bound was computed.
+        self.met = 0
 
     def near(self, point: np.ndarray, size: int, num: int, den: int) -> np.ndarray:
-        """Points that may link with this one: the sum of coordinate minima reaches the overlap that a link needs."""
-        bound = np.minimum(self.most, point).sum(1)
-        leaves = np.flatnonzero(bound * (num + den) >= num * (size + self.least_size))
-        at = (leaves[:, None] * self.leaf + np.arange(self.leaf)).ravel()
+        """Points that may link with this one: sizes do not exclude it, and the sum of coordinate minima reaches the overlap that a link needs."""
+        at = np.zeros(1, np.int64)
+        for most, least, largest in reversed(self.levels):
+            at = at[(at < len(most))]
+            at = at[(least[at] * num <= size * den) & (largest[at] * den >= size * num)]
+            self.met += len(at)
+            bound = np.minimum(most[at], point).sum(1)
+            at = at[bound * (num + den) >= num * (size + least[at])]
+            at = (at[:, None] * self.fan + np.arange(self.fan)).ravel()
         at = at[at < len(self.sizes)]
+        self.met += len(at)
         bound = np.minimum(self.counts[at], point).sum(1)
         return self.order[at[bound * (num + den) >= num * (size + self.sizes[at])]]
 
@@ -200,12 +214,15 @@ def join_sets(sets: list[np.ndarray], num: int, den: int, known: np.ndarray | No
     def linked(overlap, i, j):
         return overlap * (num + den) >= num * (sizes[i] + sizes[j])
 
-    if n == 2:
-        return [(0, 1)] if find(parent, 0) != find(parent, 1) and linked(len(np.intersect1d(*sets, assume_unique=True)), 0, 1) else []
+    if n == 2 and (find(parent, 0) == find(parent, 1) or not linked(sizes.min(), 0, 1)):
+        return []
     dims = int(min(512, max(16, 1 << (int(sizes.max()) // 4).bit_length())))
     flat, owner = np.concatenate(sets), np.repeat(np.arange(n), sizes)
     group = (mix(flat ^ _ODD[40]) >> np.uint64(48)).astype(np.int64) % dims
     counts = np.bincount(owner * dims + group, minlength=n * dims).reshape(n, dims).astype(np.int32)
+    if n == 2:  # two points need no tree, only its bound
+        bound = int(np.minimum(counts[0], counts[1]).sum())
+        return [(0, 1)] if linked(bound, 0, 1) and linked(len(np.intersect1d(*sets, assume_unique=True)), 0, 1) else []
     tree = PointTree(counts, sizes)
     _, word, often = np.unique(flat, return_inverse=True, return_counts=True)
     shared = often[word] > 1
@@ -437,10 +454,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5,
     """doc_id, n_shingles, component_id for every row of docs; sets link when their Jaccard similarity is num / den or more.
 
     A text with fewer words than width is one shingle; null text and text without words are empty sets, linked with nothing.
-    A null id links with nothing and has a null component. Ids are integers and name documents: rows that repeat one with
-    the same text get the same result. Other columns are ignored; an empty table gives an empty result.
+    A null id links with nothing and has a null component. Ids name documents: rows that repeat one with the same text get
+    the same result; a component has the smallest id. Other columns are ignored; an empty table gives an empty result. Very
+    long texts are taken whole. Ids that are no integers are numbered first, row by row.
     """
     spark = docs.sparkSession
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        given = numbered(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "ngram-named")
+        own = near_duplicates(given.select(F.when(F.col("id").isNotNull(), F.col("__row")).alias("doc_id"), "text"), width, num, den)
+        found = stored(own.where("doc_id is not null").join(given.select("__row", "id"), F.col("doc_id") == F.col("__row")).select("id", "n_shingles", "component_id"), "ngram-members")
+        least = found.groupBy("component_id").agg(F.min("id").alias("least"))
+        nameless = own.where("doc_id is null").select(F.lit(None).cast(given.schema["id"].dataType).alias("doc_id"), "n_shingles", F.lit(None).cast(given.schema["id"].dataType).alias("component_id"))
+        return found.join(least, "component_id").select(F.col("id").alias("doc_id"), "n_shingles", F.col("least").alias("component_id")).unionAll(nameless)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (20 * PARTITION_KEYS)))
@@ -492,7 +517,7 @@ def drop_near_copies(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5
     """
     rows = numbered(docs, "ngram-rows")
     named = near_duplicates(rows.where(F.col(id_col).isNotNull()), width, num, den, "__row", text_col).where("component_id is not null").select(F.col("doc_id").alias("__row"), "component_id")
-    members = stored(named.join(rows.select("__row", F.col(id_col).cast("long").alias("id")), "__row"), "ngram-members")
+    members = stored(named.join(rows.select("__row", F.col(id_col).alias("id")), "__row"), "ngram-members")
     kept = members.groupBy("component_id").agg(F.min(F.struct("id", "__row")).alias("least")).select(F.col("least.__row").alias("__row"))
     return rows.join(members.select("__row").join(kept, "__row", "left_anti"), "__row", "left_anti").select(*docs.columns)
 

@@ -5,8 +5,10 @@ Entries become validity intervals; each capture is evaluated against the entries
 that were active when it was fetched, by an as-of join on (key, time bucket).
 
 Every host suffix and every path prefix of a capture is a key, so matching is an
-equi-join, never a scan of the list. Time buckets bound how many intervals of a
-key a capture meets, and spread a hot host; Spark broadcasts the intervals only
+equi-join, never a scan of the list. Keys that the list does not have are left out
+before anything is shuffled, by a bitmap of at most 8 MB. Time buckets bound how many
+intervals of a key a capture meets, and spread a hot host; a long interval covers its
+middle with coarse buckets, so it has few rows. Spark broadcasts the intervals only
 when they are measured small, else it joins by shuffle and splits skewed keys.
 """
 
@@ -16,14 +18,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from shelfspark.llm.shared import table
+from shelfspark.llm.shared import flagged, stored, table
 
-BUCKET_S = 8 * 86400
+#: Seconds of a fine bucket, and fine buckets of a coarse one.
+BUCKET_S, COARSE = 8 * 86400, 16
 
 
 def host_of(url: Column) -> Column:
-    """Lower-case host without user, port and closing dot; null where there is none."""
-    host = F.regexp_extract(F.lower(F.trim(url)), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
+    """Lower-case host without user, port and closing dot, an IPv6 address with its brackets; null where there is none."""
+    host = F.regexp_extract(F.lower(F.trim(url)), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[0-9a-f:.]+\]|[^/?#:\[]+)", 1)
     return F.nullif(F.rtrim(host, F.lit(".")), F.lit(""))
 
 
@@ -35,7 +38,7 @@ def path_of(url: Column) -> Column:
 def list_keys(url: Column) -> Column:
     """Distinct keys of a URL: ``d:`` and each host suffix, ``p:`` and the host with each path prefix. No host, no keys."""
     host, path = host_of(url), path_of(url)
-    labels = F.split(host, r"\.")
+    labels = F.when(F.startswith(host, F.lit("[")), F.array(host)).otherwise(F.split(host, r"\."))
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.lit("d:"), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
     segments = F.split(path, "/+")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(segments)), lambda i: F.concat(F.lit("p:"), host, F.lit("/"), F.array_join(F.slice(segments, F.lit(1), i), "/")))
@@ -59,21 +62,32 @@ def validity_intervals(entries: DataFrame) -> DataFrame:
     return one.select("list_name", "key", "action", F.col("effective").alias("valid_from"), after.alias("valid_to")).where(F.col("action") == "add").drop("action")
 
 
+def buckets_of(first: Column, last: Column) -> Column:
+    """(coarse, bucket) that cover the fine buckets first to last, each of them once: coarse ones where they fit, fine ones at the ends."""
+    low, high = F.ceil(first / COARSE), F.floor((last + 1) / COARSE)  # coarse ones from low, before high
+    many = lambda a, b, coarse: F.when(a <= b, F.transform(F.sequence(a, F.greatest(a, b)), lambda x: F.struct(F.lit(coarse).alias("coarse"), x.alias("bucket")))).otherwise(F.array().cast("array<struct<coarse:boolean,bucket:bigint>>"))
+    return F.when(low < high, F.concat(many(first, low * COARSE - 1, False), many(low, high - 1, True), many(high * COARSE, last, False))).otherwise(many(first, last, False))
+
+
 def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """captures(capture_id, url, fetched) with host, blocked, n_rules and rules (list/key of the active matches, sorted, comma-joined).
 
     One row per row of captures; a repeated capture_id counts with all its URLs only once per row. Null or malformed URLs
-    and null times match nothing. Empty lists block nothing. Columns of captures keep their names.
+    and null times match nothing. Empty lists block nothing. Columns of captures keep their names. URLs of any length are taken whole;
+    at one instant a remove wins over an add.
     """
     rows = captures.select("capture_id", "url", "fetched", host_of(F.col("url")).alias("host"))
     horizon = captures.agg(F.max("fetched").alias("t")).first()["t"]
     bucket = lambda c: F.floor(c / BUCKET_S)
     if horizon is None:
         horizon = 0
-    spans = validity_intervals(entries).withColumn("until", F.least(F.coalesce(F.col("valid_to") - 1, F.lit(horizon)), F.lit(horizon)))
-    spans = spans.where(F.col("until") >= F.col("valid_from")).select("list_name", "key", "valid_from", "until", F.explode(F.sequence(bucket(F.col("valid_from")), bucket(F.col("until")))).alias("bucket"))
-    asked = captures.where(F.col("fetched").isNotNull()).select("url", "fetched").distinct().select("url", "fetched", F.explode(list_keys(F.col("url"))).alias("key")).withColumn("bucket", bucket(F.col("fetched")))
-    hits = asked.join(spans, ["key", "bucket"]).where((F.col("fetched") >= F.col("valid_from")) & (F.col("fetched") <= F.col("until")))
+    spans = validity_intervals(entries).withColumn("until", F.least(F.coalesce(F.col("valid_to") - 1, F.lit(horizon)), F.lit(horizon))).where(F.col("until") >= F.col("valid_from"))
+    spans = stored(spans.select("list_name", "key", "valid_from", "until", F.explode(buckets_of(bucket(F.col("valid_from")), bucket(F.col("until")))).alias("at")).select("list_name", "key", "valid_from", "until", "at.*"), "url-spans")
+    asked = captures.where(F.col("fetched").isNotNull()).select("url", "fetched").distinct().select("url", "fetched", F.explode(list_keys(F.col("url"))).alias("key"))
+    named = flagged(asked, "key", spans, "key", "__may").where("__may").drop("__may")
+    at = F.array(F.struct(F.lit(False).alias("coarse"), bucket(F.col("fetched")).alias("bucket")), F.struct(F.lit(True).alias("coarse"), F.floor(bucket(F.col("fetched")) / COARSE).alias("bucket")))
+    named = named.select("url", "fetched", "key", F.explode(at).alias("at")).select("url", "fetched", "key", "at.*")
+    hits = named.join(spans, ["key", "coarse", "bucket"]).where((F.col("fetched") >= F.col("valid_from")) & (F.col("fetched") <= F.col("until")))
     rules = hits.groupBy("url", "fetched").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws("/", "list_name", "key"))), ",").alias("rules"), F.count(F.lit(1)).alias("n_rules"))
     out = rows.join(rules, ["url", "fetched"], "left")
     return out.select("capture_id", "url", "fetched", "host", F.col("rules").isNotNull().alias("blocked"), F.coalesce("n_rules", F.lit(0)).cast("long").alias("n_rules"), F.coalesce("rules", F.lit("")).alias("rules"))
@@ -108,7 +122,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL = r"""
 WITH c AS (
   SELECT page_id, url, 1704067200 + (page_id * 7919) % 2592000 AS fetched,
-    nullif(rtrim(regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '.'), '') AS host,
+    nullif(rtrim(regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[0-9a-f:.]+\]|[^/?#:\[]+)', 1), '.'), '') AS host,
     trim(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/') AS path
   FROM pages
 ), v AS (
@@ -124,8 +138,8 @@ WITH c AS (
 ), s AS (
   SELECT * FROM (SELECT list_name, key, action, effective AS valid_from, lead(effective) OVER (PARTITION BY list_name, key ORDER BY effective) AS valid_to FROM e) WHERE action = 'add'
 ), k AS (
-  SELECT page_id, fetched, 'd:' || array_to_string(string_split(host, '.')[i + 1 :], '.') AS key FROM c, range(32) r(i) WHERE i < len(string_split(host, '.'))
-  UNION SELECT page_id, fetched, 'p:' || host || '/' || array_to_string(regexp_split_to_array(path, '/+')[1 : i + 1], '/') FROM c, range(64) r(i) WHERE path <> '' AND i < len(regexp_split_to_array(path, '/+'))
+  SELECT page_id, fetched, 'd:' || array_to_string(l[i + 1 :], '.') AS key FROM (SELECT *, CASE WHEN host LIKE '[%' THEN [host] ELSE string_split(host, '.') END AS l FROM c), LATERAL (SELECT unnest(range(len(l))) AS i)
+  UNION SELECT page_id, fetched, 'p:' || host || '/' || array_to_string(l[1 : i + 1], '/') FROM (SELECT *, regexp_split_to_array(path, '/+') AS l FROM c WHERE path <> '' AND host IS NOT NULL), LATERAL (SELECT unnest(range(len(l))) AS i)
 ), h AS (
   SELECT page_id, string_agg(list_name || '/' || key, ',' ORDER BY list_name || '/' || key) AS rules, count(*) AS n_rules
   FROM k JOIN s USING (key) WHERE fetched >= valid_from AND (valid_to IS NULL OR fetched < valid_to) GROUP BY page_id

@@ -85,6 +85,18 @@ def test_shards_follow_the_key_law(make):
     assert sharding.assign_shards(make(), [1.0], [1.0, 1.0]).count() == 0
 
 
+def test_rows_that_are_many_times_the_same(make, monkeypatch):
+    monkeypatch.setattr(sharding, "BLOCK_ROWS", 16)
+    pairs = [(None, None)] * 100 + [(7, "same")] * 90 + [(7, "other")] * 20 + [(i, "t") for i in range(300)]
+    got = sharding.assign_shards(make(*pairs), [1.0] * 3, [1.0] * 4).collect()
+    slots = defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append((r["slot"], r["doc_id"], r["size"]))
+    assert Counter((r["doc_id"], r["size"]) for r in got) == Counter((i, len(t or "") + 8) for i, t in pairs)
+    assert all([s for s, *_ in sorted(v, key=lambda x: x[0])] == list(range(len(v))) for v in slots.values())
+    assert [i for _, i, n in sorted(slots[next(r["shard"] for r in got if r["doc_id"] == 7)], key=lambda x: x[0])][-110:].count(7) >= 109
+
+
 def test_weights_share_the_records(spark):
     docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     n = {r["shard"]: r["count"] for r in sharding.assign_shards(docs, [1.0, 3.0, 0.0], [1.0, 3.0, 1.0]).groupBy("shard").count().collect()}

@@ -9,6 +9,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from shelfspark.llm import components, ngram_join, url_filter, warc_zip
 from shelfspark.llm.components import connected_components
@@ -106,10 +107,19 @@ def test_tree_bound_never_loses_a_pair():
     counts = r.poisson(2, (200, 16)).astype(np.int32)
     counts[100:] = np.maximum(counts[:100] + r.integers(-1, 2, (100, 16)), 0)
     sizes = counts.sum(1)
-    tree = ngram_join.PointTree(counts, sizes)
-    for i in range(200):
-        bound = np.minimum(counts, counts[i]).sum(1)
-        assert set(tree.near(counts[i], sizes[i], 4, 5).tolist()) == set(np.flatnonzero(bound * 9 >= 4 * (sizes + sizes[i])).tolist())
+    for fan in (2, 3, 16, 300):
+        tree = ngram_join.PointTree(counts, sizes, fan)
+        assert len(tree.levels) == {2: 8, 3: 5, 16: 2, 300: 1}[fan]
+        for i in range(200):
+            bound = np.minimum(counts, counts[i]).sum(1)
+            assert set(tree.near(counts[i], sizes[i], 4, 5).tolist()) == set(np.flatnonzero(bound * 9 >= 4 * (sizes + sizes[i])).tolist())
+        assert tree.met < 200 * 200 * 2
+
+
+def test_ids_of_any_type(spark):
+    rows = [("b", "a b c d e f g"), ("a", "A B C D E F G"), ("c", "other words that stand here"), (None, "a b c d e f g"), ("d", None), ("b", "x y z")]
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string"), 4, 85, 100).collect()
+    assert sorted((r["doc_id"] or "", r["n_shingles"], r["component_id"] or "") for r in got) == [("", 4, ""), ("a", 4, "a"), ("b", 1, "b"), ("b", 4, "a"), ("c", 2, "c"), ("d", 0, "d")]
 
 
 @pytest.mark.parametrize("hot", [1_000_000, 5])
@@ -290,6 +300,20 @@ def test_url_lists_equal_brute_force(spark):
     assert not any(x["blocked"] for x in url_filter.evaluate(c, e.limit(0)).collect())
 
 
+def test_long_intervals_are_covered_once(spark):
+    r = random.Random(1)
+    pairs = [(a, a + r.choice([0, 1, 15, 16, 17, 40, 500])) for a in (r.randrange(-50, 900) for _ in range(200))]
+    for row in spark.createDataFrame(pairs, "a long, b long").withColumn("x", url_filter.buckets_of(F.col("a"), F.col("b"))).collect():
+        fine = [k for x in row["x"] for k in (range(x["bucket"] * 16, x["bucket"] * 16 + 16) if x["coarse"] else [x["bucket"]])]
+        assert sorted(fine) == list(range(row["a"], row["b"] + 1)) and len(row["x"]) <= 30 + (row["b"] - row["a"]) // 16 + 1
+
+
+def test_ipv6_hosts_and_old_entries(spark):
+    c = spark.createDataFrame([(1, "http://[::1]:80/a", 4 * 10**8), (2, "http://u@[2001:DB8::7]/", 4 * 10**8), (3, "http://[::2/a", 4 * 10**8)], "capture_id long, url string, fetched long")
+    e = spark.createDataFrame([("l", "d:[::1]", "add", 10), ("l", "p:[::1]/a", "add", 3 * 10**8), ("l", "d:[2001:db8::7]", "add", 5 * 10**8)], "list_name string, key string, action string, effective long")
+    assert {r["capture_id"]: r["rules"] for r in url_filter.evaluate(c, e).collect()} == {1: "l/d:[::1],l/p:[::1]/a", 2: "", 3: ""}
+
+
 def test_entries_with_several_slashes_match(spark):
     c = spark.createDataFrame([(1, "http://h.org/a//b/c", 50), (2, "http://h.org/a/b", 50), (3, "http://h.org/ab", 50)], "capture_id long, url string, fetched long")
     e = spark.createDataFrame([("l", "p:h.org/a//b/", "add", 10)], "list_name string, key string, action string, effective long")
