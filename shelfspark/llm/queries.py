@@ -23,6 +23,7 @@ ORACLES = {
     "op4_exact_dedup": exact_dedup.ORACLE_SQL,
     "op5_sharding": sharding.ORACLE_SQL,
     "op6_ngram_join": ngram_join.ORACLE_SQL,
+    "op7_pii": pii.ORACLE_SQL,
     "op8_decontaminate": decontaminate.ORACLE_SQL,
     "op9_secret_scan": secret_scan.ORACLE_SQL,
 }

@@ -118,6 +118,31 @@ def test_pii_equals_the_plain_patterns():
         assert [s[:3] for s in pii.spans_of(text) if s[0] in BASE] == brute_pii(text), text
 
 
+def test_pii_query_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    r = random.Random(8)
+    parts = ["a.b@c.de", "@x.y", "1.2.3.4", "256.1.1.1", "00.0.0.007", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (743) 555-3824", "++49 30 123456", "SSN", "ssnake", "123-45-6789", "666-45-6789", "900-11-1111", "123-00-6789", "1-123-45-6789", "identity", "DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "DE89 3704 0044 0532 0130 01", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947", "ABCD", "x" * 30, "é", "\n", ".", "-", "12345678901234567890"]
+    rows = [(i, "".join(r.choice(parts) + r.choice([" ", " ", "", "-"]) for _ in range(r.randrange(12)))) for i in range(800)] + [(900, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    wanted = con.sql(pii.ORACLE_SQL)
+    got = pii.query(spark, str(tmp_path)).select(*wanted.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(wanted.fetchall())
+    assert {"iban", "identity"} <= {x.split(":")[0] for row in got.collect() for x in row["spans"].split(",")}
+
+
+@pytest.mark.parametrize("text, kinds", [("the ssnake 123-45-6789", []), ("the SSN: 123-45-6789", ["identity"]), ("SSN 000-00-0000", []), ("SSN 666-12-1234", []), ("SSN 912-12-1234", []), ("SSN 123-00-1234 or 123-12-0000", []), ("DE89 3704 0044 0532 0130 00 THIS", ["iban"]), ("FR89 3704 0044 0532 0130 00", []), ("xDE89370400440532013000", [])])
+def test_pii_refuses_what_cannot_be(text, kinds):
+    assert [s[0] for s in pii.spans_of(text)] == kinds
+
+
+def test_context_words_are_whole_words():
+    score = lambda t: next(s[3] for s in pii.spans_of(t) if s[0] == "ip")
+    assert score("ip 1.2.3.4") > score("ipsum 1.2.3.4") == score("clip 1.2.3.4") == score("1.2.3.4 cardinal")
+
+
 def test_pii_adds_validated_spans_and_context(make):
     text = "my IBAN DE89 3704 0044 0532 0130 00, wrong DE89 3704 0044 0532 0130 01, SSN 123-45-6789 or 123-45-6788x" + " " * 60 + "111-22-3333"
     spans = pii.spans_of(text)
