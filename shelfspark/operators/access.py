@@ -11,13 +11,13 @@ from shelfspark.functions import paths
 from shelfspark.operators.ownership import can_delete
 
 
-def authorize(requests: DataFrame, users: DataFrame, uploads: DataFrame, matrix: DataFrame, browse: bool = True, download: bool = True, root: str = layout.READER_ROOT) -> DataFrame:
+def authorize(requests: DataFrame, users: DataFrame, uploads: DataFrame, matrix: DataFrame, browse: bool = True, download: bool = True, root: str = layout.READER_ROOT, sidecar: str = layout.SIDECAR) -> DataFrame:
     """requests(request_id, method, path, username, auth_state) with role, status_code and reason.
 
     auth_state is ok, anonymous, failed or blocked. The order of the rules decides between 401 and 403: preflight, failed
     sign-in, admin paths, reads, then each way of writing. Unknown methods are allowed.
     """
-    rows = can_delete(requests, uploads, root)
+    rows = can_delete(requests, uploads, root, sidecar)
     rows = rows.join(users.select("username", F.col("role").alias("user_role")), "username", "left")
     signed = F.col("auth_state") == "ok"
     rows = rows.withColumn("role", F.when(signed, F.col("user_role")).otherwise("anonymous"))
@@ -83,28 +83,42 @@ def auth_states(headers: DataFrame, column: str) -> DataFrame:
 def replay_limiter(attempts: DataFrame, max_failures: int = 10, window: float = 300, block: float = 900) -> DataFrame:
     """Limiter outcomes of attempts(attempt_id, key, ts, outcome), in time order for each key: allowed and retry_after.
 
-    A blocked key is refused. Before an attempt, failures older than the window go; with max_failures left the key is
-    blocked and its failures are cleared. Success clears both. The clearing makes a key's attempts sequential, so
-    each key is one group; rows are numbers only, and a key's rows stream through in order of time.
+    An attempt is crowded if the last ``max_failures`` failures before it came after the last success and within the window.
+    That needs counts and one equi-join. Of the crowded attempts those begin a block whose oldest counted failure is not
+    older than the end of the block before (nothing is counted during a block): one pass over the crowded attempts of a
+    key, with one number as state. Everything up to ``block`` seconds later is refused. Ties in time go by attempt_id.
     """
     import pyarrow as pa
 
     from shelfspark.shipping import map_arrow
-    from shelfspark.streaming.limiter import LimiterState
 
     rows = attempts.select("attempt_id", "key", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.coalesce("outcome", F.lit("")).alias("outcome"))
-    dealt = rows.repartition("key").sortWithinPartitions("key", "at", "attempt_id")
+    order = Window.partitionBy("key").orderBy("at", "attempt_id")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    failed = F.col("outcome") == "failure"
+    counted = rows.withColumns({"failures": F.count_if(failed).over(before), "cleared": F.coalesce(F.max(F.when(F.col("outcome") == "success", F.struct("at", "attempt_id"))).over(before), F.struct(F.lit(float("-inf")).alias("at"), F.lit(0).cast("long").alias("attempt_id")))})
+    numbered = counted.where(failed).select("key", (F.col("failures") + max_failures).alias("failures"), F.col("at").alias("oldest"), F.struct("at", "attempt_id").alias("oldest_place"))
+    if max_failures > 0:
+        numbered = numbered.withColumnsRenamed({"key": "own_key", "failures": "number"})
+        crowded = counted.join(numbered, F.col("key").eqNullSafe(F.col("own_key")) & (F.col("failures") == F.col("number"))).where((F.col("oldest") >= F.col("at") - window) & (F.col("oldest_place") > F.col("cleared")))
+    else:
+        crowded = counted.withColumn("oldest", F.col("at"))
+    dealt = crowded.select("attempt_id", "key", "at", "oldest").repartition("key").sortWithinPartitions("key", "at", "attempt_id")
 
     def run(batches):
-        key, state = None, None
+        key, end = None, None
         for batch in batches:
-            allowed, retry = [], []
-            for k, at, outcome in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                if k != key or state is None:
-                    key, state = k, LimiterState(max_failures, window, block)
-                ok, after = state.attempt(at, outcome)
-                allowed.append(ok)
-                retry.append(after)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(allowed, pa.bool_()), pa.array(retry, pa.int64())], names=["attempt_id", "key", "allowed", "retry_after"])
-
-    return map_arrow(dealt, run, "attempt_id long, key string, allowed boolean, retry_after long")
+            begins = []
+            for k, at, oldest in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                if k != key or end is None:
+                    key, end = k, float("-inf")
+                begins.append(oldest >= end)
+                end = at + block if begins[-1] else end
+            yield batch.select(["attempt_id"]).filter(pa.array(begins, pa.bool_()))
+
+    starts = map_arrow(dealt, run, "attempt_id long").withColumn("begins", F.lit(True))
+    marked = rows.join(starts, "attempt_id", "left")
+    last = F.last(F.when(F.col("begins"), F.col("at")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    left = F.col("start") + block - F.col("at")
+    wait = F.when(F.col("begins"), F.lit(int(block))).when(left > 0, F.floor(left).cast("long") + 1).otherwise(0).cast("long")
+    return marked.withColumn("start", last).select("attempt_id", "key", (~F.coalesce("begins", F.lit(False)) & ~F.coalesce(left > 0, F.lit(False))).alias("allowed"), wait.alias("retry_after"))

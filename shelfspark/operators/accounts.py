@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shelfspark import layout
 from shelfspark.functions import scalars
+from shelfspark.shared import stored
 
 
 def user_by_name(users: DataFrame, name: str) -> DataFrame:
@@ -139,32 +142,53 @@ def create_users(users: DataFrame, new: DataFrame, now: Column) -> tuple[DataFra
 def register(requests: DataFrame, users: DataFrame, invites: DataFrame, mode: str, now: Column, default_role: str = "registered") -> DataFrame:
     """Outcome of requests(request_id, username, password_length, invite_code): status_code, error, role, status.
 
-    Checks go in this order: mode, name, password, invite, known name. Of several requests for one name, or with one invite,
-    the first that passes the others is taken.
+    Requests are taken in the order of request_id. Checks go in this order: mode, name, password, invite, known name. Only a
+    request that is accepted takes its name and its invite; one that fails leaves both to later ones.
     """
     name = F.trim(F.coalesce("username", F.lit("")))
     length = F.coalesce("password_length", F.lit(0))
     password = F.when(length == 0, "Password is required").when(length < 8, "Password must be at least 8 characters").when(length > 128, "Password must be at most 128 characters")
     known = users.select(F.col("username").alias("known_name")).distinct()
-    open_ = invites.where((F.coalesce("used_by", F.lit("")) == "") & (F.col("expires_at") >= now)).select(F.col("code").alias("open_code"), F.col("role").alias("invite_role"))
+    open_ = invites.where((F.coalesce("used_by", F.lit("")) == "") & (F.col("expires_at") >= now)).select(F.col("code").alias("open_code"), F.col("role").alias("invite_role")).dropDuplicates(["open_code"])
     rows = requests.select("request_id", name.alias("username"), password.alias("password_error"), F.coalesce("invite_code", F.lit("")).alias("invite_code"))
     rows = rows.join(open_, rows["invite_code"] == open_["open_code"], "left").join(known, rows["username"] == known["known_name"], "left")
     invite_error = F.when(F.lit(mode == "invite"), F.when(F.col("invite_code") == "", "Invite code is required").when(F.col("open_code").isNull(), "Invalid or expired invite code"))
-    early = F.coalesce(scalars.username_error(F.col("username")), F.col("password_error"), invite_error)
-    rows = rows.withColumn("early", early).withColumn("fits", F.col("early").isNull() & F.col("known_name").isNull())
-    turn = F.row_number().over(Window.partitionBy("username", "fits").orderBy("request_id"))
-    rows = rows.withColumn("turn", turn)
+    early = F.coalesce(scalars.username_error(F.col("username")), F.col("password_error"), invite_error, F.when(F.col("known_name").isNotNull(), "Username already exists"))
+    rows = rows.withColumn("early", early)
     if mode == "invite":
-        again = F.row_number().over(Window.partitionBy("invite_code", (F.col("fits") & (F.col("turn") == 1))).orderBy("request_id"))
-        rows = rows.withColumn("again", again)
+        taken = _accepted(rows.where("early is null").select("request_id", "username", "invite_code"))
+        by_name = taken.select("username", F.col("request_id").alias("name_taken"))
+        by_code = taken.select("invite_code", F.col("request_id").alias("code_taken"))
+        rows = rows.join(by_name, "username", "left").join(by_code, "invite_code", "left")
+        late = F.when(F.col("code_taken") < F.col("request_id"), "Invalid or expired invite code").when(F.col("name_taken") < F.col("request_id"), "Username already exists")
+        # an early error of the name only: a used invite is found before it
+        early = F.when((F.col("early") == "Username already exists") & (F.col("code_taken") < F.col("request_id")), "Invalid or expired invite code").otherwise(F.col("early"))
     else:
-        rows = rows.withColumn("again", F.lit(1))
-    error = F.when(F.lit(mode == "disabled"), "Registration is disabled").otherwise(F.coalesce(F.col("early"), F.when(F.col("known_name").isNotNull() | (F.col("turn") > 1), "Username already exists"), F.when(F.col("again") > 1, "Invalid or expired invite code")))
+        first = F.min(F.when(F.col("early").isNull(), F.col("request_id"))).over(Window.partitionBy("username"))
+        rows = rows.withColumn("name_taken", first)
+        late, early = F.when(F.col("name_taken") < F.col("request_id"), "Username already exists"), F.col("early")
+    error = F.when(F.lit(mode == "disabled"), "Registration is disabled").otherwise(F.coalesce(early, late))
     code = F.when(F.lit(mode == "disabled"), 403).when(error.isNull(), 201).when(error == "Username already exists", 409).otherwise(400)
     role = F.col("invite_role") if mode == "invite" else F.lit(default_role)
     return rows.select("request_id", "username", code.alias("status_code"), error.alias("error"), F.when(error.isNull(), role).alias("role"), F.when(error.isNull(), "pending" if mode == "approval" else "active").alias("status"))
 
 
+def _accepted(open_requests: DataFrame) -> DataFrame:
+    """Of requests(request_id, username, invite_code) those that are accepted, taken in order.
+
+    A round accepts every request that is the first of those left both for its name and for its invite, and puts aside what
+    shares either with it. Every round decides at least the first request left; a round is two aggregations and equi-joins, and is stored.
+    """
+    left, accepted = stored(open_requests, "register-left"), []
+    while left.limit(1).count():
+        names = left.groupBy("username").agg(F.min("request_id").alias("first_name"))
+        codes = left.groupBy("invite_code").agg(F.min("request_id").alias("first_code"))
+        ready = stored(left.join(names, "username").join(codes, "invite_code").where((F.col("request_id") == F.col("first_name")) & (F.col("request_id") == F.col("first_code"))).select("request_id", "username", "invite_code"), "register-accepted")
+        accepted.append(ready)
+        left = stored(left.join(ready.select("username"), "username", "left_anti").join(ready.select("invite_code"), "invite_code", "left_anti").select("request_id", "username", "invite_code"), "register-left")
+    return reduce(DataFrame.unionByName, accepted) if accepted else left
+
+
 def conform(rows: DataFrame, schema, aliases: bool = True) -> DataFrame:
     """rows with the columns of schema, nulls where missing, and roles under their present names."""
     out = rows.select(*[F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema])

@@ -12,27 +12,27 @@ from shelfspark.operators.library import ancestors
 _COLUMNS = ["volume_key", "uploader_username", "uploaded_at", "last_modified_by", "last_modified_at"]
 
 
-def volume_owner(rows: DataFrame, uploads: DataFrame, path: str = "path") -> DataFrame:
+def volume_owner(rows: DataFrame, uploads: DataFrame, path: str = "path", sidecar: str = layout.SIDECAR) -> DataFrame:
     """rows with ``owner`` of the volume that the path belongs to; unknown paths have none."""
-    keyed = rows.withColumn("volume_key", paths.volume_key(F.col(path)))
+    keyed = rows.withColumn("volume_key", paths.volume_key(F.col(path), sidecar))
     return keyed.join(uploads.select("volume_key", F.col("uploader_username").alias("owner")), "volume_key", "left").drop("volume_key")
 
 
-def can_delete(requests: DataFrame, uploads: DataFrame, root: str = layout.READER_ROOT) -> DataFrame:
+def can_delete(requests: DataFrame, uploads: DataFrame, root: str = layout.READER_ROOT, sidecar: str = layout.SIDECAR) -> DataFrame:
     """requests(path, username) with ``may_delete``: a library path, not a top-level folder, whose owner is the user."""
     inside = F.col("path").startswith(f"/{root}/")
     relative = paths.stripped(F.substring("path", len(root) + 3, 2**31 - 1))
     deep = relative.contains("/") | relative.contains(".")
-    owned = volume_owner(requests.withColumn("relative", F.when(inside, relative)), uploads, "relative")
+    owned = volume_owner(requests.withColumn("relative", F.when(inside, relative)), uploads, "relative", sidecar)
     return owned.withColumn("may_delete", F.coalesce(inside & (relative != "") & deep & (F.col("owner") == F.col("username")), F.lit(False))).drop("owner", "relative")
 
 
-def apply_uploads(uploads: DataFrame, events: DataFrame) -> DataFrame:
+def apply_uploads(uploads: DataFrame, events: DataFrame, sidecar: str = layout.SIDECAR) -> DataFrame:
     """uploads after events(path, username, ts): the first uploader stays, the last modifier is kept; other paths are ignored.
 
     One aggregation over old rows and events; events before the stored ones do not take a volume over. Ties go by user name.
     """
-    new = events.select(paths.volume_key(F.col("path")).alias("volume_key"), F.col("username").alias("user"), "ts").where("volume_key is not null")
+    new = events.select(paths.volume_key(F.col("path"), sidecar).alias("volume_key"), F.col("username").alias("user"), "ts").where("volume_key is not null")
     old_first = uploads.select("volume_key", F.col("uploader_username").alias("user"), F.col("uploaded_at").alias("ts"), F.lit(0).alias("age"), F.lit(True).alias("first"), F.lit(False).alias("last"))
     old_last = uploads.select("volume_key", F.col("last_modified_by").alias("user"), F.col("last_modified_at").alias("ts"), F.lit(0).alias("age"), F.lit(False).alias("first"), F.lit(True).alias("last"))
     both = old_first.unionByName(old_last).unionByName(new.select("volume_key", "user", "ts", F.lit(1).alias("age"), F.lit(True).alias("first"), F.lit(True).alias("last")))
@@ -45,9 +45,9 @@ def apply_uploads(uploads: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
-def forget_uploads(uploads: DataFrame, removed: DataFrame) -> DataFrame:
+def forget_uploads(uploads: DataFrame, removed: DataFrame, sidecar: str = layout.SIDECAR) -> DataFrame:
     """uploads without the volumes of removed(path)."""
-    keys = removed.select(paths.volume_key(F.col("path")).alias("volume_key")).where("volume_key is not null").distinct()
+    keys = removed.select(paths.volume_key(F.col("path"), sidecar).alias("volume_key")).where("volume_key is not null").distinct()
     return uploads.join(keys, "volume_key", "left_anti")
 
 
@@ -64,13 +64,13 @@ def forget_prefix(uploads: DataFrame, prefixes: DataFrame, prefix_match: str = "
     return uploads.join(hit, "volume_key", "left_anti")
 
 
-def rename_uploads(uploads: DataFrame, renames: DataFrame, now: Column) -> DataFrame:
+def rename_uploads(uploads: DataFrame, renames: DataFrame, now: Column, sidecar: str = layout.SIDECAR) -> DataFrame:
     """uploads after renames(old_path, new_path): moved rows replace what lies at the new key and get ``now`` as last change.
 
     One rename per old key and batch; chains must be resolved before. Unknown, equal or foreign paths change nothing.
     Of several rows moved to one key, the one with the smallest old key stays.
     """
-    moves = renames.select(paths.volume_key(F.col("old_path")).alias("volume_key"), paths.volume_key(F.col("new_path")).alias("new_key")).where("volume_key is not null and new_key is not null and volume_key <> new_key")
+    moves = renames.select(paths.volume_key(F.col("old_path"), sidecar).alias("volume_key"), paths.volume_key(F.col("new_path"), sidecar).alias("new_key")).where("volume_key is not null and new_key is not null and volume_key <> new_key")
     joined = uploads.join(moves, "volume_key", "left")
     moved = F.col("new_key").isNotNull()
     target = joined.select(F.coalesce("new_key", "volume_key").alias("key"), moved.alias("moved"), F.col("volume_key").alias("old"), *_COLUMNS[1:4], F.when(moved, now).otherwise(F.col("last_modified_at")).alias("last_modified_at"))
@@ -78,12 +78,12 @@ def rename_uploads(uploads: DataFrame, renames: DataFrame, now: Column) -> DataF
     return best.select(F.col("key").alias("volume_key"), "row.*")
 
 
-def rename_folder(uploads: DataFrame, old: str, new: str, now: Column) -> DataFrame:
+def rename_folder(uploads: DataFrame, old: str, new: str, now: Column, sidecar: str = layout.SIDECAR) -> DataFrame:
     """rename_uploads for every volume below a folder."""
     prefix = f"{old.strip('/')}/"
     inside = uploads.where(F.col("volume_key").startswith(prefix))
     renames = inside.select(F.col("volume_key").alias("old_path"), F.concat(F.lit(f"{new.strip('/')}/"), F.substring("volume_key", len(prefix) + 1, 2**31 - 1)).alias("new_path"))
-    return rename_uploads(uploads, renames, now)
+    return rename_uploads(uploads, renames, now, sidecar)
 
 
 def delete_volumes(files: DataFrame, removed: DataFrame, sidecar: str = layout.SIDECAR) -> DataFrame:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import gzip
-import io
 import json
 import zipfile
 import zlib
+from urllib.parse import quote
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,35 +104,51 @@ def normalize_sidecars(sidecars: DataFrame) -> DataFrame:
     return map_arrow(rows, run, "rel_path string, json string")
 
 
+def _archives(spark: SparkSession, root: str) -> DataFrame:
+    """(rel_path, path) of the volumes below a folder; their content is not read."""
+    return _binary(spark, root, f"*{layout.VOLUME}").select("rel_path", "path")
+
+
+def _opened(uri: str):
+    """A seekable file at a URI that Spark listed: readers take the parts that they need."""
+    scheme, _, rest = uri.partition(":")
+    if scheme == "file" or not rest:
+        return pafs.LocalFileSystem().open_input_file("/" + (rest or uri).lstrip("/"))
+    fs, path = pafs.FileSystem.from_uri(f"{scheme}:{quote(rest, safe='/:@')}")
+    return fs.open_input_file(path)
+
+
 def read_archive_members(spark: SparkSession, root: str) -> DataFrame:
-    """(rel_path, member) of the volumes below a folder; a broken archive has no members."""
+    """(rel_path, member) of the volumes below a folder; a broken archive has no members. Only the directory of an archive is read."""
 
     def run(batches):
         for batch in batches:
-            for rel, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                try:
-                    names = zipfile.ZipFile(io.BytesIO(content)).namelist()
-                except (zipfile.BadZipFile, OSError, ValueError):
-                    names = []
+            for rel, uri in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with _opened(uri) as file:
+                    try:
+                        names = zipfile.ZipFile(file).namelist()
+                    except (zipfile.BadZipFile, OSError, ValueError):
+                        names = []
                 yield pa.RecordBatch.from_arrays([pa.array([rel] * len(names), pa.string()), pa.array(names, pa.string())], names=["rel_path", "member"])
 
-    return map_arrow(_binary(spark, root, f"*{layout.VOLUME}").select("rel_path", "content"), run, "rel_path string, member string")
+    return map_arrow(_archives(spark, root), run, "rel_path string, member string")
 
 
 def valid_archives(spark: SparkSession, root: str) -> DataFrame:
-    """(rel_path, valid): whether each volume opens and all checksums of its members hold."""
+    """(rel_path, valid): whether each volume opens and all checksums of its members hold. Members are read as streams."""
 
     def run(batches):
         for batch in batches:
             valid = []
-            for content in batch.column(1).to_pylist():
-                try:
-                    valid.append(zipfile.ZipFile(io.BytesIO(content)).testzip() is None)
-                except (zipfile.BadZipFile, OSError, ValueError, EOFError, RuntimeError, NotImplementedError, zlib.error):
-                    valid.append(False)
+            for uri in batch.column(1).to_pylist():
+                with _opened(uri) as file:
+                    try:
+                        valid.append(zipfile.ZipFile(file).testzip() is None)
+                    except (zipfile.BadZipFile, OSError, ValueError, EOFError, RuntimeError, NotImplementedError, zlib.error):
+                        valid.append(False)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(valid, pa.bool_())], names=["rel_path", "valid"])
 
-    return map_arrow(_binary(spark, root, f"*{layout.VOLUME}").select("rel_path", "content"), run, "rel_path string, valid boolean")
+    return map_arrow(_archives(spark, root), run, "rel_path string, valid boolean")
 
 
 def scan_user_files(spark: SparkSession, root: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import datetime as dt
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark import schemas
@@ -38,15 +40,64 @@ def write_audit(events: DataFrame, path: str) -> None:
     events.withColumn("dt", F.to_date("created_at")).write.mode("append").partitionBy("dt").parquet(path)
 
 
-def stream_audit(events: DataFrame, path: str, checkpoint: str):
-    """The same as a stream."""
-    return events.withColumn("dt", F.to_date("created_at")).writeStream.format("parquet").partitionBy("dt").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def stream_audit(events: DataFrame, path: str, checkpoint: str, keep_days: int | None = None):
+    """The same as a stream. With keep_days, every batch also drops the days that are wholly older than that before its newest event."""
+    if keep_days is None:
+        return events.withColumn("dt", F.to_date("created_at")).writeStream.format("parquet").partitionBy("dt").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
+    def add(batch: DataFrame, number: int) -> None:
+        # a batch that comes again overwrites what it wrote before
+        batch.withColumns({"dt": F.to_date("created_at"), "batch": F.lit(number)}).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt", "batch").parquet(path)
+        newest = batch.agg(F.max("created_at").alias("t")).first()["t"]
+        if newest is not None:
+            drop_days(batch.sparkSession, path, (newest - dt.timedelta(days=keep_days)).date())
+
+    return events.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def drop_days(spark: SparkSession, path: str, before: dt.date) -> None:
+    """Deletes the day folders of an audit trail that are older than a day."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in fs.listStatus(folder):
+        name = status.getPath().getName()
+        if name.startswith("dt=") and name[3:13] < before.isoformat():
+            fs.delete(status.getPath(), True)
 
-def write_progress(updates: DataFrame, path: str, checkpoint: str):
-    """Keeps a snapshot table of running jobs in step with a stream of full states(job, active, ...): a finished job leaves it."""
 
-    def keep(batch: DataFrame, _: int) -> None:
-        batch.groupBy("job").agg(F.max_by(F.struct(*[c for c in batch.columns if c != "job"]), "updated_at").alias("s")).select("job", "s.*").where("active").write.mode("overwrite").parquet(path)
+def write_progress(updates: DataFrame, path: str, checkpoint: str):
+    """Keeps a snapshot of running jobs in step with a stream of full states(job, active, updated_at, ...): a finished job leaves it.
+
+    A snapshot is a folder ``version=N`` below path, N the batch; it is made of the one before and the batch's states, the
+    latest of each job. read_snapshot reads the newest whole one; older ones than the last two are deleted. A batch
+    that comes again makes its own version anew.
+    """
+
+    def keep(batch: DataFrame, number: int) -> None:
+        old = read_snapshot(batch.sparkSession, path, batch.schema, below=number)
+        rest = [c for c in batch.columns if c != "job"]
+        latest = old.unionByName(batch).groupBy("job").agg(F.max_by(F.struct(*rest), F.struct("updated_at", F.col("active").isNull(), ~F.col("active"))).alias("s")).select("job", "s.*")
+        latest.where("active").write.mode("overwrite").parquet(f"{path}/version={number}")
+        for n in versions(batch.sparkSession, path)[:-2]:
+            folder = batch.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{path}/version={n}")
+            folder.getFileSystem(batch.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
     return updates.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The whole versions of a snapshot, oldest first."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return []
+    done = spark._jvm.org.apache.hadoop.fs.Path
+    names = [status.getPath() for status in fs.listStatus(folder)]
+    return sorted(int(p.getName()[8:]) for p in names if p.getName().startswith("version=") and fs.exists(done(p, "_SUCCESS")))
+
+
+def read_snapshot(spark: SparkSession, path: str, schema, below: int | None = None) -> DataFrame:
+    """The newest version of a snapshot (before ``below``), without rows if there is none."""
+    found = [n for n in versions(spark, path) if below is None or n < below]
+    return spark.read.schema(schema).parquet(f"{path}/version={found[-1]}") if found else spark.createDataFrame([], schema)

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.window import Window
 
 from shelfspark.shipping import ship
-from shelfspark.streaming.limiter import LimiterState
+from shelfspark.streaming.limiter import answers
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -35,6 +35,13 @@ def debounced_refresh_stream(events: DataFrame, seconds: int, watermark: str = "
     return sessions.select(key, F.col("w.end").alias("refreshed_at"), "events")
 
 
+def first_per_path(events: DataFrame) -> DataFrame:
+    """Batch: the first event of each path by (ts, id); without an id by ts."""
+    order = F.struct(*[c for c in ("ts", "id") if c in events.columns])
+    rest = [c for c in events.columns if c != "path"]
+    return events.groupBy("path").agg(F.min_by(F.struct(*rest), order).alias("e")).select("path", "e.*")
+
+
 def once_per_path(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
     """Stream: the first event of each path within the watermark."""
     return events.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["path"])
@@ -124,11 +131,11 @@ class _Limit(StatefulProcessor):
         self.state = handle.getValueState("state", "failures array<double>, blocked_until double")
 
     def handleInputRows(self, key, rows, timerValues):
-        failures, until = self.state.get() if self.state.exists() else ([], 0.0)
-        own = LimiterState(*self.limits, failures, until)
-        events = sorted((ts.timestamp(), int(i), o) for frame in rows for ts, i, o in zip(frame["ts"], frame["attempt_id"], frame["outcome"], strict=True))
-        out = [(i, key[0], *own.attempt(at, o or "")) for at, i, o in events]
-        self.state.update((list(own.failures), own.blocked_until))
+        last, end = self.state.get() if self.state.exists() else ([], 0.0)
+        events = sorted((ts.timestamp(), int(i), o or "") for frame in rows for ts, i, o in zip(frame["ts"], frame["attempt_id"], frame["outcome"], strict=True))
+        made, last, end = answers([(at, o) for at, _, o in events], list(last), end, *self.limits)
+        out = [(i, key[0], *answer) for (_, i, _), answer in zip(events, made, strict=True)]
+        self.state.update((last, end))
         if events:
             self.handle.registerTimer(int((events[-1][0] + max(self.limits[1:])) * 1000) + 1)
         yield pd.DataFrame(out, columns=["attempt_id", "key", "allowed", "retry_after"])
@@ -154,14 +161,24 @@ def login_limiter_stream(attempts: DataFrame, max_failures: int = 10, window: fl
 
 
 class _Watch(StatefulProcessor):
+    """The verdict on a job, by its polls and by event-time timers at the earliest time that a limit can be passed."""
+
     def __init__(self, idle: float, finalizing: float, hard: float):
         self.idle, self.finalizing, self.hard = idle, finalizing, hard
 
     def init(self, handle) -> None:
-        self.state = handle.getValueState("state", "done long, moved double, complete double, ended boolean")
+        self.handle = handle
+        self.state = handle.getValueState("state", "done long, moved double, complete double, valid boolean, ended boolean")
+
+    def verdict(self, at: float, moved: float, complete: float, valid: bool) -> str | None:
+        if at > self.hard:
+            return "hard"
+        if complete >= 0 and at - complete > self.finalizing:
+            return "finalized" if valid else "finalizing"
+        return "idle" if at - moved > self.idle else None
 
     def handleInputRows(self, key, rows, timerValues):
-        last, moved, complete, ended = self.state.get() if self.state.exists() else (-1, 0.0, -1.0, False)
+        last, moved, complete, valid, ended = self.state.get() if self.state.exists() else (-1, 0.0, -1.0, False, False)
         out = []
         polls = sorted((float(a), int(d), int(t), bool(v)) for f in rows for a, d, t, v in zip(f["at"], f["done"], f["total"], f["valid_sidecar"], strict=True))
         for at, done, total, valid in polls:
@@ -170,22 +187,51 @@ class _Watch(StatefulProcessor):
             if done != last:
                 last, moved = done, at
             complete = (complete if complete >= 0 else at) if total > 0 and done >= total else -1.0
-            late = complete >= 0 and at - complete > self.finalizing
-            verdict = "hard" if at > self.hard else ("finalized" if valid else "finalizing") if late else "idle" if at - moved > self.idle else None
-            if verdict:
+            found = self.verdict(at, moved, complete, valid)
+            if found:
                 ended = True
-                out.append((key[0], verdict, at))
-        self.state.update((last, moved, complete, ended))
+                out.append((key[0], found, at))
+        self.state.update((last, moved, complete, valid, ended))
+        if self.timed and not ended and polls:
+            self._next(moved, complete)
         yield pd.DataFrame(out, columns=["job", "verdict", "at"])
 
+    timed = False
+
+    def _next(self, moved: float, complete: float) -> None:
+        """One timer, at the earliest limit; a limit is passed a millisecond after it."""
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old[0] if isinstance(old, tuple) else old)
+        limits = [self.hard, moved + self.idle, *([complete + self.finalizing] if complete >= 0 else [])]
+        self.handle.registerTimer(int(min(limits) * 1000) + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        last, moved, complete, valid, ended = self.state.get() if self.state.exists() else (-1, 0.0, -1.0, False, True)
+        at = expiredTimerInfo.getExpiryTimeInMs() / 1000
+        found = None if ended else self.verdict(at, moved, complete, valid)
+        if found:
+            self.state.update((last, moved, complete, valid, True))
+        yield pd.DataFrame([(key[0], found, at)] if found else [], columns=["job", "verdict", "at"]).astype({"job": "int64", "at": "float64"})
+
     def close(self) -> None:
         pass
 
 
-def stalled_jobs_stream(polls: DataFrame, idle: float = 600, finalizing: float = 900, hard: float = 3600) -> DataFrame:
-    """Stream form of stalled_jobs: a row when a job ends by a limit."""
+class _WatchTimed(_Watch):
+    timed = True
+
+
+def stalled_jobs_stream(polls: DataFrame, idle: float = 600, finalizing: float = 900, hard: float = 3600, watermark: str | None = None) -> DataFrame:
+    """Stream form of stalled_jobs: a row when a job ends by a limit.
+
+    With a watermark, polls also have ``ts`` (the time of day at which ``at`` seconds of event time have passed since the epoch), and a
+    silent job gets its verdict when the watermark passes the limit, without another poll of its own; ``at`` is then the limit and a millisecond.
+    """
     ship(polls.sparkSession)
-    return polls.groupBy("job").transformWithStateInPandas(statefulProcessor=_Watch(idle, finalizing, hard), outputStructType="job long, verdict string, at double", outputMode="Append", timeMode="None")
+    if watermark is None:
+        return polls.groupBy("job").transformWithStateInPandas(statefulProcessor=_Watch(idle, finalizing, hard), outputStructType="job long, verdict string, at double", outputMode="Append", timeMode="None")
+    timed = polls.withWatermark("ts", watermark)
+    return timed.groupBy("job").transformWithStateInPandas(statefulProcessor=_WatchTimed(idle, finalizing, hard), outputStructType="job long, verdict string, at double", outputMode="Append", timeMode="EventTime")
 
 
 def latest_progress_stream(updates: DataFrame) -> DataFrame:

@@ -1,28 +1,26 @@
-"""The sign-in limiter as state of a key."""
+"""The sign-in limit as a rule on the failures of a key.
 
-from __future__ import annotations
+Only the last ``max_failures`` failures since the last clearing matter: if the oldest of them lies within the window
+before an attempt, that attempt begins a block. A success clears them, and so does a block.
+"""
 
-from collections import deque
+from __future__ import annotations
 
+from collections.abc import Iterable
 
-class LimiterState:
-    def __init__(self, max_failures: int, window: float, block: float, failures=(), blocked_until: float = 0.0):
-        self.max_failures, self.window, self.block = max_failures, window, block
-        self.failures, self.blocked_until = deque(failures), blocked_until
 
-    def attempt(self, at: float, outcome: str) -> tuple[bool, int]:
-        """(allowed, seconds to wait) at this time; an allowed attempt's outcome (failure or success) is recorded."""
-        if self.blocked_until > at:
-            return False, int(self.blocked_until - at) + 1
-        while self.failures and self.failures[0] < at - self.window:
-            self.failures.popleft()
-        if len(self.failures) >= self.max_failures:
-            self.blocked_until = at + self.block
-            self.failures.clear()
-            return False, int(self.block)
-        if outcome == "failure":
-            self.failures.append(at)
+def answers(attempts: Iterable[tuple[float, str]], last: list[float], end: float, max_failures: int, window: float, block: float) -> tuple[list[tuple[bool, int]], list[float], float]:
+    """((allowed, seconds to wait) of each attempt (time, outcome) in order, the last failures, the end of the block), from the two before."""
+    out = []
+    for at, outcome in attempts:
+        wait = 0
+        if at < end:
+            wait = int(end - at) + 1
+        elif len(last) == max_failures and (not last or last[0] >= at - window):
+            wait, end, last = int(block), at + block, []
+        elif outcome == "failure":
+            last = [*last, at][-max_failures:]
         elif outcome == "success":
-            self.failures.clear()
-            self.blocked_until = 0.0
-        return True, 0
+            last = []
+        out.append((wait == 0, wait))
+    return out, last, end

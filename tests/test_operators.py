@@ -193,6 +193,60 @@ def test_limiter_replay(spark):
     assert pairs(access.failures_in_window(edge, 300), "attempt_id", "failures") == [(1, 1), (2, 2), (3, 1)]
 
 
+def test_limiter_against_a_loop(spark):
+    r = random.Random(11)
+    for most, window, block in ((3, 300, 100), (1, 50, 400), (10, 300, 900), (0, 10, 20)):
+        rows, wanted, state = [], {}, {}
+        for i in range(400):
+            key, at, outcome = r.choice(["a", "b", None]), 7 * i + r.randrange(3), r.choice(["failure", "failure", "failure", "success", "x", None][: r.choice([3, 6])])
+            rows.append((i, key, T0 + dt.timedelta(seconds=at), outcome))
+            kept, until = state.get(key, ([], -1))
+            kept = kept if until > at else [f for f in kept if f >= at - window]
+            if until > at:
+                wanted[i] = (False, until - at + 1)
+            elif len(kept) >= most:
+                wanted[i], kept, until = (False, block), [], at + block
+            else:
+                wanted[i] = (True, 0)
+                kept = kept + [at] if outcome == "failure" else [] if outcome == "success" else kept
+            state[key] = (kept, until)
+        got = access.replay_limiter(spark.createDataFrame(rows, "attempt_id long, key string, ts timestamp, outcome string"), most, window, block)
+        assert {x["attempt_id"]: (x["allowed"], x["retry_after"]) for x in got.collect()} == wanted
+
+
+def test_registrations_against_a_loop(spark):
+    r = random.Random(12)
+    day = dt.timedelta(days=1)
+    codes = [f"c{i}" for i in range(12)]
+    inv = spark.createDataFrame([(i, c, "editor", None, T0, T0 + day, None, None) for i, c in enumerate(codes)], schemas.INVITES)
+    asked = [(i, r.choice(["ann", "new1", "new2", "new3", "new4", "x"]), r.choice([3, 9, 9, 9]), r.choice([*codes, "bad", ""])) for i in range(60)] + [(100, "anna", 9, "c0"), (101, "bert", 9, "c0")]
+    taken, used, wanted = {"ann"}, set(), {}
+    for i, name, length, code in asked:
+        if len(name) < 3 or length < 8 or code not in codes or code in used:
+            wanted[i] = 400
+        elif name in taken:
+            wanted[i] = 409
+        else:
+            wanted[i] = 201
+            taken.add(name)
+            used.add(code)
+    rows = spark.createDataFrame(asked, "request_id long, username string, password_length int, invite_code string")
+    got = accounts.register(rows, users(spark, ("ann", "admin", "active")), inv, "invite", F.lit(T0).cast("timestamp_ntz"))
+    assert {x["request_id"]: x["status_code"] for x in got.collect()} == wanted
+    probe = spark.createDataFrame([(1, "anna", 9, "X"), (2, "bert", 9, "X"), (3, "bert", 9, "Y")], "request_id long, username string, password_length int, invite_code string")
+    two = spark.createDataFrame([(1, "X", "editor", None, T0, T0 + day, None, None), (2, "Y", "editor", None, T0, T0 + day, None, None)], schemas.INVITES)
+    assert [x["status_code"] for x in accounts.register(probe, users(spark), two, "invite", F.lit(T0).cast("timestamp_ntz")).orderBy("request_id").collect()] == [201, 400, 201]
+
+
+def test_sidecar_endings_of_a_deployment(spark):
+    up = uploads(spark, ("S/v1.cbz", "alice"))
+    asks = spark.createDataFrame([("/reader/S/v1.txt.gz", "alice"), ("/reader/S/v1.ocr", "alice")], "path string, username string")
+    assert [r["may_delete"] for r in ownership.can_delete(asks, up, sidecar=".txt").orderBy("path").collect()] == [False, True]
+    events = spark.createDataFrame([("N/n.txt", "eve", T0), ("N/m.ocr", "eve", T0)], "path string, username string, ts timestamp_ntz")
+    assert pairs(ownership.apply_uploads(up, events, ".txt"), "volume_key") == [("N/n.cbz",), ("S/v1.cbz",)]
+    assert ownership.forget_uploads(up, spark.createDataFrame([("S/v1.txt",)], "path string"), ".txt").count() == 0
+
+
 def test_audit(spark):
     rows = [(i, "ann" if i else None, "edit", "library", "/reader/x" if i % 2 else None, "bob" if i == 2 else None, "d" * 130 if i == 1 else None, T0 + dt.timedelta(days=i)) for i in range(40)]
     log = spark.createDataFrame(rows, schemas.AUDIT)

@@ -142,6 +142,17 @@ def test_job_streams(spark, tmp_path):
     assert {x["job"]: x["percent"] for x in latest} == {0: 90, 1: 100, 2: 110}
 
 
+def test_silent_jobs_get_a_verdict(spark, tmp_path):
+    at = lambda t: dt.datetime.fromtimestamp(t, dt.timezone.utc)
+    polls = [(1, 10.0, 5, 10, False, at(10)), (2, 20.0, 10, 10, True, at(20)), (4, 30.0, 1, 10, False, at(30))]
+    polls += [(3, float(t), t // 100, 100, False, at(t)) for t in range(100, 6000, 100)] + [(4, 400.0, 2, 10, False, at(400))]
+    polls.sort(key=lambda x: x[1])
+    got = run_stream(spark, polls, "job long, at double, done long, total long, valid_sidecar boolean, ts timestamp", lambda s: streams.stalled_jobs_stream(s, watermark="0 seconds"), tmp_path, parts=30)
+    found = {x["job"]: (x["verdict"], x["at"]) for x in got}
+    assert len(got) == 4 and {j: v for j, (v, _) in found.items()} == {1: "idle", 2: "idle", 3: "hard", 4: "idle"}
+    assert found[1][1] == pytest.approx(610, abs=0.01) and found[2][1] == pytest.approx(620, abs=0.01) and found[4][1] == pytest.approx(1000, abs=0.01)
+
+
 def test_stream_sinks(spark, tmp_path):
     spark.createDataFrame([(1, "a", "edit", None, None, None, "{}", dt.datetime(2024, 1, 2))], schemas.AUDIT).write.parquet(f"{tmp_path}/log")
     stream = spark.readStream.schema(schemas.AUDIT).parquet(f"{tmp_path}/log")
@@ -150,7 +161,17 @@ def test_stream_sinks(spark, tmp_path):
     spark.createDataFrame([(1, True, 5.0), (2, True, 1.0), (2, False, 2.0)], "job int, active boolean, updated_at double").write.parquet(f"{tmp_path}/p")
     states = spark.readStream.schema("job int, active boolean, updated_at double").parquet(f"{tmp_path}/p")
     records.write_progress(states, f"{tmp_path}/now", f"{tmp_path}/c2").awaitTermination(120)
-    assert pairs(spark.read.parquet(f"{tmp_path}/now"), "job") == [(1,)]
+    now = lambda: pairs(records.read_snapshot(spark, f"{tmp_path}/now", states.schema), "job", "updated_at")
+    assert now() == [(1, 5.0)]
+    for rows, wanted in (([(3, True, 6.0)], [(1, 5.0), (3, 6.0)]), ([(1, False, 7.0), (3, True, 2.0)], [(3, 6.0)]), ([(3, False, 9.0)], []), ([(4, True, 10.0)], [(4, 10.0)])):
+        spark.createDataFrame(rows, states.schema).write.mode("append").parquet(f"{tmp_path}/p")
+        records.write_progress(states, f"{tmp_path}/now", f"{tmp_path}/c2").awaitTermination(120)
+        assert now() == wanted
+    assert len(records.versions(spark, f"{tmp_path}/now")) == 2
+    for day in (3, 20, 40):
+        spark.createDataFrame([(day, "a", "edit", None, None, None, "{}", dt.datetime(2024, 1, 1) + dt.timedelta(days=day))], schemas.AUDIT).write.mode("append").parquet(f"{tmp_path}/log")
+        records.stream_audit(stream, f"{tmp_path}/kept", f"{tmp_path}/c3", keep_days=30).awaitTermination(120)
+    assert pairs(spark.read.parquet(f"{tmp_path}/kept"), "id") == [(20,), (40,)]
     with open(tmp_path / "e.json", "w") as f:
         f.write('{"path":"a.cbz","kind":"created","ts":"2024-01-01T00:00:00Z"}\n')
     (tmp_path / "ev").mkdir()
