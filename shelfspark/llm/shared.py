@@ -1,34 +1,13 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Row numbers, bitmaps and tables for the training-text operators; intermediate tables are those of the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfspark.shared import shared_path, stored
 
-_own: dict[str, str] = {}
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``. Where that is unset: below a temporary folder of this application if the
-    master is local, else an error, for executors of a cluster would write to disks of their own."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = _own.get(spark.sparkContext.applicationId) or tempfile.mkdtemp(prefix="spark-shelf-")
-        _own[spark.sparkContext.applicationId] = base
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts the lineage and survives lost executors."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["flagged", "numbered", "shared_path", "stored", "table"]
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:
