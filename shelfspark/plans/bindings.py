@@ -135,5 +135,6 @@ def with_relations(needs: tuple[str, ...], select: str) -> str:
         add(need)
     if not order:
         return select
-    front = "WITH " + ", ".join(f"{n} AS ({SQL[n][1]})" for n in order)
-    return f"{front}, {select[5:]}" if select.startswith("WITH ") else f"{front} {select}"
+    recursive = select.startswith("WITH RECURSIVE ")
+    front = ("WITH RECURSIVE " if recursive else "WITH ") + ", ".join(f"{n} AS ({SQL[n][1]})" for n in order)
+    return f"{front}, {select.removeprefix('WITH ').removeprefix('RECURSIVE ')}" if select.startswith("WITH ") else f"{front} {select}"

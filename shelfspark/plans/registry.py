@@ -265,8 +265,8 @@ o AS (SELECT *, row_number() OVER (ORDER BY request_id) AS n FROM e WHERE early
 s AS (SELECT 0::BIGINT AS n, 0::BIGINT AS request_id, 0 AS code, []::VARCHAR[] AS names, []::VARCHAR[] AS codes UNION ALL
 SELECT o.n, o.request_id, CASE WHEN list_contains(codes, invite_code) THEN 400 WHEN list_contains(names, username) THEN 409 ELSE 201 END, CASE WHEN list_contains(codes, invite_code) OR list_contains(names, username) THEN names ELSE list_append(names, username) END, CASE WHEN list_contains(codes, invite_code) OR list_contains(names, username) THEN codes ELSE list_append(codes, invite_code) END
 FROM s JOIN o ON o.n = s.n + 1),
-d AS (SELECT request_id, code FROM s WHERE n > 0), x AS (SELECT e.invite_code, min(request_id) AS at FROM d JOIN e USING (request_id) WHERE code = 201 GROUP BY e.invite_code)
-SELECT request_id, username, CAST(CASE WHEN early = 409 AND x.at < request_id THEN 400 ELSE coalesce(early, code) END AS INTEGER) AS status_code, CASE WHEN early IS NULL AND code = 201 THEN role END AS role FROM e LEFT JOIN d USING (request_id) LEFT JOIN x USING (invite_code)""")
+d AS (SELECT request_id, code FROM s WHERE n > 0), x AS (SELECT e.invite_code, min(request_id) AS first FROM d JOIN e USING (request_id) WHERE code = 201 GROUP BY e.invite_code)
+SELECT request_id, username, CAST(CASE WHEN early = 409 AND x.first < request_id THEN 400 ELSE coalesce(early, code) END AS INTEGER) AS status_code, CASE WHEN early IS NULL AND code = 201 THEN role END AS role FROM e LEFT JOIN d USING (request_id) LEFT JOIN x USING (invite_code)""")
 def _(t):
     return accounts.register(t.registrations(), t.users(), t.invites(), "invite", now_i()).select("request_id", "username", "status_code", "role")
 
@@ -502,11 +502,11 @@ def _(t):
 
 query("t2_debounced_refresh", ("file_events",), "SELECT library, max(ts) + INTERVAL 7200 SECOND AS refreshed_at, count(*) AS events FROM (SELECT *, sum(g) OVER (PARTITION BY library ORDER BY ts) AS p FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY library ORDER BY ts) >= INTERVAL 7200 SECOND THEN 1 ELSE 0 END AS g FROM file_events)) GROUP BY library, p")(lambda t: streams.debounced_refresh(t.file_events(), 7200))
 _LIMIT_SQL = """WITH RECURSIVE a AS (SELECT *, count(*) FILTER (outcome = 'failure') OVER w AS k, coalesce(max(rn) FILTER (outcome = 'success') OVER w, 0) AS cleared
-FROM (SELECT *, epoch_us(ts) / 1e6 AS at, row_number() OVER (PARTITION BY key ORDER BY ts, attempt_id) AS rn FROM attempts) WINDOW w AS (PARTITION BY key ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-c AS (SELECT a.key, a.rn, a.at, f.at AS oldest, row_number() OVER (PARTITION BY a.key ORDER BY a.rn) AS n FROM a JOIN a f ON f.key = a.key AND f.outcome = 'failure' AND f.k = a.k - 3 WHERE f.at >= a.at - 172800 AND f.rn > a.cleared),
-b AS (SELECT key, n, rn, true AS begins, at + 86400 AS until FROM c WHERE n = 1 UNION ALL SELECT c.key, c.n, c.rn, c.oldest >= b.until, CASE WHEN c.oldest >= b.until THEN c.at + 86400 ELSE b.until END FROM b JOIN c ON c.key = b.key AND c.n = b.n + 1)
-SELECT attempt_id, key, NOT begins AND until <= at AS allowed, CAST(CASE WHEN begins THEN 86400 WHEN until > at THEN floor(until - at) + 1 ELSE 0 END AS BIGINT) AS retry_after
-FROM (SELECT attempt_id, key, at, coalesce(b.begins, false) AS begins, coalesce(max(CASE WHEN b.begins THEN b.until END) OVER (PARTITION BY key ORDER BY rn), 0) AS until FROM a LEFT JOIN b USING (key, rn))"""
+FROM (SELECT *, epoch_us(ts) / 1e6 AS sec, row_number() OVER (PARTITION BY key ORDER BY ts, attempt_id) AS rn FROM attempts) WINDOW w AS (PARTITION BY key ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT a.key, a.rn, a.sec, f.sec AS oldest, row_number() OVER (PARTITION BY a.key ORDER BY a.rn) AS n FROM a JOIN a f ON f.key = a.key AND f.outcome = 'failure' AND f.k = a.k - 3 WHERE f.sec >= a.sec - 172800 AND f.rn > a.cleared),
+b AS (SELECT key, n, rn, true AS begins, sec + 86400 AS until FROM c WHERE n = 1 UNION ALL SELECT c.key, c.n, c.rn, c.oldest >= b.until, CASE WHEN c.oldest >= b.until THEN c.sec + 86400 ELSE b.until END FROM b JOIN c ON c.key = b.key AND c.n = b.n + 1)
+SELECT attempt_id, key, NOT begins AND until <= sec AS allowed, CAST(CASE WHEN begins THEN 86400 WHEN until > sec THEN floor(until - sec) + 1 ELSE 0 END AS BIGINT) AS retry_after
+FROM (SELECT attempt_id, key, sec, coalesce(b.begins, false) AS begins, coalesce(max(CASE WHEN b.begins THEN b.until END) OVER (PARTITION BY key ORDER BY rn), 0) AS until FROM a LEFT JOIN b USING (key, rn))"""
 
 query("t3_login_limiter", ("attempts",), _LIMIT_SQL)(lambda t: access.replay_limiter(t.attempts(), 3, 172800, 86400))
 
