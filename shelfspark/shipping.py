@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
@@ -28,7 +29,23 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+def release() -> None:
+    """Gives memory that a task has freed back to the machine: Spark keeps a worker for the next task, and the allocators keep what it used."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:
     """df.mapInArrow with this package at hand in the workers. Batches have the session's size in rows and bytes (Spark's own limit is 64 MB)."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def run(batches):
+        yield from function(batches)
+        release()
+
+    return df.mapInArrow(run, schema)
