@@ -35,7 +35,7 @@ CALL_CHARS = 1_000_000
 #: Up to here (Latin Extended-B) the regex package agrees with the library on letters, digits and spaces; beyond, Unicode versions differ, and the library splits.
 LATIN_END = "\u024f"
 #: Characters of distinct matches that a worker remembers.
-KEPT_CHARS = 3_000_000
+KEPT_CHARS = 1_500_000
 _CUT = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
 
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.shared import stored
+from shelfspark.llm.shared import discard, stored
 from shelfspark.shipping import map_arrow
 
 #: Edges of one id that a task takes; an id with more is dealt to several.
@@ -72,12 +72,14 @@ def connected_components(edges: DataFrame, name: str) -> DataFrame:
     when no partition changed anything. Edges are written after every round; nothing is collected. No edges give an empty table.
     """
     edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-edges")
+    last = edges
     while True:
         hot, n = None, edges.count()
         if n > HOT_EDGES:
             hot = edges.groupBy(F.col("b").alias("key")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_EDGES).select("key", F.ceil(F.col("n") * 2 / HOT_EDGES).alias("places"))
         moved = stored(_round(edges, hot, max(LEAST_PLACES, -(-n // PLACE_EDGES))), f"{name}-edges")
-        edges = moved.select("a", "b")
+        discard(last)
+        edges, last = moved.select("a", "b"), moved
         if not moved.where("changed").limit(1).count():
             break
     # now every id that is not the smallest has one edge

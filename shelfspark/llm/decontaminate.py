@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm.shared import numbered, stored, table
+from shelfspark.llm.shared import discard, keyed, stored, table, without
 from shelfspark.llm.words import NOT_ALNUM, chunks, word_hashes
 from shelfspark.shipping import map_arrow
 
@@ -29,7 +29,7 @@ WINDOW = 10
 #: Text of test items that is broadcast at once; a word of it takes 10 to 20 bytes there.
 BLOCK_BYTES = 8_000_000
 #: Words of a shard. A document with more is cut into segments, which overlap by a window less one word.
-SHARD_WORDS = 2**19
+SHARD_WORDS = 2**19  # less than 2**23, as places have three bytes
 #: Places of matches that are listed at once.
 PLACES = 2**20
 
@@ -74,6 +74,8 @@ class Shard:
         self.vocabulary, self.text, self.suffixes = vocabulary, text, suffixes
 
     KINDS = (("rows", np.int64), ("starts", np.int64), ("bounds", np.int64), ("vocabulary", np.uint64), ("text", np.int32), ("suffixes", np.int32))
+    #: Numbers of words and places are stored in three bytes, byte place by byte place, which packs well.
+    SMALL = 3
 
     @classmethod
     def of(cls, segments: list[tuple[int, int, np.ndarray]]) -> Shard:
@@ -86,11 +88,21 @@ class Shard:
         return cls(np.array([r for r, _, _ in segments]), np.array([s for _, s, _ in segments]), bounds, vocabulary, text, suffix_array(text).astype(np.int32))
 
     def packed(self) -> list[bytes]:
-        return [np.ascontiguousarray(getattr(self, name), kind).tobytes() for name, kind in self.KINDS]
+        parts = [np.ascontiguousarray(getattr(self, name), kind) for name, kind in self.KINDS]
+        return [part.view(np.uint8).reshape(-1, 4)[:, : self.SMALL].T.tobytes() if kind is np.int32 else part.tobytes() for part, (_, kind) in zip(parts, self.KINDS, strict=True)]
 
     @classmethod
     def unpacked(cls, parts) -> Shard:
-        return cls(*[np.frombuffer(part, kind) for part, (_, kind) in zip(parts, cls.KINDS, strict=True)])
+        out = []
+        for part, (_, kind) in zip(parts, cls.KINDS, strict=True):
+            if kind is np.int32:
+                planes = np.frombuffer(part, np.uint8).reshape(cls.SMALL, -1)
+                wide = np.zeros((planes.shape[1], 4), np.uint8)
+                wide[:, : cls.SMALL] = planes.T
+                out.append(wide.view(np.int32).ravel())
+            else:
+                out.append(np.frombuffer(part, kind))
+        return cls(*out)
 
     def narrow(self, lo: np.ndarray, hi: np.ndarray, depth, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each range [lo, hi) of suffixes that agree in ``depth`` words the part whose next word is this one."""
@@ -345,10 +357,14 @@ def longest_matches(found: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs without any benchmark window; all columns stay. Rows are decided one by one, whatever their ids."""
-    rows = numbered(docs, "contamination-docs")
-    hit = find_contamination(rows, benchmark, "__row", text_col, block_bytes=block_bytes).where(F.size("ranges") > 0).select(F.col("doc_id").alias("__row"))
-    return rows.join(hit, "__row", "left_anti").select(*docs.columns)
+    """The rows of docs without any benchmark window; all columns stay. Rows are decided one by one, whatever their ids. Only rows
+    that a bitmap of the contaminated ones flags are shuffled."""
+    rows, key = keyed(docs, id_col, "contamination-docs")
+    index = build_index(rows, key, text_col)
+    hit = search_index(index, benchmark, block_bytes=block_bytes).select("row").join(index.where("row is not null").select("row", "doc_id"), "row").select(F.col("doc_id").alias(key))
+    gone = stored(hit, "contamination-hits")
+    discard(index)
+    return without(rows, key, gone).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

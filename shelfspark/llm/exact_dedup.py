@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from shelfspark.llm.shared import numbered, stored, table
+from shelfspark.llm.shared import discard, flagged, stored, table
 
 #: Deepest directory: at most 2**MAX_DEPTH slots, whatever the corpus, so that the directory may be broadcast.
 MAX_DEPTH = 16
@@ -51,6 +51,7 @@ def build_directory(keys: DataFrame, capacity: int = 4096) -> tuple[DataFrame, i
     over = levels.where(F.col("n") > capacity).select("depth", "prefix", F.lit(True).alias("over"))
     leaves = root.unionByName(split).join(over, ["depth", "prefix"], "left").where(F.col("over").isNull() | (F.col("depth") == MAX_DEPTH)).select("depth", "prefix")
     leaves = stored(leaves, "dedup-buckets")
+    discard(cells)
     depth = leaves.agg(F.max("depth").alias("d")).first()["d"]
     first = F.expr(f"prefix * cast(pow(2, {depth} - depth) as bigint)")
     slots = leaves.select(F.explode(F.sequence(first, first + F.expr(f"cast(pow(2, {depth} - depth) as bigint)") - 1)).alias("slot"), first.alias("bucket"), F.col("depth").alias("local_depth"))
@@ -70,7 +71,9 @@ def build_index(rows: DataFrame, slots: DataFrame, depth: int) -> DataFrame:
     # without texts, and stored, for range partitioning reads its rows twice
     slim = stored(entries.select("bucket", "local_depth", "h", F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size"), "dedup-entries")
     chained = slim.repartitionByRange("bucket", "h").withColumn("chain_pos", F.row_number().over(Window.partitionBy("bucket", "h").orderBy(F.col("keep_id").asc_nulls_last(), "sha")))
-    return stored(chained, "dedup-index")
+    made = stored(chained, "dedup-index")
+    discard(slim)
+    return made
 
 
 def in_bucket(rows: DataFrame, slots: DataFrame, depth: int) -> DataFrame:
@@ -96,10 +99,19 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of docs for each text, of those with its smallest id; all columns stay. Rows are decided one by one, so an id may repeat or be null."""
-    rows = numbered(docs, "dedup-rows")
-    kept = exact_groups(rows, id_col, text_col, also=["__row"]).where("kept").groupBy("text_sha256").agg(F.min("__row").alias("__row"))
-    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
+    """One row of docs for each text, of those with its smallest id; all columns stay. Rows are decided one by one, so an id may repeat or be null.
+
+    Only rows that a bitmap of the copies' ids flags are shuffled; the others stay where they are. Of rows that
+    repeat the smallest id with its text one is kept.
+    """
+    found = exact_groups(docs, id_col, text_col).groupBy("doc_id", "text_sha256", "keep_id").agg(F.count(F.lit(1)).alias("n"))
+    own = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    marks = stored(found.where(~own | (F.col("n") > 1)).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__text"), own.alias("__one")), "dedup-marks")
+    near = flagged(docs, id_col, marks, "__id", "__may")
+    met = near.where("__may").withColumn("__sha", F.sha2(normalised(F.col(text_col)), 256)).join(marks, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__text")), "left")
+    # of rows with a mark one for each text, all of those without
+    left = met.where("__one is null or __one").withColumn("__copy", F.when(F.col("__one"), F.col("__sha")).otherwise(F.monotonically_increasing_id().cast("string"))).dropDuplicates(["__copy"])
+    return near.where("not __may").select(*docs.columns).unionAll(left.select(*docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

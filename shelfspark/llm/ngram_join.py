@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from shelfspark.llm.components import connected_components, forest
-from shelfspark.llm.shared import flagged, numbered, stored, table
+from shelfspark.llm.shared import discard, flagged, keyed, numbered, stored, table, without
 from shelfspark.llm.words import SPACES, chunks, mix, word_hashes
 from shelfspark.shipping import map_arrow
 
@@ -494,17 +494,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5,
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array([flat[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], names=["group", "members", "id", "tokens"])
 
     links = links_of(texts.where(F.col("members") <= BLOCK), "ngram-links")
-    large = texts.where(F.col("members") > BLOCK)
+    large, spent = texts.where(F.col("members") > BLOCK), []
     if large.limit(1).count():
         # common passages can chain unlike sets; those that link share keys under every hash
         again = large.select(F.col("id").alias("doc_id"), "text", "group")
         split = several(connected_components(_shared_keys(again, width, num, den, buckets, common, 1), "ngram-split").withColumnRenamed("component", "group"))
         parts = stored(split.join(large.select("id", "text"), "id").select("group", "members", "id", "text"), "ngram-parts")
+        spent.append(parts)
         links = links.unionByName(links_of(parts.where(F.col("members") <= BLOCK), "ngram-part-links"))
         large = parts.where(F.col("members") > BLOCK)
         if large.limit(1).count():
-            links = links.unionByName(_large_links(stored(map_arrow(large, tokens, "group long, members long, id long, tokens binary"), "ngram-sets"), num, den))
+            spent.append(stored(map_arrow(large, tokens, "group long, members long, id long, tokens binary"), "ngram-sets"))
+            links = links.unionByName(_large_links(spent[-1], num, den))
     final = connected_components(links, "ngram-final").withColumnRenamed("id", "point")
+    discard(texts, wanted, *spent)
     named = points.join(final, points["id"] == final["point"], "left").select(*keys, F.coalesce("component", "id").alias("component"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return own.join(named, keys, "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
@@ -514,12 +517,17 @@ def drop_near_copies(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5
     """One row of docs for each component, of those with its smallest id; all columns stay.
 
     Rows are compared one by one, so an id may repeat. Rows without an id or without words link with nothing and stay.
+    Only rows that a bitmap of those to drop flags are shuffled.
     """
-    rows = numbered(docs, "ngram-rows")
-    named = near_duplicates(rows.where(F.col(id_col).isNotNull()), width, num, den, "__row", text_col).where("component_id is not null").select(F.col("doc_id").alias("__row"), "component_id")
-    members = stored(named.join(rows.select("__row", F.col(id_col).alias("id")), "__row"), "ngram-members")
-    kept = members.groupBy("component_id").agg(F.min(F.struct("id", "__row")).alias("least")).select(F.col("least.__row").alias("__row"))
-    return rows.join(members.select("__row").join(kept, "__row", "left_anti"), "__row", "left_anti").select(*docs.columns)
+    rows, key = keyed(docs, id_col, "ngram-rows")
+    named = near_duplicates(rows.where(F.col(id_col).isNotNull()), width, num, den, key, text_col).where("component_id is not null").select(F.col("doc_id").alias("key"), "component_id")
+    if key == id_col:
+        gone = named.where("key <> component_id").select("key")
+    else:
+        members = stored(named.join(rows.select(F.col(key).alias("key"), F.col(id_col).alias("id")), "key"), "ngram-members")
+        kept = members.groupBy("component_id").agg(F.min(F.struct("id", "key")).alias("least")).select(F.col("least.key").alias("key"))
+        gone = members.select("key").join(kept, "key", "left_anti")
+    return without(rows, key, stored(gone.select(F.col("key").alias(key)), "ngram-gone")).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

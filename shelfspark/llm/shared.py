@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from shelfspark.shared import shared_path, stored
+from shelfspark.shared import discard, shared_path, stored
 
-__all__ = ["flagged", "numbered", "shared_path", "stored", "table"]
+__all__ = ["discard", "flagged", "keyed", "numbered", "shared_path", "stored", "table", "without"]
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:
@@ -15,6 +16,16 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return stored(df.withColumn("__row", F.monotonically_increasing_id()), name)
 
 
+def keyed(df: DataFrame, id_col: str, name: str) -> tuple[DataFrame, str]:
+    """(rows, column) in which the column names every row: the id where it is an integer that no two rows share and none lacks, else
+    the number of ``numbered``. What is decided by that column is the same either way; the first spares a copy of the texts."""
+    if isinstance(df.schema[id_col].dataType, IntegralType):
+        again = df.groupBy(F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 or id is null")
+        if not again.limit(1).count():
+            return df, id_col
+    return numbered(df, name), "__row"
+
+
 #: Slots of the bitmap of ``flagged``.
 FILTER_BITS = 2**26
 
@@ -32,5 +43,11 @@ def flagged(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str, flag:
     return at.join(F.broadcast(bits), "__part", "left").withColumn(flag, F.coalesce(hit, F.lit(False))).select(*rows.columns, flag)
 
 
+def without(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """rows but those whose key is in column ``key`` of gone, a stored table; only rows that the bitmap flags are shuffled."""
+    near = flagged(rows, key, gone, key, "__may")
+    return near.where("not __may").drop("__may").unionAll(near.where("__may").drop("__may").join(gone.select(key), key, "left_anti").select(*rows.columns))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
