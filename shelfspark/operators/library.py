@@ -6,10 +6,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from shelfspark import layout
 from shelfspark.functions import paths, scalars
+from shelfspark.operators.running import running_total
+from shelfspark.shared import stored
 
 
 def drop_hidden(files: DataFrame, scope: str = "index") -> DataFrame:
@@ -156,9 +157,9 @@ def pending_queue(volumes: DataFrame, tie_break: str = "index", inflight: DataFr
     waiting = needs_sidecar(volumes)
     if inflight is not None:
         waiting = waiting.join(inflight.select("series", "name"), ["series", "name"], "left_anti")
-    tie = ["series", "name"] if tie_break == "index" else [F.concat("series", F.lit("/"), "name", F.lit(layout.VOLUME))]
-    library = F.substring_index("series", "/", 1)
-    return waiting.withColumn("library", library).withColumn("position", F.row_number().over(Window.partitionBy("library").orderBy("mtime", *tie))).select("library", "series", "name", "mtime", "position")
+    tie = ["series", "name"] if tie_break == "index" else ["path"]
+    keyed = waiting.select(F.substring_index("series", "/", 1).alias("library"), "series", "name", "mtime", F.concat("series", F.lit("/"), "name", F.lit(layout.VOLUME)).alias("path"))
+    return running_total(keyed, ["library"], ["mtime", *tie], F.lit(1), "queue", "position").drop("path")
 
 
 def queue_order(waiting: DataFrame) -> DataFrame:
@@ -209,18 +210,53 @@ def preferred_sidecar(candidates: DataFrame) -> DataFrame:
     return fit.select("volume_key", best["path"].alias("path")).where(F.col("path").isNotNull())
 
 
+def _numbered_of(names: DataFrame) -> DataFrame:
+    """name, base and number of the names that are a base with a number before its suffix."""
+    ending = r"_([1-9][0-9]{0,17})(\.[^.]+)?\z"
+    parted = names.where(F.col("name").rlike(ending)).select("name", F.regexp_replace("name", ending, "$2").alias("base"), F.regexp_extract("name", ending, 1).cast("long").alias("number"))
+    return parted.where(F.concat(paths.stem_of(F.col("base")), F.lit("_"), "number", paths.suffix_of(F.col("base"))) == F.col("name"))
+
+
 def unique_names(incoming: DataFrame, existing: DataFrame) -> DataFrame:
-    """incoming(id, name) with ``stored_name``: the name where free, else stem_1, stem_2 and so on, skipping taken numbers; earlier ids first."""
-    stem, suffix = paths.stem_of(F.col("name")), paths.suffix_of(F.col("name"))
-    ranked = incoming.select("id", "name", stem.alias("stem"), suffix.alias("suffix")).withColumn("rank", F.row_number().over(Window.partitionBy("name").orderBy("id")))
-    taken = existing.select("name").distinct()
-    number = F.regexp_extract("name", r"_([1-9][0-9]{0,8})(\.[^.]*)?\z", 1)
-    used = taken.where(number != "").select(F.regexp_replace("name", r"_[1-9][0-9]{0,8}((\.[^.]*)?)\z", "$1").alias("base"), number.cast("int").alias("number")).groupBy("base").agg(F.array_sort(F.collect_set("number")).alias("numbers"))
-    whole = taken.select(F.col("name").alias("base"), F.lit(1).alias("is_taken"))
-    joined = ranked.join(whole, ranked["name"] == whole["base"], "left").drop("base").join(used, ranked["name"] == used["base"], "left").drop("base")
-    nth = F.col("rank") - F.when(F.col("is_taken").isNull(), 1).otherwise(0)
-    free = F.array_except(F.sequence(F.lit(1), F.greatest(nth, F.lit(1)) + F.size(F.coalesce("numbers", F.array().cast("array<int>")))), F.coalesce("numbers", F.array().cast("array<int>")))
-    return joined.select("id", "name", F.when(nth == 0, F.col("name")).otherwise(F.concat("stem", F.lit("_"), F.get(free, nth - 1).cast("string"), "suffix")).alias("stored_name"))
+    """incoming(id, name) with ``stored_name``: the name where it is free, else the first free of stem_1, stem_2 and so on.
+
+    Requests come in the order of id. Taken are existing(name) and the names given to earlier requests, made ones too.
+    Existing names may repeat; ids must not.
+
+    A numbered name goes to a request for its base or for itself. Requests for one base use up free numbers from below, so
+    number k is skipped if it exists, or if it was asked for itself (``limit`` requests for the base came before) and the
+    k - 1 - (skipped below) numbers used first are no fewer. Whether the first request for a base gets the base itself
+    hangs on the base's own base in the same way. Both are found by rounds until nothing changes: one where no incoming
+    name is numbered, else as many as claims hang on each other. Every round is joins and running totals.
+    """
+    asked = incoming.select("id", "name")
+    first = stored(asked.groupBy("name").agg(F.min("id").alias("id")), "names-first")
+    taken = stored(existing.select("name").distinct(), "names-taken")
+    bases = first.select(F.col("name").alias("base"))
+    open_ = _numbered_of(first.join(taken, "name", "left_anti")).join(bases, "base", "left_semi").join(first, "name")
+    events = asked.select(F.col("name").alias("base"), "id", F.lit(None).cast("long").alias("number"), F.lit(None).cast("string").alias("name")).unionByName(open_.select("base", "id", "number", "name"))
+    ranked = stored(running_total(events, ["base"], ["id"], F.when(F.col("number").isNull(), 1).otherwise(0), "names-events", "rank"), "names-ranked")
+    closed = _numbered_of(taken).join(bases, "base", "left_semi").withColumn("limit", F.lit(0).cast("long"))
+    numbered = closed.unionByName(ranked.where("number is not null").select("name", "base", "number", F.col("rank").alias("limit")))
+
+    held = taken.select(F.col("name").alias("base")).join(bases, "base", "left_semi")
+    state = stored(numbered.withColumn("skipped", F.col("limit") == 0), "names-state")
+    while True:
+        counted = running_total(state, ["base"], ["number"], F.col("skipped").cast("int"), "names-skipped", "upto")
+        lost = held.unionAll(state.where("not skipped").select(F.col("name").alias("base"))).distinct().withColumn("lost", F.lit(1))
+        before = F.col("number") - 1 - F.col("upto") + F.col("skipped").cast("int")
+        tested = counted.join(lost, "base", "left").withColumns({"before": before, "now": before >= F.col("limit") - F.when(F.col("lost").isNull() & (F.col("limit") > 0), 1).otherwise(0)})
+        state = stored(tested.select("name", "base", "number", "limit", F.col("now").alias("skipped"), "before", (F.col("now") != F.col("skipped")).alias("changed")), "names-state")
+        if not state.where("changed").limit(1).count():
+            break
+        state = state.drop("before", "changed")
+
+    requests = ranked.where("number is null").join(lost, "base", "left").select("base", "id", (F.col("rank") - F.when(F.col("lost").isNull(), 1).otherwise(0)).alias("place"))
+    skips = state.where("skipped").select("base", F.lit(None).cast(incoming.schema["id"].dataType).alias("id"), F.col("before").alias("place"))
+    both = requests.withColumn("skip", F.lit(0)).unionByName(skips.withColumn("skip", F.lit(1)))
+    placed = running_total(both, ["base"], ["place", "skip"], F.col("skip"), "names-placed", "over").where("skip = 0")
+    made = F.concat(paths.stem_of(F.col("base")), F.lit("_"), F.col("place") + F.col("over"), paths.suffix_of(F.col("base")))
+    return placed.select("id", F.col("base").alias("name"), F.when(F.col("place") == 0, F.col("base")).otherwise(made).alias("stored_name"))
 
 
 def first_seen(events: DataFrame) -> DataFrame:

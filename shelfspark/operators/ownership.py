@@ -54,12 +54,15 @@ def forget_uploads(uploads: DataFrame, removed: DataFrame, sidecar: str = layout
 def forget_prefix(uploads: DataFrame, prefixes: DataFrame, prefix_match: str = "literal") -> DataFrame:
     """uploads without the volumes below prefixes(prefix); empty prefixes remove nothing.
 
-    "literal" joins on the ancestor folders of each key. "like" takes % and _ as wildcards and ignores ASCII case, as a
-    pattern match; its prefix side must be small.
+    "literal" joins on the ancestor folders of each key. "like" ignores ASCII case and takes % and _ as wildcards, as a
+    pattern match; prefixes without either join on lower-case ancestors, those with one are tried on every key.
     """
     folders = prefixes.select(paths.stripped(F.col("prefix")).alias("folder")).where("folder <> ''").distinct()
     if prefix_match == "like":
-        return uploads.join(folders, F.like(F.lower("volume_key"), F.concat(F.lower("folder"), F.lit("/%"))), "left_anti")
+        wild = F.col("folder").rlike(r"[%_\\]")
+        plain = folders.where(~wild).select(F.lower("folder").alias("folder")).distinct()
+        below = uploads.select("volume_key", F.explode(ancestors(F.lower("volume_key"))).alias("folder")).join(plain, "folder", "left_semi").select("volume_key").distinct()
+        return uploads.join(below, "volume_key", "left_anti").join(folders.where(wild), F.like(F.lower("volume_key"), F.concat(F.lower("folder"), F.lit("/%"))), "left_anti")
     hit = uploads.select("volume_key", F.explode(ancestors(F.col("volume_key"))).alias("folder")).join(folders, "folder", "left_semi").select("volume_key").distinct()
     return uploads.join(hit, "volume_key", "left_anti")
 

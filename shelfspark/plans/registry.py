@@ -344,11 +344,19 @@ def _(t):
     return library.preferred_sidecar(c.select(paths.volume_key(F.col("rel_path")).alias("volume_key"), F.col("rel_path").alias("path"), F.expr("size % 4 <> 0").alias("is_root"), F.expr("size % 3 <> 0").alias("valid")))
 
 
-@query("w4_unique_names", ("file_events",), "WITH i AS (SELECT id, path AS name, regexp_replace(path, '\\.cbz$', '') AS stem, row_number() OVER (PARTITION BY path ORDER BY id) AS k FROM file_events), e AS (SELECT DISTINCT CASE WHEN id % 2 = 0 THEN path ELSE regexp_replace(path, '\\.cbz$', '') || '_' || (id % 7 + 1) || '.cbz' END AS name FROM file_events WHERE id % 11 = 0), f AS (SELECT name, n, row_number() OVER (PARTITION BY name ORDER BY n) AS r FROM (SELECT DISTINCT name, stem FROM i), range(1, (SELECT max(k) + 9 FROM i)) g(n) WHERE stem || '_' || n || '.cbz' NOT IN (SELECT name FROM e)) SELECT i.id, i.name, CASE WHEN p = 0 THEN i.name ELSE stem || '_' || n || '.cbz' END AS stored_name FROM (SELECT *, k - CASE WHEN name IN (SELECT name FROM e) THEN 0 ELSE 1 END AS p FROM i) i LEFT JOIN f ON f.name = i.name AND f.r = i.p")
+_NUMBERED = "CASE WHEN id % 13 = 0 THEN left(path, -4) || '_' || (id % 5 + 1) || '.cbz' ELSE path END"
+
+
+#: Request after request of each document's names, with the names that are taken so far.
+@query("w4_unique_names", ("file_events",), f"""WITH RECURSIVE e AS (SELECT path AS family, list(DISTINCT CASE WHEN id % 2 = 0 THEN path ELSE left(path, -4) || '_' || (id % 7 + 1) || '.cbz' END) AS names FROM file_events WHERE id % 11 = 0 GROUP BY path),
+i AS (SELECT path AS family, id, {_NUMBERED} AS name, row_number() OVER (PARTITION BY path ORDER BY id) AS n FROM file_events),
+c AS (SELECT family, 0::BIGINT AS n, NULL::BIGINT AS id, NULL::VARCHAR AS name, NULL::VARCHAR AS stored_name, coalesce(names, []::VARCHAR[]) AS taken FROM (SELECT DISTINCT family FROM i) LEFT JOIN e USING (family) UNION ALL
+SELECT family, n, id, name, got, list_append(taken, got) FROM (SELECT c.family, i.n, i.id, i.name, c.taken, CASE WHEN NOT list_contains(taken, i.name) THEN i.name ELSE left(i.name, -4) || '_' || list_min(list_filter(range(1, len(taken) + 2), lambda k: NOT list_contains(taken, left(i.name, -4) || '_' || k || '.cbz'))) || '.cbz' END AS got FROM c JOIN i ON i.family = c.family AND i.n = c.n + 1))
+SELECT id, name, stored_name FROM c WHERE n > 0""")
 def _(t):
     ev = t.file_events()
     taken = ev.where("id % 11 = 0").select(F.expr("if(id % 2 = 0, path, replace(path, '.cbz', '') || '_' || (id % 7 + 1) || '.cbz')").alias("name"))
-    return library.unique_names(ev.select("id", F.col("path").alias("name")), taken)
+    return library.unique_names(ev.select("id", F.expr("if(id % 13 = 0, replace(path, '.cbz', '') || '_' || (id % 5 + 1) || '.cbz', path)").alias("name")), taken)
 
 
 query("w5_first_seen", ("file_events",), "SELECT path, arg_min(id, (ts, id)) AS id, min(ts) AS ts FROM file_events GROUP BY path")(lambda t: library.first_seen(t.file_events().select("path", "ts", "id")).select("path", "id", "ts"))

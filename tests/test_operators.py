@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfspark import schemas
 from shelfspark.operators import access, accounts, audit, library, ownership, progress
+from shelfspark.operators.running import running_total
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -58,22 +59,48 @@ def test_folder_contents_is_an_equi_join(spark):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
-def test_unique_names_against_a_loop(spark):
-    r = random.Random(4)
-    for _ in range(3):
-        existing = [r.choice(["a.cbz", "a_1.cbz", "a_2.cbz", "a_4.cbz", "b", "b_1", "a_01.cbz"]) for _ in range(4)]
-        incoming = [(i, r.choice(["a.cbz", "b", "c.x.cbz"])) for i in range(9)]
-        taken, wanted = set(existing), {}
-        for i, name in incoming:
-            stem, dot, ext = name.rpartition(".") if "." in name else (name, "", "")
-            new, n = name, 0
-            while new in taken:
-                n += 1
-                new = f"{stem}_{n}{dot}{ext}"
-            taken.add(new)
-            wanted[i] = new
-        got = library.unique_names(spark.createDataFrame(incoming, "id int, name string"), spark.createDataFrame([(e,) for e in existing], "name string"))
-        assert {x["id"]: x["stored_name"] for x in got.collect()} == wanted
+def _names_by_loop(incoming, existing):
+    taken, wanted = set(existing), {}
+    for i, name in sorted(incoming):
+        stem, dot, ext = name.rpartition(".") if "." in name[1:] and not name.endswith(".") else (name, "", "")
+        new, n = name, 0
+        while new in taken:
+            n += 1
+            new = f"{stem}_{n}{dot}{ext}"
+        taken.add(new)
+        wanted[i] = new
+    return wanted
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_unique_names_against_a_loop(spark, seed):
+    r = random.Random(seed)
+    old = ["a.cbz", "a_1.cbz", "a_2.cbz", "a_4.cbz", "b", "b_1", "a_01.cbz", "a_1_1.cbz", ".c_1"]
+    new = ["a.cbz", "a.cbz", "a.cbz", "a.cbz", "b", "c.x.cbz", "a_1.cbz", "a_2.cbz", "a_3.cbz", "a_1_1.cbz", "a_1_2.cbz", "b_2", ".c", "d.", "d._1", "x_1.a_2", "x.a_2"]
+    existing = r.sample(old, 3)
+    incoming = [(i, r.choice(new)) for i in range(70)]
+    r.shuffle(incoming)
+    got = library.unique_names(spark.createDataFrame(incoming, "id int, name string"), spark.createDataFrame([(e,) for e in existing + existing], "name string"))
+    rows = got.collect()
+    assert {x["id"]: x["stored_name"] for x in rows} == _names_by_loop(incoming, existing)
+    assert len({x["stored_name"] for x in rows} | set(existing)) == len(rows) + len(existing)
+
+
+def test_unique_names_meet_incoming_names(spark):
+    name = lambda *n: spark.createDataFrame(list(enumerate(n)), "id int, name string")
+    none = spark.createDataFrame([], "name string")
+    assert pairs(library.unique_names(name("a.cbz", "a.cbz", "a_1.cbz"), none), "id", "stored_name") == [(0, "a.cbz"), (1, "a_1.cbz"), (2, "a_1_1.cbz")]
+    assert pairs(library.unique_names(name("a_1.cbz", "a.cbz", "a.cbz"), none), "id", "stored_name") == [(0, "a_1.cbz"), (1, "a.cbz"), (2, "a_2.cbz")]
+    assert library.unique_names(name("a").limit(0), none).count() == 0
+
+
+def test_running_total_of_a_group_over_many_blocks(spark):
+    rows = spark.range(3000).selectExpr("if(id % 3 = 0, null, if(id % 50 = 1, 'few', 'many')) as k", "(id * 7919) % 3000 as at", "id % 4 as w")
+    out = running_total(rows.repartition(7), ["k"], ["at"], F.col("w"), "test", "total")
+    wanted, sums = {}, {}
+    for x in sorted(rows.collect(), key=lambda x: x["at"]):
+        sums[x["k"]] = wanted[x["at"]] = sums.get(x["k"], 0) + x["w"]
+    assert {x["at"]: x["total"] for x in out.collect()} == wanted
 
 
 def test_listing_and_preferred_sidecar(spark):
@@ -144,6 +171,7 @@ def test_ownership(spark):
     prefixes = spark.createDataFrame([("S_x",), ("",), ("/S/",)], "prefix string")
     assert pairs(ownership.forget_prefix(up, prefixes), "volume_key") == [("sax/v.cbz",)]
     assert pairs(ownership.forget_prefix(up, prefixes, "like"), "volume_key") == []
+    assert pairs(ownership.forget_prefix(up, prefixes.where("prefix <> 'S_x'").union(spark.createDataFrame([("SAX",)], "prefix string")), "like"), "volume_key") == [("S_x/v.cbz",)]
     renames = spark.createDataFrame([("S/v1.cbz", "S/v2.cbz"), ("no.cbz", "S/v9.cbz"), ("S_x/v.cbz", "S_x/v.txt")], "old_path string, new_path string")
     assert pairs(ownership.rename_uploads(up, renames, now), "volume_key", "uploader_username") == [("S/v2.cbz", "alice"), ("S_x/v.cbz", "cat"), ("sax/v.cbz", "dan")]
     assert pairs(ownership.rename_folder(up, "S", "T/U", now), "volume_key", "uploader_username")[-3:] == [("T/U/v1.cbz", "alice"), ("T/U/v2.cbz", "bob"), ("sax/v.cbz", "dan")]
