@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark import schemas
+from shelfspark import layout, schemas
 from shelfspark.functions import paths, scalars
 from shelfspark.operators import access, accounts, audit, library, ownership, progress
 from shelfspark.plans.bindings import NOW_EVENTS, NOW_INVITES, Tables, with_relations
@@ -141,10 +141,14 @@ def _(t):
     return t.requests().select("request_id", paths.is_progress_file(p).alias("progress"), paths.is_library_path(p).alias("library"), paths.is_inbox_path(p).alias("inbox"), paths.is_admin_path(p).alias("admin"), paths.is_invite_api_path(p).alias("invite_api"))
 
 
-@query("f14_is_browser", ("requests",), "SELECT request_id, request_id % 3 = 0 OR request_id % 4 <> 1 AS browser FROM requests")
+#: Headers as both engines write them; what they mean is worked out by each alone.
+_ACCEPT = "CASE WHEN request_id % 7 = 0 THEN NULL WHEN request_id % 5 = 0 THEN 'application/xml, text/html;q=0.' || request_id WHEN request_id % 3 = 0 THEN 'TEXT/HTML' ELSE path END"
+_AGENT = "CASE request_id % 8 WHEN 0 THEN NULL WHEN 1 THEN 'Mozilla/5.0 (' || path || ')' WHEN 2 THEN 'DAVFS2/1.' || request_id WHEN 3 THEN path || ' WebDAVFS/3' WHEN 4 THEN 'Curl/' || request_id WHEN 5 THEN 'da vfs ' || request_id WHEN 6 THEN 'my Cadaver/' || request_id ELSE '' END"
+
+
+@query("f14_is_browser", ("requests",), f"SELECT request_id, coalesce(contains(accept, 'text/html'), false) OR len(list_filter({list(layout.DAV_CLIENTS)!r}, lambda c: coalesce(contains(lower(agent), c), false))) = 0 AS browser FROM (SELECT request_id, {_ACCEPT} AS accept, {_AGENT} AS agent FROM requests)")
 def _(t):
-    accept, agent = F.expr("if(request_id % 3 = 0, 'text/html,*/*', '*/*')"), F.expr("element_at(array('Mozilla/5.0', 'DAVFS2/1.6', 'curl/8', null), cast(request_id % 4 as int) + 1)")
-    return t.requests().select("request_id", paths.is_browser(accept, agent).alias("browser"))
+    return t.requests().select("request_id", paths.is_browser(F.expr(_ACCEPT), F.expr(_AGENT)).alias("browser"))
 
 
 query("f15_user_by_name", ("users",), "SELECT id, role FROM users WHERE username = 'user_7'")(lambda t: accounts.user_by_name(t.users(), "user_7").select("id", "role"))
@@ -163,22 +167,30 @@ query("f21_active_invites", ("invites",), f"SELECT id, code FROM invites WHERE u
 query("f22_validate_invites", ("invites", "registrations"), f"SELECT id, code FROM invites WHERE code IN (SELECT invite_code FROM registrations) AND used_by IS NULL AND expires_at >= {SQL_NOW_I}")(lambda t: accounts.validate_invites(t.invites(), t.registrations().select(F.col("invite_code").alias("code")), now_i()).select("id", "code"))
 
 
-@query("f23_auth_header", ("requests",), "SELECT request_id, CASE request_id % 5 WHEN 0 THEN 'anonymous' WHEN 1 THEN 'anonymous' WHEN 2 THEN 'basic' ELSE 'malformed' END AS state, CASE WHEN request_id % 5 = 2 THEN 'user_' || request_id END AS username FROM requests")
+@query("f23_auth_header", ("requests",), "SELECT request_id, CASE WHEN header IS NULL OR NOT starts_with(header, 'Basic ') THEN 'anonymous' WHEN contains(coalesce(text, ''), ':') THEN 'basic' ELSE 'malformed' END AS state, CASE WHEN starts_with(header, 'Basic ') AND contains(text, ':') THEN split_part(text, ':', 1) END AS username FROM (SELECT *, try(decode(from_base64(substr(header, 7)))) AS text FROM (SELECT request_id, CASE request_id % 7 WHEN 0 THEN NULL WHEN 1 THEN 'Bearer ' || to_base64(encode(path || ':pw')) WHEN 2 THEN 'Basic ' || to_base64(encode(path || ':pw:' || request_id)) WHEN 3 THEN 'Basic ' || to_base64(encode(path)) WHEN 4 THEN 'Basic ' || to_base64(unhex('FF') || encode(':' || path)) WHEN 5 THEN 'basic ' || to_base64(encode(path || ':pw')) ELSE 'Basic ' || to_base64(encode(':é' || path)) END AS header FROM requests))")
 def _(t):
-    header = F.expr("case request_id % 5 when 0 then null when 1 then 'Bearer abc' when 2 then 'Basic ' || base64(encode('user_' || request_id || ':pw:x', 'UTF-8')) when 3 then 'Basic ' || base64(encode('nocolon', 'UTF-8')) else 'Basic ' || base64(unhex('FF3A')) end")
-    return access.auth_states(t.requests().select("request_id", header.alias("header")), "header")
+    encoded = lambda text: f"base64(encode({text}, 'UTF-8'))"
+    header = F.expr(f"case request_id % 7 when 0 then null when 1 then 'Bearer ' || {encoded("path || ':pw'")} when 2 then 'Basic ' || {encoded("path || ':pw:' || request_id")} when 3 then 'Basic ' || {encoded("path")} when 4 then 'Basic ' || base64(unhex('FF') || encode(':' || path, 'UTF-8')) when 5 then 'basic ' || {encoded("path || ':pw'")} else 'Basic ' || {encoded("':é' || path")} end")
+    return access.auth_states(t.requests().select("request_id", F.regexp_replace(header, r"\r\n", "").alias("header")), "header")
+
+
+_FORWARDED = "CASE request_id % 5 WHEN 0 THEN ' 10.0.0.' || request_id || ' , 10.9.9.9' WHEN 1 THEN '' WHEN 2 THEN ' ,10.8.' || request_id WHEN 3 THEN NULL ELSE '10.7.' || request_id END"
+_REAL = "CASE request_id % 3 WHEN 0 THEN ' 10.1.' || request_id || ' ' WHEN 1 THEN '  ' END"
 
 
-@query("f24_client_ip", ("requests",), "SELECT request_id, CASE request_id % 3 WHEN 0 THEN '10.0.0.' || request_id % 250 WHEN 1 THEN '10.1.1.1' ELSE '127.0.0.1' END AS ip FROM requests")
+@query("f24_client_ip", ("requests",), "SELECT request_id, CASE WHEN trim(coalesce(regexp_extract(forwarded, '^[^,]*'), '')) <> '' THEN trim(regexp_extract(forwarded, '^[^,]*')) WHEN trim(coalesce(real_ip, '')) <> '' THEN trim(real_ip) ELSE '127.0.0.1' END AS ip FROM (SELECT request_id, " + f"{_FORWARDED} AS forwarded, {_REAL} AS real_ip FROM requests)")
 def _(t):
-    forwarded, real = F.expr("if(request_id % 3 = 0, ' 10.0.0.' || request_id % 250 || ' , 10.9.9.9', if(request_id % 2 = 0, '', null))"), F.expr("if(request_id % 3 = 1, '10.1.1.1', ' ')")
-    return t.requests().select("request_id", paths.client_ip(forwarded, real, F.lit("127.0.0.1")).alias("ip"))
+    return t.requests().select("request_id", paths.client_ip(F.expr(_FORWARDED), F.expr(_REAL), F.lit("127.0.0.1")).alias("ip"))
 
 
-@query("f25_is_loopback", ("requests",), "SELECT request_id, request_id % 6 IN (0, 1, 5) AS loopback FROM requests")
+_IP = "CASE request_id % 6 WHEN 0 THEN '::' || request_id % 4 WHEN 1 THEN '0:0:0:0:0:0:0:' || request_id % 4 WHEN 2 THEN '0:' || request_id % 2 || '::0' || request_id % 3 WHEN 3 THEN 'localhost' ELSE '12' || (request_id % 2 + 7) || '.' || request_id % 300 || '.' || request_id * 7 % 290 || '.0' || request_id * 13 % 270 END"
+_IPS = [_IP, _IP.replace("'.0'", "'.'")]
+
+
+@query("f25_is_loopback", ("requests",), "SELECT request_id, ip, CASE WHEN contains(ip, ':') THEN regexp_full_match(ip, '[0:]*1') AND (len(string_split(ip, ':')) = 8 AND NOT contains(ip, '::') OR len(string_split(ip, '::')) = 2) ELSE len(o) = 4 AND o[1] = '127' AND len(list_filter(o, lambda x: regexp_full_match(x, '0|[1-9][0-9]{0,2}') AND coalesce(TRY_CAST(x AS INTEGER) <= 255, false))) = 4 END AS loopback FROM (SELECT request_id, ip, string_split(ip, '.') AS o FROM (" + " UNION ALL ".join(f"SELECT request_id, {ip} AS ip FROM requests" for ip in _IPS) + "))")
 def _(t):
-    ip = F.expr("element_at(array('127.0.0.1', '::1', '127.0.0.256', '128.0.0.1', 'localhost', '127.9.8.7'), cast(request_id % 6 as int) + 1)")
-    return t.requests().select("request_id", paths.is_loopback(ip).alias("loopback"))
+    ips = t.requests().select("request_id", F.explode(F.array(*[F.expr(ip) for ip in _IPS])).alias("ip"))
+    return ips.withColumn("loopback", paths.is_loopback(F.col("ip")))
 
 
 query("f26_search", ("volumes",), "SELECT series, name FROM volumes WHERE contains(lower(series), 'src1')")(lambda t: library.search(_volumes(t), "series", " SRC1 ").select("series", "name"))
@@ -239,11 +251,13 @@ def _(t):
     return access.authorize(t.requests(), t.users(), t.uploads(), accounts.permission_matrix(t.spark), browse=True, download=False).select("request_id", "role", "status_code")
 
 
-@query("j9_match_origin", ("requests",), "SELECT request_id FROM requests WHERE request_id % 5 IN (0, 1, 3)")
+_ORIGIN = "CASE request_id % 7 WHEN 0 THEN 'https://reader.example' WHEN 1 THEN 'http://localhost:' || request_id WHEN 2 THEN 'http://localhost:' || path WHEN 3 THEN 'http://127.0.0.1:' || request_id % 90 || '/' WHEN 4 THEN 'http://127.0.0.1:' || request_id * 3 WHEN 5 THEN 'https://' || request_id || '.example' END"
+
+
+@query("j9_match_origin", ("requests",), f"SELECT request_id, origin FROM (SELECT request_id, {_ORIGIN} AS origin FROM requests) WHERE origin = 'https://reader.example' OR regexp_full_match(origin, 'http://(localhost|127[.]0[.]0[.]1):[0-9]+')")
 def _(t):
-    origin = F.expr("element_at(array('https://reader.example', 'http://localhost:' || request_id, 'http://localhost:x', 'http://127.0.0.1:80', 'https://other.example'), cast(request_id % 5 as int) + 1)")
     patterns = t.spark.createDataFrame([("https://reader.example",), ("http://localhost:*",), ("http://127.0.0.1:*",), ("https://*.example",)], "pattern string")
-    return access.match_origin(t.requests().select("request_id", origin.alias("origin")), patterns).select("request_id")
+    return access.match_origin(t.requests().select("request_id", F.expr(_ORIGIN).alias("origin")), patterns).select("request_id", "origin")
 
 
 query("j10_list_children", ("files",), "SELECT DISTINCT split_part(rel_path, '/', 2) AS name, 'directory' AS kind FROM files WHERE starts_with(rel_path, 'en/')")(lambda t: library.list_children(t.files(), "/en/"))
@@ -435,12 +449,22 @@ def _(t):
 
 
 query("x19_audit_display", ("audit",), "SELECT id, actor_username AS actor, action, target_path AS target, details FROM audit")(lambda t: audit.audit_display(t.audit()))
-query("x20_mask_secret", ("users",), "SELECT id, CASE WHEN id % 2 = 0 THEN '****' ELSE '' END AS shown FROM users")(lambda t: t.users().select("id", scalars.mask_secret(F.expr("if(id % 2 = 0, username, '')")).alias("shown")))
+query("x20_mask_secret", ("users",), "SELECT id, CASE WHEN id % 3 = 0 THEN regexp_replace(username, '.+', '****') WHEN id % 3 = 1 THEN '' END AS shown FROM users")(lambda t: t.users().select("id", scalars.mask_secret(F.expr("case id % 3 when 0 then username when 1 then '' end")).alias("shown")))
 
 # --- keyed tables ------------------------------------------------------------------------------
 
 _UP = "volume_key, uploader_username, uploaded_at, last_modified_by, last_modified_at"
-query("m1_apply_uploads", ("uploads",), f"SELECT {_UP} FROM uploads")(lambda t: t.uploads())
+
+
+@query("m1_apply_uploads", ("uploads",), f"SELECT {_UP} FROM uploads")
+def _(t):
+    """In three batches, each on the table that the one before left."""
+    kept = t.spark.createDataFrame([], schemas.UPLOADS)
+    for batch in range(3):
+        kept = ownership.apply_uploads(kept, t.upload_events().where(F.expr(f"least(datediff(ts, date'2024-01-01') div 10, 2) = {batch}")))
+    return kept
+
+
 query("m2_forget_uploads", ("uploads", "audit"), f"SELECT {_UP} FROM uploads WHERE '/reader/' || volume_key NOT IN (SELECT target_path FROM audit WHERE action = 'delete')")(lambda t: ownership.forget_uploads(t.uploads(), t.audit().where("action = 'delete'").select(F.expr("replace(substring(target_path, 9), '.cbz', '.ocr.gz')").alias("path"))))
 query("m3_forget_prefix", ("uploads",), f"SELECT {_UP} FROM uploads WHERE NOT starts_with(volume_key, 'en/src1/') AND NOT starts_with(volume_key, 'fr/')")(lambda t: ownership.forget_prefix(t.uploads(), t.spark.createDataFrame([("/en/src1/",), ("fr",), ("",)], "prefix string")))
 _MOVED = "length(volume_key) > 0 AND CAST(regexp_extract(volume_key, 'v(\\d+)', 1) AS BIGINT) % 10 = 3"
