@@ -6,13 +6,51 @@ orders, audit events, requests and attempts from events, progress from conversat
 
 from __future__ import annotations
 
+import gzip
+import io
+import zipfile
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfspark.shared import shared_path
+from shelfspark.shipping import map_arrow
+from shelfspark.sources.files import write_files
+
 NOW_INVITES = "TIMESTAMP_NTZ '1997-06-01 00:00:00'"
 NOW_EVENTS = "TIMESTAMP_NTZ '2024-02-10 00:00:00'"
 
 
+#: Documents of one archive or sidecar in the trees that are written from documents.
+BLOCK = 64
+
+
+def _packed(batches):
+    """(rel_path, content) of an archive for every block of documents: some lose their directory, some get a wrong byte."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            block, docs = (column[row].as_py() for column in batch.columns)
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w") as archive:
+                archive.writestr("info.txt", str(block))
+                for doc in docs:
+                    archive.writestr(f"{doc['doc_id']}.txt", doc["text"] or "")
+            content = bytearray(out.getvalue())
+            if block % 5 == 4:
+                del content[-30:]
+            elif block % 7 == 6:
+                content[30 + len("info.txt")] ^= 1
+            yield pa.RecordBatch.from_arrays([pa.array([f"s/b{block}.cbz"]), pa.array([bytes(content)])], names=["rel_path", "content"])
+
+
+def _encoded(batches):
+    """(rel_path, content) of sidecars(rel_path, json, pack)."""
+    for batch in batches:
+        contents = [gzip.compress(text.encode()) if pack else text.encode() for text, pack in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(contents, pa.binary())], names=["rel_path", "content"])
+
+
 class Tables:
     """Derived relations of one folder of tables."""
 
@@ -29,6 +67,29 @@ class Tables:
         ends = F.expr("array_compact(array(if(doc_id % 11 <> 0, '.cbz', null), if(doc_id % 3 = 0, '.ocr', null), if(doc_id % 5 = 0, '.ocr.gz', null), if(doc_id % 2 = 0, '.webp', null), if(doc_id % 7 = 0, '.nocover', null)))")
         return self._stems().select("stem", F.explode(ends).alias("ext"), "n_chars", "doc_id").select(F.expr("stem || ext").alias("rel_path"), F.col("n_chars").alias("size"), F.expr("1704067200 + (doc_id * 7919) % 2592000").alias("mtime"))
 
+    def archive_tree(self) -> str:
+        """A folder of volumes, one for every BLOCK documents."""
+        blocks = self.table("documents").groupBy(F.expr(f"doc_id div {BLOCK}").alias("block")).agg(F.collect_list(F.struct("doc_id", "text")).alias("docs"))
+        root = shared_path(self.spark, "volumes")
+        write_files(map_arrow(blocks, _packed, "rel_path string, content binary"), root)
+        return root
+
+    def sidecar_tree(self) -> str:
+        """A folder of sidecars, one for every BLOCK documents: plain, packed, or plain under the name of a packed one."""
+        blocks = self.table("documents").groupBy(F.expr(f"doc_id div {BLOCK}").alias("block")).agg(F.array_join(F.array_sort(F.collect_list("doc_id")), ",").alias("ids"))
+        root = shared_path(self.spark, "sidecars")
+        texts = blocks.select(F.expr("'s/b' || block || if(block % 3 = 0, '.ocr', '.ocr.gz')").alias("rel_path"), F.expr("""'{"ids":[' || ids || ']}'""").alias("json"), F.expr("block % 3 = 1").alias("pack"))
+        write_files(map_arrow(texts, _encoded, "rel_path string, content binary"), root)
+        return root
+
+    def user_tree(self) -> str:
+        """A folder of the files of users, made of suppliers."""
+        names = F.expr("array_compact(array('volume-data.json', if(s_suppkey % 2 = 0, 'profiles.json', null), if(s_suppkey % 3 = 0, 'notes.json', null)))")
+        rows = self.table("supplier").select("s_suppkey", "s_name", F.explode(names).alias("name"))
+        root = shared_path(self.spark, "users")
+        write_files(rows.select(F.expr("'user_' || s_suppkey || '/' || name").alias("rel_path"), F.expr("""encode('{"name":"' || s_name || '"}', 'UTF-8')""").alias("content")), root)
+        return root
+
     def users(self) -> DataFrame:
         made = F.expr("timestampadd(MINUTE, c_custkey, TIMESTAMP_NTZ '2024-01-01 00:00:00')")
         return self.table("customer").select(F.col("c_custkey").alias("id"), F.expr("'user_' || c_custkey").alias("username"), F.expr("element_at(array('registered','uploader','inviter','editor','admin','writer'), cast(c_custkey % 6 as int) + 1)").alias("role"), F.expr("element_at(array('active','pending','disabled','deleted'), c_nationkey % 4 + 1)").alias("status"), F.lit(None).cast("string").alias("notes"), made.alias("created_at"), made.alias("updated_at"))
@@ -101,6 +162,9 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "stems": ((), f"SELECT doc_id, {STEM} AS stem, n_chars FROM documents"),
     "ndocs": ((), "SELECT count(*) AS n FROM documents"),
     "files": (("stems",), "SELECT stem || ext AS rel_path, n_chars AS size, 1704067200 + (doc_id * 7919) % 2592000 AS mtime FROM stems, (VALUES ('.cbz', 11, false), ('.ocr', 3, true), ('.ocr.gz', 5, true), ('.webp', 2, true), ('.nocover', 7, true)) e(ext, m, hit) WHERE (doc_id % m = 0) = hit"),
+    "archive_tree": ((), f"SELECT 's/b' || block || '.cbz' AS rel_path, block, doc_id FROM (SELECT doc_id, doc_id // {BLOCK} AS block FROM documents)"),
+    "sidecar_tree": ((), f"""SELECT 's/b' || block || CASE WHEN block % 3 = 0 THEN '.ocr' ELSE '.ocr.gz' END AS rel_path, block, '{{"ids":[' || string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) || ']}}' AS json FROM (SELECT doc_id, doc_id // {BLOCK} AS block FROM documents) GROUP BY block"""),
+    "user_tree": ((), "SELECT 'user_' || s_suppkey AS username, name AS filename, strlen(s_name) + 11 AS size FROM supplier, (VALUES ('volume-data.json', 1), ('profiles.json', 2), ('notes.json', 3)) f(name, m) WHERE s_suppkey % m = 0"),
     "users": ((), "SELECT c_custkey AS id, 'user_' || c_custkey AS username, ['registered','uploader','inviter','editor','admin','writer'][c_custkey % 6 + 1] AS role, ['active','pending','disabled','deleted'][c_nationkey % 4 + 1] AS status, CAST(NULL AS VARCHAR) AS notes, TIMESTAMP '2024-01-01' + to_minutes(c_custkey) AS created_at, TIMESTAMP '2024-01-01' + to_minutes(c_custkey) AS updated_at FROM customer"),
     "invites": ((), "SELECT o_orderkey AS id, 'inv-' || o_orderkey AS code, ['registered','uploader','editor','writer'][o_orderkey % 4 + 1] AS role, 'user_' || o_custkey AS invited_by, o_orderdate AS created_at, o_orderdate + to_seconds([3600, 604800, 2592000][o_orderkey % 3 + 1]) AS expires_at, CASE WHEN o_orderstatus = 'F' THEN 'user_' || o_custkey END AS used_by, CASE WHEN o_orderstatus = 'F' THEN o_orderdate END AS used_at FROM orders"),
     "event_paths": (("stems", "ndocs"), "SELECT e.*, s.stem || '.cbz' AS volume FROM events e CROSS JOIN ndocs JOIN stems s ON s.doc_id = e.event_id % n"),

@@ -11,7 +11,8 @@ from shelfspark import layout, schemas
 from shelfspark.functions import paths, scalars
 from shelfspark.operators import access, accounts, audit, library, ownership, progress
 from shelfspark.plans.bindings import NOW_EVENTS, NOW_INVITES, Tables, with_relations
-from shelfspark.sources import records
+from shelfspark.shared import shared_path, stored
+from shelfspark.sources import files, records
 from shelfspark.streaming import events as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,13 +54,63 @@ query("s2_manifest", ("files",), "SELECT rel_path, size, mtime FROM files")(lamb
 
 @query("s4_existing", ("files",), "SELECT * FROM files WHERE mtime % 3 <> 0")
 def _(t):
-    from shelfspark.sources.files import scan_existing
-
-    return scan_existing(t.files(), t.files().where("mtime % 3 = 0"))
+    return files.scan_existing(t.files(), t.files().where("mtime % 3 = 0"))
 
 
 query("s7_users", ("users",), "SELECT * FROM users")(lambda t: t.users())
 
+# files that tasks write from the tables, read back
+
+query("s1_scan_files", ("user_tree",), "SELECT username || '/' || filename AS rel_path, size FROM user_tree")(lambda t: files.scan_files(t.spark, t.user_tree()).select("rel_path", "size"))
+query("s5_sidecars", ("sidecar_tree",), "SELECT rel_path, CASE WHEN block % 3 <> 2 THEN json END AS json, block % 3 <> 2 AS bytes_ok FROM sidecar_tree")(lambda t: files.read_sidecars(t.spark, t.sidecar_tree()))
+query("s6_archive_members", ("archive_tree",), "SELECT rel_path, doc_id || '.txt' AS member FROM archive_tree WHERE block % 5 <> 4 UNION ALL SELECT DISTINCT rel_path, 'info.txt' FROM archive_tree WHERE block % 5 <> 4")(lambda t: files.read_archive_members(t.spark, t.archive_tree()))
+query("s8_user_files", ("user_tree",), "SELECT * FROM user_tree WHERE filename <> 'notes.json'")(lambda t: files.scan_user_files(t.spark, t.user_tree()).drop("mtime"))
+query("f30_valid_archives", ("archive_tree",), "SELECT DISTINCT rel_path, block % 5 <> 4 AND block % 7 <> 6 AS valid FROM archive_tree")(lambda t: files.valid_archives(t.spark, t.archive_tree()))
+
+
+@query("s3_stream_files", ("file_events",), "SELECT path, kind, ts FROM file_events")
+def _(t):
+    came, out = shared_path(t.spark, "file-events"), shared_path(t.spark, "file-events-seen")
+    t.file_events().select("path", "kind", F.col("ts").cast("timestamp").alias("ts")).write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(came)
+    stream = files.stream_files(t.spark, came)
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", shared_path(t.spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema(schemas.FILE_EVENTS).parquet(out).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("s11_audit", ("audit",), "SELECT *, strftime(created_at, '%Y-%m-%d') AS dt FROM audit")
+def _(t):
+    path = shared_path(t.spark, "audit")
+    records.write_audit(t.audit(), path)
+    return t.spark.read.parquet(path).withColumn("dt", F.col("dt").cast("string"))
+
+
+def _streamed(t: Tables, df: DataFrame, name: str) -> DataFrame:
+    """The rows of df as a stream of the files of a table."""
+    return t.spark.readStream.schema(df.schema).parquet(stored(df, name).stored_at)
+
+
+@query("t6_audit_stream", ("audit",), "SELECT * FROM audit WHERE CAST(created_at AS DATE) >= (SELECT max(CAST(created_at AS DATE)) - 14 FROM audit)")
+def _(t):
+    path = shared_path(t.spark, "audit")
+    records.stream_audit(_streamed(t, t.audit(), "audit-events"), path, shared_path(t.spark, "offsets"), keep_days=14).awaitTermination()
+    return t.spark.read.parquet(path).drop("dt", "batch")
+
+
+@query("s13_write_progress", ("progress",), "SELECT job, true AS active, CAST(max(done) AS DOUBLE) AS updated_at, max(total) AS total FROM progress GROUP BY job HAVING max(done) < max(total)")
+def _(t):
+    path, states = shared_path(t.spark, "running"), t.progress().select("job", F.expr("done < total").alias("active"), F.col("done").cast("double").alias("updated_at"), "total")
+    records.write_progress(_streamed(t, states, "states"), path, shared_path(t.spark, "offsets")).awaitTermination()
+    return records.read_snapshot(t.spark, path, states.schema)
+
+
+@query("t7_latest_progress", ("progress",), "SELECT job, true AS active, CAST(max(done) AS DOUBLE) AS updated_at, CAST(max(done) AS DOUBLE) AS ts, max(total) AS total FROM progress GROUP BY job")
+def _(t):
+    path, at = shared_path(t.spark, "latest"), F.col("done").cast("double")
+    updates = t.progress().select("job", F.lit(True).alias("active"), at.alias("updated_at"), at.alias("ts"), "total")
+    latest = streams.latest_progress_stream(_streamed(t, updates, "updates"))
+    records.write_progress(latest, path, shared_path(t.spark, "offsets"), mode="update").awaitTermination()
+    return records.read_snapshot(t.spark, path, latest.schema)
+
 
 @query("s9_progress", ("jobs",), "SELECT job, relative_cbz, percent, done_pages, total_pages, 'running' AS status, updated_at FROM jobs WHERE active AND NOT broken")
 def _(t):
@@ -335,16 +386,12 @@ query("w2_cover_member", ("progress",), "SELECT 'job' || job || '.cbz' AS rel_pa
 
 @query("f29_check_sidecars", ("sidecars",), "SELECT rel_path, json, json_valid(json) AS valid FROM sidecars")
 def _(t):
-    from shelfspark.sources.files import check_sidecars
-
-    return check_sidecars(t.sidecars())
+    return files.check_sidecars(t.sidecars())
 
 
 @query("x13_normalize_sidecars", ("sidecars",), "SELECT rel_path, CASE WHEN json_valid(json) THEN '{\"k\":' || json_extract_string(json, '$.k') || ',\"title\":\"s\",\"volume\":\"' || regexp_extract(rel_path, '/(.*)[.]ocr$', 1) || '\",\"title_uuid\":\"d37882d6-56df-58a8-a3ab-26bd84250631\"}' ELSE json END AS json FROM sidecars")
 def _(t):
-    from shelfspark.sources.files import normalize_sidecars
-
-    return normalize_sidecars(t.sidecars())
+    return files.normalize_sidecars(t.sidecars())
 
 
 # --- windows, top-k, sets ------------------------------------------------------------------

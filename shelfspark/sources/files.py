@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import json
+import uuid
 import zipfile
 import zlib
 from urllib.parse import quote
@@ -109,15 +110,38 @@ def _archives(spark: SparkSession, root: str) -> DataFrame:
     return _binary(spark, root, f"*{layout.VOLUME}").select("rel_path", "path")
 
 
-def _opened(uri: str):
-    """A seekable file at a URI that Spark listed: readers take the parts that they need."""
+def _place(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a URI that Spark knows, and the path in it."""
     scheme, _, rest = uri.partition(":")
     if scheme == "file" or not rest:
-        return pafs.LocalFileSystem().open_input_file("/" + (rest or uri).lstrip("/"))
-    fs, path = pafs.FileSystem.from_uri(f"{scheme}:{quote(rest, safe='/:@')}")
+        return pafs.LocalFileSystem(), "/" + (rest or uri).lstrip("/")
+    return pafs.FileSystem.from_uri(f"{scheme}:{quote(rest, safe='/:@')}")
+
+
+def _opened(uri: str):
+    """A seekable file at a URI that Spark listed: readers take the parts that they need."""
+    fs, path = _place(uri)
     return fs.open_input_file(path)
 
 
+def write_files(contents: DataFrame, root: str) -> None:
+    """Writes contents(rel_path, content) to files below a folder. A file gets its name when it is whole, so a repeated task leaves the same files."""
+
+    def run(batches):
+        for batch in batches:
+            for rel, content in zip(batch.column(0), batch.column(1), strict=True):
+                fs, path = _place(f"{root}/{rel.as_py()}")
+                folder = path.rpartition("/")[0]
+                fs.create_dir(folder)
+                part = f"{folder}/.{uuid.uuid4().hex}"
+                with fs.open_output_stream(part) as out:
+                    out.write(content.as_py())
+                fs.move(part, path)
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["rel_path"])
+
+    map_arrow(contents.select("rel_path", "content"), run, "rel_path string").write.format("noop").mode("overwrite").save()
+
+
 def read_archive_members(spark: SparkSession, root: str) -> DataFrame:
     """(rel_path, member) of the volumes below a folder; a broken archive has no members. Only the directory of an archive is read."""
 

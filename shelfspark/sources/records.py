@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,37 +37,36 @@ def format_request_log(requests: DataFrame) -> DataFrame:
 
 
 def write_audit(events: DataFrame, path: str) -> None:
-    """Append audit rows, partitioned by day."""
-    events.withColumn("dt", F.to_date("created_at")).write.mode("append").partitionBy("dt").parquet(path)
+    """Append audit rows, partitioned by day; rows of a day meet first, so that a day gets few files, and large days are split."""
+    events.withColumn("dt", F.to_date("created_at")).hint("rebalance", F.col("dt")).write.mode("append").partitionBy("dt").parquet(path)
 
 
 def stream_audit(events: DataFrame, path: str, checkpoint: str, keep_days: int | None = None):
-    """The same as a stream. With keep_days, every batch also drops the days that are wholly older than that before its newest event."""
+    """The same as a stream. With keep_days, every batch also drops the days that lie more than that before the newest day of the trail."""
     if keep_days is None:
         return events.withColumn("dt", F.to_date("created_at")).writeStream.format("parquet").partitionBy("dt").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
     def add(batch: DataFrame, number: int) -> None:
         # a batch that comes again overwrites what it wrote before
         batch.withColumns({"dt": F.to_date("created_at"), "batch": F.lit(number)}).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt", "batch").parquet(path)
-        newest = batch.agg(F.max("created_at").alias("t")).first()["t"]
-        if newest is not None:
-            drop_days(batch.sparkSession, path, (newest - dt.timedelta(days=keep_days)).date())
+        drop_days(batch.sparkSession, path, keep_days)
 
     return events.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def drop_days(spark: SparkSession, path: str, before: dt.date) -> None:
-    """Deletes the day folders of an audit trail that are older than a day."""
-    jvm = spark._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
+def drop_days(spark: SparkSession, path: str, keep_days: int) -> None:
+    """Deletes the day folders of an audit trail that lie more than keep_days before its newest day; rows without a time stay."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    for status in fs.listStatus(folder):
-        name = status.getPath().getName()
-        if name.startswith("dt=") and name[3:13] < before.isoformat():
-            fs.delete(status.getPath(), True)
+    days = {s.getPath().getName()[3:]: s.getPath() for s in fs.listStatus(folder) if re.fullmatch(r"dt=\d{4}-\d\d-\d\d", s.getPath().getName())}
+    if days:
+        first = (dt.date.fromisoformat(max(days)) - dt.timedelta(days=keep_days)).isoformat()
+        for day in days:
+            if day < first:
+                fs.delete(days[day], True)
 
 
-def write_progress(updates: DataFrame, path: str, checkpoint: str):
+def write_progress(updates: DataFrame, path: str, checkpoint: str, mode: str = "append"):
     """Keeps a snapshot of running jobs in step with a stream of full states(job, active, updated_at, ...): a finished job leaves it.
 
     A snapshot is a folder ``version=N`` below path, N the batch; it is made of the one before and the batch's states, the
@@ -83,7 +83,7 @@ def write_progress(updates: DataFrame, path: str, checkpoint: str):
             folder = batch.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{path}/version={n}")
             folder.getFileSystem(batch.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
-    return updates.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return updates.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def versions(spark: SparkSession, path: str) -> list[int]:

@@ -47,6 +47,15 @@ def test_scans(spark, tree, tmp_path):
     assert files.scan_existing(found, found.where("rel_path like '%.ocr'")).count() == 6
 
 
+def test_written_files_are_whole_or_absent(spark, tmp_path):
+    rows = spark.createDataFrame([("a b/x%1.txt", bytearray(b"one")), ("a b/c/empty", bytearray(b"")), ("top", bytearray(b"\x00\xff"))], "rel_path string, content binary")
+    for _ in range(2):
+        files.write_files(rows, str(tmp_path))
+    found = {str(p.relative_to(tmp_path)): p.read_bytes() for p in tmp_path.rglob("*") if p.is_file()}
+    assert found == {"a b/x%1.txt": b"one", "a b/c/empty": b"", "top": b"\x00\xff"}
+    files.write_files(rows.limit(0), f"{tmp_path}/none")
+
+
 def test_archives(spark, tree):
     members = files.read_archive_members(spark, str(tree))
     assert len(pairs(members, "member")) == 4
@@ -168,7 +177,7 @@ def test_stream_sinks(spark, tmp_path):
         records.write_progress(states, f"{tmp_path}/now", f"{tmp_path}/c2").awaitTermination(120)
         assert now() == wanted
     assert len(records.versions(spark, f"{tmp_path}/now")) == 2
-    for day in (3, 20, 40):
+    for day in (3, 20, 40, 5):  # the last one comes late
         spark.createDataFrame([(day, "a", "edit", None, None, None, "{}", dt.datetime(2024, 1, 1) + dt.timedelta(days=day))], schemas.AUDIT).write.mode("append").parquet(f"{tmp_path}/log")
         records.stream_audit(stream, f"{tmp_path}/kept", f"{tmp_path}/c3", keep_days=30).awaitTermination(120)
     assert pairs(spark.read.parquet(f"{tmp_path}/kept"), "id") == [(20,), (40,)]
