@@ -87,10 +87,17 @@ def valid_sidecar(json: Column) -> Column:
     return F.try_parse_json(json).isNotNull()
 
 
-def series_rollup(volumes: DataFrame) -> DataFrame:
-    """series, cover (of the first volume that has one) and volumes in name order, one row per series."""
+#: Volumes in one row of a series.
+PAGE_VOLUMES = 10_000
+
+
+def series_rollup(volumes: DataFrame, page_volumes: int = PAGE_VOLUMES) -> DataFrame:
+    """series, page, cover (of the first volume of the series that has one) and volumes in name order: a row for each page_volumes volumes of a series, pages from 0, so that no row grows with the library."""
+    numbered = running_total(volumes, ["series"], ["name"], F.lit(1), "series", "number")
+    covers = numbered.groupBy("series").agg(F.min_by("cover", F.when(F.col("cover").isNotNull(), F.col("name"))).alias("cover"))
     item = F.struct("name", "has_cbz", "has_sidecar", "has_sidecar_gz", "cover")
-    return volumes.groupBy("series").agg(F.min_by("cover", F.when(F.col("cover").isNotNull(), F.col("name"))).alias("cover"), F.array_sort(F.collect_list(item)).alias("volumes"))
+    pages = numbered.groupBy("series", F.expr(f"(number - 1) div {page_volumes}").alias("page")).agg(F.array_sort(F.collect_list(item)).alias("volumes"))
+    return pages.join(covers, "series").select("series", "page", "cover", "volumes")
 
 
 def series_detail(volumes: DataFrame, name: str) -> DataFrame:
@@ -294,8 +301,8 @@ def dedupe_candidates(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def export_catalog(volumes: DataFrame) -> DataFrame:
-    """(series, document): each series as JSON with nested volumes; a null cover is left out."""
-    return series_rollup(volumes).select("series", F.to_json(F.struct(F.col("series").alias("name"), "cover", F.transform("volumes", lambda v: F.struct(v["name"].alias("name"), v["cover"].alias("cover"))).alias("volumes"))).alias("document"))
+    """(series, page, document): each series as JSON with nested volumes, one document a page of series_rollup; a null cover is left out."""
+    return series_rollup(volumes).select("series", "page", F.to_json(F.struct(F.col("series").alias("name"), "cover", F.transform("volumes", lambda v: F.struct(v["name"].alias("name"), v["cover"].alias("cover"))).alias("volumes"))).alias("document"))
 
 
 def search(rows: DataFrame, column: str, query: str) -> DataFrame:

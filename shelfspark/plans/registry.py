@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shelfspark import layout, schemas
 from shelfspark.functions import paths, scalars
 from shelfspark.operators import access, accounts, audit, library, ownership, progress
+from shelfspark.operators.running import running_total
 from shelfspark.plans.bindings import NOW_EVENTS, NOW_INVITES, Tables, with_relations
 from shelfspark.shared import shared_path, stored
 from shelfspark.sources import files, records
@@ -122,7 +123,10 @@ def _(t):
     return records.parse_request_log(records.format_request_log(t.logged()))
 
 
-@query("s12_export_catalog", ("volumes",), """SELECT series, '{"name":"' || series || '",' || coalesce('"cover":"' || arg_min(cover, name) FILTER (cover IS NOT NULL) || '",', '') || '"volumes":[' || string_agg('{"name":"' || name || '"' || coalesce(',"cover":"' || cover || '"', '') || '}', ',' ORDER BY name) || ']}' AS document FROM volumes GROUP BY series""")
+_PAGES = f"(SELECT *, (row_number() OVER (PARTITION BY series ORDER BY name) - 1) // {library.PAGE_VOLUMES} AS page, arg_min(cover, name) FILTER (cover IS NOT NULL) OVER (PARTITION BY series) AS front FROM volumes)"
+
+
+@query("s12_export_catalog", ("volumes",), f"""SELECT series, page, '{{"name":"' || series || '",' || coalesce('"cover":"' || min(front) || '",', '') || '"volumes":[' || string_agg('{{"name":"' || name || '"' || coalesce(',"cover":"' || cover || '"', '') || '}}', ',' ORDER BY name) || ']}}' AS document FROM {_PAGES} GROUP BY series, page""")
 def _(t):
     return library.export_catalog(_volumes(t))
 
@@ -245,7 +249,7 @@ def _(t):
 
 
 query("f26_search", ("volumes",), "SELECT series, name FROM volumes WHERE contains(lower(series), 'src1')")(lambda t: library.search(_volumes(t), "series", " SRC1 ").select("series", "name"))
-query("f27_series_detail", ("volumes",), "SELECT series, arg_min(cover, name) FILTER (cover IS NOT NULL) AS cover, count(*) AS volumes FROM volumes WHERE series = 'en/src1' GROUP BY series")(lambda t: library.series_detail(_volumes(t), "en/src1").select("series", "cover", F.size("volumes").cast("long").alias("volumes")))
+query("f27_series_detail", ("volumes",), "SELECT series, arg_min(cover, name) FILTER (cover IS NOT NULL) AS cover, count(*) AS volumes FROM volumes WHERE series = 'en/src1' GROUP BY series")(lambda t: library.series_detail(_volumes(t), "en/src1").groupBy("series", "cover").agg(F.sum(F.size("volumes")).alias("volumes")))
 query("f28_freshness", ("files",), "SELECT rel_path, CASE WHEN mtime % 100000 < 120 THEN 'fresh' WHEN mtime % 100000 < 86400 THEN 'stale' ELSE 'expired' END AS state FROM files")(lambda t: t.files().select("rel_path", scalars.freshness(F.expr("mtime % 100000")).alias("state")))
 query("f29_valid_sidecar", ("sidecars",), "SELECT rel_path, json_valid(json) AS valid FROM sidecars")(lambda t: t.sidecars().select("rel_path", library.valid_sidecar(F.col("json")).alias("valid")))
 
@@ -338,7 +342,7 @@ def _(t):
 
 # --- aggregations --------------------------------------------------------------------------
 
-query("a1_series_rollup", ("volumes",), "SELECT series, arg_min(cover, name) FILTER (cover IS NOT NULL) AS cover, string_agg(name, ',' ORDER BY name) AS volumes FROM volumes GROUP BY series")(lambda t: library.series_rollup(_volumes(t)).select("series", "cover", F.array_join(F.transform("volumes", lambda v: v["name"]), ",").alias("volumes")))
+query("a1_series_rollup", ("volumes",), f"SELECT series, page, min(front) AS cover, string_agg(name, ',' ORDER BY name) AS volumes FROM {_PAGES} GROUP BY series, page")(lambda t: library.series_rollup(_volumes(t)).select("series", "page", "cover", F.array_join(F.transform("volumes", lambda v: v["name"]), ",").alias("volumes")))
 query("a2_pending_thumbnails", ("volumes",), "SELECT count(*) FILTER (has_cbz AND NOT has_cover AND NOT no_cover) AS pending_thumbnails FROM volumes")(lambda t: library.pending_thumbnails(_volumes(t)))
 
 
@@ -557,14 +561,7 @@ def _(t):
 
 @query("m15_audit_from_changes", ("upload_events",), "SELECT row_number() OVER (ORDER BY ts, path) AS id, username AS actor_username, CASE WHEN existed THEN 'edit' ELSE 'upload' END AS action, '{\"existed_before\":' || existed || '}' AS details FROM upload_events")
 def _(t):
-    from pyspark.sql.window import Window
-
-    # numbers by day first: a day's rows are one window, the days' totals are few
-    up = t.upload_events().withColumn("day", F.to_date("ts"))
-    totals = up.groupBy("day").agg(F.count(F.lit(1)).alias("n"))
-    before = totals.select(F.col("day").alias("earlier"), F.col("n").alias("rows"))
-    offset = totals.select("day").join(before, F.col("earlier") < F.col("day"), "left").groupBy("day").agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("offset"))
-    numbered = up.join(offset, "day").withColumn("id", F.row_number().over(Window.partitionBy("day").orderBy("ts", "path")) + F.col("offset"))
+    numbered = running_total(t.upload_events(), [], ["ts", "path"], F.lit(1), "changes", "id")
     changes = numbered.select("id", F.col("username").alias("actor"), F.lit("write").alias("change"), "path", F.lit(None).cast("string").alias("username"), "existed", "ts")
     return audit.audit_from_changes(changes).select("id", "actor_username", "action", "details")
 

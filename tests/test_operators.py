@@ -94,6 +94,15 @@ def test_unique_names_meet_incoming_names(spark):
     assert library.unique_names(name("a").limit(0), none).count() == 0
 
 
+def test_a_large_series_has_pages(spark):
+    rows = [("s", f"v{n:02}", True, False, False, f"s/v{n:02}.webp" if n in (5, 8) else None) for n in range(11)] + [("t", "v", True, False, False, None)]
+    volumes = spark.createDataFrame(rows, "series string, name string, has_cbz boolean, has_sidecar boolean, has_sidecar_gz boolean, cover string").repartition(5)
+    out = sorted((r["series"], r["page"], r["cover"], [v["name"] for v in r["volumes"]]) for r in library.series_rollup(volumes, 4).collect())
+    names = [f"v{n:02}" for n in range(11)]
+    assert out == [("s", 0, "s/v05.webp", names[:4]), ("s", 1, "s/v05.webp", names[4:8]), ("s", 2, "s/v05.webp", names[8:]), ("t", 0, None, ["v"])]
+    assert library.series_rollup(volumes.limit(0), 4).count() == 0
+
+
 def test_running_total_of_a_group_over_many_blocks(spark):
     rows = spark.range(3000).selectExpr("if(id % 3 = 0, null, if(id % 50 = 1, 'few', 'many')) as k", "(id * 7919) % 3000 as at", "id % 4 as w")
     out = running_total(rows.repartition(7), ["k"], ["at"], F.col("w"), "test", "total")
