@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfspark.llm import byte_bpe, decontaminate, exact_dedup, ngram_join, pii, quality_cnn, secret_scan, sharding, url_filter, warc_zip
+from shelfspark.llm import byte_bpe, decontaminate, exact_dedup, ngram_join, pii, quality_cnn, secret_scan, sharding, token_files, url_filter, warc_zip
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontaminate": decontaminate.query,
     "op9_secret_scan": secret_scan.query,
     "op10_quality_cnn": quality_cnn.query,
+    "op11_token_files": token_files.query,
 }
 
 ORACLES = {
