@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfspark.llm import byte_bpe, decontaminate, exact_dedup, ngram_join, pii, quality_cnn, secret_scan, sharding, token_files, url_filter, warc_zip
+from shelfspark.llm import byte_bpe, decontaminate, exact_dedup, merkle, ngram_join, pii, quality_cnn, secret_scan, sharding, token_files, url_filter, warc_zip
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_secret_scan": secret_scan.query,
     "op10_quality_cnn": quality_cnn.query,
     "op11_token_files": token_files.query,
+    "op12_merkle": merkle.query,
 }
 
 ORACLES = {
@@ -27,4 +28,5 @@ ORACLES = {
     "op7_pii": pii.ORACLE_SQL,
     "op8_decontaminate": decontaminate.ORACLE_SQL,
     "op9_secret_scan": secret_scan.ORACLE_SQL,
+    "op12_merkle": merkle.ORACLE_SQL,
 }
