@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfspark.llm import byte_bpe, decontaminate, exact_dedup, merkle, ngram_join, pii, quality_cnn, secret_scan, sharding, token_files, url_filter, warc_zip
+from shelfspark.llm import byte_bpe, decontaminate, exact_dedup, merkle, ngram_join, pii, quality_cnn, secret_scan, sharding, token_files, url_filter, warc_zip, whitening
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_quality_cnn": quality_cnn.query,
     "op11_token_files": token_files.query,
     "op12_merkle": merkle.query,
+    "op13_whitening": whitening.query,
 }
 
 ORACLES = {
