@@ -20,7 +20,8 @@ from shelfspark.llm.shared import discard, stored, table
 from shelfspark.operators.running import running_total
 
 #: Bits of a digit, and of a place in a block (two digits).
-DIGIT, BLOCK = 4, 8
+DIGIT = 4
+BLOCK = 2 * DIGIT
 FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
 
 
@@ -55,7 +56,8 @@ def _climb(groups: DataFrame, base: int) -> DataFrame:
 
 def _roll(nodes: DataFrame, base: int) -> DataFrame:
     """nodes(tree, depth, at, h, body) to one row a block: tree, depth, at (of the block), h and kids, nested twice."""
-    placed = nodes.withColumns({"block": F.shiftright("at", BLOCK), "d1": F.shiftright("at", DIGIT).bitwiseAND(F.lit(15)), "d0": F.col("at").bitwiseAND(F.lit(15))})
+    low = F.lit((1 << DIGIT) - 1)
+    placed = nodes.withColumns({"block": F.shiftright("at", BLOCK), "d1": F.shiftright("at", DIGIT).bitwiseAND(low), "d0": F.col("at").bitwiseAND(low)})
     dealt = placed.repartition("tree", "block")  # both groupings below keep this partitioning
     fine = _climb(dealt.groupBy("tree", "depth", "block", "d1").agg(F.sort_array(F.collect_list(F.struct("d0", "h", "body"))).alias("kids")), base)
     coarse = _climb(fine.groupBy("tree", "depth", "block").agg(F.sort_array(F.collect_list(F.struct("d1", "h", "kids"))).alias("kids")), base + DIGIT)
@@ -118,7 +120,7 @@ def prove(docs: DataFrame, fields: list[str] = FIELDS, id_col: str = "doc_id", g
     groups = _emit(top, root).select(F.col("body").alias("tree"), F.col("at").alias("group_at"), F.col("sibs").alias("group_siblings"), "root")
     info = stored(groups.join(subroots.select(F.col("tree").alias("__of"), F.col("h").alias("subroot")), F.col("tree").eqNullSafe(F.col("__of"))).drop("__of"), "merkle-info")
     leaf = leaves_of(_emit(tiers, info), list(keep))
-    discard(leaves, subroots, *top, *tiers[1:-1])
+    discard(leaves, subroots, *top)  # the tiers are read by the result
     return leaf
 
 

@@ -59,6 +59,15 @@ def test_proofs_equal_brute_force(spark, n):
     assert all(r["good"] == r["root"] != r["bad"] for r in checked)
 
 
+def test_many_tiers(spark, monkeypatch):
+    monkeypatch.setattr(merkle, "DIGIT", 1)
+    monkeypatch.setattr(merkle, "BLOCK", 2)
+    rows = [(i, "s", "en" if i % 9 else "de", i, "x") for i in range(150)]  # eight levels in four tiers
+    got = rows_of(spark, rows).collect()
+    found = [(r["doc_id"], r["lang"], r["leaf"], r["at"], r["siblings"], r["subroot"], r["group_siblings"], r["root"]) for r in sorted(got, key=lambda r: (r["lang"], r["at"]))]
+    assert found == brute(rows)
+
+
 def test_a_block_is_shuffled_once_and_not_joined(spark):
     nodes = spark.range(600).select(F.concat(F.lit("e"), F.col("id") % 2).alias("tree"), (10 + F.col("id") % 1).cast("int").alias("depth"), F.col("id").alias("at"), F.sha2(F.col("id").cast("string"), 256).alias("h"), F.struct("id").alias("body"))
     plan = merkle._roll(nodes, 0)._jdf.queryExecution().executedPlan().toString()
