@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from shelfspark import layout
 from shelfspark.functions import paths
 from shelfspark.operators.ownership import can_delete
+from shelfspark.operators.running import Blocks, running_total
+from shelfspark.shared import discard, stored
 
 
 def authorize(requests: DataFrame, users: DataFrame, uploads: DataFrame, matrix: DataFrame, browse: bool = True, download: bool = True, root: str = layout.READER_ROOT, sidecar: str = layout.SIDECAR) -> DataFrame:
@@ -70,9 +71,23 @@ def match_origin(requests: DataFrame, patterns: DataFrame) -> DataFrame:
 
 
 def failures_in_window(attempts: DataFrame, seconds: int) -> DataFrame:
-    """attempts with ``failures``: failed ones of the key in the trailing window, its edge included."""
-    own = Window.partitionBy("key").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    return attempts.withColumn("failures", F.count_if(F.col("outcome") == "failure").over(own))
+    """attempts with ``failures``: failed ones of the key in the trailing window, its edge included.
+
+    The count is a difference of two running totals of failures, one at the attempt's time and one just before the window, both taken
+    over range blocks: a key may have all attempts. Attempts may repeat.
+    """
+    rows = stored(attempts.withColumn("__row", F.monotonically_increasing_id()), "attempts")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    failed = F.col("outcome") == "failure"
+    # at one time: the begins of windows, then failures, then the ends
+    marks = rows.select("key", "__row", F.explode(F.array_compact(F.array(
+        F.struct((at - seconds * 1_000_000).alias("at"), F.lit(0).alias("place"), F.lit(-1).alias("sign")),
+        F.when(failed, F.struct(at.alias("at"), F.lit(1).alias("place"), F.lit(0).alias("sign"))),
+        F.struct(at.alias("at"), F.lit(2).alias("place"), F.lit(1).alias("sign")),
+    ))).alias("m")).select("key", "__row", "m.*")
+    totals = running_total(marks, ["key"], ["at", "place"], F.when(F.col("place") == 1, 1).otherwise(0), "attempt-marks", "upto")
+    counts = totals.where("place <> 1").groupBy("__row").agg(F.sum(F.col("sign") * F.col("upto")).alias("failures"))
+    return rows.join(counts, "__row").drop("__row")
 
 
 def auth_states(headers: DataFrame, column: str) -> DataFrame:
@@ -84,41 +99,52 @@ def replay_limiter(attempts: DataFrame, max_failures: int = 10, window: float =
     """Limiter outcomes of attempts(attempt_id, key, ts, outcome), in time order for each key: allowed and retry_after.
 
     An attempt is crowded if the last ``max_failures`` failures before it came after the last success and within the window.
-    That needs counts and one equi-join. Of the crowded attempts those begin a block whose oldest counted failure is not
-    older than the end of the block before (nothing is counted during a block): one pass over the crowded attempts of a
-    key, with one number as state. Everything up to ``block`` seconds later is refused. Ties in time go by attempt_id.
-    """
-    import pyarrow as pa
-
-    from shelfspark.shipping import map_arrow
+    The first crowded attempt of a key begins a block; each block is followed by the first crowded attempt whose oldest counted
+    failure is not older than the block's end (nothing is counted during a block). Everything up to ``block`` seconds after a
+    begin is refused. Ties in time go by attempt_id.
 
+    Counts and last times are taken over range blocks, as a key may have all attempts. Every crowded attempt knows which would
+    follow it; which of them are reached from the first is found by doubling these steps, so a chain of n blocks takes about log2 n rounds
+    of two equi-joins.
+    """
     rows = attempts.select("attempt_id", "key", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.coalesce("outcome", F.lit("")).alias("outcome"))
-    order = Window.partitionBy("key").orderBy("at", "attempt_id")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
     failed = F.col("outcome") == "failure"
-    counted = rows.withColumns({"failures": F.count_if(failed).over(before), "cleared": F.coalesce(F.max(F.when(F.col("outcome") == "success", F.struct("at", "attempt_id"))).over(before), F.struct(F.lit(float("-inf")).alias("at"), F.lit(0).cast("long").alias("attempt_id")))})
-    numbered = counted.where(failed).select("key", (F.col("failures") + max_failures).alias("failures"), F.col("at").alias("oldest"), F.struct("at", "attempt_id").alias("oldest_place"))
+    blocks = Blocks(rows, ["key"], ["at", "attempt_id"], "limiter-attempts")
+    counted = blocks.last(F.when(F.col("outcome") == "success", F.struct("at", "attempt_id")), "cleared", blocks.total(failed.cast("int"), "upto"))
+    counted = counted.withColumn("failures", F.col("upto") - failed.cast("int"))
     if max_failures > 0:
-        numbered = numbered.withColumnsRenamed({"key": "own_key", "failures": "number"})
-        crowded = counted.join(numbered, F.col("key").eqNullSafe(F.col("own_key")) & (F.col("failures") == F.col("number"))).where((F.col("oldest") >= F.col("at") - window) & (F.col("oldest_place") > F.col("cleared")))
+        numbered = counted.where(failed).select(F.col("key").alias("own_key"), (F.col("failures") + max_failures).alias("number"), F.col("at").alias("oldest"), F.struct("at", "attempt_id").alias("oldest_place"))
+        met = counted.join(numbered, F.col("key").eqNullSafe(F.col("own_key")) & (F.col("failures") == F.col("number")))
+        crowded = met.where((F.col("oldest") >= F.col("at") - window) & (F.col("cleared").isNull() | (F.col("oldest_place") > F.col("cleared"))))
     else:
         crowded = counted.withColumn("oldest", F.col("at"))
-    dealt = crowded.select("attempt_id", "key", "at", "oldest").repartition("key").sortWithinPartitions("key", "at", "attempt_id")
-
-    def run(batches):
-        key, end = None, None
-        for batch in batches:
-            begins = []
-            for k, at, oldest in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                if k != key or end is None:
-                    key, end = k, float("-inf")
-                begins.append(oldest >= end)
-                end = at + block if begins[-1] else end
-            yield batch.select(["attempt_id"]).filter(pa.array(begins, pa.bool_()))
-
-    starts = map_arrow(dealt, run, "attempt_id long").withColumn("begins", F.lit(True))
-    marked = rows.join(starts, "attempt_id", "left")
-    last = F.last(F.when(F.col("begins"), F.col("at")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    begins = _begins(stored(crowded.select("attempt_id", "key", "at", "oldest"), "limiter-crowded"), block).withColumn("begins", F.lit(True))
+    marked = Blocks(rows.join(begins, "attempt_id", "left"), ["key"], ["at", "attempt_id"], "limiter-begins")
+    started = marked.last(F.when(F.col("begins"), F.col("at")), "start")
     left = F.col("start") + block - F.col("at")
     wait = F.when(F.col("begins"), F.lit(int(block))).when(left > 0, F.floor(left).cast("long") + 1).otherwise(0).cast("long")
-    return marked.withColumn("start", last).select("attempt_id", "key", (~F.coalesce("begins", F.lit(False)) & ~F.coalesce(left > 0, F.lit(False))).alias("allowed"), wait.alias("retry_after"))
+    return started.select("attempt_id", "key", (~F.coalesce("begins", F.lit(False)) & ~F.coalesce(left > 0, F.lit(False))).alias("allowed"), wait.alias("retry_after"))
+
+
+def _begins(crowded: DataFrame, block: float) -> DataFrame:
+    """attempt_id of those of crowded(attempt_id, key, at, oldest) that begin a block; oldest does not fall in the order of (at, attempt_id)."""
+    if crowded.isEmpty():
+        return crowded.select("attempt_id")
+    first = crowded.groupBy("key").agg(F.min(F.struct("at", "attempt_id")).alias("first")).select("first.attempt_id")
+    # from late to early: of the attempts not older than the end of a block the one met last is the earliest
+    asked = crowded.select("key", "attempt_id", F.explode(F.array(
+        F.struct((-F.col("oldest")).alias("back"), F.lit(0).alias("place"), (-F.col("at")).alias("late"), (-F.col("attempt_id")).alias("high")),
+        F.struct((-(F.col("at") + block)).alias("back"), F.lit(1).alias("place"), F.lit(0.0).alias("late"), (-F.col("attempt_id")).alias("high")),
+    )).alias("m")).select("key", "attempt_id", "m.*")
+    ordered = Blocks(asked, ["key"], ["back", "place", "late", "high"], "limiter-steps")
+    steps = stored(ordered.last(F.when(F.col("place") == 0, F.col("attempt_id")), "to").where("place = 1 and to is not null").select("attempt_id", "to"), "limiter-steps")
+    ordered.discard()
+    reached = stored(first, "limiter-reached")
+    while True:
+        further = stored(reached.join(steps, "attempt_id").select(F.col("to").alias("attempt_id")), "limiter-reached")
+        if further.isEmpty():
+            discard(steps, further)
+            return reached
+        wider, longer = stored(reached.unionAll(further), "limiter-reached"), stored(steps.join(steps.select(F.col("attempt_id").alias("to"), F.col("to").alias("beyond")), "to").select("attempt_id", F.col("beyond").alias("to")), "limiter-steps")
+        discard(reached, further, steps)
+        reached, steps = wider, longer

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.shared import shared_path
 from shelfspark.shipping import map_arrow
-from shelfspark.sources.files import write_files
+from shelfspark.sources.files import move_files, write_files
 
 NOW_INVITES = "TIMESTAMP_NTZ '1997-06-01 00:00:00'"
 NOW_EVENTS = "TIMESTAMP_NTZ '2024-02-10 00:00:00'"
@@ -84,12 +84,21 @@ class Tables:
 
     def user_tree(self) -> str:
         """A folder of the files of users, made of suppliers."""
-        names = F.expr("array_compact(array('volume-data.json', if(s_suppkey % 2 = 0, 'profiles.json', null), if(s_suppkey % 3 = 0, 'notes.json', null)))")
+        names = F.expr("array_compact(array('volume-data.json', if(s_suppkey % 2 = 0, 'profiles.json', null), if(s_suppkey % 3 = 0, 'notes.json', null), if(s_suppkey % 4 = 0, '_draft.json', null)))")
         rows = self.table("supplier").select("s_suppkey", "s_name", F.explode(names).alias("name"))
         root = shared_path(self.spark, "users")
         write_files(rows.select(F.expr("'user_' || s_suppkey || '/' || name").alias("rel_path"), F.expr("""encode('{"name":"' || s_name || '"}', 'UTF-8')""").alias("content")), root)
         return root
 
+    def change_user_tree(self, root: str) -> None:
+        """Rewrites, adds, moves and removes files of a tree of user_tree; hidden ones come too."""
+        rows = self.table("supplier").select("s_suppkey", F.expr("'user_' || s_suppkey || '/'").alias("folder"))
+        new = F.expr("array_compact(array(if(s_suppkey % 5 = 0, 'volume-data.json', null), if(s_suppkey % 7 = 0, 'sub/_new.cbz', null), if(s_suppkey % 3 = 0, '.secret', null), if(s_suppkey % 3 = 0, '.git/x.cbz', null)))")
+        written = rows.select("s_suppkey", "folder", F.explode(new).alias("name")).select(F.expr("folder || name").alias("rel_path"), F.expr("encode(repeat('x', 50), 'UTF-8')").alias("content"))
+        write_files(written, root)
+        move_files(rows.where("s_suppkey % 6 = 0").select(F.expr("folder || 'notes.json'").alias("rel_path"), F.expr("folder || 'renamed.json'").alias("to")), root)
+        move_files(rows.where("s_suppkey % 8 = 0").select(F.expr("folder || 'profiles.json'").alias("rel_path"), F.lit(None).cast("string").alias("to")), root)
+
     def users(self) -> DataFrame:
         made = F.expr("timestampadd(MINUTE, c_custkey, TIMESTAMP_NTZ '2024-01-01 00:00:00')")
         return self.table("customer").select(F.col("c_custkey").alias("id"), F.expr("'user_' || c_custkey").alias("username"), F.expr("element_at(array('registered','uploader','inviter','editor','admin','writer'), cast(c_custkey % 6 as int) + 1)").alias("role"), F.expr("element_at(array('active','pending','disabled','deleted'), c_nationkey % 4 + 1)").alias("status"), F.lit(None).cast("string").alias("notes"), made.alias("created_at"), made.alias("updated_at"))
@@ -164,7 +173,7 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "files": (("stems",), "SELECT stem || ext AS rel_path, n_chars AS size, 1704067200 + (doc_id * 7919) % 2592000 AS mtime FROM stems, (VALUES ('.cbz', 11, false), ('.ocr', 3, true), ('.ocr.gz', 5, true), ('.webp', 2, true), ('.nocover', 7, true)) e(ext, m, hit) WHERE (doc_id % m = 0) = hit"),
     "archive_tree": ((), f"SELECT 's/b' || block || '.cbz' AS rel_path, block, doc_id FROM (SELECT doc_id, doc_id // {BLOCK} AS block FROM documents)"),
     "sidecar_tree": ((), f"""SELECT 's/b' || block || CASE WHEN block % 3 = 0 THEN '.ocr' ELSE '.ocr.gz' END AS rel_path, block, '{{"ids":[' || string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) || ']}}' AS json FROM (SELECT doc_id, doc_id // {BLOCK} AS block FROM documents) GROUP BY block"""),
-    "user_tree": ((), "SELECT 'user_' || s_suppkey AS username, name AS filename, strlen(s_name) + 11 AS size FROM supplier, (VALUES ('volume-data.json', 1), ('profiles.json', 2), ('notes.json', 3)) f(name, m) WHERE s_suppkey % m = 0"),
+    "user_tree": ((), "SELECT 'user_' || s_suppkey AS username, name AS filename, strlen(s_name) + 11 AS size FROM supplier, (VALUES ('volume-data.json', 1), ('profiles.json', 2), ('notes.json', 3), ('_draft.json', 4)) f(name, m) WHERE s_suppkey % m = 0"),
     "users": ((), "SELECT c_custkey AS id, 'user_' || c_custkey AS username, ['registered','uploader','inviter','editor','admin','writer'][c_custkey % 6 + 1] AS role, ['active','pending','disabled','deleted'][c_nationkey % 4 + 1] AS status, CAST(NULL AS VARCHAR) AS notes, TIMESTAMP '2024-01-01' + to_minutes(c_custkey) AS created_at, TIMESTAMP '2024-01-01' + to_minutes(c_custkey) AS updated_at FROM customer"),
     "invites": ((), "SELECT o_orderkey AS id, 'inv-' || o_orderkey AS code, ['registered','uploader','editor','writer'][o_orderkey % 4 + 1] AS role, 'user_' || o_custkey AS invited_by, o_orderdate AS created_at, o_orderdate + to_seconds([3600, 604800, 2592000][o_orderkey % 3 + 1]) AS expires_at, CASE WHEN o_orderstatus = 'F' THEN 'user_' || o_custkey END AS used_by, CASE WHEN o_orderstatus = 'F' THEN o_orderdate END AS used_at FROM orders"),
     "event_paths": (("stems", "ndocs"), "SELECT e.*, s.stem || '.cbz' AS volume FROM events e CROSS JOIN ndocs JOIN stems s ON s.doc_id = e.event_id % n"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +15,7 @@ from shelfspark.operators import access, accounts, audit, library, ownership, pr
 from shelfspark.operators.running import running_total
 from shelfspark.plans.bindings import NOW_EVENTS, NOW_INVITES, Tables, with_relations
 from shelfspark.shared import shared_path, stored
-from shelfspark.sources import files, records
+from shelfspark.sources import files, records, tree
 from shelfspark.streaming import events as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,10 +64,29 @@ query("s7_users", ("users",), "SELECT * FROM users")(lambda t: t.users())
 
 # files that tasks write from the tables, read back
 
-query("s1_scan_files", ("user_tree",), "SELECT username || '/' || filename AS rel_path, size FROM user_tree")(lambda t: files.scan_files(t.spark, t.user_tree()).select("rel_path", "size"))
+@query("s1_scan_files", ("user_tree",), "SELECT username || '/' || filename AS rel_path, size, true AS fresh FROM user_tree")
+def _(t):
+    begun = int(time.time())
+    found = files.scan_files(t.spark, t.user_tree())
+    return found.select("rel_path", "size", F.col("mtime").between(begun - 1, int(time.time()) + 1).alias("fresh"))
+
+
+_WATCHED = """SELECT 'user_' || s_suppkey || '/' || path AS path, kind FROM supplier, (VALUES ('volume-data.json', 'modified', 5), ('sub/_new.cbz', 'created', 7), ('renamed.json', 'moved', 6), ('profiles.json', 'deleted', 8)) e(path, kind, m) WHERE s_suppkey % m = 0"""
+
+
+@query("s3_watch_tree", (), _WATCHED)
+def _(t):
+    root, home, out = t.user_tree(), shared_path(t.spark, "watched"), shared_path(t.spark, "watched-events")
+    tree.poll_tree(t.spark, root, home)
+    t.change_user_tree(root)
+    tree.poll_tree(t.spark, root, home)
+    files.stream_files(t.spark, f"{home}/events").writeStream.format("parquet").option("path", out).option("checkpointLocation", shared_path(t.spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema(schemas.FILE_EVENTS).parquet(out).select("path", "kind")
+
+
 query("s5_sidecars", ("sidecar_tree",), "SELECT rel_path, CASE WHEN block % 3 <> 2 THEN json END AS json, block % 3 <> 2 AS bytes_ok FROM sidecar_tree")(lambda t: files.read_sidecars(t.spark, t.sidecar_tree()))
 query("s6_archive_members", ("archive_tree",), "SELECT rel_path, doc_id || '.txt' AS member FROM archive_tree WHERE block % 5 <> 4 UNION ALL SELECT DISTINCT rel_path, 'info.txt' FROM archive_tree WHERE block % 5 <> 4")(lambda t: files.read_archive_members(t.spark, t.archive_tree()))
-query("s8_user_files", ("user_tree",), "SELECT * FROM user_tree WHERE filename <> 'notes.json'")(lambda t: files.scan_user_files(t.spark, t.user_tree()).drop("mtime"))
+query("s8_user_files", ("user_tree",), "SELECT * FROM user_tree WHERE filename IN ('profiles.json', 'volume-data.json')")(lambda t: files.scan_user_files(t.spark, t.user_tree()).drop("mtime"))
 query("f30_valid_archives", ("archive_tree",), "SELECT DISTINCT rel_path, block % 5 <> 4 AND block % 7 <> 6 AS valid FROM archive_tree")(lambda t: files.valid_archives(t.spark, t.archive_tree()))
 
 
@@ -85,22 +106,24 @@ def _(t):
     return t.spark.read.parquet(path).withColumn("dt", F.col("dt").cast("string"))
 
 
-def _streamed(t: Tables, df: DataFrame, name: str) -> DataFrame:
-    """The rows of df as a stream of the files of a table."""
-    return t.spark.readStream.schema(df.schema).parquet(stored(df, name).stored_at)
+def _streamed(t: Tables, df: DataFrame, name: str, batches: int = 1) -> DataFrame:
+    """The rows of df as a stream of the files of a table, in so many batches; rows of any time may come in any of them."""
+    if batches == 1:
+        return t.spark.readStream.schema(df.schema).parquet(stored(df, name).stored_at)
+    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(stored(df.repartition(batches), name).stored_at)
 
 
-@query("t6_audit_stream", ("audit",), "SELECT * FROM audit WHERE CAST(created_at AS DATE) >= (SELECT max(CAST(created_at AS DATE)) - 14 FROM audit)")
+@query("t6_audit_stream", ("audit",), "SELECT * FROM audit WHERE CAST(created_at AS DATE) >= DATE '2024-01-11'")
 def _(t):
-    path = shared_path(t.spark, "audit")
-    records.stream_audit(_streamed(t, t.audit(), "audit-events"), path, shared_path(t.spark, "offsets"), keep_days=14).awaitTermination()
-    return t.spark.read.parquet(path).drop("dt", "batch")
+    path, clock = shared_path(t.spark, "audit"), lambda: dt.datetime(2024, 1, 25, 12, tzinfo=dt.UTC)
+    records.stream_audit(_streamed(t, t.audit(), "audit-events", 3), path, shared_path(t.spark, "offsets"), keep_days=14, clock=clock).awaitTermination()
+    return records.read_audit(t.spark, path, t.audit().schema)
 
 
 @query("s13_write_progress", ("progress",), "SELECT job, true AS active, CAST(max(done) AS DOUBLE) AS updated_at, max(total) AS total FROM progress GROUP BY job HAVING max(done) < max(total)")
 def _(t):
     path, states = shared_path(t.spark, "running"), t.progress().select("job", F.expr("done < total").alias("active"), F.col("done").cast("double").alias("updated_at"), "total")
-    records.write_progress(_streamed(t, states, "states"), path, shared_path(t.spark, "offsets")).awaitTermination()
+    records.write_progress(_streamed(t, states, "states", 4), path, shared_path(t.spark, "offsets")).awaitTermination()
     return records.read_snapshot(t.spark, path, states.schema)
 
 

@@ -7,7 +7,8 @@ import json
 import uuid
 import zipfile
 import zlib
-from urllib.parse import quote
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -17,19 +18,13 @@ from pyspark.sql import functions as F
 from shelfspark import layout, schemas
 from shelfspark.functions import paths, scalars
 from shelfspark.shipping import map_arrow
-
-
-def _binary(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    reader = reader.option("pathGlobFilter", pattern) if pattern else reader
-    base = root.split("://")[-1].removeprefix("file:").rstrip("/")
-    rel = F.substring_index(F.col("path"), f"{base}/", -1)
-    return reader.load(root).withColumn("rel_path", rel)
+from shelfspark.sources.places import place
+from shelfspark.sources.tree import list_tree
 
 
 def scan_files(spark: SparkSession, root: str) -> DataFrame:
-    """files(rel_path, size, mtime) below a folder. The lister hides names that start with a dot or underscore; a manifest does not."""
-    return _binary(spark, root).select("rel_path", F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("mtime"))
+    """files(rel_path, size, mtime) below a folder, listed by tasks; folders with a leading dot are not entered."""
+    return list_tree(spark, root).select("rel_path", "size", F.floor(F.col("mtime_us") / 1_000_000).alias("mtime"))
 
 
 def read_manifest(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
@@ -38,8 +33,8 @@ def read_manifest(spark: SparkSession, path: str, format: str = "parquet") -> Da
 
 
 def stream_files(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
-    """Stream of file events(path, kind, ts) from JSON files as they appear."""
-    return spark.readStream.schema(schemas.FILE_EVENTS).option("maxFilesPerTrigger", max_files).json(path)
+    """Stream of file events(path, kind, ts) from JSON files as they appear in a folder or below it, such as those of a watched tree."""
+    return spark.readStream.schema(schemas.FILE_EVENTS).option("maxFilesPerTrigger", max_files).option("recursiveFileLookup", "true").json(path)
 
 
 def scan_existing(files: DataFrame, processed: DataFrame) -> DataFrame:
@@ -53,13 +48,15 @@ def read_table(spark: SparkSession, path: str, schema) -> DataFrame:
 
 def read_sidecars(spark: SparkSession, root: str, sidecar: str = layout.SIDECAR) -> DataFrame:
     """(rel_path, json, bytes_ok) of sidecars, packed or not; unreadable bytes give a row with bytes_ok false."""
-    files = _binary(spark, root, f"*{sidecar}*").where(F.col("rel_path").endswith(sidecar) | F.col("rel_path").endswith(f"{sidecar}.gz"))
+    files = _placed(spark, root, sidecar, f"{sidecar}.gz")
 
     def run(batches):
         for batch in batches:
             text, ok = [], []
-            for rel, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for rel, uri in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
+                    with _opened(uri) as file:
+                        content = file.read()
                     text.append((gzip.decompress(content) if rel.endswith(".gz") else content).decode())
                     ok.append(True)
                 except (OSError, EOFError, UnicodeDecodeError, zlib.error):
@@ -67,7 +64,7 @@ def read_sidecars(spark: SparkSession, root: str, sidecar: str = layout.SIDECAR)
                     ok.append(False)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string()), pa.array(ok)], names=["rel_path", "json", "bytes_ok"])
 
-    return map_arrow(files.select("rel_path", "content"), run, "rel_path string, json string, bytes_ok boolean")
+    return map_arrow(files, run, "rel_path string, json string, bytes_ok boolean")
 
 
 def _parses(text: str | None) -> bool:
@@ -105,22 +102,16 @@ def normalize_sidecars(sidecars: DataFrame) -> DataFrame:
     return map_arrow(rows, run, "rel_path string, json string")
 
 
-def _archives(spark: SparkSession, root: str) -> DataFrame:
-    """(rel_path, path) of the volumes below a folder; their content is not read."""
-    return _binary(spark, root, f"*{layout.VOLUME}").select("rel_path", "path")
-
-
-def _place(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a URI that Spark knows, and the path in it."""
-    scheme, _, rest = uri.partition(":")
-    if scheme == "file" or not rest:
-        return pafs.LocalFileSystem(), "/" + (rest or uri).lstrip("/")
-    return pafs.FileSystem.from_uri(f"{scheme}:{quote(rest, safe='/:@')}")
+def _placed(spark: SparkSession, root: str, *endings: str) -> DataFrame:
+    """(rel_path, uri) of the files below a folder with one of the endings, dealt out evenly; their content is not read."""
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found = list_tree(spark, root).where(reduce(or_, [F.col("rel_path").endswith(e) for e in endings]))
+    return found.select("rel_path", F.concat(F.lit(f"{root.rstrip('/')}/"), "rel_path").alias("uri")).repartition(parts)
 
 
 def _opened(uri: str):
     """A seekable file at a URI that Spark listed: readers take the parts that they need."""
-    fs, path = _place(uri)
+    fs, path = place(uri)
     return fs.open_input_file(path)
 
 
@@ -130,7 +121,7 @@ def write_files(contents: DataFrame, root: str) -> None:
     def run(batches):
         for batch in batches:
             for rel, content in zip(batch.column(0), batch.column(1), strict=True):
-                fs, path = _place(f"{root}/{rel.as_py()}")
+                fs, path = place(f"{root}/{rel.as_py()}")
                 folder = path.rpartition("/")[0]
                 fs.create_dir(folder)
                 part = f"{folder}/.{uuid.uuid4().hex}"
@@ -142,6 +133,27 @@ def write_files(contents: DataFrame, root: str) -> None:
     map_arrow(contents.select("rel_path", "content"), run, "rel_path string").write.format("noop").mode("overwrite").save()
 
 
+def move_files(moves: DataFrame, root: str) -> None:
+    """Moves the files of moves(rel_path, to) below a folder; those without a ``to`` are removed. Files that are not there (any more) are
+    left out, so a task may be repeated."""
+
+    def run(batches):
+        for batch in batches:
+            for rel, to in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                fs, path = place(f"{root}/{rel}")
+                if fs.get_file_info(path).type == pafs.FileType.NotFound:
+                    continue
+                if to is None:
+                    fs.delete_file(path)
+                else:
+                    _, target = place(f"{root}/{to}")
+                    fs.create_dir(target.rpartition("/")[0])
+                    fs.move(path, target)
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["rel_path"])
+
+    map_arrow(moves.select("rel_path", "to"), run, "rel_path string").write.format("noop").mode("overwrite").save()
+
+
 def read_archive_members(spark: SparkSession, root: str) -> DataFrame:
     """(rel_path, member) of the volumes below a folder; a broken archive has no members. Only the directory of an archive is read."""
 
@@ -155,7 +167,7 @@ def read_archive_members(spark: SparkSession, root: str) -> DataFrame:
                         names = []
                 yield pa.RecordBatch.from_arrays([pa.array([rel] * len(names), pa.string()), pa.array(names, pa.string())], names=["rel_path", "member"])
 
-    return map_arrow(_archives(spark, root), run, "rel_path string, member string")
+    return map_arrow(_placed(spark, root, layout.VOLUME), run, "rel_path string, member string")
 
 
 def valid_archives(spark: SparkSession, root: str) -> DataFrame:
@@ -172,7 +184,7 @@ def valid_archives(spark: SparkSession, root: str) -> DataFrame:
                         valid.append(False)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(valid, pa.bool_())], names=["rel_path", "valid"])
 
-    return map_arrow(_archives(spark, root), run, "rel_path string, valid boolean")
+    return map_arrow(_placed(spark, root, layout.VOLUME), run, "rel_path string, valid boolean")
 
 
 def scan_user_files(spark: SparkSession, root: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.window import Window
 
+from shelfspark.operators.running import Blocks, running_total
 from shelfspark.shipping import ship
 from shelfspark.streaming.limiter import answers
 
@@ -22,11 +23,17 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def debounced_refresh(events: DataFrame, seconds: int, key: str = "library") -> DataFrame:
-    """Batch: one refresh per quiet period of a key: (key, refreshed_at, events); a gap of ``seconds`` or more ends a period."""
-    by = Window.partitionBy(key).orderBy("ts")
-    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(by).cast("timestamp"))
-    period = F.sum(F.when(gap >= seconds * 1_000_000, 1).otherwise(0)).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    return events.withColumn("period", period).groupBy(key, "period").agg(F.max("ts").alias("last"), F.count(F.lit(1)).alias("events")).select(key, (F.col("last") + F.expr(f"INTERVAL '{seconds}' SECOND")).alias("refreshed_at"), "events")
+    """Batch: one refresh per quiet period of a key: (key, refreshed_at, events); a gap of ``seconds`` or more ends a period.
+
+    A key may have all events: they are cut into range blocks, and each block begins with the last time of the block before.
+    """
+    blocks = Blocks(events.select(key, "ts"), [key], ["ts"], "refresh-events")
+    timed = blocks.last(F.col("ts"), "before")
+    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("before").cast("timestamp"))
+    first = timed.where(gap >= seconds * 1_000_000).select(key, "ts").distinct().withColumn("begins", F.lit(1))
+    marked = timed.select(key, "ts").withColumn("begins", F.lit(0)).unionByName(first)  # a begin comes before the events of its time
+    period = running_total(marked.withColumn("place", -F.col("begins")), [key], ["ts", "place"], F.col("begins"), "refresh-periods", "period").where("begins = 0")
+    return period.groupBy(key, "period").agg(F.max("ts").alias("last"), F.count(F.lit(1)).alias("events")).select(key, (F.col("last") + F.expr(f"INTERVAL '{seconds}' SECOND")).alias("refreshed_at"), "events")
 
 
 def debounced_refresh_stream(events: DataFrame, seconds: int, watermark: str = "10 minutes", key: str = "library") -> DataFrame:
@@ -67,56 +74,80 @@ def settled_files(events: DataFrame, settle: float) -> DataFrame:
 
 
 class _Settle(StatefulProcessor):
-    def __init__(self, settle_ms: int):
-        self.settle_ms = settle_ms
+    """State of a path only while it waits, and for ``forget_ms`` after it settled; a timer ends either."""
+
+    def __init__(self, settle_ms: int, forget_ms: int):
+        self.settle_ms, self.forget_ms = settle_ms, forget_ms
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", "touched long, alive boolean, done boolean")
+        self.state = handle.getValueState("state", "touched long, alive boolean, settled long")
+
+    def _rest(self, at: int, touched: int, alive: bool, settled: int) -> tuple[int, bool, int, int | None]:
+        """The state at a time, and when the path settled if it did since: a file that waited long enough, or a settled one forgotten."""
+        fired = None
+        if touched >= 0 and at - touched >= self.settle_ms:
+            if alive:
+                fired = settled = touched + self.settle_ms
+            touched = -1
+        if settled >= 0 and at - settled >= self.forget_ms:
+            settled = -1
+        return touched, alive, settled, fired
+
+    def _keep(self, touched: int, alive: bool, settled: int, expired: int = -1) -> None:
+        """Store what is left, with one timer at the next end; the one that has just expired is gone by itself."""
+        ends = [t for t in (touched + self.settle_ms if touched >= 0 else -1, settled + self.forget_ms if settled >= 0 else -1) if t >= 0]
+        for old in [t[0] if isinstance(t, tuple) else t for t in self.handle.listTimers()]:
+            if old != expired:
+                self.handle.deleteTimer(old)
+        if ends:
+            self.state.update((touched, alive, settled))
+            self.handle.registerTimer(min(ends))
+        else:
+            self.state.clear()
 
     def handleInputRows(self, key, rows, timerValues):
-        touched, alive, done = self.state.get() if self.state.exists() else (-1, False, False)
+        touched, alive, settled = self.state.get() if self.state.exists() else (-1, False, -1)
         events = sorted((int(ts.timestamp() * 1000), kind) for frame in rows for ts, kind in zip(frame["ts"], frame["kind"], strict=True))
-        fired = None
+        all_fired = []
         for at, kind in events:
-            if not done and touched >= 0 and at - touched >= self.settle_ms:
-                if alive:
-                    done, fired = True, touched + self.settle_ms
-                touched = -1
-            if done:
-                break
+            touched, alive, settled, fired = self._rest(at, touched, alive, settled)
+            all_fired += [fired] if fired is not None else []
+            if settled >= 0:
+                continue
             if kind == "created":
                 touched, alive = at, True
             elif kind == "modified" and touched >= 0:
                 touched = at
             elif kind == "deleted":
                 alive = False
-        self.state.update((touched, alive, done))
-        if not done and touched >= 0:
-            self.handle.registerTimer(touched + self.settle_ms)
-        yield self._row(key, fired)
+        self._keep(touched, alive, settled)
+        yield self._rows(key, all_fired)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        touched, alive, done = self.state.get() if self.state.exists() else (-1, False, True)
-        fired = None
-        if not done and touched >= 0 and expiredTimerInfo.getExpiryTimeInMs() >= touched + self.settle_ms:
-            if alive:
-                done, fired = True, touched + self.settle_ms
-            self.state.update((-1, alive, done))
-        yield self._row(key, fired)
+        touched, alive, settled = self.state.get() if self.state.exists() else (-1, False, -1)
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        touched, alive, settled, fired = self._rest(now, touched, alive, settled)
+        self._keep(touched, alive, settled, now)
+        yield self._rows(key, [fired] if fired is not None else [])
 
     @staticmethod
-    def _row(key, fired):
-        return pd.DataFrame({"path": [key[0]], "settled_at": [fired / 1000]}) if fired is not None else pd.DataFrame({"path": pd.Series(dtype=str), "settled_at": pd.Series(dtype=float)})
+    def _rows(key, fired):
+        return pd.DataFrame({"path": pd.Series([key[0]] * len(fired), dtype=str), "settled_at": pd.Series([f / 1000 for f in fired], dtype=float)})
 
     def close(self) -> None:
         pass
 
 
-def settled_files_stream(events: DataFrame, settle: float, watermark: str = "0 seconds") -> DataFrame:
-    """Stream form with an event-time timer per path, moved by every touch. The state of a path stays, so it never settles twice."""
+def settled_files_stream(events: DataFrame, settle: float, watermark: str = "0 seconds", forget: float = 604800) -> DataFrame:
+    """Stream form with an event-time timer per path, moved by every touch.
+
+    A path has state while it waits and for ``forget`` seconds after it settled, so the state is as large as what lies within that
+    time, whatever the number of paths ever seen. In this time nothing that happens to the path counts, and it does not settle again; a
+    creation after it is a new file. Where no path is created again after ``forget``, the rows are those of the batch form.
+    """
     ship(events.sparkSession)
-    return events.withWatermark("ts", watermark).groupBy("path").transformWithStateInPandas(statefulProcessor=_Settle(int(settle * 1000)), outputStructType="path string, settled_at double", outputMode="Append", timeMode="EventTime")
+    return events.withWatermark("ts", watermark).groupBy("path").transformWithStateInPandas(statefulProcessor=_Settle(int(settle * 1000), int(forget * 1000)), outputStructType="path string, settled_at double", outputMode="Append", timeMode="EventTime")
 
 
 # --- sign-in limits --------------------------------------------------------------------

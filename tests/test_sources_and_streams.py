@@ -2,6 +2,7 @@ import datetime as dt
 import gzip
 import json
 import random
+import time
 import zipfile
 
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from shelfspark import schemas
 from shelfspark.operators import access, library, progress
 from shelfspark.sources import files, records
+from shelfspark.sources import tree as tree_module
 from shelfspark.streaming import events as streams
 
 T0 = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
@@ -179,8 +181,8 @@ def test_stream_sinks(spark, tmp_path):
     assert len(records.versions(spark, f"{tmp_path}/now")) == 2
     for day in (3, 20, 40, 5):  # the last one comes late
         spark.createDataFrame([(day, "a", "edit", None, None, None, "{}", dt.datetime(2024, 1, 1) + dt.timedelta(days=day))], schemas.AUDIT).write.mode("append").parquet(f"{tmp_path}/log")
-        records.stream_audit(stream, f"{tmp_path}/kept", f"{tmp_path}/c3", keep_days=30).awaitTermination(120)
-    assert pairs(spark.read.parquet(f"{tmp_path}/kept"), "id") == [(20,), (40,)]
+        records.stream_audit(stream, f"{tmp_path}/kept", f"{tmp_path}/c3", keep_days=30, clock=lambda: dt.datetime(2024, 2, 10, tzinfo=dt.UTC)).awaitTermination(120)
+    assert pairs(records.read_audit(spark, f"{tmp_path}/kept", schemas.AUDIT), "id") == [(20,), (40,)]
     with open(tmp_path / "e.json", "w") as f:
         f.write('{"path":"a.cbz","kind":"created","ts":"2024-01-01T00:00:00Z"}\n')
     (tmp_path / "ev").mkdir()
@@ -188,3 +190,123 @@ def test_stream_sinks(spark, tmp_path):
     query = files.stream_files(spark, f"{tmp_path}/ev").writeStream.format("memory").queryName("seen_files").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert spark.table("seen_files").count() == 1
+
+
+def test_a_stamp_from_the_future_deletes_nothing(spark, tmp_path):
+    row = lambda i, at: (i, "a", "edit", None, None, None, "{}", at)
+    (tmp_path / "log").mkdir()
+    stream = spark.readStream.schema(schemas.AUDIT).parquet(f"{tmp_path}/log")
+    clock, kept = [dt.datetime(2024, 1, 20, tzinfo=dt.UTC)], f"{tmp_path}/kept"
+    days = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+
+    def add(*rows):
+        spark.createDataFrame(list(rows), schemas.AUDIT).write.mode("append").parquet(f"{tmp_path}/log")
+        records.stream_audit(stream, kept, f"{tmp_path}/c", keep_days=30, clock=lambda: clock[0]).awaitTermination(120)
+        return [i for (i,) in pairs(records.read_audit(spark, kept, schemas.AUDIT), "id")]
+
+    assert add(*(row(i, days(i)) for i in range(5)), row(99, dt.datetime(2999, 1, 1)), row(98, None)) == [0, 1, 2, 3, 4, 98, 99]
+    clock[0] = dt.datetime(2024, 2, 4, tzinfo=dt.UTC)
+    assert add(row(30, days(30)), row(-3, days(-3))) == [4, 30, 98, 99]  # -3 is late and already too old
+    clock[0] = dt.datetime(2024, 1, 5, tzinfo=dt.UTC)  # a clock that goes back brings nothing back
+    assert add(row(31, days(3))) == [4, 30, 98, 99]
+    clock[0] = dt.datetime(2024, 2, 25, tzinfo=dt.UTC)
+    assert add(row(40, days(40))) == [30, 40, 98]  # the wrong stamp left with the day it came
+    add(row(41, days(41)))
+    names = sorted(p.name for p in (tmp_path / "kept").iterdir() if p.name.startswith("dt="))
+    assert "dt=2024-01-05" not in names and len(names) == 4  # deleted once no version reads them
+
+
+def test_a_finished_job_stays_finished(spark, tmp_path):
+    schema = "job int, active boolean, updated_at double"
+    (tmp_path / "p").mkdir()
+    states, now = spark.readStream.schema(schema).parquet(f"{tmp_path}/p"), [1000.0]
+
+    def add(*rows):
+        spark.createDataFrame(list(rows), schema).write.mode("append").parquet(f"{tmp_path}/p")
+        records.write_progress(states, f"{tmp_path}/now", f"{tmp_path}/c", keep_finished=60, clock=lambda: now[0]).awaitTermination(120)
+        return pairs(records.read_snapshot(spark, f"{tmp_path}/now", states.schema), "job", "updated_at")
+
+    assert add((1, False, 10.0), (2, True, 4.0)) == [(2, 4.0)]
+    assert add((1, True, 5.0)) == [(2, 4.0)]  # late
+    assert add((1, False, 10.0), (1, True, 10.0)) == [(2, 4.0)]
+    now[0] += 61
+    assert add((2, True, 5.0)) == [(2, 5.0)]  # the tombstone of 1 is gone, counted from when it was first seen finished
+    assert add((1, True, 5.0), (2, False, 6.0)) == [(1, 5.0)]
+    assert add((2, True, 7.0)) == [(1, 5.0), (2, 7.0)]  # begun again
+
+
+def test_a_tree_of_any_names_is_listed(spark, tmp_path):
+    root = tmp_path / "t"
+    for rel in ("_a.cbz", ".b", "_u/_v/c d%1.cbz", ".git/x", "s/.h/y", "s/e/f/g/h/i.ocr"):
+        (root / rel).parent.mkdir(parents=True, exist_ok=True)
+        (root / rel).write_text(rel)
+    (root / "s/loop").symlink_to(root)
+    (root / "s/gone").symlink_to(root / "nothing")
+    (root / "empty").mkdir()
+    found = files.scan_files(spark, str(root))
+    assert pairs(found, "rel_path", "size") == sorted((r, len(r)) for r in ("_a.cbz", ".b", "_u/_v/c d%1.cbz", "s/e/f/g/h/i.ocr"))
+    assert found.schema == schemas.FILES
+    assert files.scan_files(spark, f"{tmp_path}/none").count() == 0
+    many = tmp_path / "many"
+    for n in range(150):  # more folders than a task lists below one
+        (many / f"a/{n}/b").mkdir(parents=True)
+        (many / f"a/{n}/b/x").write_text("")
+    assert files.scan_files(spark, f"file://{many}").count() == 150
+
+
+def test_a_tree_is_watched(spark, tmp_path):
+    root, home = tmp_path / "t", f"{tmp_path}/home"
+    write = lambda rel, text="x": ((root / rel).parent.mkdir(parents=True, exist_ok=True), (root / rel).write_text(text))
+    for rel in ("s/v1.cbz", "s/v2.cbz", "s/v3.cbz", "_w.cbz"):
+        write(rel)
+    poll = lambda: tree_module.poll_tree(spark, str(root), home)
+    seen = lambda n: {(r["path"], r["kind"], r["from_path"]) for r in spark.read.schema("path string, kind string, from_path string, ts timestamp").json(f"{home}/events/{n}").collect()}
+    assert poll() == 0 and seen(0) == set()
+    write("s/v1.cbz", "other")
+    (root / "s/v2.cbz").rename(root / "moved.cbz")
+    (root / "s/v3.cbz").unlink()
+    for rel in ("new/_n.cbz", ".hidden", "s/.h/x.cbz"):
+        write(rel)
+    assert poll() == 1
+    assert seen(1) == {("s/v1.cbz", "modified", None), ("moved.cbz", "moved", "s/v2.cbz"), ("s/v3.cbz", "deleted", None), ("new/_n.cbz", "created", None)}
+    assert poll() == 2 and seen(2) == set()
+    write("late.cbz")
+    tree_module.list_tree(spark, str(root)).where("rel_path not like '%.hidden'").write.parquet(f"{home}/listing/version=3")  # a poll that died before its events
+    assert poll() == 4 and seen(3) == {("late.cbz", "created", None)} and seen(4) == set() and tree_module.polls(spark, home) == [0, 1, 2, 3, 4]
+    query = files.stream_files(spark, f"{home}/events").writeStream.format("memory").queryName("watched").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert spark.table("watched").where("ts is not null").count() == 5
+    first = tree_module.poll_tree(spark, str(root), f"{tmp_path}/other", existing=True)
+    assert spark.read.json(f"{tmp_path}/other/events/{first}").where("kind = 'created'").count() == 5
+
+
+def test_a_watch_is_a_stream(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    query = tree_module.watch_tree(spark, f"{tmp_path}/t", f"{tmp_path}/home", seconds=0.2)
+    try:
+        wait = lambda done: next((True for _ in range(300) if done() or time.sleep(0.2)), False)
+        assert wait(lambda: len(tree_module.polls(spark, f"{tmp_path}/home")) > 0)
+        (tmp_path / "t/a.cbz").write_text("x")
+        found = lambda: [n for n in tree_module.polls(spark, f"{tmp_path}/home") if spark.read.schema("path string").json(f"{tmp_path}/home/events/{n}").where("path = 'a.cbz'").count()]
+        assert wait(found) and len(found()) == 1
+    finally:
+        query.stop()
+
+
+def test_moves_without_identity_need_to_be_clear(spark):
+    schema = "rel_path string, size long, mtime_us long, file_id string"
+    old = spark.createDataFrame([("a", 5, 1, None), ("b", 7, 2, None), ("c", 7, 2, None)], schema)
+    new = spark.createDataFrame([("x", 5, 1, None), ("y", 7, 2, None), ("z", 7, 3, None)], schema)
+    assert pairs(tree_module.changes(old, new).na.fill(""), "path", "kind", "from_path") == [("b", "deleted", ""), ("c", "deleted", ""), ("x", "moved", "a"), ("y", "created", ""), ("z", "created", "")]
+
+
+def test_settled_paths_are_forgotten(spark, tmp_path):
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    rows = [(f"p{i}", "created", at(i * 10)) for i in range(60)]
+    rows += [("p0", "modified", at(100)), ("p0", "created", at(101)), ("q", "deleted", at(5)), ("q", "modified", at(6)), ("p1", "created", at(500))] + [("end", "modified", at(5000 + i)) for i in range(24)]
+    rows.sort(key=lambda r: r[2])
+    got = run_stream(spark, rows, schemas.FILE_EVENTS, lambda s: streams.settled_files_stream(s, 60, forget=120), tmp_path, parts=12)
+    settled = sorted((x["path"], x["settled_at"] - T0.timestamp()) for x in got)
+    # p0 settles at 60 and not again within 120 seconds; p1 settles at 70, is forgotten at 190 and settles anew
+    assert settled == sorted([(f"p{i}", i * 10 + 60.0) for i in range(60)] + [("p1", 560.0)])
+    assert spark.read.format("statestore").load(f"{tmp_path}/state", stateVarName="state").count() == 0
