@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shelfspark import layout
 from shelfspark.functions import scalars
-from shelfspark.shared import stored
+from shelfspark.shared import discard, stored
+from shelfspark.shipping import map_arrow
 
 
 def user_by_name(users: DataFrame, name: str) -> DataFrame:
@@ -173,22 +175,58 @@ def register(requests: DataFrame, users: DataFrame, invites: DataFrame, mode: st
     return rows.select("request_id", "username", code.alias("status_code"), error.alias("error"), F.when(error.isNull(), role).alias("role"), F.when(error.isNull(), "pending" if mode == "approval" else "active").alias("status"))
 
 
-def _accepted(open_requests: DataFrame) -> DataFrame:
+#: Open requests that one task decides in order.
+QUEUE_ROWS = 200_000
+
+
+def _accepted(open_requests: DataFrame, queue_rows: int = QUEUE_ROWS) -> DataFrame:
     """Of requests(request_id, username, invite_code) those that are accepted, taken in order.
 
-    A round accepts every request that is the first of those left both for its name and for its invite, and puts aside what
-    shares either with it. Every round decides at least the first request left; a round is two aggregations and equi-joins, and is stored.
+    A round has two halves. Where more than queue_rows are left, every request that is the first left both for its name and for its
+    invite is accepted, by two aggregations and equi-joins, which decides most requests of any list that is not made to
+    resist. Then the first queue_rows left are decided one by one in a single task. What shares a name or an invite with
+    those accepted goes. A round thus decides queue_rows requests at least, whatever chains they form: who is next in
+    a chain is only known when those before are decided, so the queue is as short as such lists allow.
     """
-    left, accepted = stored(open_requests, "register-left"), []
-    while left.limit(1).count():
-        names = left.groupBy("username").agg(F.min("request_id").alias("first_name"))
-        codes = left.groupBy("invite_code").agg(F.min("request_id").alias("first_code"))
-        ready = stored(left.join(names, "username").join(codes, "invite_code").where((F.col("request_id") == F.col("first_name")) & (F.col("request_id") == F.col("first_code"))).select("request_id", "username", "invite_code"), "register-accepted")
-        accepted.append(ready)
-        left = stored(left.join(ready.select("username"), "username", "left_anti").join(ready.select("invite_code"), "invite_code", "left_anti").select("request_id", "username", "invite_code"), "register-left")
+    accepted: list[DataFrame] = []
+
+    def without(rows: DataFrame, taken: DataFrame) -> DataFrame:
+        return rows.join(taken.select("username"), "username", "left_anti").join(taken.select("invite_code"), "invite_code", "left_anti").select("request_id", "username", "invite_code")
+
+    left = stored(open_requests.select("request_id", "username", "invite_code"), "register-left")
+    while n := left.count():
+        if n > queue_rows:
+            names = left.groupBy("username").agg(F.min("request_id").alias("first_name"))
+            codes = left.groupBy("invite_code").agg(F.min("request_id").alias("first_code"))
+            ready = stored(left.join(names, "username").join(codes, "invite_code").where((F.col("request_id") == F.col("first_name")) & (F.col("request_id") == F.col("first_code"))).select("request_id", "username", "invite_code"), "register-accepted")
+            accepted.append(ready)
+            rest = stored(without(left, ready), "register-left")
+            discard(left)
+            left = rest
+        queue = left.orderBy("request_id").limit(queue_rows)
+        decided = stored(map_arrow(queue.coalesce(1).sortWithinPartitions("request_id"), _in_order, left.schema), "register-accepted")
+        accepted.append(decided)
+        if n <= queue_rows:
+            break
+        rest = stored(without(left, decided), "register-left")
+        discard(left)
+        left = rest
     return reduce(DataFrame.unionByName, accepted) if accepted else left
 
 
+def _in_order(batches):
+    """The requests of sorted batches that share neither name nor invite with one taken before."""
+    names, codes = set(), set()
+    for batch in batches:
+        keep = []
+        for name, code in zip(batch.column("username").to_pylist(), batch.column("invite_code").to_pylist(), strict=True):
+            keep.append(name not in names and code not in codes)
+            if keep[-1]:
+                names.add(name)
+                codes.add(code)
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
 def conform(rows: DataFrame, schema, aliases: bool = True) -> DataFrame:
     """rows with the columns of schema, nulls where missing, and roles under their present names."""
     out = rows.select(*[F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema])

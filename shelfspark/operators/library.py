@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from shelfspark import layout
 from shelfspark.functions import paths, scalars
 from shelfspark.operators.running import running_total
 from shelfspark.shared import stored
+from shelfspark.shipping import map_arrow
 
 
 def drop_hidden(files: DataFrame, scope: str = "index") -> DataFrame:
@@ -224,11 +227,71 @@ def _numbered_of(names: DataFrame) -> DataFrame:
     return parted.where(F.concat(paths.stem_of(F.col("base")), F.lit("_"), "number", paths.suffix_of(F.col("base"))) == F.col("name"))
 
 
-def unique_names(incoming: DataFrame, existing: DataFrame) -> DataFrame:
+def _family(name: Column) -> Column:
+    """The same for a name and all that are numbered after it: without numbers before the suffix, or after a closing dot."""
+    number = r"(_[1-9][0-9]{0,17})+\z"
+    stem = F.regexp_replace(F.regexp_replace(name, r"(?s)^(.+)\.[^.]*\z", "$1"), number, "")
+    return F.concat(stem, F.regexp_replace(F.regexp_extract(name, r"(?s)^.+(\.[^.]*)\z", 1), rf"^\.{number}", "."))
+
+
+#: Requests and existing names of a family that one task goes through in order.
+FAMILY_ROWS = 100_000
+
+
+def unique_names(incoming: DataFrame, existing: DataFrame, family_rows: int = FAMILY_ROWS) -> DataFrame:
     """incoming(id, name) with ``stored_name``: the name where it is free, else the first free of stem_1, stem_2 and so on.
 
     Requests come in the order of id. Taken are existing(name) and the names given to earlier requests, made ones too.
-    Existing names may repeat; ids must not.
+    Existing names may repeat; ids must not. Null names stay null.
+
+    Names that differ only in numbers before the suffix are a family, and no other name concerns it. Families of up to family_rows
+    rows, and those of names with a closing dot (numbered in two ways: x_1._1 is after x_1. and after x._1), are dealt out, and a task goes through one after the other in the order of the requests: one shuffle, however the names hang on each
+    other. Larger ones, such as one name for a third of all requests, are numbered by running totals over range blocks.
+    """
+    asked = incoming.select("id", "name").withColumn("family", _family(F.col("name")))
+    held = existing.select("name").distinct().withColumn("family", _family(F.col("name"))).join(asked.select("family").distinct(), "family", "left_semi")
+    both = stored(asked.select("family", "name", "id", F.lit(True).alias("asks")).unionByName(held.select("family", "name", F.lit(None).cast(incoming.schema["id"].dataType).alias("id"), F.lit(False).alias("asks"))), "names")
+    large = stored(both.groupBy("family").count().where((F.col("count") > family_rows) & ~F.col("family").endswith(".")).select("family"), "names-large")
+    if large.isEmpty():
+        return _named_in_order(both)
+    near = both.join(large, "family", "left_anti")
+    far = stored(both.join(large, "family", "left_semi"), "names-far")
+    return _named_in_order(near).unionByName(_named_by_totals(far.where("asks").select("id", "name"), far.where("not asks").select("name")))
+
+
+def _named_in_order(rows: DataFrame) -> DataFrame:
+    """id, name, stored_name of rows(family, name, id, asks), family after family."""
+    dealt = rows.repartition("family").sortWithinPartitions("family", "asks", "id").select("family", "name", "id", "asks")
+
+    def run(batches):
+        family, taken, following = None, set(), {}
+        for batch in batches:
+            made = []
+            asks = batch.column(3)
+            for of, name, wants in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), asks.to_pylist(), strict=True):
+                if of != family:
+                    family, taken, following = of, set(), {}
+                found = name
+                if wants and name in taken:
+                    parted = re.fullmatch(r"(?s)(.+)(\.[^.]+)", name)
+                    stem, suffix = parted.groups() if parted else (name, "")
+                    number = following.get(name, 1)
+                    while (found := f"{stem}_{number}{suffix}") in taken:
+                        number += 1
+                    following[name] = number + 1
+                if name is not None:
+                    taken.add(found)
+                if wants:
+                    made.append(found)
+            kept = batch.filter(asks)
+            yield pa.RecordBatch.from_arrays([kept.column(2), kept.column(1), pa.array(made, pa.string())], names=["id", "name", "stored_name"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return map_arrow(dealt, run, f"id {kind}, name string, stored_name string")
+
+
+def _named_by_totals(incoming: DataFrame, existing: DataFrame) -> DataFrame:
+    """The same by running totals, for families of any size.
 
     A numbered name goes to a request for its base or for itself. Requests for one base use up free numbers from below, so
     number k is skipped if it exists, or if it was asked for itself (``limit`` requests for the base came before) and the

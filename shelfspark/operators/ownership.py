@@ -55,16 +55,22 @@ def forget_prefix(uploads: DataFrame, prefixes: DataFrame, prefix_match: str = "
     """uploads without the volumes below prefixes(prefix); empty prefixes remove nothing.
 
     "literal" joins on the ancestor folders of each key. "like" ignores ASCII case and takes % and _ as wildcards, as a
-    pattern match; prefixes without either join on lower-case ancestors, those with one are tried on every key.
+    pattern match; prefixes without either join on lower-case ancestors. One with a wildcard is indexed by its literal text
+    in front: keys join on their beginnings of the lengths that occur, and only what meets there is matched. A pattern that begins with a wildcard meets every key.
     """
     folders = prefixes.select(paths.stripped(F.col("prefix")).alias("folder")).where("folder <> ''").distinct()
-    if prefix_match == "like":
-        wild = F.col("folder").rlike(r"[%_\\]")
-        plain = folders.where(~wild).select(F.lower("folder").alias("folder")).distinct()
-        below = uploads.select("volume_key", F.explode(ancestors(F.lower("volume_key"))).alias("folder")).join(plain, "folder", "left_semi").select("volume_key").distinct()
-        return uploads.join(below, "volume_key", "left_anti").join(folders.where(wild), F.like(F.lower("volume_key"), F.concat(F.lower("folder"), F.lit("/%"))), "left_anti")
-    hit = uploads.select("volume_key", F.explode(ancestors(F.col("volume_key"))).alias("folder")).join(folders, "folder", "left_semi").select("volume_key").distinct()
-    return uploads.join(hit, "volume_key", "left_anti")
+    if prefix_match != "like":
+        hit = uploads.select("volume_key", F.explode(ancestors(F.col("volume_key"))).alias("folder")).join(folders, "folder", "left_semi").select("volume_key").distinct()
+        return uploads.join(hit, "volume_key", "left_anti")
+    wild = F.col("folder").rlike(r"[%_\\]")
+    plain = folders.where(~wild).select(F.lower("folder").alias("folder")).distinct()
+    below = uploads.select("volume_key", F.explode(ancestors(F.lower("volume_key"))).alias("folder")).join(plain, "folder", "left_semi").select("volume_key")
+    patterns = folders.where(wild).select(F.concat(F.lower("folder"), F.lit("/%")).alias("pattern")).withColumn("front", F.regexp_extract("pattern", r"(?s)^([^%_\\]*)", 1))
+    lengths = [r["n"] for r in patterns.select(F.length("front").alias("n")).distinct().collect()]  # at most as many as a path has characters
+    beginnings = F.array_distinct(F.array(*[F.substring("low", 1, n) for n in lengths]).cast("array<string>"))
+    fronts = uploads.select("volume_key", F.lower("volume_key").alias("low")).distinct().select("volume_key", "low", F.explode(beginnings).alias("front"))
+    matched = fronts.join(patterns, "front").where(F.like("low", F.col("pattern"))).select("volume_key")
+    return uploads.join(below.unionAll(matched).distinct(), "volume_key", "left_anti")
 
 
 def rename_uploads(uploads: DataFrame, renames: DataFrame, now: Column, sidecar: str = layout.SIDECAR) -> DataFrame:

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import gzip
+import io
 import json
+import lzma
+import struct
 import uuid
 import zipfile
 import zlib
@@ -17,6 +20,7 @@ from pyspark.sql import functions as F
 
 from shelfspark import layout, schemas
 from shelfspark.functions import paths, scalars
+from shelfspark.shared import stored
 from shelfspark.shipping import map_arrow
 from shelfspark.sources.places import place
 from shelfspark.sources.tree import list_tree
@@ -109,10 +113,40 @@ def _placed(spark: SparkSession, root: str, *endings: str) -> DataFrame:
     return found.select("rel_path", F.concat(F.lit(f"{root.rstrip('/')}/"), "rel_path").alias("uri")).repartition(parts)
 
 
+class _Reader(io.RawIOBase):
+    """A file of a file system as Python's readers expect it: a seek before its begin is an OSError."""
+
+    def __init__(self, file):
+        self.file, self.size = file, file.size()
+
+    def readable(self) -> bool:
+        return True
+
+    seekable = readable
+
+    def seek(self, offset: int, whence: int = 0) -> int:
+        at = offset + (0, self.file.tell(), self.size)[whence]
+        if at < 0:
+            raise OSError("a place before the file")
+        return self.file.seek(at)
+
+    def tell(self) -> int:
+        return self.file.tell()
+
+    def readinto(self, into) -> int:
+        found = self.file.read(len(into))
+        into[: len(found)] = found
+        return len(found)
+
+    def close(self) -> None:
+        self.file.close()
+        super().close()
+
+
 def _opened(uri: str):
     """A seekable file at a URI that Spark listed: readers take the parts that they need."""
     fs, path = place(uri)
-    return fs.open_input_file(path)
+    return io.BufferedReader(_Reader(fs.open_input_file(path)), 1 << 16)
 
 
 def write_files(contents: DataFrame, root: str) -> None:
@@ -154,37 +188,78 @@ def move_files(moves: DataFrame, root: str) -> None:
     map_arrow(moves.select("rel_path", "to"), run, "rel_path string").write.format("noop").mode("overwrite").save()
 
 
-def read_archive_members(spark: SparkSession, root: str) -> DataFrame:
-    """(rel_path, member) of the volumes below a folder; a broken archive has no members. Only the directory of an archive is read."""
+#: What opening or reading a broken archive raises.
+_BROKEN = (zipfile.BadZipFile, OSError, ValueError, EOFError, RuntimeError, NotImplementedError, zlib.error, lzma.LZMAError)
+_MEMBER = ("member", "method", "flags", "crc", "packed", "size", "offset")
+
+
+def _directories(files: DataFrame) -> DataFrame:
+    """(rel_path, uri, opens, member, method, flags, crc, packed, size, offset): a row for each member in the directory of each archive,
+    one without a member for an archive that has none or does not open. No member is read."""
 
     def run(batches):
+        kinds = [pa.string(), pa.string(), pa.bool_(), pa.string(), *[pa.int64()] * 6]
         for batch in batches:
             for rel, uri in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with _opened(uri) as file:
                     try:
-                        names = zipfile.ZipFile(file).namelist()
-                    except (zipfile.BadZipFile, OSError, ValueError):
-                        names = []
-                yield pa.RecordBatch.from_arrays([pa.array([rel] * len(names), pa.string()), pa.array(names, pa.string())], names=["rel_path", "member"])
+                        found = [(rel, uri, True, i.orig_filename, i.compress_type, i.flag_bits, i.CRC, i.compress_size, i.file_size, i.header_offset) for i in zipfile.ZipFile(file).infolist()]
+                        opens = True
+                    except _BROKEN:
+                        found, opens = [], False
+                found = found or [(rel, uri, opens, *[None] * 7)]
+                for lo in range(0, len(found), 10_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found[lo : lo + 10_000], strict=True), kinds, strict=True)], names=["rel_path", "uri", "opens", *_MEMBER])
+
+    return map_arrow(files, run, "rel_path string, uri string, opens boolean, member string, method long, flags long, crc long, packed long, size long, offset long")
 
-    return map_arrow(_placed(spark, root, layout.VOLUME), run, "rel_path string, member string")
+
+def read_archive_members(spark: SparkSession, root: str) -> DataFrame:
+    """(rel_path, member) of the volumes below a folder; a broken archive has no members. Only the directory of an archive is read."""
+    return _directories(_placed(spark, root, layout.VOLUME)).where("member is not null").select("rel_path", "member")
+
+
+def _holds(file, member: str, method: int, flags: int, crc: int, packed: int, size: int, offset: int) -> bool:
+    """Whether a member is where its archive says, unpacks to its size and has its checksum; it is read as a stream."""
+    file.seek(offset)
+    head = file.read(30)
+    if len(head) < 30 or head[:4] != b"PK\x03\x04" or flags & 0x41:  # encrypted ones cannot be read
+        return False
+    name, extra = struct.unpack("<HH", head[26:])
+    told = file.read(name)
+    if told != member.encode("utf-8" if struct.unpack("<H", head[6:8])[0] & 0x800 else "cp437", "replace"):
+        return False
+    file.seek(offset + 30 + name + extra)
+    info = zipfile.ZipInfo(member)
+    info.compress_type, info.CRC, info.compress_size, info.file_size = method, crc, packed, size
+    with zipfile.ZipExtFile(file, "r", info) as content:
+        while content.read(1 << 18):
+            pass
+    return True
 
 
 def valid_archives(spark: SparkSession, root: str) -> DataFrame:
-    """(rel_path, valid): whether each volume opens and all checksums of its members hold. Members are read as streams."""
+    """(rel_path, valid): whether each volume opens and all checksums of its members hold.
+
+    The members of all archives are dealt out by what their directories say, so many tasks share a large archive; a member is a stream
+    of one task.
+    """
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    listed = stored(_directories(_placed(spark, root, layout.VOLUME)), "archive-members")
 
     def run(batches):
         for batch in batches:
-            valid = []
-            for uri in batch.column(1).to_pylist():
-                with _opened(uri) as file:
-                    try:
-                        valid.append(zipfile.ZipFile(file).testzip() is None)
-                    except (zipfile.BadZipFile, OSError, ValueError, EOFError, RuntimeError, NotImplementedError, zlib.error):
-                        valid.append(False)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(valid, pa.bool_())], names=["rel_path", "valid"])
+            good = []
+            for uri, *member in zip(*(batch.column(c).to_pylist() for c in ("uri", *_MEMBER)), strict=True):
+                try:
+                    with _opened(uri) as file:
+                        good.append(_holds(file, *member))
+                except _BROKEN:
+                    good.append(False)
+            yield pa.RecordBatch.from_arrays([batch.column("rel_path"), pa.array(good, pa.bool_())], names=["rel_path", "valid"])
 
-    return map_arrow(_placed(spark, root, layout.VOLUME), run, "rel_path string, valid boolean")
+    checked = map_arrow(listed.where("member is not null").repartition(parts), run, "rel_path string, valid boolean")
+    return checked.unionAll(listed.where("member is null").select("rel_path", "opens")).groupBy("rel_path").agg(F.bool_and("valid").alias("valid"))
 
 
 def scan_user_files(spark: SparkSession, root: str) -> DataFrame:

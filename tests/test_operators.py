@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,8 @@ from pyspark.sql import functions as F
 from shelfspark import schemas
 from shelfspark.operators import access, accounts, audit, library, ownership, progress
 from shelfspark.operators.running import running_total
+from shelfspark.streaming import events as streams
+from shelfspark.streaming import limiter
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -72,15 +75,15 @@ def _names_by_loop(incoming, existing):
     return wanted
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_unique_names_against_a_loop(spark, seed):
+@pytest.mark.parametrize("seed, family_rows", [(0, 10**5), (1, 10**5), (2, 0), (3, 0), (4, 6), (5, 25)])
+def test_unique_names_against_a_loop(spark, seed, family_rows):
     r = random.Random(seed)
-    old = ["a.cbz", "a_1.cbz", "a_2.cbz", "a_4.cbz", "b", "b_1", "a_01.cbz", "a_1_1.cbz", ".c_1"]
-    new = ["a.cbz", "a.cbz", "a.cbz", "a.cbz", "b", "c.x.cbz", "a_1.cbz", "a_2.cbz", "a_3.cbz", "a_1_1.cbz", "a_1_2.cbz", "b_2", ".c", "d.", "d._1", "x_1.a_2", "x.a_2"]
+    old = ["..", "_1.cbz", "a.cbz", "a_1.cbz", "a_2.cbz", "a_4.cbz", "b", "b_1", "a_01.cbz", "a_1_1.cbz", ".c_1"]
+    new = ["a.cbz", "a.cbz", "a.cbz", "a.cbz", "b", "c.x.cbz", "a_1.cbz", "a_2.cbz", "a_3.cbz", "a_1_1.cbz", "a_1_2.cbz", "b_2", ".c", "d.", "d._1", "x_1.a_2", "x.a_2", "..", ".._1", "d_1.", "_1.cbz", ".cbz", ".cbz_1", "s/t.u/v", "s/t.u/v_1"]
     existing = r.sample(old, 3)
     incoming = [(i, r.choice(new)) for i in range(70)]
     r.shuffle(incoming)
-    got = library.unique_names(spark.createDataFrame(incoming, "id int, name string"), spark.createDataFrame([(e,) for e in existing + existing], "name string"))
+    got = library.unique_names(spark.createDataFrame(incoming, "id int, name string"), spark.createDataFrame([(e,) for e in existing + existing], "name string"), family_rows)
     rows = got.collect()
     assert {x["id"]: x["stored_name"] for x in rows} == _names_by_loop(incoming, existing)
     assert len({x["stored_name"] for x in rows} | set(existing)) == len(rows) + len(existing)
@@ -317,3 +320,80 @@ def test_stalled_jobs(spark):
     df = spark.createDataFrame(polls, "job long, at double, done long, total long, valid_sidecar boolean")
     assert pairs(progress.stalled_jobs(df), "job", "verdict") == [(1, "idle"), (2, "idle"), (3, "hard"), (4, "running")]
     assert pairs(progress.stalled_jobs(df, idle=5000), "job", "verdict") == [(1, "running"), (2, "finalized"), (3, "hard"), (4, "running")]
+
+
+def test_names_that_hang_on_each_other(spark):
+    chain = ["a"] + ["a" + "_1" * n for n in range(1, 40)] + ["a"] * 3 + ["a_1"] * 2
+    incoming = [(i, n) for i, n in enumerate(chain + chain[::-1] + [None])]
+    got = {r["id"]: r["stored_name"] for r in library.unique_names(spark.createDataFrame(incoming, "id int, name string"), spark.createDataFrame([("a",), (None,)], "name string")).collect()}
+    assert got.pop(len(incoming) - 1) is None and got == _names_by_loop(incoming[:-1], ["a"])
+    plan = library._named_in_order(spark.createDataFrame([("f", "n", 1, True)], "family string, name string, id int, asks boolean"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
+def _accepted_by_loop(rows):
+    names, codes, out = set(), set(), []
+    for i, name, code in sorted(rows):
+        if name not in names and code not in codes:
+            names.add(name)
+            codes.add(code)
+            out.append(i)
+    return out
+
+
+@pytest.mark.parametrize("queue_rows", [3, 40, 10**5])
+def test_requests_are_accepted_in_order(spark, queue_rows):
+    r = random.Random(queue_rows)
+    rows = [(i, f"n{r.randrange(40)}", f"c{r.randrange(30)}") for i in range(150)]
+    got = accounts._accepted(spark.createDataFrame(rows, "request_id int, username string, invite_code string"), queue_rows)
+    assert [i for (i,) in pairs(got, "request_id")] == _accepted_by_loop(rows)
+
+
+def test_a_chain_of_requests_takes_one_round(spark):
+    chain = [(i, f"n{(i + 1) // 2}", f"c{i // 2}") for i in range(10_000)]  # each shares a name or an invite with the next
+    frame = spark.createDataFrame(chain, "request_id int, username string, invite_code string").repartition(5)
+    found = accounts._accepted(frame)
+    assert [i for (i,) in pairs(found, "request_id")] == _accepted_by_loop(chain)
+    assert "Union" not in found._jdf.queryExecution().analyzed().toString()  # accepted in one go
+    assert [i for (i,) in pairs(accounts._accepted(frame, 4000), "request_id")] == _accepted_by_loop(chain)
+
+
+def test_one_key_with_all_rows(spark):
+    """Windows over one key run over range blocks and give what a loop gives."""
+    r = random.Random(8)
+    at = sorted(r.randrange(40_000) for _ in range(900))
+    rows = [(i, "k" if i % 9 else None, T0 + dt.timedelta(seconds=t), r.choice(["failure", "failure", "", "success"])) for i, t in enumerate(at)]
+    attempts = spark.createDataFrame(rows, "attempt_id long, key string, ts timestamp_ntz, outcome string").repartition(4)
+    counts = {(x["attempt_id"]): x["failures"] for x in access.failures_in_window(attempts.unionAll(attempts.where("attempt_id = 5")), 300).collect()}
+    again = rows[5][3] == "failure"
+    for i, key, ts, _ in rows:
+        near = [x for x in rows if x[1] == key and ts - dt.timedelta(seconds=300) <= x[2] <= ts and x[3] == "failure"]
+        assert counts[i] == len(near) + (again and rows[5] in near)
+    got = {x["attempt_id"]: (x["allowed"], x["retry_after"]) for x in access.replay_limiter(attempts, 4, 300, 120).collect()}
+    for key in ("k", None):
+        own = [x for x in rows if x[1] == key]
+        made, _, _ = limiter.answers([((ts - dt.datetime(1970, 1, 1)).total_seconds(), o) for _, _, ts, o in own], [], 0.0, 4, 300, 120)
+        assert [got[x[0]] for x in own] == made
+    assert not all(a for a, _ in got.values())
+    periods = []
+    own = [x[2] for x in rows if x[1] == "k"]
+    for a, b in zip([None, *own], own):
+        if a is None or (b - a).total_seconds() >= 60:
+            periods.append([b, 0])
+        periods[-1] = [b, periods[-1][1] + 1]
+    quiet = streams.debounced_refresh(attempts.where("key is not null").select(F.col("key").alias("library"), "ts"), 60)
+    assert pairs(quiet, "refreshed_at", "events") == [(b + dt.timedelta(seconds=60), n) for b, n in periods]
+    for df in (access.failures_in_window(attempts, 300), quiet):
+        windows = [w for w in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in w and "__block" not in w]
+        assert not windows
+
+
+def test_patterns_meet_keys_by_their_literal_front(spark):
+    keys = [f"{a}/{b}/v{n}.cbz" for a in ("Ab", "a_", "x%y", "B") for b in ("c", "cd", "C_d") for n in range(3)] + ["top.cbz"]
+    up = uploads(spark, *((k, "u") for k in keys))
+    for patterns in (["a_"], ["a%/c"], ["%"], ["_b/C_"], ["x\\%y/c"], ["ab/c", "b/%d"], ["zzz_", "%/%/%/%"], ["a_/c_d/v_.cbz%"]):
+        match = lambda key, p: re.fullmatch("".join({"%": "(?s:.*)", "_": "(?s:.)"}.get(t, re.escape(t[-1])) for t in re.findall(r"\\.|.", p.lower() + "/%")), key.lower())
+        left = ownership.forget_prefix(up, spark.createDataFrame([(p,) for p in patterns], "prefix string"), "like")
+        assert pairs(left, "volume_key") == sorted((k,) for k in keys if not any(match(k, p) for p in patterns)), patterns
+        plan = left._jdf.queryExecution().optimizedPlan().toString()
+        assert "NestedLoop" not in left._jdf.queryExecution().executedPlan().toString() and "Cross" not in plan

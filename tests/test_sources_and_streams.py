@@ -310,3 +310,36 @@ def test_settled_paths_are_forgotten(spark, tmp_path):
     # p0 settles at 60 and not again within 120 seconds; p1 settles at 70, is forgotten at 190 and settles anew
     assert settled == sorted([(f"p{i}", i * 10 + 60.0) for i in range(60)] + [("p1", 560.0)])
     assert spark.read.format("statestore").load(f"{tmp_path}/state", stateVarName="state").count() == 0
+
+
+def test_members_of_one_archive_are_dealt_out(spark, tmp_path):
+    root = tmp_path / "t"
+    root.mkdir()
+    for n, method in enumerate((zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED, zipfile.ZIP_BZIP2, zipfile.ZIP_LZMA)):
+        with zipfile.ZipFile(root / f"m{n}.cbz", "w", method) as z:
+            for k in range(60):
+                z.writestr(f"é{k}.jpg" if k % 2 else f"{k}.jpg", bytes([k]) * 1000)
+    whole = (root / "m0.cbz").read_bytes()
+    (root / "cut.cbz").write_bytes(whole[:-5])
+    for name, at in (("data.cbz", 40), ("head.cbz", 1), ("name.cbz", 31)):
+        broken = bytearray(whole)
+        broken[at] ^= 1
+        (root / name).write_bytes(broken)
+    secret = bytearray(whole)
+    where = whole.index(b"PK\x01\x02")
+    secret[where + 8] |= 1
+    (root / "secret.cbz").write_bytes(secret)
+    with zipfile.ZipFile(root / "empty.cbz", "w"):
+        pass
+    found = dict(pairs(files.valid_archives(spark, str(root)), "rel_path", "valid"))
+
+    def plain(path):
+        try:
+            return zipfile.ZipFile(path).testzip() is None
+        except (zipfile.BadZipFile, RuntimeError):
+            return False
+
+    assert found == {p.name: plain(p) for p in root.iterdir()} and found["m3.cbz"] and not found["secret.cbz"]
+    assert files.read_archive_members(spark, str(root)).where("rel_path = 'm1.cbz'").count() == 60
+    tasks = files._directories(files._placed(spark, str(root), "m0.cbz")).repartition(4).withColumn("task", F.spark_partition_id())
+    assert tasks.select("task").distinct().count() == 4
