@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfspark import layout
 from shelfspark.functions import paths
-from shelfspark.operators.ownership import can_delete
+from shelfspark.operators.ownership import can_delete, spread
 from shelfspark.operators.running import Blocks, running_total
 from shelfspark.shared import discard, stored
 
@@ -19,7 +19,8 @@ def authorize(requests: DataFrame, users: DataFrame, uploads: DataFrame, matrix:
     sign-in, admin paths, reads, then each way of writing. Unknown methods are allowed.
     """
     rows = can_delete(requests, uploads, root, sidecar)
-    rows = rows.join(users.select("username", F.col("role").alias("user_role")), "username", "left")
+    known = users.select(F.col("username").alias("__user"), F.col("role").alias("user_role"))
+    rows = rows.withColumn("__user", spread(F.col("username"), rows.columns)).join(known, "__user", "left").drop("__user")
     signed = F.col("auth_state") == "ok"
     rows = rows.withColumn("role", F.when(signed, F.col("user_role")).otherwise("anonymous"))
     rows = rows.join(F.broadcast(matrix), "role", "left")  # six rows

@@ -173,8 +173,9 @@ def pending_queue(volumes: DataFrame, tie_break: str = "index", inflight: DataFr
 
 
 def queue_order(waiting: DataFrame) -> DataFrame:
-    """One global order, by a range sort rather than an unpartitioned window."""
-    return waiting.orderBy("mtime", "series", "name")
+    """waiting with ``queue_position`` over all libraries, oldest first, ties by (series, name): a running total over range blocks, so no
+    task sees the whole queue."""
+    return running_total(waiting, [], ["mtime", "series", "name"], F.lit(1), "queue", "queue_position")
 
 
 def catalog_order(rows: DataFrame) -> DataFrame:

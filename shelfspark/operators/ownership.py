@@ -14,8 +14,13 @@ _COLUMNS = ["volume_key", "uploader_username", "uploaded_at", "last_modified_by"
 
 def volume_owner(rows: DataFrame, uploads: DataFrame, path: str = "path", sidecar: str = layout.SIDECAR) -> DataFrame:
     """rows with ``owner`` of the volume that the path belongs to; unknown paths have none."""
-    keyed = rows.withColumn("volume_key", paths.volume_key(F.col(path), sidecar))
-    return keyed.join(uploads.select("volume_key", F.col("uploader_username").alias("owner")), "volume_key", "left").drop("volume_key")
+    keyed = rows.withColumn("__key", spread(paths.volume_key(F.col(path), sidecar), rows.columns))
+    return keyed.join(uploads.select(F.col("volume_key").alias("__key"), F.col("uploader_username").alias("owner")), "__key", "left").drop("__key")
+
+
+def spread(key: Column, columns: list[str]) -> Column:
+    """key, or where it is null a text that no key has and few rows share: a left join then deals rows without a key out evenly."""
+    return F.coalesce(key, F.concat(F.lit("\u0000"), F.xxhash64(*columns).cast("string")))
 
 
 def can_delete(requests: DataFrame, uploads: DataFrame, root: str = layout.READER_ROOT, sidecar: str = layout.SIDECAR) -> DataFrame:

@@ -154,7 +154,18 @@ class Tables:
         return self.table("events").select(F.expr("'s/v' || event_id || '.ocr'").alias("rel_path"), F.expr("if(event_id % 13 = 0, left(props, length(props) - 1), props)").alias("json"))
 
     def logged(self) -> DataFrame:
-        return self.requests().select(F.expr("'worker-' || request_id % 8").alias("thread"), "method", "path", F.expr("if(auth_state = 'ok', 200, 401)").alias("code"), F.expr("request_id * 37 % 5000").alias("elapsed_ms"))
+        code, failed = "if(auth_state = 'ok', 200, 401)", "auth_state = 'failed'"
+        told = self.requests().select("request_id", "auth_state", F.expr("'worker-' || request_id % 8").alias("thread"), "method", "path", F.expr("request_id * 37 % 5000").alias("elapsed_ms"))
+        return told.select("thread", "method", "path", F.expr(f"if({failed} or auth_state = 'blocked', null, {code})").alias("code"), "elapsed_ms", F.expr(f"if({failed}, 'AuthError', null)").alias("exception"), F.expr(f"if({failed}, 'bad: ' || path, null)").alias("message"))
+
+    def changed_paths(self) -> DataFrame:
+        """Changes with a source and for some a destination: files of documents, sidecars, and names that end in other ways."""
+        ends = "array('.cbz', '.CBZ', '.ocr', '.ocr.gz', '.webp', '.txt', '', '.gz.part', '.webpx')"
+        return self.file_events().join(self.table("events").select(F.col("event_id").alias("id"), "user_id"), "id").select("id", F.expr(f"replace(path, '.cbz', {ends}[cast(user_id % 9 as int)])").alias("path"), F.expr(f"if(kind = 'deleted', null, 'd/x' || {ends}[cast(id % 9 as int)])").alias("dest_path"), F.expr("kind = 'created'").alias("is_directory"))
+
+    def placed_sidecars(self) -> DataFrame:
+        """The sidecars, in a folder for every user."""
+        return self.table("events").select(F.expr("'lib/Série ' || user_id || '/v' || event_id || '.ocr'").alias("rel_path"), F.expr("if(event_id % 13 = 0, left(props, length(props) - 1), props)").alias("json"))
 
     def file_events(self) -> DataFrame:
         return self.table("events").select(F.col("event_id").alias("id"), F.expr("'f' || user_id || '/' || event_id % 3 || '.cbz'").alias("path"), F.expr("case event_type when 'signup' then 'created' when 'purchase' then 'created' when 'error' then 'deleted' else 'modified' end").alias("kind"), "ts", F.expr("'l' || user_id").alias("library"))
@@ -185,7 +196,9 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "progress": ((), "SELECT conv_id AS job, turn + 1 AS done, max(turn) OVER (PARTITION BY conv_id) + 1 + conv_id % 2 AS total, CAST((turn + 1) * (conv_id % 7 + 1) AS DOUBLE) AS elapsed FROM conversations"),
     "jobs": (("progress", "stems", "ndocs"), "SELECT job, job % 11 = 0 AS broken, job % 3 <> 0 AS active, CASE WHEN job % 2 = 0 THEN upper(stem || '.cbz') ELSE stem || '.cbz' END AS relative_cbz, done AS done_pages, total AS total_pages, CASE WHEN job % 4 = 0 THEN 0 ELSE CAST(job % 100 AS INTEGER) END AS percent, job + 0.5 AS updated_at FROM (SELECT job, max(done) AS done, max(total) AS total FROM progress GROUP BY job) CROSS JOIN ndocs JOIN stems ON doc_id = job % n"),
     "sidecars": ((), "SELECT 's/v' || event_id || '.ocr' AS rel_path, CASE WHEN event_id % 13 = 0 THEN left(props, length(props) - 1) ELSE props END AS json FROM events"),
-    "logged": (("requests",), "SELECT 'worker-' || request_id % 8 AS thread, method, path, CASE WHEN auth_state = 'ok' THEN 200 ELSE 401 END AS code, request_id * 37 % 5000 AS elapsed_ms FROM requests"),
+    "logged": (("requests",), "SELECT 'worker-' || request_id % 8 AS thread, method, path, CASE WHEN auth_state = 'ok' THEN 200 WHEN auth_state = 'anonymous' THEN 401 END AS code, request_id * 37 % 5000 AS elapsed_ms, CASE WHEN auth_state = 'failed' THEN 'AuthError' END AS exception, CASE WHEN auth_state = 'failed' THEN 'bad: ' || path END AS message FROM requests"),
+    "changed_paths": ((), "SELECT event_id AS id, 'f' || user_id || '/' || event_id % 3 || e[user_id % 9 + 1] AS path, CASE WHEN event_type <> 'error' THEN 'd/x' || e[event_id % 9 + 1] END AS dest_path, event_type IN ('signup', 'purchase') AS is_directory FROM events, (SELECT ['.cbz', '.CBZ', '.ocr', '.ocr.gz', '.webp', '.txt', '', '.gz.part', '.webpx'] AS e)"),
+    "placed_sidecars": ((), "SELECT 'lib/Série ' || user_id || '/v' || event_id || '.ocr' AS rel_path, CASE WHEN event_id % 13 = 0 THEN left(props, length(props) - 1) ELSE props END AS json FROM events"),
     "file_events": ((), "SELECT event_id AS id, 'f' || user_id || '/' || event_id % 3 || '.cbz' AS path, CASE event_type WHEN 'signup' THEN 'created' WHEN 'purchase' THEN 'created' WHEN 'error' THEN 'deleted' ELSE 'modified' END AS kind, ts, 'l' || user_id AS library FROM events"),
     "registrations": ((), "SELECT event_id AS request_id, CASE event_id % 4 WHEN 0 THEN 'user_' || user_id WHEN 1 THEN 'new_' || event_id % 50 WHEN 2 THEN 'x' ELSE ' new_' || event_id END AS username, event_id % 140 AS password_length, CASE WHEN event_id % 6 = 0 THEN '' ELSE 'inv-' || event_id % 3000 END AS invite_code FROM events"),
     "visible": (("files",), "SELECT *, regexp_extract(rel_path, '^(.*)/[^/]*$', 1) AS series, regexp_extract(rel_path, '[^/]*$') AS file FROM files WHERE NOT regexp_matches('/' || rel_path, '/[.][^/]*/') AND contains(rel_path, '/')"),

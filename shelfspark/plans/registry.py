@@ -141,7 +141,7 @@ def _(t):
     return records.read_progress(t.jobs()).select("job", "relative_cbz", "percent", "done_pages", "total_pages", "status", "updated_at")
 
 
-@query("s10_request_log", ("logged",), "SELECT thread, method, path, code, elapsed_ms / 1000.0 AS elapsed, CAST(NULL AS VARCHAR) AS exception, CAST(NULL AS VARCHAR) AS message FROM logged")
+@query("s10_request_log", ("logged",), "SELECT thread, method, path, code, elapsed_ms / 1000.0 AS elapsed, exception, message FROM logged")
 def _(t):
     return records.parse_request_log(records.format_request_log(t.logged()))
 
@@ -159,10 +159,9 @@ def _(t):
 query("f1_drop_hidden", ("visible",), "SELECT rel_path, size, mtime FROM visible")(lambda t: library.drop_hidden(t.files()))
 
 
-@query("f2_relevant_changes", ("file_events",), "SELECT id, path FROM file_events WHERE id % 4 = 0 OR id % 3 <> 0 OR id % 5 = 0")
+@query("f2_relevant_changes", ("changed_paths",), r"SELECT id, path, dest_path FROM changed_paths WHERE is_directory OR regexp_matches(lower(path), '[.](cbz|ocr|gz|webp)$') OR regexp_matches(lower(coalesce(dest_path, '')), '[.](cbz|ocr|gz|webp)$')")
 def _(t):
-    changed = t.file_events().select("id", F.expr("if(id % 3 = 0, path || '.tmp', path)").alias("path"), F.expr("if(id % 5 = 0, 'x.WEBP', 'x.txt')").alias("dest_path"), F.expr("id % 4 = 0").alias("is_directory"))
-    return library.relevant_changes(changed).select("id", F.regexp_replace("path", r"\.tmp$", "").alias("path"))
+    return library.relevant_changes(t.changed_paths()).select("id", "path", "dest_path")
 
 
 @query("f3_processable", ("files",), "SELECT rel_path AS path, 'file' AS kind FROM files WHERE ends_with(rel_path, '.cbz') UNION ALL SELECT DISTINCT regexp_extract(rel_path, '^(.*)/[^/]*$', 1), 'directory' FROM files WHERE ends_with(rel_path, '.webp')")
@@ -416,9 +415,13 @@ def _(t):
     return files.check_sidecars(t.sidecars())
 
 
-@query("x13_normalize_sidecars", ("sidecars",), "SELECT rel_path, CASE WHEN json_valid(json) THEN '{\"k\":' || json_extract_string(json, '$.k') || ',\"title\":\"s\",\"volume\":\"' || regexp_extract(rel_path, '/(.*)[.]ocr$', 1) || '\",\"title_uuid\":\"d37882d6-56df-58a8-a3ab-26bd84250631\"}' ELSE json END AS json FROM sidecars")
+_UUID5 = "left(h, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || ['8', '9', 'a', 'b'][CAST('0x' || substr(h, 17, 1) AS INTEGER) % 4 + 1] || substr(h, 18, 3) || '-' || substr(h, 21, 12)"
+
+
+@query("x13_normalize_sidecars", ("placed_sidecars",), f"""SELECT rel_path, CASE WHEN json_valid(json) THEN '{{"k":' || json_extract_string(json, '$.k') || ',"title":"' || title || '","volume":"' || regexp_extract(rel_path, '([^/]*)[.]ocr$', 1) || '","title_uuid":"' || {_UUID5} || '"}}' ELSE json END AS json
+FROM (SELECT *, split_part(rel_path, '/', 2) AS title, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(split_part(rel_path, '/', 2))) AS h FROM placed_sidecars)""")
 def _(t):
-    return files.normalize_sidecars(t.sidecars())
+    return files.normalize_sidecars(t.placed_sidecars())
 
 
 # --- windows, top-k, sets ------------------------------------------------------------------
@@ -426,6 +429,9 @@ def _(t):
 query("w1_pending_queue", ("waiting",), "SELECT split_part(series, '/', 1) AS library, series, name, mtime, row_number() OVER (PARTITION BY split_part(series, '/', 1) ORDER BY mtime, series, name) AS position FROM waiting")(lambda t: library.pending_queue(_volumes(t)))
 
 
+query("w1_global_queue", ("waiting",), "SELECT series, name, mtime, row_number() OVER (ORDER BY mtime, series, name) AS queue_position FROM waiting")(lambda t: library.queue_order(library.needs_sidecar(_volumes(t)).select("series", "name", "mtime")))
+
+
 @query("w3_preferred_sidecar", ("files", "sidecars"), "WITH c AS (SELECT regexp_replace(rel_path, '(\\.ocr\\.gz|\\.ocr)$', '.cbz') AS volume_key, rel_path AS path, size % 4 <> 0 AS is_root, size % 3 <> 0 AS valid, ends_with(rel_path, '.gz') AS gz FROM files WHERE ends_with(rel_path, '.ocr') OR ends_with(rel_path, '.ocr.gz')), r AS (SELECT *, bool_or(is_root) OVER (PARTITION BY volume_key) AS rooted FROM c) SELECT volume_key, path FROM (SELECT *, row_number() OVER (PARTITION BY volume_key ORDER BY NOT gz, path) AS n FROM r WHERE valid AND (is_root OR NOT rooted)) WHERE n = 1")
 def _(t):
     c = t.files().where("rel_path like '%.ocr' or rel_path like '%.ocr.gz'")
@@ -523,7 +529,7 @@ def _(t):
 
 
 query("x19_audit_display", ("audit",), "SELECT id, actor_username AS actor, action, target_path AS target, details FROM audit")(lambda t: audit.audit_display(t.audit()))
-query("x20_mask_secret", ("users",), "SELECT id, CASE WHEN id % 3 = 0 THEN regexp_replace(username, '.+', '****') WHEN id % 3 = 1 THEN '' END AS shown FROM users")(lambda t: t.users().select("id", scalars.mask_secret(F.expr("case id % 3 when 0 then username when 1 then '' end")).alias("shown")))
+query("x20_mask_secret", ("invites", "registrations"), "SELECT id, CASE WHEN used_by IS NOT NULL THEN '****' END AS shown FROM invites UNION ALL SELECT request_id, CASE WHEN invite_code = '' THEN '' ELSE '****' END FROM registrations")(lambda t: t.invites().select("id", F.col("used_by").alias("text")).unionAll(t.registrations().select("request_id", "invite_code")).select("id", scalars.mask_secret(F.col("text")).alias("shown")))
 
 # --- keyed tables ------------------------------------------------------------------------------
 
@@ -591,15 +597,21 @@ def _(t):
 
 query("m16_drop_user_files", ("users",), "SELECT username FROM users WHERE status <> 'deleted'")(lambda t: accounts.drop_user_files(_user_files(t), t.users().where("status = 'deleted'")).select("username"))
 
+query("m3_forget_prefix_like", ("uploads",), f"SELECT {_UP} FROM uploads WHERE NOT lower(volume_key) LIKE 'e_/src1/%' AND NOT lower(volume_key) LIKE 'fr/%5.cbz/%' AND NOT lower(volume_key) LIKE 'de/s%4/%' AND NOT lower(volume_key) LIKE 'es/src_/%'")(lambda t: ownership.forget_prefix(t.uploads(), t.spark.createDataFrame([("/E_/src1/",), ("fr/%5.cbz",), ("de/S%4",), ("es/src_",), ("",)], "prefix string"), "like"))
+
 # --- batch forms of the stream operators ----------------------------------------------------------
 
 
-@query("t1_settled_files", ("file_events",), "WITH x AS (SELECT *, epoch_us(ts) / 1e6 AS sec FROM file_events), i AS (SELECT *, sum(g) OVER (PARTITION BY path ORDER BY sec) AS island FROM (SELECT *, CASE WHEN sec - lag(sec) OVER (PARTITION BY path ORDER BY sec) >= 7200 THEN 1 ELSE 0 END AS g FROM x WHERE kind <> 'deleted')), f AS (SELECT path, island, max(sec) FILTER (kind = 'created') AS created, max(sec) + 7200 AS settled_at FROM i GROUP BY path, island) SELECT path, round(min(settled_at), 3) AS settled_at FROM f WHERE created IS NOT NULL AND NOT EXISTS (SELECT 1 FROM x WHERE x.path = f.path AND kind = 'deleted' AND x.sec >= f.created AND x.sec < f.settled_at) GROUP BY path")
+_SETTLED_SQL = "WITH x AS (SELECT *, epoch_us(ts) / 1e6 AS sec FROM file_events), i AS (SELECT *, sum(g) OVER (PARTITION BY path ORDER BY sec) AS island FROM (SELECT *, CASE WHEN sec - lag(sec) OVER (PARTITION BY path ORDER BY sec) >= 7200 THEN 1 ELSE 0 END AS g FROM x WHERE kind <> 'deleted')), f AS (SELECT path, island, max(sec) FILTER (kind = 'created') AS created, max(sec) + 7200 AS settled_at FROM i GROUP BY path, island) SELECT path, round(min(settled_at), 3) AS settled_at FROM f WHERE created IS NOT NULL AND NOT EXISTS (SELECT 1 FROM x WHERE x.path = f.path AND kind = 'deleted' AND x.sec >= f.created AND x.sec < f.settled_at) GROUP BY path"
+
+
+@query("t1_settled_files", ("file_events",), _SETTLED_SQL)
 def _(t):
     return streams.settled_files(t.file_events(), 7200).select("path", F.round("settled_at", 3).alias("settled_at"))
 
 
-query("t2_debounced_refresh", ("file_events",), "SELECT library, max(ts) + INTERVAL 7200 SECOND AS refreshed_at, count(*) AS events FROM (SELECT *, sum(g) OVER (PARTITION BY library ORDER BY ts) AS p FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY library ORDER BY ts) >= INTERVAL 7200 SECOND THEN 1 ELSE 0 END AS g FROM file_events)) GROUP BY library, p")(lambda t: streams.debounced_refresh(t.file_events(), 7200))
+_REFRESH_SQL = "SELECT library, max(ts) + INTERVAL 7200 SECOND AS refreshed_at, count(*) AS events FROM (SELECT *, sum(g) OVER (PARTITION BY library ORDER BY ts) AS p FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY library ORDER BY ts) >= INTERVAL 7200 SECOND THEN 1 ELSE 0 END AS g FROM file_events)) GROUP BY library, p"
+query("t2_debounced_refresh", ("file_events",), _REFRESH_SQL)(lambda t: streams.debounced_refresh(t.file_events(), 7200))
 _LIMIT_SQL = """WITH RECURSIVE a AS (SELECT *, count(*) FILTER (outcome = 'failure') OVER w AS k, coalesce(max(rn) FILTER (outcome = 'success') OVER w, 0) AS cleared
 FROM (SELECT *, epoch_us(ts) / 1e6 AS sec, row_number() OVER (PARTITION BY key ORDER BY ts, attempt_id) AS rn FROM attempts) WINDOW w AS (PARTITION BY key ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 c AS (SELECT a.key, a.rn, a.sec, f.sec AS oldest, row_number() OVER (PARTITION BY a.key ORDER BY a.rn) AS n FROM a JOIN a f ON f.key = a.key AND f.outcome = 'failure' AND f.k = a.k - 3 WHERE f.sec >= a.sec - 172800 AND f.rn > a.cleared),
@@ -610,10 +622,81 @@ FROM (SELECT attempt_id, key, sec, coalesce(b.begins, false) AS begins, coalesce
 query("t3_login_limiter", ("attempts",), _LIMIT_SQL)(lambda t: access.replay_limiter(t.attempts(), 3, 172800, 86400))
 
 
-@query("t4_stalled_jobs", ("progress",), "WITH p AS (SELECT job, done * 400.0 AS sec, done - done % 3 AS d, total FROM progress), m AS (SELECT *, max(sec) FILTER (mv) OVER w AS moved_at FROM (SELECT *, d IS DISTINCT FROM lag(d) OVER (PARTITION BY job ORDER BY sec) AS mv FROM p) WINDOW w AS (PARTITION BY job ORDER BY sec)), c AS (SELECT *, min(sec) FILTER (d >= total) OVER (PARTITION BY job ORDER BY sec) AS since FROM m), v AS (SELECT job, sec, CASE WHEN sec > 3600 THEN 'hard' WHEN d >= total AND sec - since > 300 THEN 'finalizing' WHEN sec - moved_at > 600 THEN 'idle' END AS verdict FROM c) SELECT job, coalesce(arg_min(verdict, sec) FILTER (verdict IS NOT NULL), 'running') AS verdict, min(sec) FILTER (verdict IS NOT NULL) AS ended_at FROM v GROUP BY job")
+def _polls(t: Tables) -> DataFrame:
+    return t.progress().select("job", F.expr("done * 400D").alias("at"), F.expr("done - done % 3").alias("done"), "total", F.lit(False).alias("valid_sidecar"))
+
+
+_STALLED_SQL = "WITH p AS (SELECT job, done * 400.0 AS sec, done - done % 3 AS d, total FROM progress), m AS (SELECT *, max(sec) FILTER (mv) OVER w AS moved_at FROM (SELECT *, d IS DISTINCT FROM lag(d) OVER (PARTITION BY job ORDER BY sec) AS mv FROM p) WINDOW w AS (PARTITION BY job ORDER BY sec)), c AS (SELECT *, min(sec) FILTER (d >= total) OVER (PARTITION BY job ORDER BY sec) AS since FROM m), v AS (SELECT job, sec, CASE WHEN sec > 3600 THEN 'hard' WHEN d >= total AND sec - since > 300 THEN 'finalizing' WHEN sec - moved_at > 600 THEN 'idle' END AS verdict FROM c) SELECT job, coalesce(arg_min(verdict, sec) FILTER (verdict IS NOT NULL), 'running') AS verdict, min(sec) FILTER (verdict IS NOT NULL) AS ended_at FROM v GROUP BY job"
+
+
+@query("t4_stalled_jobs", ("progress",), _STALLED_SQL)
+def _(t):
+    return progress.stalled_jobs(_polls(t), finalizing=300).withColumnRenamed("at", "ended_at")
+
+
+# --- the stream forms, over rows in the order of their time ---------------------------------------
+
+
+def _in_time(t: Tables, rows: DataFrame, closing: list[DataFrame], parts: int = 3) -> DataFrame:
+    """A stream of rows(ts) in parts that follow each other in time, each a batch, then of closing batches, which move the watermark on."""
+    came = shared_path(t.spark, "in-time")
+    first, last = rows.agg(F.min("ts").cast("timestamp"), F.max("ts").cast("timestamp")).first()
+    step = (last - first) / parts
+    for n in range(parts):
+        begin = F.lit(True) if n == 0 else F.col("ts") >= F.lit(first + n * step)
+        rows.where(begin & (F.lit(True) if n == parts - 1 else F.col("ts") < F.lit(first + (n + 1) * step))).coalesce(1).write.parquet(f"{came}/{n}")
+    for n, batch in enumerate(closing):
+        batch.select(*rows.columns).coalesce(1).write.parquet(f"{came}/{parts + n}")
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(came)
+
+
+def _collected(t: Tables, stream: DataFrame) -> DataFrame:
+    """The rows that a stream appends."""
+    out, kept = shared_path(t.spark, "streamed"), t.spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
+    try:
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", shared_path(t.spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", kept)
+    return t.spark.read.schema(stream.schema).parquet(out)
+
+
+def _closing(t: Tables, *days: int, **columns) -> list[DataFrame]:
+    """A batch of one late row for each of so many days after the last event."""
+    return [t.file_events().agg(F.max("ts").cast("timestamp").alias("ts")).select((F.col("ts") + F.expr(f"INTERVAL {d} DAYS")).alias("ts"), *[v.alias(k) for k, v in columns.items()]) for d in days]
+
+
+def _stamped(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("t1_settled_stream", ("file_events",), f"SELECT path, CAST(floor(settled_at) AS BIGINT) AS settled_at FROM ({_SETTLED_SQL})")
+def _(t):
+    rows = _stamped(t.file_events().select("path", "kind", "ts"))
+    stream = _in_time(t, rows, _closing(t, 10, 20, path=F.lit("end"), kind=F.lit("modified")))
+    return _collected(t, streams.settled_files_stream(stream, 7200, forget=1e9)).select("path", F.floor("settled_at").alias("settled_at"))  # timers have milliseconds
+
+
+@query("t2_refresh_stream", ("file_events",), _REFRESH_SQL)
+def _(t):
+    rows = _stamped(t.file_events().select("library", "ts"))
+    stream = _in_time(t, rows, _closing(t, 10, 20, library=F.lit("end")))
+    found = _collected(t, streams.debounced_refresh_stream(stream, 7200, "1 second")).where("library <> 'end'")
+    return found.withColumn("refreshed_at", F.col("refreshed_at").cast("timestamp_ntz"))
+
+
+@query("t4_stalled_stream", ("progress",), f"SELECT job, verdict, CAST(ended_at AS DOUBLE) AS ended_at FROM ({_STALLED_SQL}) WHERE verdict <> 'running'")
+def _(t):
+    polls = _polls(t).withColumn("ts", F.timestamp_seconds("at"))
+    ended = _collected(t, streams.stalled_jobs_stream(_in_time(t, polls, []).drop("ts"), finalizing=300))
+    return ended.select("job", "verdict", F.col("at").alias("ended_at"))
+
+
+@query("t5_once_stream", ("file_events",), "SELECT path, min(ts) AS ts FROM file_events GROUP BY path")
 def _(t):
-    polls = t.progress().select("job", F.expr("done * 400D").alias("at"), F.expr("done - done % 3").alias("done"), "total", F.lit(False).alias("valid_sidecar"))
-    return progress.stalled_jobs(polls, finalizing=300).withColumnRenamed("at", "ended_at")
+    firsts = _stamped(t.file_events().select("path", "ts", "id").repartition("path").sortWithinPartitions("ts"))
+    once = _collected(t, streams.once_per_path(_in_time(t, firsts.orderBy("ts"), []), "100 days"))
+    return once.select("path", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
 query("t5_once_per_path", ("file_events",), "SELECT path, min(ts) AS ts FROM file_events GROUP BY path")(lambda t: streams.first_per_path(t.file_events()).select("path", "ts"))

@@ -35,9 +35,12 @@ def parse_request_log(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def format_request_log(requests: DataFrame) -> DataFrame:
-    """The line of requests(thread, method, path, code, elapsed_ms)."""
+    """The line of requests(thread, method, path, code, elapsed_ms, exception, message): a failed request has its exception instead of the
+    code and the message behind; one without either has an unknown code."""
     seconds = F.concat(F.floor(F.col("elapsed_ms") / 1000).cast("string"), F.lit("."), F.lpad((F.col("elapsed_ms") % 1000).cast("string"), 3, "0"))
-    return requests.select(F.concat(F.lit("[REQUEST] ["), "thread", F.lit("] "), "method", F.lit(" "), "path", F.lit(" -> "), F.col("code").cast("string"), F.lit(" ("), seconds, F.lit("s)")).alias("value"))
+    outcome = F.when(F.col("exception").isNotNull(), "EXCEPTION").otherwise(F.coalesce(F.col("code").cast("string"), F.lit("???")))
+    why = F.when(F.col("exception").isNotNull(), F.concat(F.lit(": "), "exception", F.lit(": "), F.coalesce("message", F.lit("")))).otherwise("")
+    return requests.select(F.concat(F.lit("[REQUEST] ["), "thread", F.lit("] "), "method", F.lit(" "), "path", F.lit(" -> "), outcome, F.lit(" ("), seconds, F.lit("s)"), why).alias("value"))
 
 
 def write_audit(events: DataFrame, path: str) -> None:
