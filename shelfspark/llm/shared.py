@@ -26,21 +26,23 @@ def keyed(df: DataFrame, id_col: str, name: str) -> tuple[DataFrame, str]:
     return numbered(df, name), "__row"
 
 
-#: Slots of the bitmap of ``flagged``.
-FILTER_BITS = 2**26
+#: Slots of the bitmap of ``flagged``: 16 for each key, 2**20 at least and 2**29 (64 MB, about twice that as a hash table) at most.
+LEAST_BITS, MOST_BITS = 20, 29
 
 
 def flagged(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str, flag: str) -> DataFrame:
-    """rows with boolean column ``flag``: true where the key, null too, is among those of wanted, and for a few others.
+    """rows with boolean column ``flag``: true where the key, null too, is among those of wanted, a stored table, and for a few others.
 
-    A bitmap of hashed keys, 8 MB at most whatever the corpus, is broadcast; it spares rows that cannot match a shuffle.
+    A bitmap of hashed keys is broadcast; it spares rows that cannot match a shuffle. It has a size by the number of wanted rows, up
+    to a bound: of other rows up to 6 % are flagged as long as wanted has no more than 3 * 10**7 keys, a third at 2 * 10**8.
     """
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    bits = wanted.select(slot(F.col(wanted_key)).alias("__slot")).groupBy(F.bitmap_bucket_number("__slot").alias("__part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__slot")).alias("__bits"))
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * wanted.count()).bit_length()))
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
+    parts = wanted.select(slot(F.col(wanted_key)).alias("__slot")).groupBy(F.bitmap_bucket_number("__slot").alias("__part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__slot")).alias("__bits"))
     at = rows.withColumn("__slot", slot(F.col(key))).withColumns({"__part": F.bitmap_bucket_number("__slot"), "__bit": F.bitmap_bit_position("__slot")})
     byte = F.conv(F.hex(F.substring("__bits", F.floor(F.col("__bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     hit = byte.bitwiseAND(F.pow(F.lit(2), F.col("__bit") % 8).cast("int")) != 0
-    return at.join(F.broadcast(bits), "__part", "left").withColumn(flag, F.coalesce(hit, F.lit(False))).select(*rows.columns, flag)
+    return at.join(F.broadcast(parts), "__part", "left").withColumn(flag, F.coalesce(hit, F.lit(False))).select(*rows.columns, flag)
 
 
 def without(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:

@@ -5,23 +5,34 @@ Entries become validity intervals; each capture is evaluated against the entries
 that were active when it was fetched, by an as-of join on (key, time bucket).
 
 Every host suffix and every path prefix of a capture is a key, so matching is an
-equi-join, never a scan of the list. Keys that the list does not have are left out
-before anything is shuffled, by a bitmap of at most 8 MB. Time buckets bound how many
-intervals of a key a capture meets, and spread a hot host; a long interval covers its
-middle with coarse buckets, so it has few rows. Spark broadcasts the intervals only
-when they are measured small, else it joins by shuffle and splits skewed keys.
+equi-join, never a scan of the list. Keys are hashed in one pass over a URL, and
+compared as text where hashes met. Those that the list does not have are left out
+before anything is shuffled, by a bitmap. Time buckets bound how many intervals of a key a
+capture meets, and spread a hot host; a closed interval is covered by buckets of several
+levels, so it has few rows however long it is, and an open one has a single row. Spark
+broadcasts the intervals only when they are measured small, else it joins by shuffle and
+splits skewed keys.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from shelfspark.llm.shared import flagged, stored, table
+from shelfspark.llm.shared import flagged, numbered, stored, table
+from shelfspark.shipping import map_arrow
 
-#: Seconds of a fine bucket, and fine buckets of a coarse one.
-BUCKET_S, COARSE = 8 * 86400, 16
+#: Seconds of a fine bucket, buckets in one of the next level, and levels; all seconds of a long fit.
+BUCKET_S, BASE, LEVELS = 8 * 86400, 16, 12
+#: Of Spark's xxhash64.
+SEED = 42
 
 
 def host_of(url: Column) -> Column:
@@ -35,14 +46,48 @@ def path_of(url: Column) -> Column:
     return F.trim(F.regexp_extract(F.trim(url), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), F.lit("/"))
 
 
-def list_keys(url: Column) -> Column:
-    """Distinct keys of a URL: ``d:`` and each host suffix, ``p:`` and the host with each path prefix. No host, no keys."""
-    host, path = host_of(url), path_of(url)
-    labels = F.when(F.startswith(host, F.lit("[")), F.array(host)).otherwise(F.split(host, r"\."))
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.lit("d:"), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
-    segments = F.split(path, "/+")
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(segments)), lambda i: F.concat(F.lit("p:"), host, F.lit("/"), F.array_join(F.slice(segments, F.lit(1), i), "/")))
-    return F.when(host.isNull(), F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(domains, F.when(path == "", F.array().cast("array<string>")).otherwise(prefixes))))
+def _hashes(host: str, path: str) -> Iterator[int]:
+    """Hashes of the keys of a URL: ``d:`` and each host suffix, ``p:`` and the host with each path prefix, in time linear in the path."""
+    whole = host.encode()
+    labels = [0] if host.startswith("[") else [0, *(i + 1 for i, c in enumerate(whole) if c == 46)]
+    for at in labels:
+        yield xxhash.xxh64_intdigest(b"d:" + whole[at:], SEED)
+    if path:
+        prefix = xxhash.xxh64(b"p:" + whole, SEED)
+        for segment in re.split("/+", path):
+            prefix.update(b"/" + segment.encode())
+            yield prefix.intdigest()
+
+
+def key_hashes(rows: DataFrame) -> DataFrame:
+    """(__row, fetched, hash) for each key of rows(__row, url, fetched); hash is what xxhash64 makes of the key. No host, no keys."""
+
+    def run(batches):
+        def made(held):
+            rows, times, hashes = zip(*held, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(times, pa.int64()), pa.array(np.array(hashes, np.uint64).view(np.int64))], names=["__row", "fetched", "hash"])
+
+        held: list[tuple] = []
+        for batch in batches:
+            for row, at, host, path in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for h in _hashes(host, path):
+                    held.append((row, at, h))
+                    if len(held) >= 20_000:
+                        yield made(held)
+                        held = []
+        if held:
+            yield made(held)
+
+    parted = rows.select("__row", F.col("fetched").cast("long").alias("fetched"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).where("host is not null and fetched is not null")
+    return map_arrow(parted, run, "__row long, fetched long, hash long")
+
+
+def matches(key: Column, host: Column, path: Column) -> Column:
+    """Whether a key is one of the URL's: a hash may be that of another key too."""
+    domain = F.substring(key, 3, 2**31 - 1)
+    own = F.concat(F.lit("p:"), host, F.lit("/"), F.regexp_replace(path, "/+", "/"), F.lit("/"))
+    is_domain = (host == domain) | (~F.startswith(host, F.lit("[")) & F.endswith(host, F.concat(F.lit("."), domain)))
+    return F.when(F.startswith(key, F.lit("d:")), is_domain).otherwise((path != "") & F.startswith(own, F.concat(key, F.lit("/"))))
 
 
 def entry_key(key: Column) -> Column:
@@ -62,35 +107,53 @@ def validity_intervals(entries: DataFrame) -> DataFrame:
     return one.select("list_name", "key", "action", F.col("effective").alias("valid_from"), after.alias("valid_to")).where(F.col("action") == "add").drop("action")
 
 
-def buckets_of(first: Column, last: Column) -> Column:
-    """(coarse, bucket) that cover the fine buckets first to last, each of them once: coarse ones where they fit, fine ones at the ends."""
-    low, high = F.ceil(first / COARSE), F.floor((last + 1) / COARSE)  # coarse ones from low, before high
-    many = lambda a, b, coarse: F.when(a <= b, F.transform(F.sequence(a, F.greatest(a, b)), lambda x: F.struct(F.lit(coarse).alias("coarse"), x.alias("bucket")))).otherwise(F.array().cast("array<struct<coarse:boolean,bucket:bigint>>"))
-    return F.when(low < high, F.concat(many(first, low * COARSE - 1, False), many(low, high - 1, True), many(high * COARSE, last, False))).otherwise(many(first, last, False))
+def cover(first: Column, last: Column) -> Column:
+    """(level, bucket) whose spans, BASE**level fine buckets each, are together the fine buckets first to last, each of them once.
+
+    However long the interval is, there are fewer than 2 * BASE a level, and LEVELS levels hold every span of a long.
+    """
+    none = F.array().cast("array<struct<level:int,bucket:bigint>>")
+    some = lambda a, b, level: F.when(a <= b, F.transform(F.sequence(a, F.greatest(a, b)), lambda x: F.struct(level.alias("level"), x.alias("bucket")))).otherwise(none)
+
+    def climb(acc: Column, level: Column) -> Column:
+        a, b, out = acc["a"], acc["b"], acc["out"]
+        low, high = F.ceil(a / BASE), F.floor((b + 1) / BASE) - 1  # of the next level
+        here = (low > high) | (level == LEVELS - 1)
+        ends = F.when(here, some(a, b, level)).otherwise(F.concat(some(a, low * BASE - 1, level), some((high + 1) * BASE, b, level)))
+        return F.struct(F.when(here, F.lit(1)).otherwise(low).cast("long").alias("a"), F.when(here, F.lit(0)).otherwise(high).cast("long").alias("b"), F.concat(out, ends).alias("out"))
+
+    start = F.struct(first.cast("long").alias("a"), last.cast("long").alias("b"), none.alias("out"))
+    return F.aggregate(F.array(*[F.lit(n) for n in range(LEVELS)]), start, climb)["out"]
+
+
+def _spans(entries: DataFrame) -> DataFrame:
+    """list_name, key, hash, valid_from, valid_to, level, bucket: the cover of a closed interval; an open one is a single row of level -1."""
+    bucket = lambda c: F.floor(c / BUCKET_S)
+    at = F.when(F.col("valid_to").isNull(), F.array(F.struct(F.lit(-1).alias("level"), F.lit(0).cast("long").alias("bucket")))).otherwise(cover(bucket(F.col("valid_from")), bucket(F.col("valid_to") - 1)))
+    return validity_intervals(entries).withColumn("hash", F.xxhash64("key")).select("list_name", "key", "hash", "valid_from", "valid_to", F.explode(at).alias("at")).select("list_name", "key", "hash", "valid_from", "valid_to", "at.*")
 
 
 def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """captures(capture_id, url, fetched) with host, blocked, n_rules and rules (list/key of the active matches, sorted, comma-joined).
 
-    One row per row of captures; a repeated capture_id counts with all its URLs only once per row. Null or malformed URLs
-    and null times match nothing. Empty lists block nothing. Columns of captures keep their names. URLs of any length are taken whole;
+    One row per row of captures, which is judged by itself; ids may repeat or be null. Null or malformed URLs and null times match
+    nothing. Empty lists block nothing. Columns of captures keep their names. URLs of any length and times of any size are taken whole;
     at one instant a remove wins over an add.
     """
-    rows = captures.select("capture_id", "url", "fetched", host_of(F.col("url")).alias("host"))
-    horizon = captures.agg(F.max("fetched").alias("t")).first()["t"]
-    bucket = lambda c: F.floor(c / BUCKET_S)
-    if horizon is None:
-        horizon = 0
-    spans = validity_intervals(entries).withColumn("until", F.least(F.coalesce(F.col("valid_to") - 1, F.lit(horizon)), F.lit(horizon))).where(F.col("until") >= F.col("valid_from"))
-    spans = stored(spans.select("list_name", "key", "valid_from", "until", F.explode(buckets_of(bucket(F.col("valid_from")), bucket(F.col("until")))).alias("at")).select("list_name", "key", "valid_from", "until", "at.*"), "url-spans")
-    asked = captures.where(F.col("fetched").isNotNull()).select("url", "fetched").distinct().select("url", "fetched", F.explode(list_keys(F.col("url"))).alias("key"))
-    named = flagged(asked, "key", spans, "key", "__may").where("__may").drop("__may")
-    at = F.array(F.struct(F.lit(False).alias("coarse"), bucket(F.col("fetched")).alias("bucket")), F.struct(F.lit(True).alias("coarse"), F.floor(bucket(F.col("fetched")) / COARSE).alias("bucket")))
-    named = named.select("url", "fetched", "key", F.explode(at).alias("at")).select("url", "fetched", "key", "at.*")
-    hits = named.join(spans, ["key", "coarse", "bucket"]).where((F.col("fetched") >= F.col("valid_from")) & (F.col("fetched") <= F.col("until")))
-    rules = hits.groupBy("url", "fetched").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws("/", "list_name", "key"))), ",").alias("rules"), F.count(F.lit(1)).alias("n_rules"))
-    out = rows.join(rules, ["url", "fetched"], "left")
-    return out.select("capture_id", "url", "fetched", "host", F.col("rules").isNotNull().alias("blocked"), F.coalesce("n_rules", F.lit(0)).cast("long").alias("n_rules"), F.coalesce("rules", F.lit("")).alias("rules"))
+    rows = numbered(captures.select("capture_id", "url", "fetched"), "url-captures")
+    spans = stored(_spans(entries), "url-spans")
+    levels = [r["level"] for r in spans.select("level").distinct().collect()]  # LEVELS + 1 at most
+    bucket = F.floor(F.col("fetched") / BUCKET_S)
+    at = F.array(*[F.struct(F.lit(n).alias("level"), (F.lit(0) if n < 0 else F.floor(bucket / float(BASE**n))).cast("long").alias("bucket")) for n in levels]).cast("array<struct<level:int,bucket:bigint>>")
+    named = flagged(key_hashes(rows), "hash", spans, "hash", "__may").where("__may").select("__row", "fetched", "hash", F.explode(at).alias("at")).select("__row", "fetched", "hash", "at.*")
+    hits = named.join(spans, ["hash", "level", "bucket"]).where((F.col("fetched") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched") < F.col("valid_to"))))
+    found = stored(hits.groupBy("__row").agg(F.array_sort(F.collect_set(F.struct("list_name", "key"))).alias("found")), "url-hits")
+    near = flagged(rows.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))}), "__row", found, "__row", "__may")
+    none = F.array().cast(found.schema["found"].dataType)
+    judged = near.where("not __may").withColumn("found", none).unionByName(near.where("__may").join(found, "__row", "left").withColumn("found", F.coalesce("found", none)))
+    true = F.filter("found", lambda f: matches(f["key"], F.col("host"), F.col("path")))
+    rules = judged.select("capture_id", "url", "fetched", "host", F.array_sort(F.transform(true, lambda f: F.concat_ws("/", f["list_name"], f["key"]))).alias("rules"))
+    return rules.select("capture_id", "url", "fetched", "host", (F.size("rules") > 0).alias("blocked"), F.size("rules").cast("long").alias("n_rules"), F.array_join("rules", ",").alias("rules"))
 
 
 EPOCH, MONTH_S = 1704067200, 2592000

@@ -36,8 +36,8 @@ from shelfspark.shipping import map_arrow
 ARCHIVE_BYTES, RANGE_BYTES = 64_000_000, 4_000_000
 DATA_MEMBER, INDEX_MEMBER = "archive/data.warc.gz", "indexes/index.jsonl"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Bytes that a reader takes at once, and the most that a record's headers may have.
-PIECE_BYTES, _MOST_HEADER = 1_000_000, 1_000_000
+#: Bytes that a reader takes at once.
+PIECE_BYTES = 1_000_000
 #: Names of index members.
 _INDEX = re.compile(r"(^|/)[^/]*[.](jsonl|cdx|cdxj)([.]gz)?$")
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
@@ -227,7 +227,8 @@ def ranges_of(places: list[tuple[int, int]], size: int, range_bytes: int) -> Ite
 
 
 def find_ranges(archives: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """(archive, member, start, lengths) of the stored WARC members: consecutive records by the indexes; without one the whole member is one piece, read as a stream."""
+    """(archive, member, start, lengths) of the stored WARC members: consecutive records by the indexes; without one the whole member is one
+    piece, read as a stream. A file that is no ZIP archive, or whose directory or indexes are broken, gives one row with the archive only."""
 
     def of(uri: str) -> Iterator[dict]:
         fs, path = pafs.FileSystem.from_uri(uri)
@@ -251,7 +252,11 @@ def find_ranges(archives: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFram
     def run(batches):
         for batch in batches:
             for uri in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_pylist(list(of(uri)), schema=schema)
+                try:
+                    found = list(of(uri))
+                except (ValueError, struct.error, zlib.error):
+                    found = [{"archive": uri}]
+                yield pa.RecordBatch.from_pylist(found, schema=schema)
 
     return map_arrow(archives.select("archive").distinct(), run, "archive string, member string, start long, lengths array<long>")
 
@@ -288,11 +293,15 @@ def records_of(file, start: int, size: int) -> Iterator[bytes]:
         return bool(piece)
 
     while True:
-        while b"\r\n\r\n" not in ready[:_MOST_HEADER] and len(ready) < _MOST_HEADER and more():
+        while len(ready) < 5 and more():
             pass
         if not ready.strip(b"\r\n"):
             return
-        head = ready.find(b"\r\n\r\n")
+        head, seen = -1, 0
+        while ready.startswith(b"WARC/") and (head := ready.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
+            seen = len(ready)
+            if not more():
+                break
         said = re.search(rb"(?im)^Content-Length:[ \t]*(\d+)", ready[: max(head, 0)])
         if not ready.startswith(b"WARC/") or head < 0 or not said:
             yield b"?" + ready[:100]
@@ -347,7 +356,8 @@ def parse_record(record: bytes) -> dict:
 def read_records(archives: DataFrame, payload: bool = True) -> DataFrame:
     """Every record of the archives in column ``archive``; ranges are dealt out evenly, whatever archive they are in. An empty list gives no rows.
 
-    A file that is no ZIP archive is an error. Columns as in parse_record, and archive. One record is in memory at a time.
+    A file that is no ZIP archive gives one row of type ``unreadable``; one that is not there is an error. Columns as in parse_record, and
+    archive. One record is in memory at a time, with headers of any length.
     """
     spark = archives.sparkSession
     ranges = stored(find_ranges(archives), "warc-ranges")
@@ -359,6 +369,9 @@ def read_records(archives: DataFrame, payload: bool = True) -> DataFrame:
         out, held = [], 0
         for batch in batches:
             for row in batch.to_pylist():
+                if row["start"] is None:
+                    out.append(parse_record(b"") | {"archive": row["archive"]})
+                    continue
                 fs, path = pafs.FileSystem.from_uri(row["archive"])
                 with fs.open_input_file(path) as file:
                     at = row["start"]

@@ -3,6 +3,7 @@ import hashlib
 import io
 import random
 import re
+import time
 import zipfile
 import zlib
 from collections import defaultdict
@@ -300,12 +301,49 @@ def test_url_lists_equal_brute_force(spark):
     assert not any(x["blocked"] for x in url_filter.evaluate(c, e.limit(0)).collect())
 
 
-def test_long_intervals_are_covered_once(spark):
+def test_intervals_are_covered_once_however_long(spark):
     r = random.Random(1)
-    pairs = [(a, a + r.choice([0, 1, 15, 16, 17, 40, 500])) for a in (r.randrange(-50, 900) for _ in range(200))]
-    for row in spark.createDataFrame(pairs, "a long, b long").withColumn("x", url_filter.buckets_of(F.col("a"), F.col("b"))).collect():
-        fine = [k for x in row["x"] for k in (range(x["bucket"] * 16, x["bucket"] * 16 + 16) if x["coarse"] else [x["bucket"]])]
-        assert sorted(fine) == list(range(row["a"], row["b"] + 1)) and len(row["x"]) <= 30 + (row["b"] - row["a"]) // 16 + 1
+    pairs = [(a, a + r.choice([-1, 0, 1, 15, 16, 17, 40, 500, 5000])) for a in (r.randrange(-50, 900) for _ in range(200))]
+    pairs += [(-(10**13), 10**13), (7, 7 + 16**9)]
+    for row in spark.createDataFrame(pairs, "a long, b long").withColumn("x", url_filter.cover(F.col("a"), F.col("b"))).collect():
+        spans = sorted((x["bucket"] * 16 ** x["level"], (x["bucket"] + 1) * 16 ** x["level"] - 1) for x in row["x"])
+        assert all(end + 1 == begin for (_, end), (begin, _) in zip(spans, spans[1:]))
+        assert (spans[0][0], spans[-1][1]) == (row["a"], row["b"]) if spans else row["b"] < row["a"]
+        assert len(spans) <= 32 * 12
+
+
+def test_times_of_any_size_and_long_paths(spark):
+    """A wrong time makes no ranges, and a path of many segments is hashed in one pass."""
+    day = 86400
+    long_path = "http://h.org/" + "/".join("abc"[i % 3] for i in range(100_000))
+    times = [0, 10 * day, 10 * day * 1000, 10 * day * 10**6, 2**62, -(2**62), 2**63 - 1]
+    captures = [(i, "http://a.b/x", t) for i, t in enumerate(times)] + [(100, long_path, 10 * day), (101, long_path + "/d", 10 * day), (102, "http://" + "a." * 4000 + "org/", day)]
+    entries = [("l", "d:b", "add", day), ("m", "p:a.b/x", "add", -(2**62)), ("m", "p:a.b/x", "remove", 2**62), ("n", "p:" + long_path[7:], "add", 0), ("n", "p:h.org/a/b", "add", 0), ("n", "p:h.org/a/bc", "add", 0), ("o", "d:a.org", "add", 0), ("o", "d:a", "add", 0)]
+    c = spark.createDataFrame(captures, "capture_id long, url string, fetched long")
+    e = spark.createDataFrame(entries, "list_name string, key string, action string, effective long")
+    begun = time.time()
+    got = sorted(((x["capture_id"], x["blocked"], x["n_rules"], x["rules"]) for x in url_filter.evaluate(c, e).collect()), key=repr)
+    assert time.time() - begun < 60
+    small = [x for x in captures if x[0] < 100]
+    assert [x for x in got if x[0] < 100] == brute_rules(small, [x for x in entries if len(x[1]) < 100])
+    assert [x[:3] for x in got if x[0] >= 100] == [(100, True, 2), (101, True, 2), (102, True, 1)]
+
+
+def test_records_with_long_headers_and_broken_archives(spark, tmp_path):
+    r = random.Random(4)
+    url = "http://h.org/" + "".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=3_000_000))
+    pages = spark.createDataFrame([(1, url, "<p>one"), (2, "http://h.org/", "<p>two"), (3, url, "<p>one")], "page_id long, url string, html string")
+    manifest = warc_zip.write_archives(pages, f"file://{tmp_path}/warc")
+    rows = {x["page_id"]: x for x in warc_zip.read_records(manifest).collect()}
+    assert {i: x["record_type"] for i, x in rows.items()} == {1: "response", 2: "response", 3: "revisit"} and rows[1]["url"] == url and rows[1]["digest_ok"]
+    assert bytes(rows[1]["payload"]) == b"<p>one" and rows[3]["refers_to"] == 1
+    (tmp_path / "no.zip").write_bytes(b"no archive")
+    whole = open(manifest.first()["archive"].removeprefix("file://"), "rb").read()
+    (tmp_path / "cut.zip").write_bytes(whole[:-30])
+    bad = spark.createDataFrame([(f"file://{tmp_path}/no.zip",), (f"file://{tmp_path}/cut.zip",)], "archive string")
+    both = warc_zip.read_records(manifest.select("archive").unionAll(bad), payload=False).collect()
+    assert sorted(x["record_type"] for x in both) == ["response", "response", "revisit", "unreadable", "unreadable"]
+    assert {x["archive"] for x in both if x["record_type"] == "unreadable"} == {b[0] for b in bad.collect()}
 
 
 def test_ipv6_hosts_and_old_entries(spark):
