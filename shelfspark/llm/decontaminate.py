@@ -7,7 +7,9 @@ is not empty after a window's words occurs there; its range is narrowed on until
 document is known. Matched places become word ranges of the document, and affected documents can be dropped.
 
 A window is 10 consecutive words of an item; an item with fewer words is one window. The benchmark is the stated query
-set: its size is measured, and it is searched in blocks of at most BLOCK_BYTES, each sent to the executors by broadcast.
+set: tasks cut its items into pieces, which overlap by a window less one word like the segments of long texts, and blocks of
+pieces are searched one after the other, each sent to the executors by broadcast and freed again. A match that touches a
+cut is put together with what goes on behind it: both lie on one diagonal (place in the text less place in the item).
 Building and searching are map-only; only what is found is shuffled, by the row's own number.
 """
 
@@ -23,11 +25,14 @@ from pyspark.sql import functions as F
 
 from shelfspark.llm.shared import discard, keyed, stored, table, without
 from shelfspark.llm.words import NOT_ALNUM, chunks, word_hashes
+from shelfspark.operators.running import running_total
 from shelfspark.shipping import map_arrow
 
 WINDOW = 10
-#: Text of test items that is broadcast at once; a word of it takes 10 to 20 bytes there.
+#: Bytes of test words that are broadcast at once, eight for each hash; they take about four times that in a worker.
 BLOCK_BYTES = 8_000_000
+#: Words of a piece of a test item.
+PIECE_WORDS = 2**16
 #: Words of a shard. A document with more is cut into segments, which overlap by a window less one word.
 SHARD_WORDS = 2**19  # less than 2**23, as places have three bytes
 #: Places of matches that are listed at once.
@@ -68,24 +73,24 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
 class Shard:
     """The words of some segments, numbered within the shard, and their suffix array."""
 
-    def __init__(self, rows, starts, bounds, vocabulary, text, suffixes):
-        #: For each segment the row that it is of, its first word in the row's text, and its place in ``text``.
-        self.rows, self.starts, self.bounds = rows, starts, bounds
+    def __init__(self, rows, starts, bounds, more, vocabulary, text, suffixes):
+        #: For each segment the row that it is of, its first word in the row's text, its place in ``text``, and whether the text goes on.
+        self.rows, self.starts, self.bounds, self.more = rows, starts, bounds, more
         self.vocabulary, self.text, self.suffixes = vocabulary, text, suffixes
 
-    KINDS = (("rows", np.int64), ("starts", np.int64), ("bounds", np.int64), ("vocabulary", np.uint64), ("text", np.int32), ("suffixes", np.int32))
+    KINDS = (("rows", np.int64), ("starts", np.int64), ("bounds", np.int64), ("more", np.uint8), ("vocabulary", np.uint64), ("text", np.int32), ("suffixes", np.int32))
     #: Numbers of words and places are stored in three bytes, byte place by byte place, which packs well.
     SMALL = 3
 
     @classmethod
-    def of(cls, segments: list[tuple[int, int, np.ndarray]]) -> Shard:
-        """The shard of segments (row, first word, hashes of the words)."""
-        sizes = np.array([len(w) for _, _, w in segments])
-        vocabulary, number = np.unique(np.concatenate([w for _, _, w in segments]), return_inverse=True)
+    def of(cls, segments: list[tuple[int, int, np.ndarray, bool]]) -> Shard:
+        """The shard of segments (row, first word, hashes of the words, whether the text goes on)."""
+        sizes = np.array([len(w) for _, _, w, _ in segments])
+        vocabulary, number = np.unique(np.concatenate([w for _, _, w, _ in segments]), return_inverse=True)
         text = np.zeros(len(number) + len(segments), np.int32)
         text[np.arange(len(number)) + np.repeat(np.arange(len(segments)), sizes)] = number + 1
         bounds = np.r_[0, np.cumsum(sizes + 1)[:-1]]
-        return cls(np.array([r for r, _, _ in segments]), np.array([s for _, s, _ in segments]), bounds, vocabulary, text, suffix_array(text).astype(np.int32))
+        return cls(np.array([r for r, _, _, _ in segments]), np.array([s for _, s, _, _ in segments]), bounds, np.array([m for _, _, _, m in segments], np.uint8), vocabulary, text, suffix_array(text).astype(np.int32))
 
     def packed(self) -> list[bytes]:
         parts = [np.ascontiguousarray(getattr(self, name), kind) for name, kind in self.KINDS]
@@ -126,20 +131,37 @@ class Shard:
 
 
 class TestSuffixes:
-    """The suffixes of a block of test items; a suffix counts if a window begins with it."""
+    """The suffixes of a block of pieces of test items; a suffix counts if a window begins with it."""
 
     __test__ = False
 
-    def __init__(self, item_ids: list, texts: list[str], window: int = WINDOW):
-        words, first = word_hashes(pa.array(texts, pa.string()), NOT_ALNUM)
-        sizes = np.diff(first)
-        self.items = item_ids
+    def __init__(self, pieces: list[tuple], window: int = WINDOW):
+        """pieces(item, text, first word in the item, whether the item goes on, hashes of the words)."""
+        sizes = np.array([len(p[4]) for p in pieces], np.int64)
+        words = np.concatenate([np.empty(0, np.uint64), *[p[4] for p in pieces]])
+        self.items, self.texts = [p[0] for p in pieces], [p[1] for p in pieces]
+        self.first, self.more = np.array([p[2] for p in pieces], np.int64), np.array([p[3] for p in pieces], bool)
         self.distinct, number = np.unique(words, return_inverse=True)
         self.number = number.astype(np.int32)
-        self.owner = np.repeat(np.arange(len(item_ids), dtype=np.int32), sizes)
-        self.end = first[1:].astype(np.int32)
+        self.owner = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
+        self.end = np.cumsum(sizes).astype(np.int32)
+        self.begin = (self.end - sizes).astype(np.int32)
         self.need = np.minimum(window, sizes).astype(np.int32)
 
+    @classmethod
+    def of_texts(cls, item_ids: list, texts: list[str], window: int = WINDOW) -> TestSuffixes:
+        words, first = word_hashes(pa.array(texts, pa.string()), NOT_ALNUM)
+        return cls([(item, n, 0, False, words[first[n] : first[n + 1]]) for n, item in enumerate(item_ids)], window)
+
+
+def cut(size: int, most: int, window: int) -> Iterator[tuple[int, int]]:
+    """(begin, end) of pieces of at most so many words that overlap by a window less one word."""
+    at = 0
+    while at < size:
+        stop = min(size, at + most)
+        yield at, stop
+        at = stop if stop == size else max(at + 1, stop - window + 1)
+
 
 def _expand(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(which, at): all numbers of the ranges [lo, hi), and which range each is of."""
@@ -180,9 +202,10 @@ class _Longest:
         return rows[:, np.r_[True, rows[0, 1:] != rows[0, :-1]]]
 
 
-def search(shard: Shard, tests: TestSuffixes) -> tuple[np.ndarray, np.ndarray]:
-    """(ranges, matches) of one shard: columns (segment, start, end) of merged hit words, and columns (segment, item, longest, start)."""
-    none = np.empty((3, 0), np.int64), np.empty((4, 0), np.int64)
+def search(shard: Shard, tests: TestSuffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ranges, matches, edges) of one shard: columns (segment, start, end) of merged hit words, columns (segment, piece, longest, start), and
+    columns (segment, piece, place in the piece, start, length) of the matches that touch a cut of the text or of the item."""
+    none = np.empty((3, 0), np.int64), np.empty((4, 0), np.int64), np.empty((5, 0), np.int64)
     if not len(shard.suffixes) or not len(tests.number):
         return none
     at = np.minimum(np.searchsorted(shard.vocabulary, tests.distinct), len(shard.vocabulary) - 1)
@@ -216,7 +239,18 @@ def search(shard: Shard, tests: TestSuffixes) -> tuple[np.ndarray, np.ndarray]:
     segment = np.searchsorted(shard.bounds, begin, "right") - 1
     ranges = np.stack([segment, begin - shard.bounds[segment], stop - shard.bounds[segment]])
 
-    longest = _Longest(len(tests.items))
+    longest, edges = _Longest(len(tests.items)), []
+    stops = np.flatnonzero(shard.text == 0)
+    may_cut = shard.more.any() or (shard.starts > 0).any() or tests.more.any()
+
+    def touching(segment, piece, j, found, depth):
+        """Keeps the matches at a cut."""
+        left = (found == shard.bounds[segment]) & (shard.starts[segment] > 0) | (j == tests.begin[piece]) & (tests.first[piece] > 0)
+        right = (found + depth == stops[segment]) & (shard.more[segment] > 0) | (j + depth == tests.end[piece]) & tests.more[piece]
+        at = np.flatnonzero(left | right)
+        if len(at):
+            segment, piece = segment[at], piece[at]
+            edges.append(np.stack([segment, piece, j[at] - tests.begin[piece], found[at] - shard.bounds[segment], depth[at]]).astype(np.int64))
 
     def record(j, lo, hi, depth):
         cut = np.r_[0, np.flatnonzero(np.diff(np.cumsum(hi - lo) // PLACES)) + 1, len(lo)]
@@ -224,7 +258,10 @@ def search(shard: Shard, tests: TestSuffixes) -> tuple[np.ndarray, np.ndarray]:
             for a in range(0, int((hi[x:y] - lo[x:y]).max(initial=0)), PLACES):
                 which, at = _expand(np.minimum(lo[x:y] + a, hi[x:y]), np.minimum(lo[x:y] + a + PLACES, hi[x:y]))
                 found = shard.suffixes[at]
-                longest.add(np.searchsorted(shard.bounds, found, "right") - 1, tests.owner[j[x:y]][which], depth[x:y][which], found)
+                segment, piece, length = np.searchsorted(shard.bounds, found, "right") - 1, tests.owner[j[x:y]][which], depth[x:y][which]
+                longest.add(segment, piece, length, found)
+                if may_cut:
+                    touching(segment, piece, j[x:y][which], found, length)
 
     depth, first = need[j].astype(np.int64), True
     while len(j):
@@ -247,7 +284,7 @@ def search(shard: Shard, tests: TestSuffixes) -> tuple[np.ndarray, np.ndarray]:
         first = False
     key, length, found = longest.reduced()
     segment = key // len(tests.items)
-    return ranges, np.stack([segment, key % len(tests.items), -length, found - shard.bounds[segment]])
+    return ranges, np.stack([segment, key % len(tests.items), -length, found - shard.bounds[segment]]), np.concatenate([none[2], *edges], axis=1)
 
 
 # --- the job ----------------------------------------------------------------------------
@@ -272,15 +309,12 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 words, first = word_hashes(part.column(2), NOT_ALNUM)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(first), pa.int64()), *[pa.nulls(len(part), pa.binary()) for _ in Shard.KINDS]], names=names)
                 for row, lo, hi in zip(part.column(0).to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
-                    at = lo
-                    while at < hi:
-                        stop = min(hi, at + shard_words)
-                        held.append((row, at - lo, words[at:stop]))
+                    for at, stop in cut(hi - lo, shard_words, window):
+                        held.append((row, at, words[lo + at : lo + stop], stop < hi - lo))
                         n += stop - at
                         if n >= shard_words:
                             yield flush()
                             held, n = [], 0
-                        at = stop if stop == hi else max(at + 1, stop - window + 1)
         if held:
             yield flush()
 
@@ -288,63 +322,110 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return stored(map_arrow(rows, run, f"row long, doc_id {kind}, n_words long, " + ", ".join(f"{name} binary" for name, _ in Shard.KINDS)), "suffix-index")
 
 
-def search_index(index: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """row, ranges, items for the rows of an index with a window of the benchmark; window is at most that of the index."""
+def _pieces(benchmark: DataFrame, item_col: str, item_text: str, window: int, piece_words: int) -> DataFrame:
+    """item_id, text (a number of its own for every text), first, more, words (hashes) of the pieces of all items, cut by tasks."""
+    items = benchmark.select(F.monotonically_increasing_id().alias("text"), F.col(item_col).cast("string").alias("item_id"), F.coalesce(F.col(item_text), F.lit("")).alias("value"))
+
+    def run(batches):
+        for batch in batches:
+            for part in chunks(batch, 2):
+                words, first = word_hashes(part.column(2), NOT_ALNUM)
+                rows = [(text, item, a, b < hi - lo, words[lo + a : lo + b].tobytes()) for text, item, lo, hi in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True) for a, b in cut(hi - lo, piece_words, window)]
+                kinds = (pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.binary())
+                columns = list(zip(*rows, strict=True)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["text", "item_id", "first", "more", "words"])
+
+    return map_arrow(items, run, "text long, item_id string, first long, more boolean, words binary")
+
+
+_EDGES = "array<struct<item_id:string,text:long,diagonal:long,start:long,end:long>>"
+
+
+def _joined(parts: DataFrame) -> DataFrame:
+    """row, items: the longest match of a row and item among those put together from matches that touch a cut."""
+    each = parts.select("row", F.explode("edges").alias("e")).select("row", "e.*").distinct()
+    along = each.groupBy("row", "item_id", "text", "diagonal").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+
+    def grow(acc, x):
+        start = F.when(x["start"] <= acc["end"], acc["start"]).otherwise(x["start"])
+        end = F.when(x["start"] <= acc["end"], F.greatest(acc["end"], x["end"])).otherwise(x["end"])
+        best = F.greatest(acc["best"], F.struct((end - start).alias("longest"), (-start).alias("less")))
+        return F.struct(start.alias("start"), end.alias("end"), best.alias("best"))
+
+    long = lambda n: F.lit(n).cast("long")
+    zero = F.struct(long(-1).alias("start"), long(-1).alias("end"), F.struct(long(0).alias("longest"), long(0).alias("less")).alias("best"))
+    best = along.select("row", "item_id", F.aggregate("spans", zero, grow)["best"].alias("best")).groupBy("row", "item_id").agg(F.max("best").alias("best"))
+    return best.select("row", F.array(F.struct("item_id", F.col("best.longest").alias("longest"), (-F.col("best.less")).alias("start"))).alias("items"))
+
+
+def search_index(index: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, piece_words: int = PIECE_WORDS) -> DataFrame:
+    """row, ranges, items for the rows of an index with a window of the benchmark; window is at most that of the index.
+
+    A block has at most block_bytes and a piece of words; the driver holds one block at a time.
+    """
     spark = index.sparkSession
-    items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    blocks = max(1, -(-size // block_bytes))
-    shards = index.where("text is not null").select(*[name for name, _ in Shard.KINDS])
+    pieces = stored(_pieces(benchmark, item_col, item_text, window, piece_words), "benchmark-pieces")
+    numbered = stored(running_total(pieces, [], ["text", "first"], F.octet_length("words"), "benchmark-order", "upto").withColumn("block", F.floor((F.col("upto") - F.octet_length("words")) / block_bytes)), "benchmark-blocks")
+    shards = index.where("suffixes is not null").select(*[name for name, _ in Shard.KINDS])
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     named = pa.list_(pa.struct([("item_id", pa.string()), ("longest", pa.int64()), ("start", pa.int64())]))
+    cuts = pa.list_(pa.struct([("item_id", pa.string()), ("text", pa.int64()), ("diagonal", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def found(shard: Shard, tests: TestSuffixes) -> Iterator[pa.RecordBatch]:
-        ranges, matches = search(shard, tests)
-        rows: dict[int, tuple[list, list]] = {}
+        ranges, matches, edges = search(shard, tests)
+        rows: dict[int, tuple[list, list, list]] = {}
         for segment, start, end in ranges.T.tolist():
-            rows.setdefault(segment, ([], []))[0].append({"start": start + int(shard.starts[segment]), "end": end + int(shard.starts[segment])})
-        for segment, item, length, start in matches.T.tolist():
-            rows[segment][1].append({"item_id": tests.items[item], "longest": length, "start": start + int(shard.starts[segment])})
+            rows.setdefault(segment, ([], [], []))[0].append({"start": start + int(shard.starts[segment]), "end": end + int(shard.starts[segment])})
+        for segment, piece, length, start in matches.T.tolist():
+            rows[segment][1].append({"item_id": tests.items[piece], "longest": length, "start": start + int(shard.starts[segment])})
+        for segment, piece, at, start, length in edges.T.tolist():
+            begin = start + int(shard.starts[segment])
+            rows[segment][2].append({"item_id": tests.items[piece], "text": tests.texts[piece], "diagonal": begin - at - int(tests.first[piece]), "start": begin, "end": begin + length})
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(shard.rows[list(rows)]), pa.array([r for r, _ in rows.values()], spans), pa.array([i for _, i in rows.values()], named)], names=["row", "ranges", "items"])
+            yield pa.RecordBatch.from_arrays([pa.array(shard.rows[list(rows)]), *[pa.array([r[k] for r in rows.values()], kind) for k, kind in enumerate((spans, named, cuts))]], names=["row", "ranges", "items", "edges"])
 
-    def block(b: int) -> DataFrame:
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()  # at most a block of the query set
-        sent = spark.sparkContext.broadcast(TestSuffixes([r["item_id"] for r in own], [r["text"] for r in own], window))
+    def searched(block: int) -> DataFrame:
+        own = numbered.where(F.col("block") == block).collect()  # at most a block of the query set
+        sent = spark.sparkContext.broadcast(TestSuffixes([(r["item_id"], r["text"], r["first"], r["more"], np.frombuffer(r["words"], np.uint64)) for r in own], window))
 
         def run(batches):
             for batch in batches:
                 for k in range(batch.num_rows):
                     yield from found(Shard.unpacked([column[k].as_buffer() for column in batch.columns]), sent.value)
 
-        return map_arrow(shards, run, "row long, ranges array<struct<start:long,end:long>>, items array<struct<item_id:string,longest:long,start:long>>")
+        out = stored(map_arrow(shards, run, f"row long, ranges array<struct<start:long,end:long>>, items array<struct<item_id:string,longest:long,start:long>>, edges {_EDGES}"), "benchmark-found")
+        sent.destroy()
+        return out
 
     def merge(acc, r):
         last = F.try_element_at(acc, F.lit(-1))
         longer = F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], r["end"]).alias("end")))
         return F.when((F.size(acc) > 0) & (last["end"] >= r["start"]), F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), longer)).otherwise(F.concat(acc, F.array(r)))
 
-    # segments of one row, texts of one item and blocks of items meet here: as many parts as a row has of them
-    parts = reduce(DataFrame.unionAll, [block(b) for b in range(blocks)])
-    once = parts.groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.flatten(F.collect_list("ranges"))).alias("ranges"), F.array_sort(F.flatten(F.collect_list("items"))).alias("items"))
+    blocks = sorted(r["block"] for r in numbered.select("block").distinct().collect())
+    parts = reduce(DataFrame.unionAll, [searched(b) for b in blocks or [0]])
+    discard(pieces, numbered)
+    # segments of one row, pieces and texts of one item and blocks meet here: as many parts as a row has of them
+    whole = parts.drop("edges").unionByName(_joined(parts), allowMissingColumns=True)
+    once = whole.groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.flatten(F.collect_list("ranges"))).alias("ranges"), F.array_sort(F.flatten(F.collect_list("items"))).alias("items"))
     one_range = F.when(F.col("n") == 1, F.col("ranges")).otherwise(F.aggregate("ranges", F.array().cast("array<struct<start:bigint,end:bigint>>"), merge))
     # of the entries of an item, sorted by length, the last
     longest = F.filter("items", lambda x, i: (i == F.size("items") - 1) | ~F.get("items", i + 1)["item_id"].eqNullSafe(x["item_id"]))
     return once.select("row", one_range.alias("ranges"), longest.alias("items"))
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, shard_words: int = SHARD_WORDS) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, shard_words: int = SHARD_WORDS, piece_words: int = PIECE_WORDS) -> DataFrame:
     """doc_id, n_words, ranges array<struct<start, end>> of hit words, items array<struct<item_id string, longest, start>>.
 
     One row per row of docs, whatever its id. Null text has no words, in documents and items alike; items without words match
     nothing; items that repeat an id are one item. An empty benchmark hits nothing. Other columns are ignored. ``longest`` is
     the longest verbatim match in words, ``start`` its first word in the document (one of them where several are as long).
-    A text of more than shard_words words is taken whole, in segments: no hit is lost, but a match that crosses a segment's
-    end counts as its parts in ``longest``.
+    Texts and items of any length are taken whole: a match may cross the cuts of both. The index is deleted when it is searched.
     """
     index = build_index(docs, id_col, text_col, shard_words, window)
-    found = search_index(index, benchmark, item_col, item_text, window, block_bytes)
-    rows = index.where("row is not null").select("row", "doc_id", "n_words")
+    found = search_index(index, benchmark, item_col, item_text, window, block_bytes, piece_words)
+    rows = stored(index.where("row is not null").select("row", "doc_id", "n_words"), "contamination-rows")
+    discard(index)
     none = lambda c: F.coalesce(c, F.array().cast(found.schema[c].dataType)).alias(c)
     return rows.join(found, "row", "left").select("doc_id", "n_words", none("ranges"), none("items"))
 

@@ -222,19 +222,41 @@ def brute_hits(text, items, window=10):
     return len(own), sorted(hit), found
 
 
-@pytest.mark.parametrize("block_bytes, shard_words", [(8_000_000, 2**19), (60, 12), (8_000_000, 40)])
-def test_contamination_equals_brute_force(spark, make, block_bytes, shard_words):
+def brute_longest(text, item, window=10):
+    """{length: places in the text} of the longest common run of words, if it has a window."""
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+    a, b = words(text), words(item)
+    best, before = {}, [0] * (len(b) + 1)
+    for i, x in enumerate(a):
+        row = [0] * (len(b) + 1)
+        for j, y in enumerate(b):
+            row[j + 1] = before[j] + 1 if x == y else 0
+            if row[j + 1] >= min(window, len(b)):
+                best.setdefault(row[j + 1], set()).add(i + 1 - row[j + 1])
+        before = row
+    return max(best.items(), default=None)
+
+
+@pytest.mark.parametrize("block_bytes, shard_words, piece_words", [(8_000_000, 2**19, 2**16), (60, 12, 2**16), (8_000_000, 40, 15), (400, 12, 11), (8_000_000, 2**19, 12)])
+def test_contamination_equals_brute_force(spark, make, block_bytes, shard_words, piece_words):
     r = random.Random(11)
     vocabulary = ["a", "B", "cc", "dé", "7", "Ee"]
     items = [(i, " ".join(r.choice(vocabulary) for _ in range(r.choice([0, 1, 2, 9, 10, 11, 30])))) for i in range(12)] + [(50, None), (51, "a a a a a a a a a a a a"), (9, "zz yy")]
-    pairs = [(i, "".join(r.choice(vocabulary) + r.choice([" ", "-", "\n\n"]) for _ in range(r.randrange(90)))) for i in range(60)] + [(100, None), (101, ""), (102, "a " * 500), (103, (items[0][1] or "x") + " " + "zz yy")]
+    pairs = [(i, "".join(r.choice(vocabulary) + r.choice([" ", "-", "\n\n"]) for _ in range(r.randrange(90)))) for i in range(60)]
+    items += [(60, " ".join(f"w{k}" for k in range(70))), (60, " ".join(f"w{k}" for k in range(40, 110)))]
+    pairs += [(70, "x y " + items[-2][1] + " z"), (71, "q " * 7 + " ".join(f"w{k}" for k in range(5, 104))), (72, items[-2][1] + " " + items[-2][1])]
+    pairs += [(100, None), (101, ""), (102, "a " * 500), (103, (items[0][1] or "x") + " " + "zz yy")]
     bench = spark.createDataFrame(items, "item_id int, text string")
-    got = {row["doc_id"]: row for row in decontaminate.find_contamination(make(*pairs), bench, block_bytes=block_bytes, shard_words=shard_words).collect()}
+    got = {row["doc_id"]: row for row in decontaminate.find_contamination(make(*pairs), bench, block_bytes=block_bytes, shard_words=shard_words, piece_words=piece_words).collect()}
     for i, text in pairs:
         n, hit, found = brute_hits(text, items)
         row = got[i]
         assert row["n_words"] == n and [x for s in row["ranges"] for x in range(s["start"], s["end"])] == hit, (i, text)
         assert {x["item_id"] for x in row["items"]} == set(map(str, found))
+        for x in row["items"]:
+            best = [brute_longest(text, t) for k, t in items if str(k) == x["item_id"]]
+            length = max(b[0] for b in best if b)
+            assert x["longest"] == length and any(x["start"] in b[1] for b in best if b and b[0] == length), (i, text, x)
     assert decontaminate.find_contamination(make(), bench).count() == 0
     assert decontaminate.find_contamination(make((1, "a")), bench.limit(0)).collect()[0]["items"] == []
     kept = decontaminate.drop_contaminated(make(*pairs), bench)
@@ -292,8 +314,9 @@ def test_search_finds_every_longest_match(monkeypatch):
         docs = [[r.choice(letters) for _ in range(r.randrange(1, 40))] for _ in range(r.randrange(1, 6))]
         items = [[r.choice([*letters, "zz"]) for _ in range(r.randrange(25))] for _ in range(r.randrange(1, 6))]
         words, first = word_hashes(pa.array([" ".join(d) for d in docs]), NOT_ALNUM)
-        shard = decontaminate.Shard.unpacked(decontaminate.Shard.of([(i, 0, words[first[i] : first[i + 1]]) for i in range(len(docs))]).packed())
-        _, matches = decontaminate.search(shard, decontaminate.TestSuffixes(list(range(len(items))), [" ".join(x) for x in items]))
+        shard = decontaminate.Shard.unpacked(decontaminate.Shard.of([(i, 0, words[first[i] : first[i + 1]], False) for i in range(len(docs))]).packed())
+        _, matches, edges = decontaminate.search(shard, decontaminate.TestSuffixes.of_texts(list(range(len(items))), [" ".join(x) for x in items]))
+        assert not edges.size
         wanted = {}
         for d, own in enumerate(docs):
             for i, item in enumerate(items):
