@@ -38,8 +38,8 @@ from shelfspark.llm.shared import discard, flagged, keyed, numbered, stored, tab
 from shelfspark.llm.words import SPACES, chunks, mix, word_hashes
 from shelfspark.shipping import map_arrow
 
-#: Points of a candidate group that one task joins, and of a block where there are more.
-BLOCK = 256
+#: Points of a candidate group that one task joins, and of a block where there are more; and shingles of both, which bound the bytes.
+BLOCK, UNIT_TOKENS = 256, 2**22
 #: Keys that a task holds before it writes them, and that a partition gets.
 HELD_KEYS, PARTITION_KEYS = 1_000_000, 1_000_000
 #: Hash attempts of a set that leaves too many groups empty.
@@ -402,9 +402,9 @@ def _by_group(rows: DataFrame, name: str, run_group, width: int = 0) -> DataFram
     return stored(map_arrow(rows.select("unit", "id", "tokens", "known").repartition("unit").sortWithinPartitions("unit", "id"), run, "a long, b long"), name)
 
 
-def _overlap_with(sets: DataFrame, other: DataFrame) -> DataFrame:
+def _overlap_with(sets: DataFrame, other: DataFrame, how: str = "inner") -> DataFrame:
     """sets(group, id, tokens) with ``similarity`` to other(group, tokens): Jaccard, and ``overlap``, ``size`` and ``other_size``."""
-    pairs = sets.join(other.select("group", F.col("tokens").alias("other_tokens")), "group").select("group", "id", "tokens", "other_tokens")
+    pairs = sets.join(other.select("group", F.col("tokens").alias("other_tokens")), "group", how).select("group", "id", "tokens", F.coalesce("other_tokens", F.lit(b"")).alias("other_tokens"))
 
     def run(batches):
         for batch in batches:
@@ -422,7 +422,8 @@ def _overlap_with(sets: DataFrame, other: DataFrame) -> DataFrame:
 def _large_links(sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links of the groups in sets(group, members, id, tokens) that are too large for a task.
 
-    The tokens that most of a small sample share stand for the centre; the set nearest to them is the hub (ties: smallest id).
+    The tokens that most of a small sample share stand for the centre; the set nearest to them is the hub (ties: smallest id), or the
+    first one where a group of few but large sets has no sample.
     Sets that link with the hub are one component. The others meet all sets of the group, block by block.
     """
     sample = sets.where(F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / 64)) == 0)
@@ -436,10 +437,10 @@ def _large_links(sets: DataFrame, num: int, den: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["group", "tokens"])
 
     centres = map_arrow(sample.groupBy("group").agg(F.collect_list("tokens").alias("many")), centre, "group long, tokens binary")
-    hubs = stored(_overlap_with(sets, centres).groupBy("group").agg(F.max_by("id", F.struct("similarity", -F.col("id"))).alias("hub"), F.count(F.lit(1)).alias("members")), "ngram-hubs")
+    hubs = stored(_overlap_with(sets, centres, "left").groupBy("group").agg(F.max_by("id", F.struct("similarity", -F.col("id"))).alias("hub")), "ngram-hubs")
     hub_tokens = sets.join(hubs, (sets["group"] == hubs["group"]) & (sets["id"] == hubs["hub"])).select(sets["group"], "tokens").dropDuplicates(["group"])
     tested = _overlap_with(sets, hub_tokens).withColumn("known", F.col("overlap") * (num + den) >= num * (F.col("size") + F.col("other_size")))
-    tested = stored(tested.join(hubs, "group").select("group", "id", "tokens", "known", "hub", "members"), "ngram-tested")
+    tested = stored(tested.join(hubs, "group").join(sets.select("id", "members"), "id").select("group", "id", "tokens", "known", "hub", "members"), "ngram-tested")
     to_hub = tested.where(F.col("known") & (F.col("id") != F.col("hub"))).select(F.col("id").alias("a"), F.col("hub").alias("b"))
     blocked = tested.withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / BLOCK)))
     rest = blocked.where(~F.col("known"))
@@ -454,19 +455,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5,
     """doc_id, n_shingles, component_id for every row of docs; sets link when their Jaccard similarity is num / den or more.
 
     A text with fewer words than width is one shingle; null text and text without words are empty sets, linked with nothing.
-    A null id links with nothing and has a null component. Ids name documents: rows that repeat one with the same text get
-    the same result; a component has the smallest id. Other columns are ignored; an empty table gives an empty result. Very
-    long texts are taken whole. Ids that are no integers are numbered first, row by row.
+    A null id links with nothing and has a null component. Rows are compared one by one: where an id repeats, with the same text or
+    another, each of its rows has the component of its own text, named by the smallest id in it. Other columns are ignored; an empty
+    table gives an empty result. Very long texts are taken whole. Ids that repeat or are no integers are numbered first, row by row.
     """
-    spark = docs.sparkSession
-    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+    ids = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1")
+    if not isinstance(docs.schema[id_col].dataType, IntegralType) or not ids.isEmpty():
         given = numbered(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "ngram-named")
-        own = near_duplicates(given.select(F.when(F.col("id").isNotNull(), F.col("__row")).alias("doc_id"), "text"), width, num, den)
+        own = _near_duplicates(given.select(F.when(F.col("id").isNotNull(), F.col("__row")).alias("doc_id"), "text"), width, num, den)
         found = stored(own.where("doc_id is not null").join(given.select("__row", "id"), F.col("doc_id") == F.col("__row")).select("id", "n_shingles", "component_id"), "ngram-members")
         least = found.groupBy("component_id").agg(F.min("id").alias("least"))
         nameless = own.where("doc_id is null").select(F.lit(None).cast(given.schema["id"].dataType).alias("doc_id"), "n_shingles", F.lit(None).cast(given.schema["id"].dataType).alias("component_id"))
         return found.join(least, "component_id").select(F.col("id").alias("doc_id"), "n_shingles", F.col("least").alias("component_id")).unionAll(nameless)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return _near_duplicates(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), width, num, den)
+
+
+def _near_duplicates(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """near_duplicates of docs(doc_id, text) whose ids are integers and no two are the same; null ids may be many."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (20 * PARTITION_KEYS)))
     prints = _prints(rows, width)
@@ -477,12 +484,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5,
     points = stored(own.join(groups, own["doc_id"] == groups["id"]).groupBy(*keys).agg(F.min("doc_id").alias("id"), F.min("group").alias("group")), "ngram-points")
 
     def several(members: DataFrame) -> DataFrame:
-        counts = members.groupBy("group").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-        return members.select("group", "id").join(counts, "group").select("group", "members", "id")
+        """group, members, id, n of the groups with several; members counts for more where the sets are large, so that BLOCK holds for both."""
+        weight = F.greatest(F.count(F.lit(1)), F.ceil(F.sum("n") * BLOCK / UNIT_TOKENS))
+        counts = members.groupBy("group").agg(weight.cast("long").alias("members"), F.count(F.lit(1)).alias("m")).where("m > 1")
+        return members.select("group", "id", "n").join(counts, "group").select("group", "members", "id", "n")
 
     wanted = stored(several(points), "ngram-wanted")
     found = flagged(rows, "doc_id", wanted, "id", "__may").where("__may").drop("__may")
-    texts = stored(found.join(wanted, found["doc_id"] == wanted["id"]).select("group", "members", "id", "text"), "ngram-texts")
+    texts = stored(found.join(wanted, found["doc_id"] == wanted["id"]).select("group", "members", "id", "text", "n"), "ngram-texts")
 
     def links_of(fits: DataFrame, name: str) -> DataFrame:
         return _by_group(fits.select(F.col("group").alias("unit"), "id", F.col("text").alias("tokens"), F.lit(False).alias("known")), name, lambda ids, sets, known: join_sets(sets, num, den), width)
@@ -498,7 +507,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5,
     if large.limit(1).count():
         # common passages can chain unlike sets; those that link share keys under every hash
         again = large.select(F.col("id").alias("doc_id"), "text", "group")
-        split = several(connected_components(_shared_keys(again, width, num, den, buckets, common, 1), "ngram-split").withColumnRenamed("component", "group"))
+        split = several(connected_components(_shared_keys(again, width, num, den, buckets, common, 1), "ngram-split").withColumnRenamed("component", "group").join(large.select("id", "n"), "id"))
         parts = stored(split.join(large.select("id", "text"), "id").select("group", "members", "id", "text"), "ngram-parts")
         spent.append(parts)
         links = links.unionByName(links_of(parts.where(F.col("members") <= BLOCK), "ngram-part-links"))
@@ -520,7 +529,7 @@ def drop_near_copies(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5
     Only rows that a bitmap of those to drop flags are shuffled.
     """
     rows, key = keyed(docs, id_col, "ngram-rows")
-    named = near_duplicates(rows.where(F.col(id_col).isNotNull()), width, num, den, key, text_col).where("component_id is not null").select(F.col("doc_id").alias("key"), "component_id")
+    named = _near_duplicates(rows.where(F.col(id_col).isNotNull()).select(F.col(key).alias("doc_id"), F.col(text_col).alias("text")), width, num, den).where("component_id is not null").select(F.col("doc_id").alias("key"), "component_id")
     if key == id_col:
         gone = named.where("key <> component_id").select("key")
     else:

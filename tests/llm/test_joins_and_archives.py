@@ -64,8 +64,9 @@ def test_components_equal_brute_force(make, width, num, den):
     assert got == brute_components(pairs, width, num, den)
 
 
-def test_groups_beyond_one_task(make, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+@pytest.mark.parametrize("name, most", [("BLOCK", 8), ("UNIT_TOKENS", 500), ("UNIT_TOKENS", 20)])
+def test_groups_beyond_one_task(make, monkeypatch, name, most):
+    monkeypatch.setattr(ngram_join, name, most)
     pairs = near_copies(4, 2, 45, [60], 7) + [(1000 + i, t) for i, t in near_copies(5, 20, 3, [10, 30], 3)]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(make(*pairs), 4, 85, 100).collect()}
     assert got == brute_components(pairs, 4, 85, 100)
@@ -74,6 +75,9 @@ def test_groups_beyond_one_task(make, monkeypatch):
 def test_repeats_nulls_and_no_rows(make):
     rows = ngram_join.near_duplicates(make((3, "a b c d e"), (3, "a b c d e"), (None, "a b c d e"), (2, "a b c d e")), 4, 85, 100).collect()
     assert sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"] or -1) for r in rows) == [(-1, 2, -1), (2, 2, 2), (3, 2, 2), (3, 2, 2)]
+    # (1, a) and (1, b) are different documents: 2 and 3 are each one's own copy
+    two = ngram_join.near_duplicates(make((1, "a b c d e"), (5, "p q r s t"), (4, "p q r s t"), (5, "v w x y z"), (6, "v w x y z"), (3, "a b c d e")), 4, 85, 100).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in two) == [(1, 1), (3, 1), (4, 4), (5, 4), (5, 5), (6, 5)]
     assert ngram_join.near_duplicates(make()).count() == 0
     kept = ngram_join.drop_near_copies(make((3, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (9, None)))
     assert sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, 2, 9] and kept.columns == make().columns
