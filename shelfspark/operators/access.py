@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from shelfspark.functions import paths
 from shelfspark.operators.ownership import can_delete, spread
 from shelfspark.operators.running import Blocks, running_total
 from shelfspark.shared import discard, stored
+from shelfspark.shipping import map_arrow
 
 
 def authorize(requests: DataFrame, users: DataFrame, uploads: DataFrame, matrix: DataFrame, browse: bool = True, download: bool = True, root: str = layout.READER_ROOT, sidecar: str = layout.SIDECAR) -> DataFrame:
@@ -96,7 +98,11 @@ def auth_states(headers: DataFrame, column: str) -> DataFrame:
     return headers.withColumn("__auth", paths.auth_header(F.col(column))).select(*[c for c in headers.columns if c != column], F.col("__auth.state").alias("state"), F.col("__auth.username").alias("username"))
 
 
-def replay_limiter(attempts: DataFrame, max_failures: int = 10, window: float = 300, block: float = 900) -> DataFrame:
+#: Crowded attempts of a key that one task goes through.
+KEY_ROWS = 200_000
+
+
+def replay_limiter(attempts: DataFrame, max_failures: int = 10, window: float = 300, block: float = 900, key_rows: int = KEY_ROWS) -> DataFrame:
     """Limiter outcomes of attempts(attempt_id, key, ts, outcome), in time order for each key: allowed and retry_after.
 
     An attempt is crowded if the last ``max_failures`` failures before it came after the last success and within the window.
@@ -104,14 +110,14 @@ def replay_limiter(attempts: DataFrame, max_failures: int = 10, window: float =
     failure is not older than the block's end (nothing is counted during a block). Everything up to ``block`` seconds after a
     begin is refused. Ties in time go by attempt_id.
 
-    Counts and last times are taken over range blocks, as a key may have all attempts. Every crowded attempt knows which would
-    follow it; which of them are reached from the first is found by doubling these steps, so a chain of n blocks takes about log2 n rounds
-    of two equi-joins.
+    Counts and last times are taken over range blocks, as a key may have all attempts. The crowded attempts of a key are gone through in one
+    pass; where a key has more than key_rows of them, each finds the one that would follow it, and which of them are reached from the
+    first is found by doubling these steps: a chain of n blocks takes about log2 n rounds of two equi-joins.
     """
     rows = attempts.select("attempt_id", "key", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.coalesce("outcome", F.lit("")).alias("outcome"))
     failed = F.col("outcome") == "failure"
     blocks = Blocks(rows, ["key"], ["at", "attempt_id"], "limiter-attempts")
-    counted = blocks.last(F.when(F.col("outcome") == "success", F.struct("at", "attempt_id")), "cleared", blocks.total(failed.cast("int"), "upto"))
+    counted = blocks.total(failed.cast("int"), "upto", blocks.last(F.when(F.col("outcome") == "success", F.struct("at", "attempt_id")), "cleared"))
     counted = counted.withColumn("failures", F.col("upto") - failed.cast("int"))
     if max_failures > 0:
         numbered = counted.where(failed).select(F.col("key").alias("own_key"), (F.col("failures") + max_failures).alias("number"), F.col("at").alias("oldest"), F.struct("at", "attempt_id").alias("oldest_place"))
@@ -119,7 +125,14 @@ def replay_limiter(attempts: DataFrame, max_failures: int = 10, window: float =
         crowded = met.where((F.col("oldest") >= F.col("at") - window) & (F.col("cleared").isNull() | (F.col("oldest_place") > F.col("cleared"))))
     else:
         crowded = counted.withColumn("oldest", F.col("at"))
-    begins = _begins(stored(crowded.select("attempt_id", "key", "at", "oldest"), "limiter-crowded"), block).withColumn("begins", F.lit(True))
+    crowded = stored(crowded.select("attempt_id", "key", "at", "oldest"), "limiter-crowded")
+    hot = stored(crowded.groupBy("key").count().where(F.col("count") > key_rows).select(F.col("key").alias("hot")), "limiter-hot")
+    if hot.isEmpty():
+        begins = _begins_in_order(crowded, block)
+    else:
+        same = F.col("key").eqNullSafe(F.col("hot"))
+        begins = _begins_in_order(crowded.join(hot, same, "left_anti"), block).unionAll(_begins(stored(crowded.join(hot, same, "left_semi"), "limiter-far"), block))
+    begins = begins.withColumn("begins", F.lit(True))
     marked = Blocks(rows.join(begins, "attempt_id", "left"), ["key"], ["at", "attempt_id"], "limiter-begins")
     started = marked.last(F.when(F.col("begins"), F.col("at")), "start")
     left = F.col("start") + block - F.col("at")
@@ -127,8 +140,25 @@ def replay_limiter(attempts: DataFrame, max_failures: int = 10, window: float =
     return started.select("attempt_id", "key", (~F.coalesce("begins", F.lit(False)) & ~F.coalesce(left > 0, F.lit(False))).alias("allowed"), wait.alias("retry_after"))
 
 
+def _begins_in_order(crowded: DataFrame, block: float) -> DataFrame:
+    """attempt_id of those of crowded(attempt_id, key, at, oldest) that begin a block: one pass over each key, with one number as state."""
+
+    def run(batches):
+        key, end = None, None
+        for batch in batches:
+            begins = []
+            for k, at, oldest in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                if k != key or end is None:
+                    key, end = k, float("-inf")
+                begins.append(oldest >= end)
+                end = at + block if begins[-1] else end
+            yield batch.select(["attempt_id"]).filter(pa.array(begins, pa.bool_()))
+
+    return map_arrow(crowded.repartition("key").sortWithinPartitions("key", "at", "attempt_id"), run, "attempt_id long")
+
+
 def _begins(crowded: DataFrame, block: float) -> DataFrame:
-    """attempt_id of those of crowded(attempt_id, key, at, oldest) that begin a block; oldest does not fall in the order of (at, attempt_id)."""
+    """The same by doubling, for keys of any size; oldest does not fall in the order of (at, attempt_id)."""
     if crowded.isEmpty():
         return crowded.select("attempt_id")
     first = crowded.groupBy("key").agg(F.min(F.struct("at", "attempt_id")).alias("first")).select("first.attempt_id")

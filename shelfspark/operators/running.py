@@ -26,24 +26,26 @@ class Blocks:
         self.inside = Window.partitionBy(*keys, "__block").orderBy(*order)
         self.earlier = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
 
-    def _carry(self, rows: DataFrame, of_block: Column, before: Column) -> DataFrame:
-        """rows with __before: what ``before``, a window over the blocks of a group, makes of __value, which is of_block of each block."""
-        values = self.rows.groupBy(*self.keys, "__block").agg(of_block.alias("__value"), F.count(F.lit(1)).alias("n"))
+    def _carry(self, base: DataFrame, rows: DataFrame, of_block: Column, before: Column) -> DataFrame:
+        """rows with __before: what ``before``, a window over the blocks of a group, makes of __value, which is of_block of each block of base."""
+        values = base.groupBy(*self.keys, "__block").agg(of_block.alias("__value"), F.count(F.lit(1)).alias("n"))
         edges = values.withColumn("__before", before).where("__before is not null").select(*[F.col(k).alias(f"__of_{k}") for k in self.keys], F.col("__block").alias("__of_block"), "__before")
         same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in self.keys], F.col("__block") == F.col("__of_block"))
         return rows.join(F.broadcast(edges), same, "left").drop(*[f"__of_{k}" for k in self.keys], "__of_block")
 
     def total(self, weight: Column, column: str, rows: DataFrame | None = None) -> DataFrame:
-        """The rows with ``column``: the sum of weight over the rows of the group up to this one."""
-        rows = (self.rows if rows is None else rows).withColumn("__inside", F.sum(weight.cast("long")).over(self.inside.rowsBetween(Window.unboundedPreceding, 0)))
-        carried = self._carry(rows, F.sum(weight.cast("long")), F.sum("__value").over(self.earlier))
+        """The rows, or those given of this class, with ``column``: the sum of weight over the rows of the group up to this one."""
+        base = self.rows if rows is None else rows
+        rows = base.withColumn("__inside", F.sum(weight.cast("long")).over(self.inside.rowsBetween(Window.unboundedPreceding, 0)))
+        carried = self._carry(base, rows, F.sum(weight.cast("long")), F.sum("__value").over(self.earlier))
         return carried.withColumn(column, F.col("__inside") + F.coalesce("__before", F.lit(0))).drop("__inside", "__before")
 
     def last(self, value: Column, column: str, rows: DataFrame | None = None) -> DataFrame:
         """The rows with ``column``: the last value that is not null among the rows of the group before this one, else null."""
-        rows = (self.rows if rows is None else rows).withColumn("__inside", F.last(value, ignorenulls=True).over(self.inside.rowsBetween(Window.unboundedPreceding, -1)))
+        base = self.rows if rows is None else rows
+        rows = base.withColumn("__inside", F.last(value, ignorenulls=True).over(self.inside.rowsBetween(Window.unboundedPreceding, -1)))
         place = F.struct(*self.order) if len(self.order) > 1 else F.col(self.order[0])
-        carried = self._carry(rows, F.max_by(value, F.when(value.isNotNull(), place)), F.last("__value", ignorenulls=True).over(self.earlier))
+        carried = self._carry(base, rows, F.max_by(value, F.when(value.isNotNull(), place)), F.last("__value", ignorenulls=True).over(self.earlier))
         return carried.withColumn(column, F.coalesce("__inside", "__before")).drop("__inside", "__before")
 
     def discard(self) -> None:

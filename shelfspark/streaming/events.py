@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.window import Window
 
-from shelfspark.operators.running import Blocks, running_total
+from shelfspark.operators.running import Blocks
 from shelfspark.shipping import ship
 from shelfspark.streaming.limiter import answers
 
@@ -30,9 +30,8 @@ def debounced_refresh(events: DataFrame, seconds: int, key: str = "library") ->
     blocks = Blocks(events.select(key, "ts"), [key], ["ts"], "refresh-events")
     timed = blocks.last(F.col("ts"), "before")
     gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("before").cast("timestamp"))
-    first = timed.where(gap >= seconds * 1_000_000).select(key, "ts").distinct().withColumn("begins", F.lit(1))
-    marked = timed.select(key, "ts").withColumn("begins", F.lit(0)).unionByName(first)  # a begin comes before the events of its time
-    period = running_total(marked.withColumn("place", -F.col("begins")), [key], ["ts", "place"], F.col("begins"), "refresh-periods", "period").where("begins = 0")
+    begins = F.when(gap >= seconds * 1_000_000, 1).otherwise(0)
+    period = blocks.total(begins, "period", timed)
     return period.groupBy(key, "period").agg(F.max("ts").alias("last"), F.count(F.lit(1)).alias("events")).select(key, (F.col("last") + F.expr(f"INTERVAL '{seconds}' SECOND")).alias("refreshed_at"), "events")
 
 

@@ -358,7 +358,8 @@ def test_a_chain_of_requests_takes_one_round(spark):
     assert [i for (i,) in pairs(accounts._accepted(frame, 4000), "request_id")] == _accepted_by_loop(chain)
 
 
-def test_one_key_with_all_rows(spark):
+@pytest.mark.parametrize("key_rows", [0, 150, 10**5])
+def test_one_key_with_all_rows(spark, key_rows):
     """Windows over one key run over range blocks and give what a loop gives."""
     r = random.Random(8)
     at = sorted(r.randrange(40_000) for _ in range(900))
@@ -369,7 +370,7 @@ def test_one_key_with_all_rows(spark):
     for i, key, ts, _ in rows:
         near = [x for x in rows if x[1] == key and ts - dt.timedelta(seconds=300) <= x[2] <= ts and x[3] == "failure"]
         assert counts[i] == len(near) + (again and rows[5] in near)
-    got = {x["attempt_id"]: (x["allowed"], x["retry_after"]) for x in access.replay_limiter(attempts, 4, 300, 120).collect()}
+    got = {x["attempt_id"]: (x["allowed"], x["retry_after"]) for x in access.replay_limiter(attempts, 4, 300, 120, key_rows).collect()}
     for key in ("k", None):
         own = [x for x in rows if x[1] == key]
         made, _, _ = limiter.answers([((ts - dt.datetime(1970, 1, 1)).total_seconds(), o) for _, _, ts, o in own], [], 0.0, 4, 300, 120)
