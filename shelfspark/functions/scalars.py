@@ -121,14 +121,22 @@ def mask_secret(text: Column) -> Column:
     return F.when(F.coalesce(text, F.lit("")) == "", text).otherwise("****")
 
 
+# The texts of refusals.
+NAME_MISSING = "Username is required"
+NAME_WRONG = "Username must be 3-32 characters and contain only letters, numbers, underscores, and hyphens"
+PASSWORD_MISSING = "Password is required"
+PASSWORD_SHORT = "Password must be at least 8 characters"
+PASSWORD_LONG = "Password must be at most 128 characters"
+
+
 def username_error(name: Column) -> Column:
     """Why a user name is refused; null if it is fine."""
-    return F.when(F.coalesce(name, F.lit("")) == "", "Username is required").when(~name.rlike(r"^[a-zA-Z0-9_-]{3,32}\z"), "Username must be 3-32 characters and contain only letters, numbers, underscores, and hyphens")
+    return F.when(F.coalesce(name, F.lit("")) == "", NAME_MISSING).when(~name.rlike(r"^[a-zA-Z0-9_-]{3,32}\z"), NAME_WRONG)
 
 
 def password_error(password: Column) -> Column:
     n = F.char_length(password)
-    return F.when(F.coalesce(password, F.lit("")) == "", "Password is required").when(n < 8, "Password must be at least 8 characters").when(n > 128, "Password must be at most 128 characters")
+    return F.when(F.coalesce(password, F.lit("")) == "", PASSWORD_MISSING).when(n < 8, PASSWORD_SHORT).when(n > 128, PASSWORD_LONG)
 
 
 def normalize_role(role: Column) -> Column:

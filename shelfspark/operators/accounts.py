@@ -149,7 +149,7 @@ def register(requests: DataFrame, users: DataFrame, invites: DataFrame, mode: st
     """
     name = F.trim(F.coalesce("username", F.lit("")))
     length = F.coalesce("password_length", F.lit(0))
-    password = F.when(length == 0, "Password is required").when(length < 8, "Password must be at least 8 characters").when(length > 128, "Password must be at most 128 characters")
+    password = F.when(length == 0, scalars.PASSWORD_MISSING).when(length < 8, scalars.PASSWORD_SHORT).when(length > 128, scalars.PASSWORD_LONG)
     known = users.select(F.col("username").alias("known_name")).distinct()
     open_ = invites.where((F.coalesce("used_by", F.lit("")) == "") & (F.col("expires_at") >= now)).select(F.col("code").alias("open_code"), F.col("role").alias("invite_role")).dropDuplicates(["open_code"])
     rows = requests.select("request_id", name.alias("username"), password.alias("password_error"), F.coalesce("invite_code", F.lit("")).alias("invite_code"))
