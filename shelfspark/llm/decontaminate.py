@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm.shared import discard, keyed, stored, table, without
+from shelfspark.llm.shared import discard, keyed, own_names, stored, table, without
 from shelfspark.llm.words import NOT_ALNUM, chunks, word_hashes
 from shelfspark.operators.running import running_total
 from shelfspark.shipping import map_arrow
@@ -437,6 +437,7 @@ def longest_matches(found: DataFrame) -> DataFrame:
     return best.select("item_id", (-F.col("b.less")).alias("longest"), "b.doc_id", "b.start")
 
 
+@own_names
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs without any benchmark window; all columns stay. Rows are decided one by one, whatever their ids. Only rows
     that a bitmap of the contaminated ones flags are shuffled."""

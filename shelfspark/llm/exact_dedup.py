@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from shelfspark.llm.shared import discard, flagged, stored, table
+from shelfspark.llm.shared import discard, flagged, own_names, stored, table
 
 #: Deepest directory: at most 2**MAX_DEPTH slots, whatever the corpus, so that the directory may be broadcast.
 MAX_DEPTH = 16
@@ -98,6 +98,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return found.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "bucket", "local_depth", "chain_pos", *also)
 
 
+@own_names
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of docs for each text, of those with its smallest id; all columns stay. Rows are decided one by one, so an id may repeat or be null.
 

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from shelfspark.llm.components import connected_components, forest
-from shelfspark.llm.shared import discard, flagged, keyed, numbered, stored, table, without
+from shelfspark.llm.shared import discard, flagged, keyed, numbered, own_names, stored, table, without
 from shelfspark.llm.words import SPACES, chunks, mix, word_hashes
 from shelfspark.shipping import map_arrow
 
@@ -522,6 +522,7 @@ def _near_duplicates(docs: DataFrame, width: int, num: int, den: int) -> DataFra
     return own.join(named, keys, "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
+@own_names
 def drop_near_copies(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of docs for each component, of those with its smallest id; all columns stay.
 

@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from shelfspark.shared import discard, shared_path, stored
 
-__all__ = ["discard", "flagged", "keyed", "numbered", "shared_path", "stored", "table", "without"]
+__all__ = ["discard", "flagged", "keyed", "numbered", "own_names", "shared_path", "stored", "table", "without"]
+
+
+def own_names(stage):
+    """A stage whose columns that begin with two underscores, as the helper columns of operators do, have other names while it runs."""
+
+    @functools.wraps(stage)
+    def run(docs: DataFrame, *args, **named) -> DataFrame:
+        other = {c: f"column {i} of docs" for i, c in enumerate(docs.columns) if c.startswith("__")}
+        there = lambda value: other.get(value, value) if isinstance(value, str) else value
+        out = stage(docs.withColumnsRenamed(other), *map(there, args), **{k: there(v) for k, v in named.items()})
+        return out.withColumnsRenamed({v: k for k, v in other.items()})
+
+    return run
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:
