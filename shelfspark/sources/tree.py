@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime as dt
 import os
 from collections.abc import Iterator
+from itertools import batched
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -58,26 +59,30 @@ def list_tree(spark: SparkSession, root: str) -> DataFrame:
     """
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
+    def made(rows):
+        kinds = (pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["rel_path", "folder", "size", "mtime_us", "file_id"])
+
+    def entries_below(top: str, limit: int):
+        queue = [top]
+        for n in range(limit):
+            if n >= len(queue):
+                return
+            below = f"{queue[n]}/" if queue[n] else ""
+            for name, folder, *rest in _listed(f"{root}/{queue[n]}" if queue[n] else root):
+                if not folder:
+                    yield below + name.encode("utf-8", "surrogateescape").decode("utf-8", "replace"), False, *rest
+                elif not name.startswith("."):
+                    queue.append(below + name)
+        for rel in queue[limit:]:
+            yield rel, True, 0, 0, None
+
     def listing(limit: int):
         def run(batches):
             for batch in batches:
                 for top in batch.column(0).to_pylist():
-                    rows, queue = [], [top]
-                    for n in range(limit):
-                        if n >= len(queue):
-                            break
-                        below = f"{queue[n]}/" if queue[n] else ""
-                        for name, folder, *rest in _listed(f"{root}/{queue[n]}" if queue[n] else root):
-                            shown = name.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
-                            if not folder:
-                                rows.append((below + shown, False, *rest))
-                            elif not name.startswith("."):
-                                queue.append(below + name)
-                    rows += [(rel, True, 0, 0, None) for rel in queue[limit:]]
-                    for lo in range(0, len(rows), 10_000):
-                        columns = list(zip(*rows[lo : lo + 10_000], strict=True))
-                        kinds = (pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.string())
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["rel_path", "folder", "size", "mtime_us", "file_id"])
+                    for rows in batched(entries_below(top, limit), 10_000):
+                        yield made(rows)
 
         return run
 
