@@ -6,16 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from shelfspark.operators.running import running_total
+
 
 def current_progress(updates: DataFrame) -> DataFrame:
     """The state after every one of updates(job, ts, id, fields map<string,string>).
 
     Later updates overwrite only the keys that they carry, with null too. ``done`` clears the state, so a job whose last
-    update is done has none; started_at is the time of the first update since. One row per running job.
+    update is done has none; started_at is the time of the first update since. One row per running job. Updates are counted over
+    range blocks and folded before they meet, so a job may have any number.
     """
-    order = Window.partitionBy("job").orderBy("ts", "id")
     done = F.coalesce(F.try_element_at("fields", F.lit("status")) == "done", F.lit(False))
-    numbered = updates.withColumn("segment", F.coalesce(F.sum(F.when(done, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("done", done)
+    counted = running_total(updates.withColumn("done", done), ["job"], ["ts", "id"], F.col("done").cast("int"), "progress-updates", "upto")
+    numbered = counted.withColumn("segment", F.col("upto") - F.col("done").cast("int"))
     ended = numbered.groupBy("job", "segment").agg(F.bool_or("done").alias("ended"), F.min("ts").alias("started_at"), F.max("ts").alias("updated_at"))
     last = ended.groupBy("job").agg(F.max_by(F.struct("segment", "ended", "started_at", "updated_at"), "segment").alias("s")).select("job", "s.*").where("not ended")
     keys = numbered.select("job", "segment", "ts", "id", F.explode("fields").alias("key", "value")).groupBy("job", "segment", "key").agg(F.max_by(F.struct("value"), F.struct("ts", "id")).alias("last"))
