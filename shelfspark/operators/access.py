@@ -126,10 +126,11 @@ def replay_limiter(attempts: DataFrame, max_failures: int = 10, window: float =
     else:
         crowded = counted.withColumn("oldest", F.col("at"))
     crowded = stored(crowded.select("attempt_id", "key", "at", "oldest"), "limiter-crowded")
-    hot = stored(crowded.groupBy("key").count().where(F.col("count") > key_rows).select(F.col("key").alias("hot")), "limiter-hot")
+    hot = crowded.groupBy("key").count().where(F.col("count") > key_rows).select(F.col("key").alias("hot"))
     if hot.isEmpty():
         begins = _begins_in_order(crowded, block)
     else:
+        hot = stored(hot, "limiter-hot")
         same = F.col("key").eqNullSafe(F.col("hot"))
         begins = _begins_in_order(crowded.join(hot, same, "left_anti"), block).unionAll(_begins(stored(crowded.join(hot, same, "left_semi"), "limiter-far"), block))
     begins = begins.withColumn("begins", F.lit(True))

@@ -252,9 +252,10 @@ def unique_names(incoming: DataFrame, existing: DataFrame, family_rows: int = FA
     asked = incoming.select("id", "name").withColumn("family", _family(F.col("name")))
     held = existing.select("name").distinct().withColumn("family", _family(F.col("name"))).join(asked.select("family").distinct(), "family", "left_semi")
     both = stored(asked.select("family", "name", "id", F.lit(True).alias("asks")).unionByName(held.select("family", "name", F.lit(None).cast(incoming.schema["id"].dataType).alias("id"), F.lit(False).alias("asks"))), "names")
-    large = stored(both.groupBy("family").count().where((F.col("count") > family_rows) & ~F.col("family").endswith(".")).select("family"), "names-large")
+    large = both.groupBy("family").count().where((F.col("count") > family_rows) & ~F.col("family").endswith(".")).select("family")
     if large.isEmpty():
         return _named_in_order(both)
+    large = stored(large, "names-large")
     near = both.join(large, "family", "left_anti")
     far = stored(both.join(large, "family", "left_semi"), "names-far")
     return _named_in_order(near).unionByName(_named_by_totals(far.where("asks").select("id", "name"), far.where("not asks").select("name")))
