@@ -41,6 +41,12 @@ def rename(spark: SparkSession, path: str, to: str) -> None:
         raise OSError(f"{path} could not be renamed to {to}")
 
 
+def make(spark: SparkSession, path: str) -> None:
+    """A folder, if it is not there yet."""
+    folder, fs = _folder(spark, path)
+    fs.mkdirs(folder)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     folder, fs = _folder(spark, path)
     fs.delete(folder, True)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from shelfspark.functions import paths
 from shelfspark.shared import stored
 from shelfspark.shipping import map_arrow
-from shelfspark.sources.places import delete, entries, is_whole, place, rename, versions
+from shelfspark.sources.places import delete, entries, is_whole, make, place, rename, versions
 
 _ROW = "rel_path string, folder boolean, size long, mtime_us long, file_id string"
 #: Folders that a task lists below one folder of the frontier before it hands the rest to the next round.
@@ -149,6 +149,7 @@ def poll_tree(spark: SparkSession, root: str, home: str, existing: bool = False)
 
 def watch_tree(spark: SparkSession, root: str, home: str, seconds: float = 5, existing: bool = False):
     """A streaming query that polls the tree every so many seconds; ``stream_files(spark, home + "/events")`` reads its events."""
+    make(spark, f"{home}/events")  # where a stream may begin to read at once
     ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
     poll = lambda batch, number: poll_tree(batch.sparkSession, root, home, existing)
     return ticks.writeStream.foreachBatch(poll).option("checkpointLocation", f"{home}/ticks").trigger(processingTime=f"{int(seconds * 1000)} milliseconds").start()

@@ -283,6 +283,7 @@ def test_a_tree_is_watched(spark, tmp_path):
 def test_a_watch_is_a_stream(spark, tmp_path):
     (tmp_path / "t").mkdir()
     query = tree_module.watch_tree(spark, f"{tmp_path}/t", f"{tmp_path}/home", seconds=0.2)
+    assert files.stream_files(spark, f"{tmp_path}/home/events").isStreaming
     try:
         wait = lambda done: next((True for _ in range(300) if done() or time.sleep(0.2)), False)
         assert wait(lambda: len(tree_module.polls(spark, f"{tmp_path}/home")) > 0)
