@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm.byte_bpe import CALL_CHARS, KEPT_CHARS, LATIN_END, _Kept, _pieces
+from shelfspark.llm.byte_bpe import CALL_CHARS, LATIN_END, _pieces, byte_characters
 from shelfspark.llm.range_coder import BLOCK_IDS, LANES, decode_blocks, encode_blocks
 from shelfspark.llm.shared import discard, shared_path, stored, table
 from shelfspark.operators.running import running_total
@@ -37,51 +37,116 @@ from shelfspark.shipping import map_arrow
 
 #: Ids after which a file ends with the document; three quarters of them are meant for a task.
 FILE_IDS = BLOCK_IDS * LANES
-MAGIC = b"TOKENID1"
+MAGIC = b"TOKENID2"
+#: Characters of distinct fields that a worker remembers, and of distinct words.
+KEPT_CHARS = 5_000_000
 _END = struct.Struct("<4QI8s")  # documents, ids, block length, blocks, checksum of the footer, MAGIC
 
 
 # --- encoding ---------------------------------------------------------------------
 
 
+class _Kept(dict):
+    """Strings that are encoded already: the number of each, and the ids of number k from starts[k] to starts[k + 1].
+
+    A string that is looked up for the first time gets the next number and waits in ``new`` for its ids.
+    """
+
+    def __init__(self):
+        self.clear()
+
+    def __missing__(self, string: str) -> int:
+        self.new.append(string)
+        self[string] = number = len(self)
+        return number
+
+    def clear(self) -> None:
+        super().clear()
+        self.new, self.ids, self.starts, self.chars = [], np.empty(0, np.uint32), np.zeros(1, np.int64), 0
+
+    def numbers(self, strings: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, strings), np.int64, len(strings))
+
+    def add(self, ids: np.ndarray, ends: np.ndarray) -> None:
+        """The ids of the strings in ``new``, one after the other, and where those of each end."""
+        self.starts = np.concatenate([self.starts, ends + len(self.ids)])
+        self.ids = np.concatenate([self.ids, ids])
+        self.chars += sum(map(len, self.new))
+        self.new = []
+
+    def gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these numbers one after the other, and how many there are up to each."""
+        begin = self.starts[which]
+        n = self.starts[which + 1] - begin
+        after = np.cumsum(n)
+        return self.ids[np.repeat(begin - after + n, n) + np.arange(after[-1] if len(after) else 0)], after
+
+
 @functools.lru_cache(maxsize=2)
 def _loaded(spec: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores belong to Spark's tasks
     from tokenizers import Tokenizer, pre_tokenizers
 
     whole, made = Tokenizer.from_str(spec), json.loads(spec)
-    words = Tokenizer.from_str(json.dumps(made | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}))
-    words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    lines = Tokenizer.from_str(json.dumps(made | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}))
+    lines.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
     suffix = made["model"]["end_of_word_suffix"]
     ends = np.zeros(max(made["model"]["vocab"].values()) + 1, bool)
     ends[[i for token, i in made["model"]["vocab"].items() if token.endswith(suffix)]] = True
-    pattern = regex.compile(made["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-    return whole, words, ends, pattern.findall, [t["content"] for t in made["added_tokens"]], _Kept()
+    pattern = made["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+    find = regex.compile(pattern).findall, regex.compile("\n|" + pattern).findall
+    return whole, lines, ends, find, [t["content"] for t in made["added_tokens"]], _Kept(), _Kept()
+
+
+#: The vocabulary's character for each byte, but a line end, which stands between words.
+_WRITTEN = {i: c for i, c in enumerate(byte_characters()) if i != 10}
+
+
+def _is_latin(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")  # far faster than a look at each character
+        return True
+    except UnicodeEncodeError:
+        return max(text) <= LATIN_END
+
+
+def _learn(spec: str) -> None:
+    """The ids of the fields that are new, by the words in them; each new word goes to the library once."""
+    _, lines, is_end, (_, find), _, fields, words = _loaded(spec)
+    if words.chars > KEPT_CHARS:
+        words.clear()
+    if not words:
+        words["\n"] = 0  # has no ids
+        words.add(np.empty(0, np.uint32), np.zeros(1, np.int64))
+    of = words.numbers(find("\n".join([*fields.new, ""])))  # the words of each field, and a line end
+    if words.new:
+        written = "\n".join(words.new).encode().decode("latin-1").translate(_WRITTEN)
+        ids = np.array(lines.encode_batch_fast([written], add_special_tokens=False)[0].ids, np.uint32)
+        words.add(ids, np.flatnonzero(is_end[ids]) + 1)
+    ids, after = words.gather(of)
+    fields.add(ids, after[of == 0])
 
 
 def encode_texts(spec: str, texts: list[str]) -> Iterator[np.ndarray]:
     """The ids of each text, as the library gives them for the whole text without added special tokens.
 
-    Words of Latin text are cut by the tokenizer's own pattern after lowering, and each distinct word goes to the library once
-    in about CALL_CHARS characters; its last token is the one with the end-of-word suffix. Texts with other scripts, or with
-    the string of a special token (which the library takes as that token), go to the library in pieces that end between words.
+    Latin text is lowered and cut at white space, which no match of the tokenizer's own pattern crosses. Each distinct field in about
+    CALL_CHARS characters is cut into words by that pattern, and each distinct word goes to the library once; its last token is the
+    one with the end-of-word suffix. Both are remembered. Texts with other scripts, or with the string of a special token (which the
+    library takes as that token), go to the library in pieces that end between words.
     """
-    whole, tokenizer, is_end, words_of, special, kept = _loaded(spec)
+    whole, _, _, (words_of, _), special, kept, _ = _loaded(spec)
 
     def flush(held: list) -> Iterator[np.ndarray]:
-        words = list(chain.from_iterable(x for x in held if isinstance(x, list)))
+        fields = list(chain.from_iterable(x for x in held if isinstance(x, list)))
         if kept.chars > KEPT_CHARS:
             kept.clear()
-        known = list(map(kept.number.get, words))
-        if new := list({w for w, k in zip(words, known, strict=True) if k is None}):
-            ids = np.array(tokenizer.encode_batch_fast([new], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint32)
-            kept.add(new, ids, np.flatnonzero(is_end[ids]) + 1)
-            known = list(map(kept.number.__getitem__, words))
-        which = np.array(known, np.int64)
-        begin = kept.starts[which]
-        n = kept.starts[which + 1] - begin
-        after = np.cumsum(n)
-        ids = kept.ids[np.repeat(begin - after + n, n) + np.arange(after[-1] if len(after) else 0)]
+        known = kept.numbers(fields)
+        if kept.new:
+            _learn(spec)
+        ids, after = kept.gather(known)
         ends, at = np.r_[0, after], 0
         for x in held:
             if isinstance(x, list):
@@ -92,8 +157,10 @@ def encode_texts(spec: str, texts: list[str]) -> Iterator[np.ndarray]:
 
     held, chars = [], 0
     for text in texts:
-        if (text.isascii() or max(text) <= LATIN_END) and not any(s in text for s in special):
-            held.append(words_of(text.lower()))
+        if _is_latin(text) and not any(s in text for s in special):
+            low = text.lower()
+            # str.split cuts at four characters that are no white space to the library
+            held.append(words_of(low) if any(c in low for c in "\x1c\x1d\x1e\x1f") else low.split())
         else:
             held.append(np.concatenate([np.array(e.ids, np.uint32) for e in whole.encode_batch_fast(_pieces(text), add_special_tokens=False)]))
         chars += len(text)
@@ -118,7 +185,8 @@ def encode(docs: DataFrame, spec: str, end_id: int | None = None, id_col: str =
                 part = batch.slice(lo, 512)
                 got = [np.r_[ids, tail].astype("<u2") for ids in encode_texts(shared.value, part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(map(len, got)), pa.int64()), pa.array([g.tobytes() for g in got], pa.binary())], names=["doc_id", "n_tokens", "ids"])
-        _loaded(shared.value)[-1].clear()
+        for kept in _loaded(shared.value)[-2:]:
+            kept.clear()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return map_arrow(rows, run, "doc_id long, n_tokens long, ids binary")
