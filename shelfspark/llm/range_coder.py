@@ -71,7 +71,7 @@ class _Model:
         two = (self.seen[:, :, 2] + first2) / n * shares * (sure2 > 0)
         both = (self.seen[:, :, 1] + first1) / n * shares * (sure1 > 0) + two
         self.shares = np.floor(both * (1 / _PLACES)) * _PLACES
-        self.share2 = np.floor(two * (self.shares / np.maximum(both, 1))).reshape(-1)
+        self.share2 = np.where(sure1 > 0, np.floor(two * (self.shares / np.maximum(both, 1))), self.shares * (sure2 > 0)).reshape(-1)
         self.shares = self.shares.reshape(-1)
 
     def learn(self, slot1, slot2, old1, old2, ids) -> None:
@@ -161,15 +161,18 @@ class _Digits:
         part *= size
         self.width[lanes] = part
         small = (part < _LOW).nonzero()[0]
-        if len(small):
-            if not isinstance(lanes, slice):
-                small = lanes[small]
+        if not isinstance(lanes, slice):
+            small = lanes[small]
+        while len(small):  # a new id may need two digits
             low, at = self.low[small], self.at[small]
             digit = np.floor(low * (1 / _LOW))
             self.out[at] = digit  # may hold a carry, which is passed on at the end
             self.at[small] = at + 1
             self.low[small] = (low - digit * _LOW) * _DIGIT
             self.width[small] *= _DIGIT
+            if isinstance(lanes, slice):
+                break
+            small = small[self.width[small] < _LOW]
 
     def done(self) -> list[bytes]:
         for _ in range(3):
@@ -304,7 +307,7 @@ def decode_blocks(blocks: list[bytes], lengths) -> list[np.ndarray]:
     model.nothing()
     ids, by_lane = np.zeros((steps, n), np.int32), np.zeros((n, steps), np.int32)
     longest = max(np.diff([0, *_times(steps), steps]))
-    slot1, slot2 = np.zeros((2, longest, n), np.int64)
+    slot1, slot2 = np.tile(model.slot0, (2, longest, 1))  # blocks that have ended stay in their own slots
     old1, old2 = np.zeros((2, longest, n), np.int32)
     before = np.zeros(n, np.int64)  # what the last id but one adds
     lane0, upper0 = np.arange(n) * _PLACES, np.arange(n) * _UPPER_PLACES
@@ -320,13 +323,14 @@ def decode_blocks(blocks: list[bytes], lengths) -> list[np.ndarray]:
         part *= size
         width[lanes] = part
         small = (part < _LOW).nonzero()[0]
-        if len(small):
-            if not isinstance(lanes, slice):
-                small = lanes[small]
+        if not isinstance(lanes, slice):
+            small = lanes[small]
+        for _ in range(1 if isinstance(lanes, slice) else 2):
             where = at[small]
             value[small] = value[small] * _DIGIT + digits[where]
             at[small] = np.minimum(where + 1, last[small])
             width[small] *= _DIGIT
+            small = small[width[small] < _LOW] if not isinstance(lanes, slice) else small
 
     k, times = n, [0, *_times(steps), steps]
     for lo, hi in zip(times[:-1], times[1:], strict=True):

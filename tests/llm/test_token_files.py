@@ -118,3 +118,13 @@ def test_remembered_fields_equal_the_library(library):
     for _ in range(2):  # the second time all fields are known
         got = list(token_files.encode_texts(token_files.public_spec(), texts * 2))
         assert [g.tolist() for g in got] == [library(t) for t in texts * 2]
+
+
+@pytest.mark.parametrize("block", [17, 1023, 3073, 4096])
+def test_few_and_odd_ids_come_back_from_blocks_of_all_lengths(block):
+    random = np.random.default_rng(36)
+    noisy = np.where(random.random(14_000) < 0.1, random.integers(0, 65536, 14_000), np.tile(random.integers(0, 65536, 150), 94)[:14_000])
+    for ids in (random.integers(0, 2, 14_000), random.integers(0, 3, 14_000), noisy, np.zeros(14_000, np.int64)):
+        blocks = range_coder.encode_blocks(ids, block)
+        lengths = [min(block, 14_000 - block * i) for i in range(len(blocks))]
+        assert (np.concatenate(range_coder.decode_blocks(blocks, lengths)) == ids).all()
