@@ -16,8 +16,11 @@ into groups twice:
   bounds are verified on the token sets.
 
 Sets that are equal are one point, so copies cost nothing. A candidate group with
-more points than one task takes is first linked to its most central set; pairs
-inside that component need no test, and the rest meets the group block by block.
+more points than one task takes is split by another hash, then by rare tokens: of
+two linked sets, the rarest fifth (or so) of the tokens of each share one. What
+is still larger is linked to its most central set; pairs inside that component
+need no test, and the rest meets the group block by block, a bounded number of
+pairs of blocks at a time.
 
 One row per document leaves: its set size and the smallest id that links reach.
 Pairs are never expanded, and nothing but single figures reaches the driver.
@@ -40,6 +43,11 @@ from shelfspark.shipping import map_arrow
 
 #: Points of a candidate group that one task joins, and of a block where there are more; and shingles of both, which bound the bytes.
 BLOCK, UNIT_TOKENS = 256, 2**22
+#: Where a group meets block by block: times BLOCK that such a block has, with half of UNIT_TOKENS at most, for each block is sent to a
+#: task once for every block that it meets; and pairs of blocks that are sent at once, if these are not more than half of the blocks.
+MEET_BLOCKS, MEET_PAIRS = 8, 64
+#: Bits of the hash by which the sets with a token are counted. A count decides how many candidates there are, never which links are found.
+OFTEN_BITS, OFTEN_PARTS = 20, 64
 #: Keys that a task holds before it writes them, and that a partition gets.
 HELD_KEYS, PARTITION_KEYS = 1_000_000, 1_000_000
 #: Hash attempts of a set that leaves too many groups empty.
@@ -146,6 +154,24 @@ def group_keys(tokens: np.ndarray, first: np.ndarray, num: int, den: int, seed:
     return np.concatenate(keys), np.concatenate(texts)
 
 
+def often_slots(tokens: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    """Where each token of a group, whose hash is salt, is counted."""
+    return (mix(tokens ^ salt) >> np.uint64(64 - OFTEN_BITS)).astype(np.int64)
+
+
+def rare_keys(tokens: np.ndarray, first: np.ndarray, num: int, den: int, often: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, text): the rarest tokens of every set, by the counts ``often``, and the number of its text; salt has the hash of each text's group.
+
+    A linked set of n tokens has n * num / den or more of them in common with the other one. So of its rarest tokens, one more than those
+    that may lack there, one is common; the rarest common one is among the rarest of both, as all sets have one order.
+    """
+    sizes = np.diff(first)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((tokens, often[often_slots(tokens, salt[owner])], owner))
+    take = np.arange(len(tokens)) - first[owner] <= (sizes - -(-sizes * num // den))[owner]
+    return tokens[order][take], owner[take]
+
+
 def stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(keys, ids, a, b): every key once with its smallest id, and distinct edges from the other ids to it."""
     order = np.lexsort((ids, keys))
@@ -312,13 +338,43 @@ def _common_tokens(prints: DataFrame) -> np.ndarray:
     return np.sort(np.array([r["key_a"] for r in top], np.int64).view(np.uint64))
 
 
-def _shared_keys(docs: DataFrame, width: int, num: int, den: int, buckets: int, common: np.ndarray, seed: int = 0) -> DataFrame:
+def _often(docs: DataFrame, width: int) -> np.ndarray:
+    """How many sets of docs(doc_id, text, group) have each token, counted by group and hash: 2**OFTEN_BITS numbers."""
+    size = 2**OFTEN_BITS // OFTEN_PARTS
+
+    def count(batches):
+        often = np.zeros(2**OFTEN_BITS, np.int64)
+        for batch in batches:
+            for part in chunks(batch, 1):
+                tokens, first = token_sets(part.column(1), width)
+                salt = mix(part.column(2).to_numpy(zero_copy_only=False).view(np.uint64))
+                often += np.bincount(often_slots(tokens, np.repeat(salt, np.diff(first))), minlength=len(often))
+        if often.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(OFTEN_PARTS), pa.int32()), pa.array([_planes(x) for x in often.reshape(-1, size)], pa.binary())], names=["part", "counts"])
+
+    def total(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sums[part] = sums.get(part, 0) + _from_planes(counts, np.int64)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "counts"])
+
+    schema = "part int, counts binary"
+    often = np.zeros((OFTEN_PARTS, size), np.int64)
+    for r in map_arrow(map_arrow(docs, count, schema).repartition("part"), total, schema).collect():  # 8 MB in all
+        often[r["part"]] = np.frombuffer(r["counts"], np.int64)
+    return often.ravel()
+
+
+def _shared_keys(docs: DataFrame, width: int, buckets: int, keys_of, known: np.ndarray) -> DataFrame:
     """Edges (a, b) between ids of docs(doc_id, text, group) whose sets share a candidate key and whose groups are the same.
 
+    keys_of(tokens, first, known, salt) gives the keys, and of which text each is; salt has the hash of each text's group.
     A task folds the keys that it holds to one id each and passes edges for the others on; keys then meet by bucket.
     """
     schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary())])
-    sent = docs.sparkSession.sparkContext.broadcast(common)
+    sent = docs.sparkSession.sparkContext.broadcast(known)
 
     def spread(batches):
         keys, ids, held = [], [], 0
@@ -343,8 +399,9 @@ def _shared_keys(docs: DataFrame, width: int, num: int, den: int, buckets: int,
         for batch in batches:
             for part in chunks(batch, 1):
                 tokens, first = token_sets(part.column(1), width)
-                own, text = group_keys(tokens, first, num, den, seed, sent.value)
-                own = own ^ mix(part.column(2).to_numpy(zero_copy_only=False)[text].view(np.uint64))
+                salt = mix(part.column(2).to_numpy(zero_copy_only=False).view(np.uint64))
+                own, text = keys_of(tokens, first, sent.value, salt)
+                own = own ^ salt[text]
                 named = part.column(0).is_valid().to_numpy(zero_copy_only=False)[text]
                 keys.append(own[named])
                 ids.append(part.column(0).fill_null(0).to_numpy(zero_copy_only=False)[text[named]])
@@ -424,7 +481,7 @@ def _large_links(sets: DataFrame, num: int, den: int) -> DataFrame:
 
     The tokens that most of a small sample share stand for the centre; the set nearest to them is the hub (ties: smallest id), or the
     first one where a group of few but large sets has no sample.
-    Sets that link with the hub are one component. The others meet all sets of the group, block by block.
+    Sets that link with the hub are one component. The others meet all sets of the group, block by block, in rounds.
     """
     sample = sets.where(F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / 64)) == 0)
 
@@ -437,18 +494,25 @@ def _large_links(sets: DataFrame, num: int, den: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["group", "tokens"])
 
     centres = map_arrow(sample.groupBy("group").agg(F.collect_list("tokens").alias("many")), centre, "group long, tokens binary")
-    hubs = stored(_overlap_with(sets, centres, "left").groupBy("group").agg(F.max_by("id", F.struct("similarity", -F.col("id"))).alias("hub")), "ngram-hubs")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / (MEET_BLOCKS * BLOCK), F.sum("size") / (UNIT_TOKENS / 2)))
+    hubs = stored(_overlap_with(sets, centres, "left").groupBy("group").agg(F.max_by("id", F.struct("similarity", -F.col("id"))).alias("hub"), blocks.alias("blocks")), "ngram-hubs")
     hub_tokens = sets.join(hubs, (sets["group"] == hubs["group"]) & (sets["id"] == hubs["hub"])).select(sets["group"], "tokens").dropDuplicates(["group"])
     tested = _overlap_with(sets, hub_tokens).withColumn("known", F.col("overlap") * (num + den) >= num * (F.col("size") + F.col("other_size")))
-    tested = stored(tested.join(hubs, "group").join(sets.select("id", "members"), "id").select("group", "id", "tokens", "known", "hub", "members"), "ngram-tested")
-    to_hub = tested.where(F.col("known") & (F.col("id") != F.col("hub"))).select(F.col("id").alias("a"), F.col("hub").alias("b"))
-    blocked = tested.withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / BLOCK)))
-    rest = blocked.where(~F.col("known"))
-    meet = rest.select("group", F.col("block").alias("rest_block")).distinct().join(blocked.select("group", "block").distinct(), "group").select("group", "rest_block", F.col("block"), F.xxhash64("group", "rest_block", "block").alias("unit"))
-    left = rest.select("group", F.col("block").alias("rest_block"), "id", "tokens", "known").join(meet, ["group", "rest_block"]).select("unit", "id", "tokens", "known")
-    right = blocked.join(meet.withColumnRenamed("group", "g").withColumnRenamed("block", "own"), (F.col("group") == F.col("g")) & (F.col("block") == F.col("own"))).where(F.col("known") | (F.col("block") != F.col("rest_block"))).select("unit", "id", "tokens", "known")
-    links = _by_group(left.unionByName(right), "ngram-block-links", lambda ids, sets, known: join_sets(sets, num, den, known))
-    return to_hub.unionByName(links)
+    tested = stored(tested.join(hubs, "group").withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).select("group", "id", "tokens", "known", "hub", "block"), "ngram-tested")
+    links = stored(tested.where(F.col("known") & (F.col("id") != F.col("hub"))).select(F.col("id").alias("a"), F.col("hub").alias("b")), "ngram-hub-links")
+    rest = tested.where(~F.col("known"))
+    pairs = rest.select("group", F.col("block").alias("rest_block")).distinct().join(tested.select("group", "block").distinct(), "group")
+    pairs = stored(pairs.select("group", "rest_block", "block", F.xxhash64("group", "rest_block", "block").alias("unit")), "ngram-block-pairs")
+    # as many rounds as keep what is sent at once in proportion to the sets, whatever the number of pairs
+    rounds = -(-pairs.count() // max(MEET_PAIRS, tested.select("group", "block").distinct().count() // 2))
+    for k in range(rounds):
+        meet = F.broadcast(pairs.where(F.pmod("unit", F.lit(rounds)) == k))
+        left = rest.withColumnRenamed("block", "rest_block").join(meet, ["group", "rest_block"]).select("unit", "id", "tokens", "known")
+        # rest and rest of two blocks meet where the first of them is the rest
+        right = tested.join(meet, ["group", "block"]).where(F.col("known") | (F.col("block") > F.col("rest_block"))).select("unit", "id", "tokens", "known")
+        links = links.unionByName(_by_group(left.unionByName(right), "ngram-block-links", lambda ids, sets, known: join_sets(sets, num, den, known)))
+    discard(tested, hubs, pairs)
+    return links
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -479,7 +543,14 @@ def _near_duplicates(docs: DataFrame, width: int, num: int, den: int) -> DataFra
     prints = _prints(rows, width)
     own, common = prints.where("n is not null"), _common_tokens(prints)
     keys = ["key_a", "key_b", "n"]
-    groups = connected_components(_shared_keys(rows.withColumn("group", F.lit(0).cast("long")), width, num, den, buckets, common), "ngram-groups").withColumnRenamed("component", "group")
+
+    def hashed(seed: int):
+        return lambda tokens, first, known, salt: group_keys(tokens, first, num, den, seed, known)
+
+    def rare(tokens, first, known, salt):
+        return rare_keys(tokens, first, num, den, known, salt)
+
+    groups = connected_components(_shared_keys(rows.withColumn("group", F.lit(0).cast("long")), width, buckets, hashed(0), common), "ngram-groups").withColumnRenamed("component", "group")
     # one point for each distinct set; equal sets have equal keys, so they are always in one group
     points = stored(own.join(groups, own["doc_id"] == groups["id"]).groupBy(*keys).agg(F.min("doc_id").alias("id"), F.min("group").alias("group")), "ngram-points")
 
@@ -493,7 +564,8 @@ def _near_duplicates(docs: DataFrame, width: int, num: int, den: int) -> DataFra
     found = flagged(rows, "doc_id", wanted, "id", "__may").where("__may").drop("__may")
     texts = stored(found.join(wanted, found["doc_id"] == wanted["id"]).select("group", "members", "id", "text", "n"), "ngram-texts")
 
-    def links_of(fits: DataFrame, name: str) -> DataFrame:
+    def links_of(members: DataFrame, name: str) -> DataFrame:
+        fits = members.where(F.col("members") <= BLOCK)
         return _by_group(fits.select(F.col("group").alias("unit"), "id", F.col("text").alias("tokens"), F.lit(False).alias("known")), name, lambda ids, sets, known: join_sets(sets, num, den), width)
 
     def tokens(batches):
@@ -502,21 +574,25 @@ def _near_duplicates(docs: DataFrame, width: int, num: int, den: int) -> DataFra
                 flat, first = token_sets(part.column(3), width)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array([flat[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], names=["group", "members", "id", "tokens"])
 
-    links = links_of(texts.where(F.col("members") <= BLOCK), "ngram-links")
-    large, spent = texts.where(F.col("members") > BLOCK), []
-    if large.limit(1).count():
-        # common passages can chain unlike sets; those that link share keys under every hash
+    links = links_of(texts, "ngram-links")
+    # common passages can chain unlike sets; those that link share keys under every hash, and rare tokens
+    for name, keys_of, known in (("ngram-split", hashed(1), lambda rows: common), ("ngram-rare", rare, lambda rows: _often(rows, width))):
+        large = texts.where(F.col("members") > BLOCK)
+        if not large.limit(1).count():
+            break
         again = large.select(F.col("id").alias("doc_id"), "text", "group")
-        split = several(connected_components(_shared_keys(again, width, num, den, buckets, common, 1), "ngram-split").withColumnRenamed("component", "group").join(large.select("id", "n"), "id"))
-        parts = stored(split.join(large.select("id", "text"), "id").select("group", "members", "id", "text"), "ngram-parts")
-        spent.append(parts)
-        links = links.unionByName(links_of(parts.where(F.col("members") <= BLOCK), "ngram-part-links"))
-        large = parts.where(F.col("members") > BLOCK)
-        if large.limit(1).count():
-            spent.append(stored(map_arrow(large, tokens, "group long, members long, id long, tokens binary"), "ngram-sets"))
-            links = links.unionByName(_large_links(spent[-1], num, den))
+        split = several(connected_components(_shared_keys(again, width, buckets, keys_of, known(again)), name).withColumnRenamed("component", "group").join(large.select("id", "n"), "id"))
+        parts = stored(split.join(large.select("id", "text"), "id").select("group", "members", "id", "text", "n"), f"{name}-parts")
+        discard(texts)
+        texts = parts
+        links = links.unionByName(links_of(texts, f"{name}-links"))
+    large = texts.where(F.col("members") > BLOCK)
+    if large.limit(1).count():
+        sets = stored(map_arrow(large.select("group", "members", "id", "text"), tokens, "group long, members long, id long, tokens binary"), "ngram-sets")
+        links = links.unionByName(_large_links(sets, num, den))
+        discard(sets)
     final = connected_components(links, "ngram-final").withColumnRenamed("id", "point")
-    discard(texts, wanted, *spent)
+    discard(texts, wanted)
     named = points.join(final, points["id"] == final["point"], "left").select(*keys, F.coalesce("component", "id").alias("component"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return own.join(named, keys, "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))

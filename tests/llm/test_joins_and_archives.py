@@ -72,6 +72,22 @@ def test_groups_beyond_one_task(make, monkeypatch, name, most):
     assert got == brute_components(pairs, 4, 85, 100)
 
 
+@pytest.mark.parametrize("alike", [False, True])
+def test_rows_sent_for_a_large_group(make, monkeypatch, alike):
+    """What tasks get at once stays in proportion to the group: of unlike texts with a common passage, and of near copies that one set does not link."""
+    for name, most in (("BLOCK", 8), ("MOST_COMMON", 0), ("MEET_BLOCKS", 1), ("MEET_PAIRS", 1)):
+        monkeypatch.setattr(ngram_join, name, most, raising=False)
+    r = random.Random(6)
+    passage = " ".join(f"p{k}" for k in range(30))
+    pairs = near_copies(7, 1, 150, [60], 9) if alike else [(k, " ".join(f"w{r.randrange(10**6)}" for _ in range(30)) + " " + passage) for k in range(150)]
+    sent, by_group = [], ngram_join._by_group
+    monkeypatch.setattr(ngram_join, "_by_group", lambda rows, *rest: sent.append(rows.count()) or by_group(rows, *rest))
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in ngram_join.near_duplicates(make(*pairs)).collect()}
+    assert got == brute_components(pairs, 5, 4, 5)
+    assert max(sent) <= 4 * len(pairs)
+    assert alike or sum(sent) <= len(pairs)
+
+
 def test_repeats_nulls_and_no_rows(make):
     rows = ngram_join.near_duplicates(make((3, "a b c d e"), (3, "a b c d e"), (None, "a b c d e"), (2, "a b c d e")), 4, 85, 100).collect()
     assert sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"] or -1) for r in rows) == [(-1, 2, -1), (2, 2, 2), (3, 2, 2), (3, 2, 2)]
@@ -107,6 +123,22 @@ def test_every_link_shares_a_key():
                     assert {*keys[text == 0].tolist()} & {*keys[text == 1].tolist()}
 
 
+def test_every_link_shares_a_rare_token():
+    r = random.Random(9)
+    for num, den in ((85, 100), (4, 5), (1, 2)):
+        for n in (1, 2, 5, 6, 7, 10, 30, 90):
+            for _ in range(40):
+                tokens = {r.getrandbits(64) for _ in range(n)}
+                other = tokens - {*r.sample(sorted(tokens), r.randrange(n // 4 + 1))} | {r.getrandbits(64) for _ in range(r.randrange(n // 4 + 1))}
+                if den * len(tokens & other) < num * len(tokens | other):
+                    continue
+                flat = np.array(sorted(tokens) + sorted(other), np.uint64)
+                often = np.array([r.randrange(4) for _ in range(64)]).repeat(2**ngram_join.OFTEN_BITS // 64)
+                keys, text = ngram_join.rare_keys(flat, np.array([0, n, len(flat)]), num, den, often, np.full(2, 5, np.uint64))
+                assert {*keys[text == 0].tolist()} & {*keys[text == 1].tolist()}
+                assert len(keys) <= (den - num) * len(flat) // den + 2
+
+
 def test_tree_bound_never_loses_a_pair():
     r = np.random.default_rng(3)
     counts = r.poisson(2, (200, 16)).astype(np.int32)
