@@ -674,7 +674,7 @@ def _stamped(rows: DataFrame) -> DataFrame:
 def _(t):
     rows = _stamped(t.file_events().select("path", "kind", "ts"))
     stream = _in_time(t, rows, _closing(t, 10, 20, path=F.lit("end"), kind=F.lit("modified")))
-    return _collected(t, streams.settled_files_stream(stream, 7200, forget=1e9)).select("path", F.floor("settled_at").alias("settled_at"))  # timers have milliseconds
+    return _collected(t, streams.settled_files_stream(stream, 7200, forget=1e9)).select("path", F.floor(F.round(F.col("settled_at") * 1000) / 1000).alias("settled_at"))
 
 
 @query("t2_refresh_stream", ("file_events",), _REFRESH_SQL)

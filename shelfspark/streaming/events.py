@@ -73,29 +73,30 @@ def settled_files(events: DataFrame, settle: float) -> DataFrame:
 
 
 class _Settle(StatefulProcessor):
-    """State of a path only while it waits, and for ``forget_ms`` after it settled; a timer ends either."""
+    """State of a path only while it waits, and for ``forget`` after it settled; a timer ends either. Times are microseconds, as those of
+    events are; timers have milliseconds and are set to the first one that is not before the end."""
 
-    def __init__(self, settle_ms: int, forget_ms: int):
-        self.settle_ms, self.forget_ms = settle_ms, forget_ms
+    def __init__(self, settle: int, forget: int):
+        self.settle, self.forget = settle, forget
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", "touched long, alive boolean, settled long")
+        self.state = handle.getValueState("state", "touched_micros long, alive boolean, settled_micros long")
 
     def _rest(self, at: int, touched: int, alive: bool, settled: int) -> tuple[int, bool, int, int | None]:
         """The state at a time, and when the path settled if it did since: a file that waited long enough, or a settled one forgotten."""
         fired = None
-        if touched >= 0 and at - touched >= self.settle_ms:
+        if touched >= 0 and at - touched >= self.settle:
             if alive:
-                fired = settled = touched + self.settle_ms
+                fired = settled = touched + self.settle
             touched = -1
-        if settled >= 0 and at - settled >= self.forget_ms:
+        if settled >= 0 and at - settled >= self.forget:
             settled = -1
         return touched, alive, settled, fired
 
     def _keep(self, touched: int, alive: bool, settled: int, expired: int = -1) -> None:
         """Store what is left, with one timer at the next end; the one that has just expired is gone by itself."""
-        ends = [t for t in (touched + self.settle_ms if touched >= 0 else -1, settled + self.forget_ms if settled >= 0 else -1) if t >= 0]
+        ends = [-(-t // 1000) for t in (touched + self.settle if touched >= 0 else -1, settled + self.forget if settled >= 0 else -1) if t >= 0]
         for old in [t[0] if isinstance(t, tuple) else t for t in self.handle.listTimers()]:
             if old != expired:
                 self.handle.deleteTimer(old)
@@ -107,7 +108,7 @@ class _Settle(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         touched, alive, settled = self.state.get() if self.state.exists() else (-1, False, -1)
-        events = sorted((int(ts.timestamp() * 1000), kind) for frame in rows for ts, kind in zip(frame["ts"], frame["kind"], strict=True))
+        events = sorted((ts.value // 1000, kind) for frame in rows for ts, kind in zip(frame["ts"], frame["kind"], strict=True))
         all_fired = []
         for at, kind in events:
             touched, alive, settled, fired = self._rest(at, touched, alive, settled)
@@ -126,13 +127,12 @@ class _Settle(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         touched, alive, settled = self.state.get() if self.state.exists() else (-1, False, -1)
         now = expiredTimerInfo.getExpiryTimeInMs()
-        touched, alive, settled, fired = self._rest(now, touched, alive, settled)
+        touched, alive, settled, fired = self._rest(now * 1000, touched, alive, settled)
         self._keep(touched, alive, settled, now)
         yield self._rows(key, [fired] if fired is not None else [])
 
-    @staticmethod
-    def _rows(key, fired):
-        return pd.DataFrame({"path": pd.Series([key[0]] * len(fired), dtype=str), "settled_at": pd.Series([f / 1000 for f in fired], dtype=float)})
+    def _rows(self, key, fired):
+        return pd.DataFrame({"path": pd.Series([key[0]] * len(fired), dtype=str), "settled_at": pd.Series([(f - self.settle) / 1e6 + self.settle / 1e6 for f in fired], dtype=float)})
 
     def close(self) -> None:
         pass
@@ -146,7 +146,7 @@ def settled_files_stream(events: DataFrame, settle: float, watermark: str = "0 s
     creation after it is a new file. Where no path is created again after ``forget``, the rows are those of the batch form.
     """
     ship(events.sparkSession)
-    return events.withWatermark("ts", watermark).groupBy("path").transformWithStateInPandas(statefulProcessor=_Settle(int(settle * 1000), int(forget * 1000)), outputStructType="path string, settled_at double", outputMode="Append", timeMode="EventTime")
+    return events.withWatermark("ts", watermark).groupBy("path").transformWithStateInPandas(statefulProcessor=_Settle(round(settle * 1e6), round(forget * 1e6)), outputStructType="path string, settled_at double", outputMode="Append", timeMode="EventTime")
 
 
 # --- sign-in limits --------------------------------------------------------------------

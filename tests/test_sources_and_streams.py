@@ -119,6 +119,17 @@ def test_settled_files_stream(spark, tmp_path):
     assert sorted((x["path"], x["settled_at"]) for x in got) == pairs(batch, "path", "settled_at") and got
 
 
+def test_settled_files_stream_keeps_microseconds(spark, tmp_path):
+    at = lambda us: T0 + dt.timedelta(microseconds=us)
+    rows = [("a", "created", at(999_600)), ("b", "created", at(999_900)), ("b", "modified", at(61_000_100)), ("b", "deleted", at(62_000_000)), ("c", "modified", at(2_000_200)), ("c", "created", at(2_000_700)), ("c", "deleted", at(2_000_600))]
+    rows += [("d", "created", at(3_000_900)), ("d", "modified", at(63_000_100)), ("d", "deleted", at(64_000_000))]
+    rows = sorted(rows, key=lambda r: r[2]) + [("zz", "modified", T0 + dt.timedelta(seconds=10_000 + i)) for i in range(4)]
+    got = run_stream(spark, rows, schemas.FILE_EVENTS, lambda s: streams.settled_files_stream(s, 60), tmp_path)
+    batch = streams.settled_files(spark.createDataFrame(rows, schemas.FILE_EVENTS), 60)
+    assert sorted((x["path"], x["settled_at"]) for x in got) == pairs(batch, "path", "settled_at")
+    assert [x for x, _ in pairs(batch, "path", "settled_at")] == ["a", "b", "c"]
+
+
 def test_limiter_stream(spark, tmp_path):
     r = random.Random(5)
     rows = [(i, r.choice("ab"), T0 + dt.timedelta(seconds=7 * i), r.choice(["failure", "failure", "failure", "success"])) for i in range(120)]
